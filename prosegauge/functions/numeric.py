@@ -9,6 +9,7 @@ from pyspark.sql import Column, functions as F
 
 
 def clip(c: Column, lo: float, hi: float) -> Column:
+    """Bound a value that is not NULL (``greatest`` and ``least`` skip NULLs)."""
     return F.greatest(F.lit(lo), F.least(F.lit(hi), c))
 
 
@@ -59,7 +60,8 @@ def to_int0(c: Column) -> Column:
 
 def clamp(c: Column, lo: float, hi: float, default: float) -> Column:
     """Clamp to [lo, hi]; anything that is not a number becomes ``default``."""
-    return F.coalesce(clip(c.try_cast("double"), lo, hi), F.lit(default))
+    number = c.try_cast("double")
+    return F.when(number.isNull(), default).otherwise(clip(number, lo, hi))
 
 
 def score_band(c: Column) -> Column:

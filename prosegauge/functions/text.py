@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
-from prosegauge.functions.numeric import any_of, ratio, total, unit
+from prosegauge.functions.numeric import any_of, ratio, unit
 
 # Unicode white space, as a character set for trimming and as a regex class.
 SPACE_CODES = [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
@@ -94,8 +94,13 @@ def is_repost(c: Column, require_no_colon: bool = False) -> Column:
     return bare & ~lowered.contains(":") if require_no_colon else bare
 
 
+def word_list(words: Sequence[str]) -> Column:
+    """A list as one constant array (folded at planning time), so plans stay small for any list length."""
+    return F.split(F.lit("\u0001".join(words)), "\u0001")
+
+
 def contains_any(lowered: Column, markers: Sequence[str]) -> Column:
-    return any_of([lowered.contains(m) for m in markers])
+    return F.exists(word_list(markers), lambda m: lowered.contains(m)) if markers else F.lit(False)
 
 
 def regex_any(c: Column, patterns: Sequence[str]) -> Column:
@@ -125,9 +130,14 @@ def tokens(c: Column) -> Column:
 
 
 def ngrams(toks: Column, n: int) -> Column:
-    last = F.size(toks) - (n - 1)
-    grams = F.transform(F.sequence(F.lit(1), last), lambda i: F.concat_ws(" ", F.slice(toks, i, n)))
-    return F.when(last >= 1, grams).otherwise(F.array().cast("array<string>"))
+    """Space-joined n-grams, built by pairing the token array with its own shifts."""
+    size = F.size(toks)
+    grams = toks
+    for k in range(1, n):
+        length = F.greatest(F.lit(0), size - k)
+        grams = F.zip_with(F.slice(grams, F.lit(1), length), F.slice(toks, F.lit(k + 1), length),
+                           lambda a, b: F.concat(a, F.lit(" "), b))
+    return grams
 
 
 def word_count(c: Column) -> Column:
@@ -146,7 +156,7 @@ def sentence_count(c: Column) -> Column:
 
 def hits(lowered: Column, markers: Sequence[str]) -> Column:
     """How many markers occur as a substring (each counted once per listing)."""
-    return total([lowered.contains(m).cast("int") for m in markers])
+    return F.size(F.filter(word_list(markers), lambda m: lowered.contains(m))) if markers else F.lit(0)
 
 
 def marker_score(lowered: Column, markers: Sequence[str], norm: float) -> Column:
@@ -158,7 +168,7 @@ def phrase_ratio(lowered: Column, phrases: Sequence[str]) -> Column:
 
 
 def keyword_hits(toks: Column, keywords: Sequence[str]) -> Column:
-    return F.size(F.filter(toks, lambda t: t.isin(*keywords)))
+    return F.size(F.filter(toks, lambda t: F.array_contains(word_list(keywords), t)))
 
 
 def keyword_ratio(toks: Column, keywords: Sequence[str]) -> Column:
@@ -184,26 +194,29 @@ def repetition(toks: Column) -> Column:
     return F.when(n < 6, 0.0).otherwise(unit(share * 2.0))
 
 
-def sentence_variety(sents: Column, clause_words: Sequence[str]) -> Column:
-    lens = F.transform(sents, word_count)
+def sentence_variety(sents: Column, sent_toks: Column, clause_words: Sequence[str]) -> Column:
+    """Spread of sentence lengths and share of distinct sentence shapes; ``sent_toks``: tokens per sentence."""
     n = F.size(sents)
-    mean = F.aggregate(lens, F.lit(0.0), lambda a, x: a + x) / n
-    var = F.aggregate(lens, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n
-    cv = ratio(F.sqrt(var), mean)
-
-    def shape(s: Column) -> Column:
-        toks = tokens(s)
+    # lengths are whole numbers, so both sums are exact
+    lengths = F.aggregate(
+        sent_toks, F.struct(F.lit(0).cast("bigint").alias("s"), F.lit(0).cast("bigint").alias("q")),
+        lambda a, t: F.struct((a["s"] + F.size(t)).alias("s"), (a["q"] + F.size(t) * F.size(t)).alias("q")),
+        lambda a: F.when(a["s"] > 0, F.sqrt(F.greatest(
+            F.lit(0.0), (n * a["q"] - a["s"] * a["s"]).cast("double"))) / a["s"]).otherwise(0.0))
+
+    def shape(s: Column, t: Column) -> Column:
         return F.struct(
-            F.get(toks, F.lit(0)).alias("starter"),
-            F.arrays_overlap(toks, F.array(*[F.lit(w) for w in clause_words])).alias("clause"),
+            F.get(t, F.lit(0)).alias("starter"),
+            F.arrays_overlap(t, word_list(clause_words)).alias("clause"),
             s.rlike(r"\p{Nd}").alias("numeric"),
-            (F.size(toks) > 20).alias("long"),
+            (F.size(t) > 20).alias("long"),
         )
 
-    shapes = F.filter(F.transform(sents, shape), lambda p: p["starter"].isNotNull())
-    distinct = F.size(F.array_distinct(shapes)) / F.greatest(F.lit(1), F.size(shapes))
+    shapes = F.filter(F.zip_with(sents, sent_toks, shape), lambda p: p["starter"].isNotNull())
+    # one pass over the shapes gives both counts
+    counts = F.transform(F.array(shapes), lambda a: F.size(F.array_distinct(a)) / F.greatest(F.lit(1), F.size(a)))
     return (F.when(n == 0, 0.0).when(n == 1, 0.35)
-            .otherwise(unit(0.55 * unit(cv * 1.8) + 0.45 * distinct)))
+            .otherwise(unit(0.55 * unit(lengths * 1.8) + 0.45 * F.get(counts, F.lit(0)))))
 
 
 def evidence_score(c: Column, lowered: Column, keywords: Sequence[str]) -> Column:
@@ -232,17 +245,20 @@ def completeness(sents: Column, lowered: Column, intro: Sequence[str], argument:
 
 def content_ratio(toks: Column, stopwords: Sequence[str], suffixes: Sequence[str]) -> Column:
     def is_content(t: Column) -> Column:
-        return ~t.isin(*stopwords) & ((F.length(t) >= 5) | any_of([t.endswith(s) for s in suffixes]))
+        ends = t.rlike("(?:" + "|".join(suffixes) + ")$")
+        return ~F.array_contains(word_list(stopwords), t) & ((F.length(t) >= 5) | ends)
 
     return ratio(F.size(F.filter(toks, is_content)), F.size(toks))
 
 
-def clarity(c: Column) -> Column:
-    """Readability share: Flesch ease from sentence, word and vowel-group counts."""
-    words = F.greatest(F.lit(1), word_count(c))
-    sents = F.greatest(F.lit(1), sentence_count(c))
-    per_sentence = words / sents
-    syllables = F.regexp_count(F.lower(c), F.lit("[aeiouy]+"))
-    flesch = 206.835 - 1.015 * per_sentence - 84.6 * (syllables / words)
+def syllable_count(lowered: Column) -> Column:
+    return F.regexp_count(lowered, F.lit("[aeiouy]+"))
+
+
+def clarity(n_words: Column, n_sentences: Column, n_syllables: Column) -> Column:
+    """Readability share: Flesch ease from sentence, word and vowel-group counts; no sentence scores 0."""
+    words = F.greatest(F.lit(1), n_words)
+    per_sentence = words / F.greatest(F.lit(1), n_sentences)
+    flesch = 206.835 - 1.015 * per_sentence - 84.6 * (n_syllables / words)
     score = 0.78 * unit((flesch - 15.0) / 75.0) + 0.22 * (1.0 - unit((per_sentence - 30.0) / 22.0))
-    return F.when(_is_blank(c), 0.0).otherwise(unit(score))
+    return F.when(n_sentences > 0, unit(score)).otherwise(0.0)

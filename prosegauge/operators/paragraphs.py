@@ -17,8 +17,21 @@ def explode_paragraphs(docs: DataFrame, sep: str = tx.PARAGRAPH_BREAK, keep: Seq
     return parts.select(*keep, (F.col("_pos") + 1).alias("para_ix"), "text")
 
 
-def with_sentences(paras: DataFrame) -> DataFrame:
-    return paras.withColumn("sentences", tx.sentences(F.col("text")))
+def with_split(texts: DataFrame) -> DataFrame:
+    """Add what the signals share: lower-cased text, sentences, tokens per sentence, all tokens.
+
+    A frame that has been split already is returned as it is, so operators can
+    be chained without splitting a text twice.
+    """
+    if "_lower" in texts.columns:
+        return texts
+    first = texts.withColumns({"_lower": F.lower("text"), "_sents": tx.sentences(F.col("text"))})
+    # sentences break at white space only, so no token crosses a break
+    second = first.withColumn("_stoks", F.transform("_sents", tx.tokens))
+    return second.withColumn("_toks", F.flatten("_stoks"))
+
+
+SPLIT = ["_lower", "_sents", "_stoks", "_toks"]
 
 
 def explode_sentences(paras: DataFrame, keep: Sequence[str] = ("doc_id", "para_ix")) -> DataFrame:

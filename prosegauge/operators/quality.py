@@ -10,6 +10,7 @@ from prosegauge.functions import text as tx
 from prosegauge.functions.numeric import clip, r4, total, unit
 from prosegauge.functions.vectors import cosine
 from prosegauge.lexicons import LEXICON
+from prosegauge.operators.paragraphs import explode_paragraphs, with_split
 
 # Weight of each signal in the quality index.
 INDEX_WEIGHTS = {
@@ -27,13 +28,13 @@ def quality_component(cols: Mapping[str, Column]) -> Column:
     return clip(index * 22.0 - 7.0, -10.0, 15.0)
 
 
-def quality_columns(text: Column, lowered: Column, toks: Column, sents: Column, coherence: Column,
-                    lex: Mapping[str, list[str]] = LEXICON) -> dict[str, Column]:
+def quality_columns(text: Column, lowered: Column, toks: Column, sents: Column, sent_toks: Column,
+                    coherence: Column, lex: Mapping[str, list[str]] = LEXICON) -> dict[str, Column]:
     """The ten signals over columns that are already split."""
     return {
         "coherence_score": coherence,
         "lexical_diversity_score": tx.lexical_diversity(toks),
-        "sentence_variety_score": tx.sentence_variety(sents, lex["clause_words"]),
+        "sentence_variety_score": tx.sentence_variety(sents, sent_toks, lex["clause_words"]),
         "repetition_penalty": tx.repetition(toks),
         "position_clarity_score": tx.marker_score(lowered, lex["position"], 2.0),
         "counter_argument_score": tx.marker_score(lowered, lex["counter_argument"], 2.0),
@@ -48,9 +49,8 @@ def quality_paragraphs(paras: DataFrame, lex: Mapping[str, list[str]] = LEXICON,
                        keep: Sequence[str] = ("doc_id", "para_ix")) -> DataFrame:
     """Signals, component and weight of every paragraph. A ``coherence`` column replaces the neutral .5."""
     coherence = F.coalesce(F.col("coherence"), F.lit(0.5)) if "coherence" in paras.columns else F.lit(0.5)
-    split = paras.select(*keep, "text", coherence.alias("_coherence"), F.lower("text").alias("_lower"),
-                         tx.tokens(F.col("text")).alias("_toks"), tx.sentences(F.col("text")).alias("_sents"))
-    signals = quality_columns(F.col("text"), F.col("_lower"), F.col("_toks"), F.col("_sents"),
+    split = with_split(paras.withColumn("_coherence", coherence))
+    signals = quality_columns(F.col("text"), F.col("_lower"), F.col("_toks"), F.col("_sents"), F.col("_stoks"),
                               F.col("_coherence"), lex)
     scored = split.select(*keep, F.greatest(F.lit(1), F.size("_toks")).alias("weight"),
                           *[c.alias(n) for n, c in signals.items()])
@@ -69,8 +69,6 @@ def aggregate_quality(paras: DataFrame, by: Sequence[str] = ("doc_id",)) -> Data
 
 def writing_quality(docs: DataFrame, lex: Mapping[str, list[str]] = LEXICON,
                     sep: str = tx.PARAGRAPH_BREAK) -> DataFrame:
-    from prosegauge.operators.paragraphs import explode_paragraphs
-
     return aggregate_quality(quality_paragraphs(explode_paragraphs(docs, sep), lex))
 
 
@@ -87,5 +85,5 @@ def coherence(sent_vecs: DataFrame, by: Sequence[str], pos: str = "pos", vec: st
     similarity = unit((cosine(F.col("_a"), F.col("_b")) + 1.0) / 2.0)
     sim = F.when(F.col("_b").isNotNull(), similarity)
     if not by:
-        return pairs.agg(F.coalesce(unit(F.avg(sim)), F.lit(0.5)).alias("coherence"))
-    return pairs.groupBy(*by).agg(F.coalesce(unit(F.avg(sim)), F.lit(0.5)).alias("coherence"))
+        return pairs.agg(unit(F.coalesce(F.avg(sim), F.lit(0.5))).alias("coherence"))
+    return pairs.groupBy(*by).agg(unit(F.coalesce(F.avg(sim), F.lit(0.5))).alias("coherence"))

@@ -10,6 +10,7 @@ from prosegauge.functions import text as tx
 from prosegauge.functions.models import MODEL_COLUMNS, join_scores
 from prosegauge.functions.numeric import unit
 from prosegauge.lexicons import COMPONENT_MAX, LEXICON, PATTERNS
+from prosegauge.operators.paragraphs import SPLIT, with_split
 
 Lex = Mapping[str, list[str]]
 DETECTOR = ["constructiveness_score", "reasoning_marker_score", "suggestion_score", "explanation_depth_score",
@@ -24,7 +25,9 @@ def _input(df: DataFrame, name: str, default: float = 0.0) -> Column:
 
 
 def abuse_indicator(lowered: Column, lex: Lex = LEXICON) -> Column:
-    attacks = sum((lowered.rlike(p).cast("int") for p in PATTERNS["personal_attack"]), F.lit(0))
+    # the cheap substring test spares most texts the regular expression
+    attacks = sum(((lowered.contains(cue) & lowered.rlike(p)).cast("int")
+                   for cue, p in zip(lex["personal_attack_cues"], PATTERNS["personal_attack"])), F.lit(0))
     return unit(0.7 * tx.phrase_ratio(lowered, lex["abuse_words"]) + 0.3 * F.least(F.lit(1.0), attacks / 2.0))
 
 
@@ -54,10 +57,10 @@ def constructiveness(paras: DataFrame, lex: Lex = LEXICON, keep: Sequence[str] =
     ``non_constructive_similarity`` carry an encoder's best prototype
     similarities; without them the margin is 0.
     """
-    base = paras.select("*", F.lower("text").alias("_lower"), tx.sentence_count(F.col("text")).alias("_n"))
+    base = with_split(paras).withColumn("_n", F.size("_sents"))
     low, n = F.col("_lower"), F.col("_n")
     explained = (tx.contains_any(low, lex["reasoning"]) | tx.contains_any(low, lex["explanation_connectors"])
-                 | low.rlike(r"(?dU)\bif\b.*\bthen\b"))
+                 | (low.contains("then") & low.rlike(r"(?dU)\bif\b.*\bthen\b")))
     chain = tx.contains_any(low, lex["problem"]) & explained & tx.contains_any(low, lex["implication"])
     short_chain = tx.contains_any(low, lex["simple_problem"]) & tx.contains_any(low, lex["simple_consequence"])
     bonus = unit((n - 2) / 3.0)
@@ -108,11 +111,11 @@ def paragraph_components(paras: DataFrame, lex: Lex = LEXICON, scores: DataFrame
                          keep: Sequence[str] = ("doc_id", "para_ix")) -> DataFrame:
     """The five components (maxima 40/20/15/10/15) and every signal behind them, per paragraph."""
     given = join_scores(paras, scores, keep)
-    extra = [c for c in given.columns if c not in (*keep, "text")]
-    detected = constructiveness(given.select(*keep, *extra, "text"), lex,
-                                keep=[*keep, *[e for e in extra if e not in SIMILARITIES[:2]], "text"])
-    base = detected.select("*", F.lower("text").alias("_lower"), tx.tokens(F.col("text")).alias("_toks"),
-                           tx.sentence_count(F.col("text")).alias("sentence_count"))
+    extra = [c for c in given.columns if c not in (*keep, "text", *SPLIT)]
+    split = with_split(given)
+    detected = constructiveness(split, lex, keep=[*keep, *[e for e in extra if e not in SIMILARITIES[:2]],
+                                                  *[x for x in SPLIT if x in split.columns]])
+    base = detected.withColumn("sentence_count", F.size("_sents"))
     low, toks, c = F.col("_lower"), F.col("_toks"), F.col
     reasoning_words = lex["analytical_reasoning_terms"] + lex["analytical_terms"]
 
@@ -120,7 +123,7 @@ def paragraph_components(paras: DataFrame, lex: Lex = LEXICON, scores: DataFrame
         "word_count": F.size(toks),
         "abuse_signal": abuse_indicator(low, lex),
         "negativity": unit(0.3 * c("anger") + 0.2 * c("sadness") + 0.15 * c("fear") + 0.35 * c("negative")),
-        "clarity_signal": tx.clarity(c("text")),
+        "clarity_signal": tx.clarity(F.size(toks), c("sentence_count"), tx.syllable_count(low)),
         "_analysis_words": unit(tx.keyword_ratio(toks, reasoning_words) * 14.0),
         "_analysis_phrases": unit(tx.phrase_ratio(low, lex["analytical_phrases"]) * 2.2),
         "_debate": tx.phrase_ratio(low, lex["debate_terms"]),

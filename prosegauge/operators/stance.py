@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from prosegauge.functions import text as tx
 from prosegauge.functions.numeric import argmax_label, normalize_probs, r4, total, unit
 from prosegauge.lexicons import LEXICON, PATTERNS, PRIMARY_STANCES, SARCASM_THRESHOLD, STANCES, STYLE_TAGS
+from prosegauge.operators.paragraphs import SPLIT, with_split
 
 Lex = Mapping[str, list[str]]
 KEYS = ("doc_id", "para_ix")
@@ -62,8 +63,10 @@ def with_sarcasm(df: DataFrame, lex: Lex = LEXICON, lowered: str = "_lower") ->
         "_mismatch": tx.contains_any(low, lex["sarcasm_mismatch"]),
         "_delayed": tx.contains_any(low, lex["sarcasm_delayed"]),
         "_apparently": low.contains("apparently"),
-        "_praise_fails": tx.regex_any(low, PATTERNS["praise_mismatch"]),
+        "_cued": tx.contains_any(low, lex["sarcasm_cues"]),
     })
+    # a pattern is tried only where one of its opening words occurs
+    cues = cues.withColumn("_praise_fails", c("_cued") & tx.regex_any(low, PATTERNS["praise_mismatch"]))
 
     def count(*conds: Column) -> Column:
         return total([x.cast("int") for x in conds])
@@ -72,8 +75,8 @@ def with_sarcasm(df: DataFrame, lex: Lex = LEXICON, lowered: str = "_lower") ->
         "exaggeration_score": F.least(F.lit(1.0), count(
             c("_metaphor"), c("_absurd"), tx.contains_any(low, lex["sarcasm_grief"])) / 2.0),
         "contradiction_score": F.least(F.lit(1.0), count(
-            c("_praise_fails"), tx.regex_any(low, PATTERNS["praise_contradiction"]),
-            tx.regex_any(low, PATTERNS["mocking_tail"]), c("_praise") & low.contains("?"),
+            c("_praise_fails"), c("_cued") & tx.regex_any(low, PATTERNS["praise_contradiction"]),
+            c("_cued") & tx.regex_any(low, PATTERNS["mocking_tail"]), c("_praise") & low.contains("?"),
             c("_praise") & c("_apparently"), c("_praise") & c("_mismatch")) / 2.0),
         "context_mismatch_score": (c("_praise") & (c("_mismatch") | c("_metaphor") | c("_absurd")
                                                    | c("_apparently"))).cast("double"),
@@ -84,7 +87,7 @@ def with_sarcasm(df: DataFrame, lex: Lex = LEXICON, lowered: str = "_lower") ->
     scored = features.withColumn("sarcasm_score", unit(
         0.2 * c("exaggeration_score") + 0.3 * c("contradiction_score") + 0.2 * c("context_mismatch_score")
         + 0.2 * c("mocking_praise_score") + 0.1 * c("delayed_negative_score")))
-    return scored.drop("_metaphor", "_absurd", "_praise", "_mismatch", "_delayed", "_apparently", "_praise_fails")
+    return scored.drop("_metaphor", "_absurd", "_praise", "_mismatch", "_delayed", "_apparently", "_praise_fails", "_cued")
 
 
 def sarcasm(paras: DataFrame, lex: Lex = LEXICON, keep: Sequence[str] = KEYS) -> DataFrame:
@@ -131,10 +134,13 @@ def with_quotes(df: DataFrame, lex: Lex = LEXICON, lowered: str = "_lower") -> D
     low, c = F.col(lowered), F.col
     found = df.withColumns({
         "quoted_attack_detected": tx.contains_any(low, lex["quote_context"]) & tx.contains_any(low, lex["attack"]),
-        "contrast_rejection_detected": tx.regex_any(low, PATTERNS["contrast_rejection"]),
+        "contrast_rejection_detected": tx.contains_any(low, lex["contrast_cues"])
+        & tx.regex_any(low, PATTERNS["contrast_rejection"]),
     })
-    rejects = tx.contains_any(low, lex["rejection"]) | tx.regex_any(low, PATTERNS["rejection_structure"])
-    endorses = tx.contains_any(low, lex["endorsement"]) | tx.regex_any(low, PATTERNS["endorsement_structure"])
+    said = low.contains("people say")
+    rejects = tx.contains_any(low, lex["rejection"]) | (said & tx.regex_any(low, PATTERNS["rejection_structure"]))
+    endorses = (tx.contains_any(low, lex["endorsement"])
+                | (said & tx.regex_any(low, PATTERNS["endorsement_structure"])))
     return found.withColumns({
         "attack_rejection_detected": c("quoted_attack_detected") & rejects,
         "attack_endorsement_detected": c("quoted_attack_detected") & endorses,
@@ -184,7 +190,10 @@ def paragraph_stance(paras: DataFrame, lex: Lex = LEXICON, threshold: float = SA
     model = {f"emb_{s.lower()}": _optional(paras, f"emb_{s.lower()}") for s in STANCES}
     model |= {f"bench_{s.lower()}": _optional(paras, f"bench_{s.lower()}", 1.0 / len(STANCES)) for s in STANCES}
     model |= {n: _optional(paras, n) for n in ("sem_supportive", "sem_constructive", "sem_balanced")}
-    base = paras.select(*keep, "text", F.lower("text").alias("_lower"), *[v.alias(k) for k, v in model.items()])
+    kept = [k for k in keep if k != "text"]
+    split = with_split(paras)
+    base = split.select(*[k for k in kept if k not in SPLIT], "text", *SPLIT, *[v.alias(k) for k, v in model.items()])
+    base = base.withColumn("_depth", explanation_depth(c("text"), c("_lower"), lex))
     low = c("_lower")
     base = with_quotes(with_defence(with_sarcasm(base, lex), lex), lex)
 
@@ -196,8 +205,7 @@ def paragraph_stance(paras: DataFrame, lex: Lex = LEXICON, threshold: float = SA
 
     base = base.withColumns({
         "_blank": tx.strip(low) == "",
-        "_words": tx.word_count(low),
-        "_depth": explanation_depth(c("text"), low, lex),
+        "_words": F.size("_toks"),
         "_sup0": score("supportive", 2.5),
         "con": score("constructive", 2.5),
         "sug": score("suggestion", 3.0),
@@ -213,17 +221,17 @@ def paragraph_stance(paras: DataFrame, lex: Lex = LEXICON, threshold: float = SA
         # what the style tags need of the text
         "_asks": low.contains("?"),
         "_verbs": tx.regex_any(low, PATTERNS["direct_verbs"]),
-        "_rhetorical": tx.regex_any(low, PATTERNS["rhetorical"]),
-        "_quoted": low.contains('"') | low.contains("'") | tx.regex_any(low, PATTERNS["quoted"]),
-        "_reported": tx.regex_any(low, PATTERNS["reported"]),
-        "_conversational": tx.regex_any(low, PATTERNS["conversational"]),
+        "_rhetorical": some("tag_rhetorical"),
+        "_quoted": low.contains('"') | low.contains("'") | some("tag_quoted"),
+        "_reported": some("tag_reported"),
+        "_conversational": some("tag_conversational"),
         # strength from similarity to labelled texts; zero without an encoder
         "_semantic": unit(c("sem_supportive") * (
             0.4 * F.greatest(c("criticism_reference_score"), c("sem_constructive"))
-            + 0.4 * F.greatest(explanation_depth(c("text"), low, lex), c("sem_balanced"))
+            + 0.4 * F.greatest(c("_depth"), c("sem_balanced"))
             + 0.2 * F.greatest(score("supportive", 2.5),
                                c("sem_supportive") + c("sem_balanced") + c("sem_constructive")))),
-    }).drop("text", "_lower")
+    }).drop(*({"text", *SPLIT} - set(keep)))
 
     base = base.withColumns({
         "supportive_defense_strength": unit(0.5 * c("_semantic") + 0.5 * c("rule_strength")),

@@ -20,6 +20,7 @@ from prosegauge.operators import scoring
 from prosegauge.operators.claims import finish_verdicts, stat_mentions, verdict_folds
 from prosegauge.operators.fusion import fuse_scores
 from prosegauge.operators.quality import INDEX_WEIGHTS, SIGNALS, quality_component, quality_paragraphs
+from prosegauge.operators.paragraphs import SPLIT, with_split
 from prosegauge.operators.signals import SIMILARITIES, paragraph_components, paragraph_means
 from prosegauge.operators.stance import finish_stance, paragraph_stance, stance_folds
 from prosegauge.operators.writer import writer_column, writer_type
@@ -63,14 +64,15 @@ def document_signals(docs: DataFrame, scores: DataFrame | None = None, lex: Mapp
         paras = paras.join(scores, ["doc_id", "para_ix"], "left")
     extra = _model_columns(paras)
     keep = [*carried, "para_ix", "_empty"]
+    paras = with_split(paras)
 
     # each layer keeps what the next one needs, so a paragraph is processed in one pass
-    st = paragraph_stance(paras, lex, threshold, keep=[*keep, "text", *[e for e in extra if e[:4] not in (
+    st = paragraph_stance(paras, lex, threshold, keep=[*keep, "text", *SPLIT, *[e for e in extra if e[:4] not in (
         "emb_", "benc", "sem_")]])
-    stance_cols = [n for n in st.columns if n not in keep and n != "text" and n not in extra]
+    stance_cols = [n for n in st.columns if n not in keep and n not in ("text", *SPLIT) and n not in extra]
     st = st.withColumnsRenamed({"weight": "stance_weight"})
     stance_cols = ["stance_weight" if n == "weight" else n for n in stance_cols]
-    qu = quality_paragraphs(st, lex, keep=[*keep, "text", *stance_cols, *extra_kept(extra)])
+    qu = quality_paragraphs(st, lex, keep=[*keep, "text", *SPLIT, *stance_cols, *extra_kept(extra)])
     quality_cols = {"weight": "quality_weight", "writing_quality_component": "_component"}
     qu = qu.withColumnsRenamed(quality_cols)
     pc = paragraph_components(qu, lex, keep=[*keep, *stance_cols, "quality_weight", *SIGNALS])
@@ -80,7 +82,7 @@ def document_signals(docs: DataFrame, scores: DataFrame | None = None, lex: Mapp
     folds = [
         *[F.max(n).alias(n) for n in carried[1:]],
         F.count_if(live).alias("n_text_paragraphs"),
-        *[F.coalesce(r4(unit(F.sum(F.when(live, w * F.col(s))) / F.sum(F.when(live, w)))), F.lit(0.0)).alias(s)
+        *[r4(unit(F.coalesce(F.sum(F.when(live, w * F.col(s))) / F.sum(F.when(live, w)), F.lit(0.0)))).alias(s)
           for s in SIGNALS],
         *paragraph_means(),
         *stance_folds(),

@@ -10,7 +10,25 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # methods above 8000 bytes are never compiled by the JIT: let wide projections be split instead
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
+# only a new session can take these
+STATIC_DEFAULTS = {
+    # no call-site capture per column expression: plans here have thousands of them
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+
+
+def build_session(master: str | None = None, **conf: str) -> SparkSession:
+    """A session with the defaults below; ``conf`` keys use ``__`` for dots."""
+    builder = SparkSession.builder.appName("prosegauge")
+    if master:
+        builder = builder.master(master)
+    settings = {**DEFAULTS, **STATIC_DEFAULTS, **{k.replace("__", "."): v for k, v in conf.items()}}
+    for key, value in settings.items():
+        builder = builder.config(key, value)
+    return builder.getOrCreate()
 
 
 def configure(spark: SparkSession) -> SparkSession:
