@@ -79,7 +79,7 @@ def extract_claims(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def name_variants(players: DataFrame) -> DataFrame:
     """Normalised variants of every player name; the last name in order owns a shared variant."""
     parts = F.filter(F.split(F.col("player"), S + "+"), lambda p: p != "")
-    surname = F.when(F.size(parts) >= 2, F.element_at(parts, -1))
+    surname = F.when(F.size(parts) >= 2, F.try_element_at(parts, F.lit(-1)))
     forms = F.array_compact(F.array(F.col("player"), F.replace(F.col("player"), F.lit("."), F.lit("")), surname))
     named = players.select(tx.strip(F.col("player")).alias("player")).filter("player != ''").distinct()
     return (named.select("player", F.explode(F.array_distinct(F.transform(forms, tx.normalize_name))).alias("variant"))
@@ -90,7 +90,7 @@ def mention_keys(players: DataFrame) -> DataFrame:
     """(key, player): "v:" + name variant, and "i:" + initial and surname of multi-part names."""
     parts = F.filter(F.split(F.col("player"), S + "+"), lambda p: p != "")
     letters = F.transform(parts, lambda p: F.lower(F.regexp_replace(p, "[^A-Za-z]", "")))
-    initial, surname = F.substring(F.get(letters, F.lit(0)), 1, 1), F.element_at(letters, -1)
+    initial, surname = F.substring(F.get(letters, F.lit(0)), 1, 1), F.try_element_at(letters, F.lit(-1))
     short = (players.select("player").filter(F.col("player").isNotNull()).distinct().filter(F.size(parts) >= 2)
              .filter((initial != "") & (surname != ""))
              .select(F.concat(F.lit("i:"), initial, F.lit(" "), surname).alias("key"), "player"))

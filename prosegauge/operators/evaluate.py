@@ -224,8 +224,8 @@ def centroid_scores(queries: DataFrame, centroids: DataFrame, key: str = "id", l
             out = out + 0.25 * unit(1.0 - dist)
         return out
 
-    scored = F.transform(packed, lambda e: F.struct(e[label].alias(label), score(e).alias("score")))
-    return queries.select(key, F.inline(scored))
+    scored = F.transform("_packed", lambda e: F.struct(e[label].alias(label), score(e).alias("score")))
+    return queries.withColumn("_packed", packed).select(key, F.inline(scored))
 
 
 def nearest(queries: DataFrame, samples: DataFrame, k: int, key: str = "id", label: str = "label",
@@ -303,8 +303,8 @@ def loo_label_scores(samples: DataFrame, dim: int, k: int = 16, key: str = "id",
         left = e["n"] - F.when(own, 1).otherwise(0)
         return F.when(left > 0, 0.35 * unit((sums + 1.0) / 2.0)).otherwise(0.0)
 
-    centred = samples.select(key, F.inline(F.transform(
-        packed, lambda e: F.struct(e[label].alias(label), sim(e).alias("score")))))
+    centred = samples.withColumn("_packed", packed).select(key, F.inline(F.transform(
+        "_packed", lambda e: F.struct(e[label].alias(label), sim(e).alias("score")))))
     votes = knn_label_votes(samples, samples, k, key, label, vec, leave_one_out=True).withColumnRenamed("votes", "score")
     raw = centred.unionByName(votes).groupBy(key, label).agg(F.sum("score").alias("raw"))
     mass = raw.groupBy(key).agg(F.sum("raw").alias("mass"), F.max_by(label, F.struct("raw", -c(label))).alias("predicted"))

@@ -172,14 +172,14 @@ def running_average(scores: DataFrame, cols: Sequence[str], user: str = "user_id
     steps: dict[str, Column] = {}
     for s in cols:
         given, first = c(s).isNotNull(), c(f"_k_{s}") == 1
-        steps[f"_l_{s}"] = F.when(given & ~first, F.ln((c("n") - 1) / c("n"))).otherwise(0.0)
-        steps[f"_b_{s}"] = F.when(given & first, c(s).cast("double")).when(given, c(s) / c("n")).otherwise(0.0)
+        steps[f"_step_{s}"] = F.when(given & ~first, F.ln((c("n") - 1) / c("n"))).otherwise(0.0)
+        steps[f"_add_{s}"] = F.when(given & first, c(s).cast("double")).when(given, c(s) / c("n")).otherwise(0.0)
     base = base.withColumns({**steps, "_chunk_of": chunk})
     # log of the product of the factors so far, then the discounted sum
-    base = running(base, [user], [ts, key], c("_chunk_of"), sums={f"_L_{s}": c(f"_l_{s}") for s in cols})
+    base = running(base, [user], [ts, key], c("_chunk_of"), sums={f"_log_{s}": c(f"_step_{s}") for s in cols})
     base = running(base, [user], [ts, key], c("_chunk_of"),
-                   sums={f"_T_{s}": c(f"_b_{s}") * F.exp(-c(f"_L_{s}")) for s in cols})
-    out = {f"avg_{s}": F.when(c(f"_k_{s}") > 0, c(f"_T_{s}") * F.exp(c(f"_L_{s}"))) for s in cols}
+                   sums={f"_sum_{s}": c(f"_add_{s}") * F.exp(-c(f"_log_{s}")) for s in cols})
+    out = {f"avg_{s}": F.when(c(f"_k_{s}") > 0, c(f"_sum_{s}") * F.exp(c(f"_log_{s}"))) for s in cols}
     return base.select(*scores.columns, "n", *[e.alias(n) for n, e in out.items()])
 
 
