@@ -17,12 +17,17 @@ def unit(c: Column) -> Column:
     return clip(c, 0.0, 1.0)
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """Half-up rounding. The nudge makes ties independent of the last floating-point bit."""
+    return F.round(c + 1e-9, digits)
+
+
 def r4(c: Column) -> Column:
-    return F.round(c, 4)
+    return rounded(c, 4)
 
 
 def r2(c: Column) -> Column:
-    return F.round(c, 2)
+    return rounded(c, 2)
 
 
 def total(cols: Sequence[Column]) -> Column:

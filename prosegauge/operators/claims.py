@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from prosegauge.functions import text as tx
+from prosegauge.functions import numeric as nu, text as tx
 from prosegauge.lexicons import WRITER_TYPES
 from prosegauge.operators.facts import MEASURES, chosen_statistic, measure_sums
 from prosegauge.operators.scale import join_null_safe, top_per_group
@@ -278,9 +278,9 @@ def finish_verdicts(docs: DataFrame, folded: DataFrame, key: str, writer: Column
         *docs.columns,
         has.alias("stats_found"),
         F.coalesce(c("_verified"), F.lit(False)).alias("stats_verified"),
-        F.coalesce(F.round("_accuracy", 4), F.lit(0.0)).alias("stat_accuracy_score"),
+        F.coalesce(nu.rounded(F.col("_accuracy"), 4), F.lit(0.0)).alias("stat_accuracy_score"),
         F.when(~has, "low").when(c("_high"), "high").otherwise("medium").alias("stat_confidence"),
-        F.when(has, F.round((c("_accuracy") - 0.5) * 2.0 * stat_weight(writer, c("_numeric")), 2))
+        F.when(has, nu.rounded((c("_accuracy") - 0.5) * 2.0 * stat_weight(writer, c("_numeric")), 2))
         .otherwise(0.0).alias("stat_score_adjustment"),
         *[F.when(has, c("_first")[f]).alias(f"first_{f}") for f in
           ("stat_type", "player", "claimed_value", "computed_value", "difference")],
@@ -300,7 +300,7 @@ def stat_mentions(docs: DataFrame, facts: DataFrame, key: str = "doc_id", text:
     about = resolve_dimension(about, "opposition", facts, "opposition")
     about = checkpointed(resolve_dimension(about, "venue", facts, "venue"))
     judged = claim_verdict(computed_values(about, facts))
-    return judged.withColumn("computed_value", F.round("computed_value", 2))
+    return judged.withColumn("computed_value", nu.rounded(F.col("computed_value"), 2))
 
 
 def verify_documents(docs: DataFrame, facts: DataFrame, key: str = "doc_id", text: str = "text",

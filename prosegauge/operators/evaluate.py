@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from prosegauge.functions import numeric as nu
 from prosegauge.functions.numeric import ratio, unit
 from prosegauge.operators.scale import top_per_group
 
@@ -26,9 +27,9 @@ def binary_report(df: DataFrame, pred: str, target: str, by: Sequence[str] = ())
         F.count_if(~p & t).alias("fn"), F.count_if(~p & ~t).alias("tn"))
     return counts.select(
         *by, "n", "tp", "fp", "fn", "tn",
-        F.round(ratio((c("tp") + c("tn")) * 100.0, c("n")), 2).alias("accuracy_percent"),
-        F.round(ratio(c("fp") * 100.0, c("fp") + c("tn")), 2).alias("fp_percent"),
-        F.round(ratio(c("fn") * 100.0, c("fn") + c("tp")), 2).alias("fn_percent"))
+        nu.rounded(ratio((c("tp") + c("tn")) * 100.0, c("n")), 2).alias("accuracy_percent"),
+        nu.rounded(ratio(c("fp") * 100.0, c("fp") + c("tn")), 2).alias("fp_percent"),
+        nu.rounded(ratio(c("fn") * 100.0, c("fn") + c("tp")), 2).alias("fn_percent"))
 
 
 def with_deviation(df: DataFrame, score: str, lo: str, hi: str) -> DataFrame:
@@ -39,8 +40,8 @@ def with_deviation(df: DataFrame, score: str, lo: str, hi: str) -> DataFrame:
 def deviation_report(df: DataFrame, score: str, lo: str, hi: str, by: Sequence[str] = (),
                      tolerance: float = 15.0) -> DataFrame:
     return with_deviation(df, score, lo, hi).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("deviation"), 3).alias("mean_deviation"),
-        F.round(F.max("deviation"), 3).alias("max_deviation"),
+        F.count(F.lit(1)).alias("n"), nu.rounded(F.avg("deviation"), 3).alias("mean_deviation"),
+        nu.rounded(F.max("deviation"), 3).alias("max_deviation"),
         F.count_if(c("deviation") > tolerance).alias("n_over_tolerance"))
 
 
@@ -70,8 +71,8 @@ def band_report(df: DataFrame) -> DataFrame:
     kinds = ["stance_mismatch", "score_band_miss", "toxicity_band_miss", "supportive_band_miss", "ok"]
     return judged.groupBy("expected").agg(
         F.count(F.lit(1)).alias("n"),
-        F.round(F.avg((c("predicted") == c("expected")).cast("double")) * 100.0, 2).alias("accuracy_percent"),
-        F.round(F.avg("outside_band"), 2).alias("average_score_deviation"),
+        nu.rounded(F.avg((c("predicted") == c("expected")).cast("double")) * 100.0, 2).alias("accuracy_percent"),
+        nu.rounded(F.avg("outside_band"), 2).alias("average_score_deviation"),
         *[F.count_if(c("error_type") == kind).alias(f"n_{kind}") for kind in kinds])
 
 
@@ -308,13 +309,13 @@ def loo_label_scores(samples: DataFrame, dim: int, k: int = 16, key: str = "id",
     votes = knn_label_votes(samples, samples, k, key, label, vec, leave_one_out=True).withColumnRenamed("votes", "score")
     raw = centred.unionByName(votes).groupBy(key, label).agg(F.sum("score").alias("raw"))
     mass = raw.groupBy(key).agg(F.sum("raw").alias("mass"), F.max_by(label, F.struct("raw", -c(label))).alias("predicted"))
-    return raw.join(mass, key).select(key, label, F.round(c("raw") / c("mass"), 4).alias("probability"), "predicted")
+    return raw.join(mass, key).select(key, label, nu.rounded(c("raw") / c("mass"), 4).alias("probability"), "predicted")
 
 
 def accuracy_by_label(df: DataFrame, predicted: str, expected: str) -> DataFrame:
     return df.groupBy(expected).agg(
         F.count(F.lit(1)).alias("n"),
-        F.round(F.avg((c(predicted) == c(expected)).cast("double")) * 100.0, 2).alias("accuracy_percent"))
+        nu.rounded(F.avg((c(predicted) == c(expected)).cast("double")) * 100.0, 2).alias("accuracy_percent"))
 
 
 def parse_range(col: Column) -> Mapping[str, Column]:

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from prosegauge.functions import text as tx
+from prosegauge.functions import numeric as nu, text as tx
 from prosegauge.functions.models import MODEL_COLUMNS, join_scores
 from prosegauge.functions.numeric import unit
 from prosegauge.lexicons import COMPONENT_MAX, LEXICON, PATTERNS
@@ -202,7 +202,7 @@ def paragraph_means() -> list[Column]:
         F.coalesce(F.avg(F.col("constructive_pattern").cast("double")), F.lit(0.0))
         .alias("constructive_pattern_ratio"),
         # diagnostics keep four digits, and the detector mean is taken over those
-        F.coalesce(F.avg(F.round("constructiveness_score", 4)), F.lit(0.0)).alias("detector_mean"),
+        F.coalesce(F.avg(nu.rounded(F.col("constructiveness_score"), 4)), F.lit(0.0)).alias("detector_mean"),
     ]
 
 

@@ -28,11 +28,11 @@ def query(fn: Query) -> Query:
 
 
 def r6(col: F.Column) -> F.Column:
-    return F.round(col, 6)
+    return nu.rounded(col, 6)
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(c(n), digits).alias(n) if t == "double" else c(n) for n, t in df.dtypes])
+    return df.select(*[nu.rounded(c(n), digits).alias(n) if t == "double" else c(n) for n, t in df.dtypes])
 
 
 def paras(s: SparkSession, d: str) -> DataFrame:
@@ -307,7 +307,7 @@ def conversation_stance(s, d):
     stances = st.paragraph_stance(lines, D, keep=["conv_id", "turn"])
     return st.document_stance(stances, ["conv_id"]).select(
         "conv_id", "n_paragraphs", "stance_label", "primary_stance_label",
-        F.array_join("style_tags", ",").alias("tags"), *[F.round(c(st.prob(x)), 3).alias(st.prob(x)) for x in STANCES])
+        F.array_join("style_tags", ",").alias("tags"), *[nu.rounded(c(st.prob(x)), 3).alias(st.prob(x)) for x in STANCES])
 
 
 @query

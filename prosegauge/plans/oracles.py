@@ -405,3 +405,343 @@ quoted_attack_detected AND ({anyof('low', D['endorsement'])} OR regexp_matches(l
 
 ORACLES["quote_flags"] = f"""WITH {LOWP}, {quotes('lp')} SELECT doc_id, para_ix, quoted_attack_detected, attack_endorsement_detected,
 attack_rejection_detected, contrast_rejection_detected FROM q2"""
+
+# --- stance ----------------------------------------------------------------------------------
+
+_low = {"sup0": score("low", D["supportive"], 2.5), "con": score("low", D["constructive"], 2.5),
+        "cmp": f"greatest({score('low', D['complaint'], 2.0)}, CASE WHEN {anyof('low', D['frustration'])} THEN 0.65 ELSE 0 END)",
+        "att0": f"greatest({score('low', D['attack'], 2.0)}, CASE WHEN {anyof('low', D['selection_attack'])} THEN 0.65 ELSE 0 END)",
+        "deb": score("low", D["debate_balance"], 2.0), "dis": score("low", D["contrast"] + D["discourse_extra"], 4.0),
+        "dirw": score("low", D["directness"], 2.0), "neuw": score("low", D["neutrality"], 2.0),
+        "depth": unit(f"0.7*{score('low', D['stance_reasoning'], 4.0)} + 0.3*least(1.0, greatest(1, len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda z: {strip('z')} <> '')))/4.0)")}
+_mixed = " AND ".join(f"contains(low, {q(m)})" for m in D["mixed_intent"])
+_verbs = f"regexp_matches({ASCII.format(x='low')}, '\\b(is|are|has|have|keeps|clearly|should|must|handled|adapted|played|repeated|working)\\b')"
+PR = ["supportive_defense", "direct_criticism", "sarcastic_attack", "neutral_commentary", "mixed_or_ambiguous"]
+
+
+def stance_ctes(src: str, keys: str) -> str:
+    labels = [s.lower() for s in STANCES]
+    mixsum = "(" + "+".join(f"m{i}" for i in range(8)) + ")"
+    psum = "(" + "+".join(f"r{i}" for i in range(5)) + ")"
+    best = "greatest(" + ",".join(f"b{i}" for i in range(8)) + ")"
+    top = f"CASE WHEN {best} < 0.28 THEN 7 " + " ".join(f"WHEN b{i} = {best} THEN {i}" for i in range(8)) + " END"
+    pbest = "greatest(" + ",".join(f"pp_{p}" for p in PR) + ")"
+    ptop = "CASE " + " ".join(f"WHEN pp_{p} = {pbest} THEN {i}" for i, p in enumerate(PR)) + " END"
+    return f"""lp AS (SELECT *, lower(text) AS low FROM {src}), {SARC}, {defence('s3')}, {quotes('d3')},
+t1 AS (SELECT *, {', '.join(f'({e})::DOUBLE AS {n}' for n, e in _low.items())}, ({_mixed}) AS mixed_intent, len({toks('text')}) AS n_words, {strip('low')} = '' AS blank,
+0.5*rule_strength AS strength, attack_rejection_detected OR (contrast_rejection_detected AND fairness_defense_score >= 0.4) AS rej, attack_endorsement_detected AS endo FROM q2),
+t2 AS (SELECT *, least(1.0, CASE WHEN rej THEN least(1.0, sup0 + 0.25) ELSE sup0 END + 0.25*strength) AS sup,
+CASE WHEN endo THEN least(1.0, CASE WHEN rej THEN att0*0.25 ELSE att0 END + 0.4) ELSE CASE WHEN rej THEN att0*0.25 ELSE att0 END END AS att FROM t1),
+t3 AS (SELECT *, 0.55*sup + 0.15*dis AS w_sup, 0.55*con + 0.15*dis AS w_con, 0.45*greatest(0.0, 1 - (sup+con+cmp+att)/3.0) + 0.15*(1-deb) AS w_neu, 0.55*deb + 0.15*dis AS w_deb,
+0.6*cmp + 0.1*(1-dis) AS w_cmp, 0.6*att + 0.1*cmp AS w_att, 0.45*sarcasm_score + 0.25*att + 0.15*cmp + 0.15*(1-sup) AS w_sar, 0.35*(sup+con+deb)/3.0 + 0.3*dis AS w_mix,
+CASE WHEN sarcasm_score >= 0.4 THEN greatest(0.0, credibility_defense_score - 0.1) ELSE credibility_defense_score END AS cred FROM t2),
+t4 AS (SELECT *, greatest(sup, rule_strength, fairness_defense_score, reputation_defense_score, causal_defense_score, cred) >= 0.72 AS explicit_sup FROM t3),
+t5 AS (SELECT *, sarcasm_score >= 0.35 AND NOT explicit_sup AS gate FROM t4),
+t6 AS (SELECT *, CASE WHEN sarcasm_score >= 0.4 THEN greatest(0.0, w_sup - 0.2) ELSE w_sup END AS x_sup, CASE WHEN sarcasm_score >= 0.4 THEN least(1.0, w_att + 0.15) ELSE w_att END AS x_att,
+CASE WHEN causal_defense_score >= 0.35 AND context_change_score >= 0.3 AND evaluation_redirection_score >= 0.3 THEN TRUE ELSE FALSE END AS forced FROM t5),
+t7 AS (SELECT *, CASE WHEN gate THEN greatest(0.0, x_sup - 0.25) ELSE x_sup END AS y_sup, CASE WHEN gate THEN greatest(x_att, 0.25 + 0.5*sarcasm_score) ELSE x_att END AS z_att,
+CASE WHEN gate THEN greatest(w_sar, 0.55 + 0.35*sarcasm_score) ELSE w_sar END AS z_sar,
+0.25*(fairness_defense_score >= 0.4 OR reputation_defense_score >= 0.4)::INT + 0.25*(causal_defense_score >= 0.35)::INT + 0.2*(cred >= 0.35)::INT
++ 0.15*(evaluation_redirection_score >= 0.35 AND cred >= 0.35)::INT + 0.2*forced::INT AS boost FROM t6),
+t8 AS (SELECT *, CASE WHEN boost > 0 THEN least(1.0, y_sup + boost) ELSE y_sup END AS z_sup FROM t7),
+t9 AS (SELECT *, 0.35*z_sup + 0.08125 AS b0, 0.35*w_con + 0.08125 AS b1, 0.35*w_neu + 0.08125 AS b2, 0.35*w_deb + 0.08125 AS b3, 0.35*w_cmp + 0.08125 AS b4, 0.35*z_att + 0.08125 AS b5,
+0.35*z_sar + 0.08125 AS b6, 0.35*w_mix + 0.08125 AS b7, CASE WHEN gate THEN 1 WHEN endo THEN 2 WHEN att >= 0.85 THEN 3 WHEN rej AND causal_defense_score >= 0.3 THEN 4 ELSE 0 END AS rung FROM t8),
+u1 AS (SELECT *, CASE rung WHEN 1 THEN 6 WHEN 2 THEN 5 WHEN 3 THEN 5 WHEN 4 THEN 0 ELSE {top} END AS label0, CASE WHEN rung=4 THEN greatest(b0, 0.8) ELSE b0 END AS m0, b1 AS m1, b2 AS m2, b3 AS m3, b4 AS m4,
+CASE rung WHEN 2 THEN greatest(b5, 0.9) WHEN 3 THEN greatest(b5, 0.85) ELSE b5 END AS m5, CASE WHEN rung=1 THEN greatest(b6, 0.78) ELSE b6 END AS m6, b7 AS m7 FROM t9),
+u2 AS (SELECT *, {', '.join(f'round(m{i}/{mixsum}, 4) AS p_{s}' for i, s in enumerate(labels))},
+NOT gate AND strength >= 0.3 AND att < 0.4 AND cmp < 0.4 AS prec,
+{unit('0.5*z_sup + 0.2*strength')} AS s_, greatest(z_att, w_cmp, 0.85*w_con, 0.7*att + 0.3*cmp) AS k_, greatest(z_sar, sarcasm_score) AS x_,
+{unit('0.7*att + 0.3*dirw')} AS directness, {unit('0.3*(1 - greatest(sup, att, cmp, sarcasm_score)) + 0.7*neuw')} AS n_ FROM u1),
+u3 AS (SELECT *, CASE WHEN prec THEN 0 ELSE label0 END AS ix, CASE WHEN sarcasm_score >= 0.35 AND contradiction_score >= 0.35 AND context_mismatch_score >= 0.35 THEN greatest(0.0, s_ - 0.35) ELSE s_ END AS r0,
+k_ AS r1, CASE WHEN gate THEN greatest(x_, 0.78) ELSE x_ END AS r2, n_ AS r3, greatest(0.0, 0.8 - abs(s_ - k_)) AS r4 FROM u2),
+u4 AS (SELECT *, {', '.join(f'round(CASE WHEN {psum} > 0 THEN r{i}/{psum} ELSE 0.2 END, 4) AS pp_{p}' for i, p in enumerate(PR))} FROM u3),
+u5 AS (SELECT *, CASE WHEN NOT gate AND s_ >= 0.3 AND k_ >= 0.2 AND mixed_intent THEN 11
+WHEN NOT gate AND sarcasm_score < 0.35 AND s_ < 0.45 AND ix IN (5,4,1) THEN 10 WHEN gate THEN 1
+WHEN s_ >= 0.28 AND k_ >= 0.28 AND abs(s_-k_) <= 0.15 THEN 2 WHEN k_ >= 0.34 AND k_ >= s_ - 0.02 AND x_ < 0.35 THEN 3
+WHEN s_ >= 0.33 AND s_ >= k_ + 0.08 AND x_ < 0.35 THEN 4 WHEN s_ >= 0.42 AND k_ < 0.35 AND x_ < 0.35 THEN 5 WHEN k_ >= 0.4 AND x_ < 0.35 THEN 6
+WHEN s_ >= 0.45 AND k_ >= 0.45 AND abs(s_-k_) <= 0.15 THEN 7 WHEN s_ >= 0.35 AND k_ >= 0.35 AND abs(s_-k_) <= 0.2 THEN 8
+WHEN n_ >= 0.45 AND s_ < 0.35 AND k_ < 0.35 AND x_ < 0.35 THEN 9 ELSE 0 END AS why FROM u4),
+st AS (SELECT {keys}, greatest(1, n_words) * greatest(0.05, depth) AS w, CASE WHEN blank THEN 2 ELSE ix END AS ix, CASE WHEN blank THEN 3 ELSE [{ptop}, 2, 4, 1, 0, 0, 1, 4, 4, 3, 1, 4][why + 1] END AS pix, why,
+CASE WHEN blank THEN 3 WHEN gate THEN 2 WHEN sarcasm_score >= 0.35 THEN 1 ELSE 0 END AS gate_ix,
+{', '.join(f"CASE WHEN blank THEN {1.0 if s == 'neutral_analysis' else 0.0} ELSE p_{s} END AS p_{s}" for s in labels)},
+{', '.join(f"CASE WHEN blank THEN {1.0 if p == 'neutral_commentary' else 0.0} ELSE pp_{p} END AS pp_{p}" for p in PR)},
+CASE WHEN blank THEN [] ELSE list_filter([CASE WHEN directness >= 0.45 OR (NOT contains(low,'?') AND {_verbs}) THEN 'DIRECT' END,
+CASE WHEN sarcasm_score >= 0.35 OR contradiction_score >= 0.5 THEN 'SARCASTIC' END, CASE WHEN exaggeration_score >= 0.5 THEN 'HYPERBOLIC' END,
+CASE WHEN contains(low,'?') OR {anyof('low', D['tag_rhetorical'])} THEN 'RHETORICAL' END,
+CASE WHEN contains(low,'"') OR contains(low,'''') OR {anyof('low', D['tag_quoted'])} THEN 'QUOTED' END, CASE WHEN {anyof('low', D['tag_reported'])} THEN 'REPORTED' END,
+CASE WHEN sarcasm_score >= 0.35 AND directness < 0.45 THEN 'IMPLIED' END, CASE WHEN {anyof('low', D['tag_conversational'])} THEN 'CONVERSATIONAL' END], lambda z: z IS NOT NULL) END AS tags FROM u5)"""
+
+
+_sl, _pl = sql_list(STANCES), sql_list([p.upper() for p in PR])
+GATES = sql_list(["score_below_threshold", "blocked_by_stronger_explicit_supportive_context",
+                  "sarcasm_threshold_met_and_no_stronger_supportive_context", "empty_text"])
+WHYS = sql_list([
+    "max_primary_probability", "sarcasm_gate_forced_sarcastic_attack", "close_support_and_criticism_balance",
+    "criticism_signal_near_or_above_support", "supportive_signal_above_criticism_margin",
+    "dominant_supportive_signal", "dominant_direct_criticism_signal", "balanced_support_and_criticism",
+    "close_polarity_signals", "low_polarity_commentary", "legacy_critical_route_alignment",
+    "contrastive_mixed_intent_pattern"])
+ORACLES["paragraph_stance"] = f"""WITH {PARAS}, {stance_ctes('paras', 'doc_id, para_ix')}
+SELECT doc_id, para_ix, {_sl}[ix + 1] AS stance_label, {_pl}[pix + 1] AS primary_stance_label, {WHYS}[why + 1] AS primary_reason,
+{GATES}[gate_ix + 1] AS sarcasm_gate_reason, array_to_string(tags, ',') AS tags FROM st"""
+_labels = [s.lower() for s in STANCES]
+_rs = "(" + "+".join(f"a_{s}" for s in _labels) + ")"
+_rp = "(" + "+".join(f"a_{p}" for p in ["p" + x for x in PR]) + ")"
+_fb = "greatest(" + ",".join(f"f_{s}" for s in _labels) + ")"
+_fp = "greatest(" + ",".join(f"g_{p}" for p in PR) + ")"
+ORACLES["conversation_stance"] = f"""WITH {stance_ctes('conversations', 'conv_id, turn')},
+tg AS (SELECT conv_id, list(tag ORDER BY k DESC, tag) AS tags FROM (SELECT conv_id, tag, count(*) AS k FROM (SELECT conv_id, unnest(tags) AS tag FROM st) GROUP BY conv_id, tag) GROUP BY conv_id),
+ag AS (SELECT conv_id, count(*) AS n_paragraphs, max(ix) AS ix, max(pix) AS pix, any_value(tags) AS tags1, {', '.join(f'round(sum(w*p_{s})/sum(w), 4) AS a_{s}' for s in _labels)},
+{', '.join(f'round(sum(w*pp_{p})/sum(w), 4) AS a_p{p}' for p in PR)} FROM st GROUP BY conv_id),
+fn AS (SELECT *, {', '.join(f'CASE WHEN n_paragraphs=1 THEN a_{s} ELSE round(a_{s}/{_rs}, 4) END AS f_{s}' for s in _labels)},
+{', '.join(f'CASE WHEN n_paragraphs=1 THEN a_p{p} ELSE round(a_p{p}/{_rp}, 4) END AS g_{p}' for p in PR)} FROM ag)
+SELECT fn.conv_id, n_paragraphs, {_sl}[CASE WHEN n_paragraphs=1 THEN ix {' '.join(f'WHEN f_{s} = {_fb} THEN {i}' for i, s in enumerate(_labels))} END + 1] AS stance_label,
+{_pl}[CASE WHEN n_paragraphs=1 THEN pix {' '.join(f'WHEN g_{p} = {_fp} THEN {i}' for i, p in enumerate(PR))} END + 1] AS primary_stance_label,
+CASE WHEN n_paragraphs=1 THEN array_to_string(tags1, ',') ELSE coalesce(array_to_string(tg.tags, ','), '') END AS tags,
+{', '.join(f'round(f_{s}, 3) AS prob_{s}' for s in _labels)} FROM fn LEFT JOIN tg USING (conv_id)"""
+ORACLES["tag_counts"] = f"""WITH {PARAS}, {stance_ctes('paras', 'doc_id, para_ix')},
+k AS (SELECT doc_id, tag, count(*) AS n FROM (SELECT doc_id, unnest(tags) AS tag FROM st) GROUP BY doc_id, tag)
+SELECT doc_id, string_agg(tag || ':' || n, ',' ORDER BY n DESC, tag) AS tags FROM k GROUP BY doc_id"""
+
+# --- match facts -------------------------------------------------------------------------------
+
+BALLS = f"""balls AS (SELECT l_orderkey::VARCHAR AS match_id, 'Mo S' || {letters('l_suppkey')} AS striker, 'Jo B' || {letters('l_partkey % 50')} AS bowler,
+l_quantity::BIGINT AS br, (l_linenumber=5)::BIGINT AS wd, (l_linenumber=6)::BIGINT AS nb, (l_linenumber=7)::BIGINT AS pen, (l_linenumber NOT IN (5,6))::BIGINT AS legal,
+CASE WHEN l_returnflag='R' THEN 'bowled' WHEN l_returnflag='A' AND l_linenumber > 3 THEN 'run out' WHEN l_returnflag='A' THEN 'retired hurt' ELSE '' END AS kind,
+'T' || {letters('(l_orderkey + l_linenumber % 2) % 5')} AS team, l_linenumber AS ln FROM lineitem)"""
+FACTS = f"""{BALLS}, info AS (SELECT o_orderkey::VARCHAR AS match_id, o_orderdate, (year(o_orderdate) + 28)::INT AS year, (year(o_orderdate)+28)::VARCHAR || strftime(o_orderdate, '-%m-%d') AS match_date,
+(year(o_orderdate)+28)::VARCHAR AS season, o_orderpriority AS venue, 'T' || {letters('o_orderkey % 5')} AS team_a, 'T' || {letters('(o_orderkey + 1) % 5')} AS team_b FROM orders),
+parts AS (SELECT match_id, striker AS player, team, ln, br AS runs, legal AS balls_faced, 0 AS rc, 0 AS bb, 0 AS wk, (kind IN ('bowled','run out'))::INT AS di FROM balls
+UNION ALL SELECT match_id, bowler, NULL, NULL, 0, 0, br + wd + nb + pen, legal, (kind = 'bowled')::INT, 0 FROM balls),
+pf AS (SELECT match_id, player, arg_max(team, ln) AS team, sum(runs)::DOUBLE AS runs, sum(balls_faced)::DOUBLE AS balls_faced, sum(di)::DOUBLE AS dismissals, sum(rc)::DOUBLE AS runs_conceded,
+sum(bb)::DOUBLE AS balls_bowled, sum(wk)::DOUBLE AS wickets FROM parts GROUP BY match_id, player),
+facts AS (SELECT pf.match_id, match_date, year, season, venue, player, coalesce(team, '') AS player_team,
+CASE WHEN team IS NULL OR team_a IS NULL THEN '' WHEN team = team_a THEN team_b ELSE team_a END AS opposition, runs, balls_faced, dismissals, runs_conceded, balls_bowled, wickets,
+pf.match_id || '.csv' AS source_file FROM pf LEFT JOIN info USING (match_id))"""
+SUMS = "sum(runs) AS r, sum(balls_faced) AS bf, sum(dismissals) AS di, sum(runs_conceded) AS rc, sum(balls_bowled) AS bb, sum(wickets) AS wk"
+STATS = """CASE WHEN di > 0 THEN round(r/di, 6) END AS batting_average, CASE WHEN bf > 0 THEN round(r*100.0/bf, 6) END AS strike_rate,
+CASE WHEN bb > 0 THEN round(rc*6.0/bb, 6) END AS economy_rate, round(r, 6) AS runs_total, round(wk, 6) AS wickets_total"""
+ORACLES["batting"] = f"WITH {BALLS} SELECT match_id, striker AS player, sum(br)::BIGINT AS runs, sum(legal)::BIGINT AS balls_faced FROM balls GROUP BY 1, 2"
+ORACLES["bowling"] = f"""WITH {BALLS} SELECT match_id, bowler AS player, sum(br+wd+nb+pen)::BIGINT AS runs_conceded, sum(legal)::BIGINT AS balls_bowled,
+sum((kind <> '' AND kind NOT IN ({','.join(map(q, NON_BOWLER_WICKETS))}))::INT)::BIGINT AS wickets FROM balls GROUP BY 1, 2"""
+ORACLES["dismissals"] = f"WITH {BALLS} SELECT match_id, striker AS player, count(*) AS dismissals FROM balls WHERE kind IN ('bowled','run out') GROUP BY 1, 2"
+ORACLES["match_info"] = f"WITH {FACTS} SELECT match_id, match_date, year, season, venue, team_a, team_b FROM info"
+ORACLES["player_match"] = f"WITH {FACTS} SELECT * FROM facts"
+ORACLES["player_stats"] = f"WITH {FACTS}, a AS (SELECT player, {SUMS} FROM facts GROUP BY player) SELECT player, {STATS} FROM a"
+ORACLES["last_n_stat"] = f"""WITH {FACTS}, n AS (SELECT * FROM facts QUALIFY row_number() OVER (PARTITION BY player ORDER BY match_date DESC NULLS LAST, match_id) <= 5),
+a AS (SELECT player, {SUMS} FROM n GROUP BY player) SELECT player, {STATS} FROM a"""
+ORACLES["this_season_stat"] = f"""WITH {FACTS}, n AS (SELECT * FROM facts QUALIFY season = max(season) OVER (PARTITION BY player)),
+a AS (SELECT player, season, {SUMS} FROM n GROUP BY player, season) SELECT player, season, {STATS} FROM a"""
+
+# --- claims: the texts are built from supplier rows, so the expected claims are known by construction ------
+
+_c1 = "'In the last ' || (s_suppkey % 7 + 1) || ' matches Mo S' || " + letters("s_suppkey") + " || ' has runs of ' || (s_suppkey % 90 + 20)"
+_c2 = "'M S' || " + letters("s_suppkey + 1") + " || ' has balls and a strike rate of 2550.5 this season against T' || " + letters("s_suppkey % 5") + " || '.'"
+_c3 = "'The batting average is ' || (s_suppkey % 30 + 15) || ' from 2026 to 2021.'"
+CLAIMS = f"""claims AS (
+SELECT s_suppkey AS doc_id, 1 AS k, 'runs_total' AS stat_type, 'last_n_matches' AS window_type, (s_suppkey % 7 + 1)::INT AS window_size, NULL::VARCHAR AS season, NULL::INT AS year_lo, NULL::INT AS year_hi,
+NULL::VARCHAR AS opposition, NULL::VARCHAR AS venue, (s_suppkey % 90 + 20)::DOUBLE AS claimed_value, md5({_c1}) AS h FROM supplier
+UNION ALL SELECT s_suppkey, 2, 'strike_rate', NULL, NULL, 'this_season', NULL, NULL, 'T' || {letters('s_suppkey % 5')} || '.', NULL, 2550.5, md5({_c2}) FROM supplier
+UNION ALL SELECT s_suppkey, 3, 'batting_average', NULL, NULL, NULL, 2021, 2026, NULL, NULL, (s_suppkey % 30 + 15)::DOUBLE, md5({_c3}) FROM supplier)"""
+ORACLES["claims_extract"] = f"""WITH {CLAIMS} SELECT doc_id, stat_type, window_type, window_size, season, year_lo, year_hi, opposition, venue, claimed_value, h FROM claims"""
+MENTIONS = f"""names AS (SELECT DISTINCT player FROM facts),
+mentions AS (SELECT s_suppkey AS doc_id, 'Mo S' || {letters('s_suppkey')} AS player, 1 AS k FROM supplier UNION ALL SELECT s_suppkey, 'Mo S' || {letters('s_suppkey + 1')}, 2 FROM supplier),
+men AS (SELECT m.* FROM mentions m JOIN names USING (player))"""
+ORACLES["extract_mentions"] = f"WITH {FACTS}, {MENTIONS} SELECT doc_id, player FROM men"
+ORACLES["fallback_mentions"] = f"""WITH names AS (SELECT 'Mo S' || {letters('s_suppkey')} AS player FROM supplier)
+SELECT doc_id, player FROM (SELECT s_suppkey AS doc_id, 'Mo S' || {letters('s_suppkey')} AS player FROM supplier UNION ALL SELECT s_suppkey, 'Mo S' || {letters('s_suppkey + 1')} FROM supplier) JOIN names USING (player)"""
+ORACLES["fuzzy_dimension"] = """WITH a AS (SELECT c_custkey, 'nation_' || (c_nationkey % 30) || CASE WHEN c_custkey % 2 = 0 THEN ' side' ELSE '' END AS v FROM customer),
+f AS (SELECT v, coalesce(max(n_name) FILTER (lower(n_name) = v), min(n_name)) AS t FROM (SELECT DISTINCT v FROM a) JOIN nation ON contains(v, lower(n_name)) OR contains(lower(n_name), v) GROUP BY v)
+SELECT c_custkey, coalesce(t, a.v) AS team FROM a LEFT JOIN f ON a.v = f.v"""
+ORACLES["claim_verdict"] = """WITH li AS (SELECT l_suppkey, avg(l_quantity) AS v FROM lineitem GROUP BY l_suppkey),
+j AS (SELECT s_suppkey AS id, (24 + s_suppkey % 5)::DOUBLE AS c, v, abs((24 + s_suppkey % 5) - v)/greatest(abs(v), 1e-9) AS d FROM supplier LEFT JOIN li ON s_suppkey = l_suppkey)
+SELECT id, round(c, 6) AS claimed_value, round(v, 6) AS computed_value, round(d, 6) AS difference, coalesce(d <= 0.05, FALSE) AS stats_verified,
+CASE WHEN d <= 0.05 THEN 1.0 WHEN d <= 0.10 THEN 0.6 ELSE 0.0 END::DOUBLE AS stat_accuracy_score, CASE WHEN d IS NULL THEN 'low' WHEN d <= 0.05 THEN 'high' WHEN d <= 0.10 THEN 'medium' ELSE 'high' END AS stat_confidence,
+v IS NOT NULL AS stats_found FROM j"""
+JUDGED = f"""{FACTS}, {CLAIMS}, {MENTIONS},
+ab AS (SELECT c.* EXCLUDE (opposition), m.player, m.k AS mk, replace(c.opposition, '.', '') AS opposition FROM claims c JOIN men m ON c.doc_id = m.doc_id WHERE c.k = m.k
+OR NOT EXISTS (SELECT 1 FROM men x WHERE x.doc_id = c.doc_id AND x.k = c.k)),
+latest AS (SELECT player, max(season) AS ms FROM facts GROUP BY player),
+hit AS (SELECT ab.doc_id, ab.k, ab.mk, ab.player, ab.window_size, f.* EXCLUDE (player), row_number() OVER (PARTITION BY ab.doc_id, ab.k, ab.mk ORDER BY f.match_date DESC NULLS LAST, f.match_id) AS rn
+FROM ab JOIN facts f ON ab.player = f.player JOIN latest l ON l.player = f.player WHERE (ab.season IS NULL OR f.season = l.ms) AND (ab.year_lo IS NULL OR f.year BETWEEN ab.year_lo AND ab.year_hi)
+AND (ab.opposition IS NULL OR f.opposition = ab.opposition)),
+sm AS (SELECT doc_id, k, mk, {SUMS} FROM hit WHERE window_size IS NULL OR rn <= window_size GROUP BY doc_id, k, mk),
+jd AS (SELECT ab.*, CASE stat_type WHEN 'runs_total' THEN r WHEN 'strike_rate' THEN CASE WHEN bf > 0 THEN r*100.0/bf END ELSE CASE WHEN di > 0 THEN r/di END END AS v FROM ab LEFT JOIN sm USING (doc_id, k, mk)),
+j2 AS (SELECT *, abs(claimed_value - v)/greatest(abs(v), 1e-9) AS d FROM jd),
+j3 AS (SELECT *, coalesce(d <= 0.05, FALSE) AS ok, CASE WHEN d <= 0.05 THEN 1.0 WHEN d <= 0.10 THEN 0.6 ELSE 0.0 END::DOUBLE AS acc,
+CASE WHEN d IS NULL THEN 'low' WHEN d <= 0.05 THEN 'high' WHEN d <= 0.10 THEN 'medium' ELSE 'high' END AS conf FROM j2)"""
+ORACLES["stat_mentions"] = f"""WITH {JUDGED} SELECT doc_id, player, stat_type, window_size, season, opposition, claimed_value, round(round(v, 2), 4) AS computed_value, v IS NOT NULL AS stats_found,
+ok AS stats_verified, acc AS stat_accuracy_score, conf AS stat_confidence FROM j3"""
+ORACLES["verify_documents"] = f"""WITH {JUDGED}, g AS (SELECT doc_id, avg(acc) FILTER (v IS NOT NULL) AS a, bool_and(ok) FILTER (v IS NOT NULL) AS allok, bool_or(conf = 'high') FILTER (v IS NOT NULL) AS hi, count(*) AS n FROM j3 GROUP BY doc_id)
+SELECT s_suppkey AS doc_id, a IS NOT NULL AS stats_found, coalesce(allok, FALSE) AS stats_verified, coalesce(round(a, 4), 0.0) AS stat_accuracy_score, CASE WHEN a IS NULL THEN 'low' WHEN hi THEN 'high' ELSE 'medium' END AS stat_confidence,
+coalesce(round((a - 0.5)*2.0, 2), 0.0) AS stat_score_adjustment, coalesce(n, 0) AS n_stat_mentions FROM supplier LEFT JOIN g ON doc_id = s_suppkey"""
+
+# --- submissions, quotas, profiles ------------------------------------------------------------------
+
+ORACLES["validate_submissions"] = f"""WITH {TURNS} SELECT doc_id, CASE WHEN length(text) < 10 THEN 'text_too_short' WHEN length(text) > 5000 THEN 'text_too_long' WHEN turn = 5 THEN 'unknown_model' END AS reject_reason FROM turns"""
+QUICK = greatest_quick = (f"greatest(20.0, least(95.0, 50.0 + 12.0*{anyof('lower(text)', D['quick_positive'])}::INT - 12.0*{anyof('lower(text)', D['quick_negative'])}::INT"
+                          f" + 4.0*{anyof('lower(text)', D['quick_topic'])}::INT - 10.0*{anyof('lower(text)', D['quick_abuse'])}::INT))::DOUBLE")
+ORACLES["quick_score"] = f"WITH {TURNS} SELECT doc_id, {QUICK} AS score, 0.72::DOUBLE AS confidence, least(100.0, {QUICK} + 3)::DOUBLE AS quality FROM turns"
+ORACLES["route_scores"] = f"""WITH {TURNS}, a AS (SELECT doc_id AS id, turn, {QUICK} AS s, CASE WHEN turn % 3 = 0 THEN (length(text) % 100)::DOUBLE END AS rs FROM turns)
+SELECT id, CASE WHEN turn = 1 THEN 'bqs' ELSE 'eqs' END AS model, CASE WHEN turn = 1 THEN 'EQS-local' WHEN rs IS NOT NULL THEN 'EQS-remote-v1' ELSE 'EQS-local-fallback' END AS model_version,
+CASE WHEN turn <> 1 AND rs IS NOT NULL THEN greatest(20.0, least(95.0, rs)) ELSE s END::DOUBLE AS eqs_score, CASE WHEN turn <> 1 AND rs IS NOT NULL THEN 0.9 ELSE 0.72 END::DOUBLE AS confidence,
+turn <> 1 AND rs IS NULL AS fallback FROM a"""
+ORACLES["quota_status"] = f"""WITH {SUBS}, p AS (SELECT DISTINCT model, date_trunc('month', ts) AS m FROM subs), u AS (SELECT DISTINCT user_id FROM subs),
+k AS (SELECT user_id, model, date_trunc('month', ts) AS m, count(*) FILTER (success) AS n FROM subs GROUP BY ALL), a AS (SELECT u.user_id, p.model, p.m, coalesce(n, 0) AS n FROM u CROSS JOIN p LEFT JOIN k ON k.user_id = u.user_id AND k.model = p.model AND k.m = p.m)
+SELECT user_id, model, strftime(m, '%Y-%m-%d') AS period_start, strftime(m + INTERVAL 30 DAYS, '%Y-%m-%d') AS period_end, n AS request_count, 55 AS max_requests, round(n/55.0*100.0, 6)::DOUBLE AS usage_percentage,
+55 - n AS requests_remaining, CASE WHEN n >= 55 THEN 'blocked' WHEN n/55.0*100 >= 80 THEN 'warning' ELSE 'active' END AS status FROM a"""
+ORACLES["quota_decisions"] = f"""WITH {SUBS}, a AS (SELECT *, coalesce(sum((success AND model <> 'bqs')::INT) OVER (PARTITION BY user_id, date_trunc('month', ts) ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS used_before FROM subs)
+SELECT id, user_id, used_before, model = 'bqs' OR used_before < 20 AS allowed FROM a"""
+FOLD = f"""{SUBS}, nn AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, id) AS n FROM subs),
+hist AS (SELECT user_id, list(struct_pack(n := n, x := eqs_score) ORDER BY n) FILTER (eqs_score IS NOT NULL) AS h FROM nn GROUP BY user_id),
+av AS (SELECT nn.*, CASE WHEN len(list_filter(h, lambda e: e.n <= nn.n)) > 0 THEN
+list_reduce(list_transform(list_filter(h, lambda e: e.n <= nn.n), lambda e: struct_pack(n := e.n, x := e.x)), lambda a, e: struct_pack(n := e.n, x := (a.x*(e.n - 1) + e.x)/e.n)).x END AS avg_eqs_score FROM nn JOIN hist USING (user_id))"""
+ORACLES["running_average"] = f"WITH {FOLD} SELECT id, n, round(avg_eqs_score, 6) AS avg_eqs_score FROM av"
+ORACLES["running_reputation"] = f"""WITH {FOLD} SELECT id, n, max(floor(coalesce(avg_eqs_score, 0)*n/10.0 + 1e-9)) OVER (PARTITION BY user_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING)::BIGINT AS reputation_points FROM av"""
+ORACLES["writer_profiles"] = f"""WITH {FOLD} SELECT user_id, count(*) AS total_submissions, round(arg_max(avg_eqs_score, n), 6) AS avg_eqs_score,
+arg_max(stance_label, n) FILTER (stance_label IN ('analytical','balanced','emotional','dismissive','attack_based','unknown')) AS writing_style,
+max(floor(coalesce(avg_eqs_score, 0)*n/10.0 + 1e-9))::BIGINT AS reputation_points FROM av GROUP BY user_id"""
+ORACLES["topic_affinity"] = f"""WITH {SUBS}, {COMM}, x AS (SELECT user_id, ts, subs.id, unnest([t1, t2, t3]) AS topic, unnest([1, 2, 3]) AS pos FROM subs JOIN comm ON comm.id = community_id),
+f AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY user_id, topic ORDER BY ts, id, pos) = 1), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, id, pos) AS k FROM f)
+SELECT user_id, string_agg(topic, ',' ORDER BY k) AS topics FROM r WHERE k <= 5 GROUP BY user_id"""
+ORACLES["scoring_history"] = f"WITH {SUBS} SELECT id, user_id, eqs_score FROM subs WHERE user_id = 7 ORDER BY ts DESC, id LIMIT 20 OFFSET 5"
+ORACLES["history_summary"] = f"WITH {SUBS} SELECT user_id, count(*) AS total_submissions, round(avg(eqs_score), 6) AS avg_eqs_score, 0.72::DOUBLE AS avg_confidence FROM subs GROUP BY user_id"
+ORACLES["score_bands"] = f"""WITH {SUBS} SELECT id, CASE WHEN value >= 80 THEN 'excellent' WHEN value >= 60 THEN 'good' WHEN value >= 40 THEN 'fair' ELSE 'poor' END AS band,
+round(greatest(0.0, least(100.0, (value - 20)/75.0*100.0)), 6)::DOUBLE AS percent, round(CASE WHEN id % 9 = 0 THEN 50.0 ELSE greatest(20.0, least(95.0, value)) END, 6)::DOUBLE AS clamped,
+round(CASE WHEN id % 9 = 0 THEN 0.0 ELSE value END, 6)::DOUBLE AS lenient, CASE WHEN id % 9 = 0 THEN 0 ELSE trunc(value)::BIGINT END AS whole FROM subs"""
+ORACLES["explain_scores"] = f"""WITH {SUBS}, b AS (SELECT id, value AS v, event_type = 'click' AS f, id % 2 = 0 AS k FROM subs),
+n AS (SELECT *, (v/200 >= 0.5)::INT + (f AND k)::INT + (v/300 >= 0.5)::INT + (v/100 >= 0.5)::INT + (v - 100 > 0)::INT AS s, (v/200 < 0.5)::INT + (f AND NOT k)::INT + (NOT f)::INT + (v/90 < 0.4)::INT + (v/400 >= 0.6)::INT AS c,
+(v - 150 < 0)::INT + (v - 100 < 0)::INT AS p FROM b)
+SELECT id, greatest(1, s)::INT AS n_strengths, greatest(1, c)::INT AS n_concerns, greatest(1, p)::INT AS n_penalties, CASE WHEN v/200 < 0.5 THEN 'Stance confidence is moderate/low, so interpretation may be less stable.'
+WHEN f AND NOT k THEN 'Statistical claims were found but not fully verified.' WHEN NOT f THEN 'No verifiable numeric stats detected in the text.' WHEN v/90 < 0.4 THEN 'Coherence is relatively weak between ideas.'
+WHEN v/400 >= 0.6 THEN 'High repetition lowers writing originality.' ELSE 'No major concerns were detected by the current deterministic rules.' END AS first_concern FROM n"""
+
+# --- communities ---------------------------------------------------------------------------------------
+
+ORACLES["list_communities"] = f"""WITH {COMM} SELECT id, name FROM comm WHERE (t1 = 'click' OR t2 = 'click' OR t3 = 'click') AND visibility = 'public' AND (name ILIKE '%nation_1%' OR 'Group ' || name ILIKE '%nation_1%')
+ORDER BY created_at DESC, id LIMIT 5 OFFSET 1"""
+WRITERS = """wr AS (SELECT user_id, list_sort(coalesce(list(DISTINCT event_type) FILTER (value > 150 + user_id % 3 * 50), [])) AS topics, count(*) AS subs, floor(max(value))::BIGINT AS rep,
+CASE WHEN user_id % 3 = 0 THEN 'analytical' ELSE 'balanced' END AS style FROM events GROUP BY user_id),
+ok AS (SELECT * FROM wr WHERE user_id % 11 <> 0 AND user_id % 13 <> 0)"""
+
+
+def matches(topic: str | None, style: str | None) -> str:
+    want = f"[{q(topic)}]" if topic else "w.topics"
+    liked = f"(o.style = {q(style)})" if style else "FALSE"
+    shared = f"CASE WHEN len({want}) = 0 THEN o.topics ELSE list_filter({want}, lambda x: list_contains(o.topics, x)) END"
+    return f"""WITH {WRITERS}, m AS (SELECT w.user_id AS target_id, o.user_id, {shared} AS sh, {liked} AS lk, o.rep, o.subs FROM wr w JOIN ok o ON o.user_id <> w.user_id),
+r AS (SELECT *, (2*len(sh) + lk::INT)::INT AS match_score FROM m WHERE len(sh) > 0 OR lk),
+p AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY match_score DESC, rep DESC, subs DESC, user_id) AS place FROM r)
+SELECT target_id, place::INT AS place, user_id, match_score, concat_ws('; ', CASE WHEN len(sh) > 0 THEN 'same topic: ' || array_to_string(sh[1:3], ', ') END, CASE WHEN lk THEN 'similar writing style' END) AS match_reason FROM p WHERE place <= 5"""
+
+
+ORACLES["like_minded_writers"] = matches(None, "analytical")
+ORACLES["like_minded_by_topic"] = matches("click", None)
+ORACLES["discover_communities"] = f"""WITH {WRITERS}, {COMM}, pub AS (SELECT * FROM comm WHERE visibility = 'public'),
+m AS (SELECT w.user_id, c.*, row_number() OVER (PARTITION BY w.user_id ORDER BY CASE WHEN len(w.topics) > 0 THEN member_count ELSE created_at END DESC, CASE WHEN len(w.topics) > 0 THEN c.id ELSE -c.id END) AS place
+FROM wr w JOIN pub c ON len(w.topics) = 0 OR list_has_any(w.topics[1:3], [t1, t2, t3]))
+SELECT user_id, place::INT AS place, id AS community_id, name, member_count FROM m WHERE place <= 5"""
+MEMBERS = """mem AS (SELECT n_nationkey::BIGINT AS community_id, (n_nationkey % 20)::BIGINT AS user_id, 'owner' AS role FROM nation UNION ALL SELECT n_nationkey, (n_nationkey + 7) % 20, 'member' FROM nation)"""
+ORACLES["community_members"] = f"""WITH {MEMBERS}, u AS (SELECT DISTINCT user_id FROM events) SELECT community_id, mem.user_id, 'user' || mem.user_id AS username, role FROM mem JOIN u ON u.user_id = mem.user_id"""
+ORACLES["user_communities"] = f"WITH {MEMBERS}, {COMM} SELECT user_id, id, name FROM mem JOIN comm ON id = community_id"
+REPLAY = f"""{COMM}, {MEMBERS}, cmd AS (SELECT event_id AS cmd_id, ts, event_id % 27 AS community_id, user_id % 20 AS user_id, CASE WHEN event_type = 'signup' THEN 'join' ELSE 'leave' END AS command FROM events WHERE event_type IN ('signup','error')),
+s AS (SELECT cmd.*, visibility, coalesce(role = 'owner', FALSE) AS own, role IS NOT NULL AS was, lag(command) OVER w AS prev, coalesce(bool_or(command = 'leave') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS lft
+FROM cmd LEFT JOIN comm ON comm.id = community_id LEFT JOIN mem USING (community_id, user_id) WINDOW w AS (PARTITION BY community_id, user_id ORDER BY ts, cmd_id)),
+i AS (SELECT *, CASE WHEN own THEN TRUE WHEN visibility = 'public' THEN CASE WHEN prev IS NULL THEN was ELSE prev = 'join' END ELSE was AND NOT lft END AS inn FROM s),
+rp AS (SELECT cmd_id, community_id, command, CASE WHEN command = 'leave' THEN CASE WHEN NOT inn THEN 'Not a member of this community' WHEN own THEN 'Owner cannot leave. Transfer ownership first.' ELSE 'Successfully left community' END
+WHEN visibility IS NULL THEN 'Community not found' WHEN inn THEN 'Already a member of this community' WHEN visibility <> 'public' THEN 'This community is private. Request to join.' ELSE 'Successfully joined community' END AS reason FROM i)"""
+ORACLES["membership_replay"] = f"WITH {REPLAY} SELECT cmd_id, starts_with(reason, 'Successfully') AS accepted, reason FROM rp"
+ORACLES["member_counts"] = f"""WITH {REPLAY}, d AS (SELECT community_id, sum(CASE WHEN command = 'join' THEN 1 ELSE -1 END) AS d FROM rp WHERE starts_with(reason, 'Successfully') GROUP BY 1)
+SELECT id, greatest(0, member_count + coalesce(d, 0))::BIGINT AS member_count FROM comm LEFT JOIN d ON id = community_id"""
+ORACLES["first_creations"] = """WITH c AS (SELECT event_id AS cmd_id, ts, 'nation_' || (event_id % 400) AS slug FROM events)
+SELECT cmd_id, slug FROM c WHERE slug NOT IN (SELECT lower(n_name) FROM nation) QUALIFY row_number() OVER (PARTITION BY slug ORDER BY ts, cmd_id) = 1"""
+ORACLES["reject_existing"] = "SELECT c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"
+
+# --- evaluation -------------------------------------------------------------------------------------------
+
+PRED = f"""{SUBS}, pr AS (SELECT id, event_type AS expected, CASE WHEN id % 3 = 0 THEN 'click' ELSE event_type END AS predicted, least(120.0, value)::DOUBLE AS score, value/500 AS tox, value/400 AS sup FROM subs),
+pb AS (SELECT *, CASE WHEN score < 20 THEN 20 - score WHEN score > 70 THEN score - 70 ELSE 0 END AS ob FROM pr),
+pe AS (SELECT *, CASE WHEN predicted <> expected THEN 'stance_mismatch' WHEN ob <> 0 THEN 'score_band_miss' WHEN NOT tox BETWEEN 0 AND 0.2 THEN 'toxicity_band_miss' WHEN NOT sup BETWEEN 0.05 AND 1 THEN 'supportive_band_miss' ELSE 'ok' END AS e, abs(score - 45) AS dv FROM pb)"""
+ORACLES["band_report"] = f"""WITH {PRED} SELECT expected, count(*) AS n, round(avg((predicted = expected)::INT)*100.0, 2) AS accuracy_percent, round(avg(ob), 2) AS average_score_deviation,
+{', '.join(f"count(*) FILTER (e = '{k}') AS n_{k}" for k in ('stance_mismatch', 'score_band_miss', 'toxicity_band_miss', 'supportive_band_miss', 'ok'))} FROM pe GROUP BY expected"""
+ORACLES["deviation_report"] = f"WITH {PRED} SELECT expected, count(*) AS n, round(avg(dv), 3) AS mean_deviation, round(max(dv), 3) AS max_deviation, count(*) FILTER (dv > 15) AS n_over_tolerance FROM pe GROUP BY expected"
+ORACLES["worst_samples"] = f"WITH {PRED} SELECT id, round(dv, 6) AS deviation FROM pe ORDER BY dv DESC, id LIMIT 12"
+ORACLES["best_samples"] = f"WITH {PRED} SELECT id, round(dv, 6) AS deviation FROM pe ORDER BY dv, id LIMIT 12"
+ORACLES["score_histogram"] = """WITH h AS (SELECT (floor(greatest(0.0, least(99.999, value))/10)*10)::INT AS b FROM events)
+SELECT g::INT AS bin_start, (g + 10)::INT AS bin_end, count(b) AS n FROM range(0, 100, 10) t(g) LEFT JOIN h ON b = g GROUP BY g"""
+GRID = """g AS (SELECT unnest([0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7])::DOUBLE AS threshold), cc AS (SELECT value/100 AS s, event_type = 'click' AS t FROM events),
+k AS (SELECT threshold, count(*) FILTER (s >= threshold AND t) AS tp, count(*) FILTER (s >= threshold AND NOT t) AS fp, count(*) FILTER (s < threshold AND t) AS fn, count(*) FILTER (s < threshold AND NOT t) AS tn FROM g, cc GROUP BY threshold),
+o AS (SELECT *, 0.6*coalesce(tp/nullif(tp+fn, 0)::DOUBLE, 0) + 0.25*coalesce(tp/nullif(tp+fp, 0)::DOUBLE, 0) + 0.15*coalesce(tn/nullif(tn+fp, 0)::DOUBLE, 0) AS ob FROM k)"""
+ORACLES["threshold_grid"] = f"WITH {GRID} SELECT round(threshold, 6) AS threshold, tp, fp, fn, tn, round(ob, 6) AS objective FROM o"
+ORACLES["tune_threshold"] = f"WITH {GRID} SELECT round(threshold, 6) AS threshold, tp, fp, fn, tn, round(ob, 6) AS objective FROM o ORDER BY ob DESC, threshold LIMIT 1"
+ORACLES["threshold_summary"] = f"""WITH {PRED}, m AS (SELECT avg((predicted = expected)::INT)*100 >= 85 AS a, avg((tox < 0.9)::INT)*100 >= 95 AS b, avg(dv) <= 10 AS c, max(dv) <= 15 AS d FROM pe)
+SELECT a AS constructiveness_accuracy_pass, b AS toxicity_accuracy_pass, c AS average_deviation_pass, d AS max_deviation_pass, a AND b AND c AND d AS overall_pass FROM m"""
+ORACLES["compare_runs"] = f"WITH {PRED} SELECT count(*) AS n_compared, count(*) FILTER (dv > 15 AND abs(dv - 3) < dv) AS n_repaired FROM pe"
+CENT = """e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings), x AS (SELECT label, id, unnest(v) AS x, unnest(range(64)) AS dim FROM e),
+mn AS (SELECT label, dim, avg(x) AS x, count(*) AS n FROM x GROUP BY label, dim), cn AS (SELECT label, dim, n, x/sqrt(sum(x*x) OVER (PARTITION BY label)) AS x FROM mn),
+cl AS (SELECT label, list(x ORDER BY dim) AS c FROM cn GROUP BY label)"""
+ORACLES["label_centroids"] = f"WITH {CENT} SELECT label, n, dim::INT AS dim, round(x, 6) AS x FROM cn"
+ORACLES["centroid_scores"] = f"WITH {CENT} SELECT id, cl.label, round(0.35*greatest(0.0, least(1.0, (list_dot_product(v, c) + 1)/2)), 5)::DOUBLE AS score FROM e CROSS JOIN cl"
+ORACLES["knn_votes"] = """WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings),
+p AS (SELECT a.id, b.label, b.id AS sid, round_even(list_dot_product(a.v, b.v), 9) AS s FROM e a CROSS JOIN e b),
+t AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, sid) <= 16)
+SELECT id, label, round(sum(greatest(0.0, s)^2), 5) AS votes FROM t GROUP BY id, label"""
+ORACLES["loo_scores"] = """WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings),
+p AS (SELECT a.id, b.label, b.id AS sid, round_even(list_dot_product(a.v, b.v), 9) AS s FROM e a JOIN e b ON a.id <> b.id),
+t AS (SELECT id, label, sum(greatest(0.0, s)^2) AS s FROM (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, sid) <= 16) GROUP BY id, label),
+x AS (SELECT label, unnest(v) AS x, unnest(range(64)) AS d FROM e), sm AS (SELECT label, list(s ORDER BY d) AS sv FROM (SELECT label, d, sum(x) AS s FROM x GROUP BY label, d) GROUP BY label),
+r AS (SELECT e.id, sm.label, v, CASE WHEN sm.label = e.label THEN list_transform(list_zip(sv, v), lambda z: z[1] - z[2]) ELSE sv END AS rv FROM e CROSS JOIN sm),
+c AS (SELECT id, label, 0.35*greatest(0.0, least(1.0, (list_dot_product(rv, v)/sqrt(list_dot_product(rv, rv)) + 1)/2)) AS s FROM r),
+u AS (SELECT id, label, sum(s) AS raw FROM (SELECT * FROM t UNION ALL SELECT * FROM c) GROUP BY id, label)
+SELECT id, label, round(round(raw/sum(raw) OVER (PARTITION BY id), 4), 3) AS probability FROM u"""
+ORACLES["coherence_adjacent"] = """WITH e AS (SELECT (vec_id/25.0)::DOUBLE AS q, floor(vec_id/25)::BIGINT AS doc_id, vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+p AS (SELECT a.doc_id, CASE WHEN b.v IS NOT NULL THEN greatest(0.0, least(1.0, (list_cosine_similarity(a.v, b.v) + 1)/2)) END AS s FROM e a LEFT JOIN e b ON b.vec_id = a.vec_id + 1 AND b.doc_id = a.doc_id)
+SELECT doc_id, round(coalesce(avg(s), 0.5), 5) AS coherence FROM p GROUP BY doc_id"""
+
+# --- calibration ---------------------------------------------------------------------------------------------
+
+_lo = case("l", {k: v[0] for k, v in CALIBRATION_BANDS.items()}, "0.0")
+_hi = case("l", {k: v[1] for k, v in CALIBRATION_BANDS.items()}, "100.0")
+_rules = [
+    ("l='SUPPORTIVE_DEFENSE' AND st >= 0.25 AND st < 0.4", "least(82.0, greatest(x, 72.0, 70 + 5*st))", "supportive_mid_strength_passthrough"),
+    ("l='SUPPORTIVE_DEFENSE' AND cf >= 0.55", "clipped", "supportive_confident_band_map"),
+    ("l='SUPPORTIVE_DEFENSE' AND cf >= 0.35", "x + 0.9*gap", "supportive_medium_conf_pull"),
+    ("l='CONSTRUCTIVE_CRITICISM' AND cf >= 0.5", "clipped", "constructive_confident_band_map"),
+    ("l='CONSTRUCTIVE_CRITICISM' AND cf >= 0.32", "x + 0.85*gap", "constructive_medium_conf_pull"),
+    ("l='DISMISSIVE_COMPLAINT'", "least(x, hi)", "dismissive_cap"), ("l='DIRECT_ATTACK'", "least(x, hi)", "direct_attack_cap"),
+    ("l IN ('NEUTRAL_ANALYSIS','BALANCED_DEBATE','MIXED_STANCE') AND cf >= 0.45", "clipped", "neutral_family_band_map"),
+    ("l IN ('NEUTRAL_ANALYSIS','BALANCED_DEBATE','MIXED_STANCE') AND cf >= 0.25", "x + 0.85*gap", "neutral_family_medium_conf_pull"),
+]
+ORACLES["calibrated_scores"] = f"""WITH {SUBS}, a AS (SELECT id, {_sl}[(id % 8 + 1)::INT] AS l, value/300 AS cf, (id % 10)/20.0::DOUBLE AS st, least(95.0, value)::DOUBLE AS x FROM subs),
+b AS (SELECT *, ({_lo})::DOUBLE AS lo, ({_hi})::DOUBLE AS hi FROM a), c AS (SELECT *, greatest(lo, least(hi, x)) AS clipped, CASE WHEN x < lo THEN lo - x WHEN x > hi THEN hi - x ELSE 0 END AS gap FROM b),
+d AS (SELECT *, round(greatest(0.0, least(100.0, CASE {' '.join(f'WHEN {w} THEN {e}' for w, e, _ in _rules)} ELSE x END)), 2) AS y, CASE {' '.join(f"WHEN {w} THEN '{r}'" for w, _, r in _rules)} ELSE 'no_change' END AS r FROM c)
+SELECT id, round(y, 6) AS calibrated_score, r AS calibration_reason, y <> x AS calibration_applied, round(abs(gap), 2) AS band_deviation_before, round(CASE WHEN y < lo THEN lo - y WHEN y > hi THEN y - hi ELSE 0 END, 2) AS band_deviation_after FROM d"""
+
+
+# --- rounding -------------------------------------------------------------------------------------------------
+
+def half_up(sql: str) -> str:
+    """Every round(x, n) becomes round((x) + 1e-9, n): ties must not depend on the last floating-point bit."""
+    out, i, key = [], 0, "round("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            return "".join(out) + sql[i:]
+        depth, k, comma = 1, j + len(key), -1
+        while depth:
+            ch = sql[k]
+            if ch == "'":
+                k = sql.index("'", k + 1)
+            elif ch in "([":
+                depth += 1
+            elif ch in ")]":
+                depth -= 1
+            elif ch == "," and depth == 1:
+                comma = k
+            k += 1
+        inner = half_up(sql[j + len(key):comma])
+        out.append(sql[i:j] + f"round(({inner}) + 1e-9,{sql[comma + 1:k]}")
+        i = k
+
+
+ORACLES.update({n: half_up(sql) for n, sql in ORACLES.items()})
