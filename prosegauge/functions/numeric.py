@@ -54,13 +54,13 @@ def ratio(num: Column, den: Column, default: float | None = 0.0) -> Column:
 
 
 def to_float0(c: Column) -> Column:
-    """Lenient cast with default 0."""
-    return F.coalesce(c.try_cast("double"), F.lit(0.0))
+    """Lenient cast of text with default 0 (an empty text is sorted out before the cast can fail)."""
+    return F.coalesce(F.nullif(c, F.lit("")).try_cast("double"), F.lit(0.0))
 
 
 def to_int0(c: Column) -> Column:
-    """Lenient truncating cast with default 0."""
-    return F.coalesce(c.try_cast("double").try_cast("bigint"), F.lit(0).cast("bigint"))
+    """Lenient truncating cast of text with default 0."""
+    return F.coalesce(F.nullif(c, F.lit("")).try_cast("double").try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def clamp(c: Column, lo: float, hi: float, default: float) -> Column:

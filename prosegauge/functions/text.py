@@ -31,8 +31,14 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACES))
 
 
+def strip_ref(c: Column) -> Column:
+    """``strip`` for a column reference or lambda variable: most values have nothing to trim at either end."""
+    edge = F.lit(SPACES).contains(F.substring(c, 1, 1)) | F.lit(SPACES).contains(F.substring(c, -1, 1))
+    return F.when(edge, F.btrim(c, F.lit(SPACES))).otherwise(c)
+
+
 def _is_blank(c: Column) -> Column:
-    return strip(c) == ""
+    return ~c.rlike(NOT_WS)
 
 
 # --- normalisation and predicates -----------------------------------------------
@@ -110,7 +116,7 @@ def regex_any(c: Column, patterns: Sequence[str]) -> Column:
 # --- splitting --------------------------------------------------------------------
 
 def _pieces(c: Column, pattern: str) -> Column:
-    return F.filter(F.transform(F.split(c, pattern), strip), lambda s: s != "")
+    return F.filter(F.transform(F.split(c, pattern), strip_ref), lambda s: s != "")
 
 
 def paragraphs(c: Column, sep: str = PARAGRAPH_BREAK) -> Column:

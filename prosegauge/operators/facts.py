@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from prosegauge.functions.numeric import ratio, to_int0
-from prosegauge.functions.text import normalize_team, strip
+from prosegauge.functions.text import normalize_team, strip_ref
 from prosegauge.lexicons import NON_BOWLER_WICKETS
 from prosegauge.operators.scale import top_per_group
 
@@ -16,7 +16,7 @@ STATISTICS = ["batting_average", "strike_rate", "economy_rate", "runs_total", "w
 
 
 def _text(name: str) -> Column:
-    return strip(F.coalesce(F.col(name), F.lit("")))
+    return F.coalesce(strip_ref(F.col(name)), F.lit(""))
 
 
 def ball_events(log: DataFrame) -> DataFrame:
@@ -104,17 +104,16 @@ def player_facts(balls: DataFrame, squads: DataFrame | None = None) -> DataFrame
     ``squads`` has (match_id, player, team, row_order). Someone who was only
     dismissed is not part of the universe.
     """
-    rows = contributions(balls).withColumns({"team": F.lit(None).cast("string"),
-                                             "row_order": F.lit(None).cast("bigint")})
-    if squads is not None:
-        rows = rows.unionByName(squads.select(
-            "match_id", "player", F.lit(True).alias("listed"),
-            *[F.lit(0).cast("bigint").alias(m) for m in MEASURES], "team", "row_order"))
-    return rows.groupBy("match_id", "player").agg(
-        F.bool_or("listed").alias("_listed"),
-        F.max_by("team", "row_order").alias("team"),
-        *[F.sum(m).cast("double").alias(m) for m in MEASURES],
-    ).filter("_listed").drop("_listed")
+    # sums alone are fixed-width and fold in hash tables map-side; team names are folded apart from them
+    keys = ["match_id", "player"]
+    sums = contributions(balls).groupBy(*keys).agg(
+        F.max("listed").alias("_listed"), *[F.sum(m).cast("double").alias(m) for m in MEASURES])
+    if squads is None:
+        return sums.filter("_listed").drop("_listed").withColumn("team", F.lit(None).cast("string"))
+    teams = squads.groupBy(*keys).agg(F.max_by("team", "row_order").alias("team"))
+    known = sums.join(teams, keys, "full")
+    return known.filter(F.coalesce("_listed", F.lit(False)) | F.col("team").isNotNull()).select(
+        *keys, "team", *[F.coalesce(m, F.lit(0.0)).alias(m) for m in MEASURES])
 
 
 def squads(log: DataFrame, plural_spelling: bool = False) -> DataFrame:

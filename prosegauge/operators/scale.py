@@ -94,11 +94,13 @@ def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
                   rank: str = "_rank", salts: int = 32) -> DataFrame:
     """Best ``k`` rows per group. ``unique`` names the columns that tell rows of a group apart.
 
-    Rows are cut to ``k`` per (group, salt) first, so a hot group reaches its
-    last task as ``salts * k`` rows; Spark also limits the groups map-side.
+    For small ``k`` Spark's own group limit cuts every group map-side. For large
+    ``k`` rows are cut per (group, salt) first, so a hot group reaches its last
+    task as ``salts * k`` rows.
     """
-    first = W.partitionBy(*group, "_salt").orderBy(*order)
     final = W.partitionBy(*group).orderBy(*order)
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*unique), F.lit(salts)))
-    cut = salted.withColumn(rank, F.row_number().over(first)).filter(F.col(rank) <= k)
-    return cut.withColumn(rank, F.row_number().over(final)).filter(F.col(rank) <= k).drop("_salt")
+    if k > 100:
+        first = W.partitionBy(*group, "_salt").orderBy(*order)
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*unique), F.lit(salts)))
+        df = salted.withColumn(rank, F.row_number().over(first)).filter(F.col(rank) <= k).drop("_salt", rank)
+    return df.withColumn(rank, F.row_number().over(final)).filter(F.col(rank) <= k)

@@ -152,7 +152,8 @@ def quote_flags(paras: DataFrame, lex: Lex = LEXICON, keep: Sequence[str] = KEYS
 
 
 def explanation_depth(text: Column, lowered: Column, lex: Lex = LEXICON) -> Column:
-    n_parts = F.size(F.filter(F.split(text, r"[.!?]+"), lambda s: tx.strip(s) != ""))
+    # one match per run between sentence marks that holds more than white space
+    n_parts = F.regexp_count(text, F.lit(tx.NOT_WS.replace("]", ".!?]") + "[^.!?]*"))
     spread = F.least(F.lit(1.0), F.greatest(F.lit(1), n_parts) / 4.0)
     return unit(0.7 * tx.marker_score(lowered, lex["stance_reasoning"], 4.0) + 0.3 * spread)
 
@@ -204,7 +205,7 @@ def paragraph_stance(paras: DataFrame, lex: Lex = LEXICON, threshold: float = SA
         return tx.contains_any(low, lex[name])
 
     base = base.withColumns({
-        "_blank": tx.strip(low) == "",
+        "_blank": ~low.rlike(tx.NOT_WS),
         "_words": F.size("_toks"),
         "_sup0": score("supportive", 2.5),
         "con": score("constructive", 2.5),

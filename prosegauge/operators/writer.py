@@ -30,7 +30,7 @@ def writer_type(docs: DataFrame, lex: Mapping[str, list[str]] = LEXICON, keep: S
     the score is .65 rule + .35 embedding. Blank text is the last type.
     """
     base = docs.select("*", F.lower(text).alias("_lower"), tx.tokens(F.col(text)).alias("_toks"),
-                       (tx.strip(F.col(text)) == "").alias("_blank"))
+                       (~F.col(text).rlike(tx.NOT_WS)).alias("_blank"))
     scale = F.greatest(F.lit(2.0), 0.12 * F.greatest(F.lit(1), F.size("_toks")))
     ruled = base.withColumns({
         writer_column("rule", w): F.least(

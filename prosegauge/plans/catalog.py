@@ -15,6 +15,7 @@ from prosegauge.operators import (
 from prosegauge.plans import demo as dm
 from prosegauge.plans.corpus_build import build_corpus
 from prosegauge.plans.score_documents import score_documents
+from prosegauge.session import checkpointed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -364,7 +365,9 @@ def this_season_stat(s, d):
 @query
 def claims_extract(s, d):
     out = cl.extract_claims(dm.claim_texts(s, d))
-    return out.select("doc_id", *[n for n in cl.ATTRIBUTES], F.md5("sentence").alias("h"))
+    whole = ("window_size", "year_lo", "year_hi")
+    return out.select("doc_id", *[c(n).cast("double").alias(n) if n in whole else c(n) for n in cl.ATTRIBUTES],
+                      F.md5("sentence").alias("h"))
 
 
 @query
@@ -398,16 +401,16 @@ def claim_verdict(s, d):
 
 @query
 def stat_mentions(s, d):
-    facts = fa.player_match(dm.ball_log(s, d))
+    facts = checkpointed(fa.player_match(dm.ball_log(s, d)))
     out = cl.stat_mentions(dm.claim_texts(s, d), facts)
-    return rounded(out.select("doc_id", "player", "stat_type", "window_size", "season", "opposition", "claimed_value",
+    return rounded(out.select("doc_id", "player", "stat_type", c("window_size").cast("double").alias("window_size"), "season", "opposition", "claimed_value",
                               "computed_value", "stats_found", "stats_verified", "stat_accuracy_score",
                               "stat_confidence"), 4)
 
 
 @query
 def verify_documents(s, d):
-    facts = fa.player_match(dm.ball_log(s, d))
+    facts = checkpointed(fa.player_match(dm.ball_log(s, d)))
     out = cl.verify_documents(dm.claim_texts(s, d), facts)
     return rounded(out.select("doc_id", "stats_found", "stats_verified", "stat_accuracy_score", "stat_confidence",
                               "stat_score_adjustment", "n_stat_mentions"), 4)

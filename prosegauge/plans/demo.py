@@ -59,33 +59,29 @@ def ball_log(spark: SparkSession, d: str) -> DataFrame:
     def bit(n: int) -> Column:
         return F.when(c("l_linenumber") == n, "1").otherwise("")
 
-    def row(**cells: Column) -> Column:
-        full = {f"c{i}": cells.get(f"c{i}", F.lit(None).cast("string")) for i in range(16)}
-        return F.struct(*[v.cast("string").alias(k) for k, v in full.items()], cells["order"].cast("bigint")
-                        .alias("row_order"))
-
-    ball = row(c0=F.lit("ball"), c4=player_name(c("l_suppkey")),
-               c6=F.concat(F.lit("Jo B"), letters(c("l_partkey") % 50)),
-               c7=c("l_quantity").cast("int"), c8=F.lit("0"), c9=bit(5), c10=bit(6), c13=bit(7), c14=kind, c15=out,
-               order=100 + c("l_linenumber"))
+    def rows(df: DataFrame, key: str, order: Column, **cells: Column) -> DataFrame:
+        full = {f"c{i}": cells.get(f"c{i}", F.lit(None)) for i in range(16)}
+        return df.select(c(key).cast("string").alias("match_id"), *[v.cast("string").alias(k) for k, v in full.items()],
+                         order.cast("bigint").alias("row_order"))
+
+    # one branch per row kind: a filter on the kind drops the other branches at planning time
+    balls = rows(li, "l_orderkey", 100 + c("l_linenumber"), c0=F.lit("ball"), c4=player_name(c("l_suppkey")),
+                 c6=F.concat(F.lit("Jo B"), letters(c("l_partkey") % 50)), c7=c("l_quantity").cast("int"),
+                 c8=F.lit("0"), c9=bit(5), c10=bit(6), c13=bit(7), c14=kind, c15=out)
     side = F.pmod(c("l_orderkey") + c("l_linenumber") % 2, F.lit(5))
-    member = row(c0=F.lit("info"), c1=F.lit("player"), c2=F.concat(F.lit("T"), letters(side)),
-                 c3=player_name(c("l_suppkey")), order=10 + c("l_linenumber"))
-    deliveries = li.select(c("l_orderkey").cast("string").alias("match_id"), F.inline(F.array(ball, member)))
-
+    log = balls.unionByName(rows(li, "l_orderkey", 10 + c("l_linenumber"), c0=F.lit("info"), c1=F.lit("player"),
+                                 c2=F.concat(F.lit("T"), letters(side)), c3=player_name(c("l_suppkey"))))
     orders = table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
     year = (F.year("o_orderdate") + 28).cast("string")
-
-    def info(key: str, value: Column, order: int) -> Column:
-        return row(c0=F.lit("info"), c1=F.lit(key), c2=value, order=F.lit(order))
-
-    heads = F.array(
-        info("team", F.concat(F.lit("T"), letters(F.pmod(c("o_orderkey"), F.lit(5)))), 0),
-        info("team", F.concat(F.lit("T"), letters(F.pmod(c("o_orderkey") + 1, F.lit(5)))), 1),
-        info("date", F.concat(year, F.date_format("o_orderdate", "/MM/dd")), 2),
-        info("season", F.when(F.pmod(c("o_orderkey"), F.lit(7)) == 0, "").otherwise(year), 3),
-        info("venue", c("o_orderpriority"), 4))
-    return orders.select(c("o_orderkey").cast("string").alias("match_id"), F.inline(heads)).unionByName(deliveries)
+    heads = [
+        ("team", F.concat(F.lit("T"), letters(F.pmod(c("o_orderkey"), F.lit(5)))), 0),
+        ("team", F.concat(F.lit("T"), letters(F.pmod(c("o_orderkey") + 1, F.lit(5)))), 1),
+        ("date", F.concat(year, F.date_format("o_orderdate", "/MM/dd")), 2),
+        ("season", F.when(F.pmod(c("o_orderkey"), F.lit(7)) == 0, "").otherwise(year), 3),
+        ("venue", c("o_orderpriority"), 4)]
+    for key, value, order in heads:
+        log = log.unionByName(rows(orders, "o_orderkey", F.lit(order), c0=F.lit("info"), c1=F.lit(key), c2=value))
+    return log
 
 
 def claim_texts(spark: SparkSession, d: str) -> DataFrame:

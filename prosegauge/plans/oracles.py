@@ -151,9 +151,9 @@ def complete(s: str, low: str, lex: dict) -> str:
             f"{anyof(low, lex['argument'])}::INT + {anyof(last, lex['conclusion'])}::INT) / 3.0::DOUBLE END")
 
 
-def content(t: str) -> str:
-    ends = "(?:" + "|".join(L["content_suffixes"]) + ")$"
-    return (f"CASE WHEN len({t})=0 THEN 0.0 ELSE len(list_filter({t}, lambda x: NOT list_contains({sql_list(L['stopwords'])}, x) "
+def content(t: str, lex: dict = L) -> str:
+    ends = "(?:" + "|".join(lex["content_suffixes"]) + ")$"
+    return (f"CASE WHEN len({t})=0 THEN 0.0 ELSE len(list_filter({t}, lambda x: NOT list_contains({sql_list(lex['stopwords'])}, x) "
             f"AND (length(x) >= 5 OR regexp_matches(x, '{ends}')))) / len({t})::DOUBLE END")
 
 
@@ -182,7 +182,7 @@ QUALITY = {
     "position_clarity_score": score("low", D["position"], 2.0),
     "counter_argument_score": score("low", D["counter_argument"], 2.0),
     "evidence_presence_score": evidence("text", D["evidence"]), "completeness_score": complete("s", "low", D),
-    "information_density_score": content("t"), "argument_logic_score": score("low", D["argument_logic"], 3.0),
+    "information_density_score": content("t", D), "argument_logic_score": score("low", D["argument_logic"], 3.0),
 }
 W_IX = {"coherence_score": .15, "lexical_diversity_score": .1, "sentence_variety_score": .1,
         "argument_logic_score": .15, "evidence_presence_score": .15, "counter_argument_score": .1,
@@ -543,7 +543,7 @@ SELECT s_suppkey AS doc_id, 1 AS k, 'runs_total' AS stat_type, 'last_n_matches'
 NULL::VARCHAR AS opposition, NULL::VARCHAR AS venue, (s_suppkey % 90 + 20)::DOUBLE AS claimed_value, md5({_c1}) AS h FROM supplier
 UNION ALL SELECT s_suppkey, 2, 'strike_rate', NULL, NULL, 'this_season', NULL, NULL, 'T' || {letters('s_suppkey % 5')} || '.', NULL, 2550.5, md5({_c2}) FROM supplier
 UNION ALL SELECT s_suppkey, 3, 'batting_average', NULL, NULL, NULL, 2021, 2026, NULL, NULL, (s_suppkey % 30 + 15)::DOUBLE, md5({_c3}) FROM supplier)"""
-ORACLES["claims_extract"] = f"""WITH {CLAIMS} SELECT doc_id, stat_type, window_type, window_size, season, year_lo, year_hi, opposition, venue, claimed_value, h FROM claims"""
+ORACLES["claims_extract"] = f"""WITH {CLAIMS} SELECT doc_id, stat_type, window_type, window_size::DOUBLE AS window_size, season, year_lo::DOUBLE AS year_lo, year_hi::DOUBLE AS year_hi, opposition, venue, claimed_value, h FROM claims"""
 MENTIONS = f"""names AS (SELECT DISTINCT player FROM facts),
 mentions AS (SELECT s_suppkey AS doc_id, 'Mo S' || {letters('s_suppkey')} AS player, 1 AS k FROM supplier UNION ALL SELECT s_suppkey, 'Mo S' || {letters('s_suppkey + 1')}, 2 FROM supplier),
 men AS (SELECT m.* FROM mentions m JOIN names USING (player))"""
@@ -570,7 +570,7 @@ jd AS (SELECT ab.*, CASE stat_type WHEN 'runs_total' THEN r WHEN 'strike_rate' T
 j2 AS (SELECT *, abs(claimed_value - v)/greatest(abs(v), 1e-9) AS d FROM jd),
 j3 AS (SELECT *, coalesce(d <= 0.05, FALSE) AS ok, CASE WHEN d <= 0.05 THEN 1.0 WHEN d <= 0.10 THEN 0.6 ELSE 0.0 END::DOUBLE AS acc,
 CASE WHEN d IS NULL THEN 'low' WHEN d <= 0.05 THEN 'high' WHEN d <= 0.10 THEN 'medium' ELSE 'high' END AS conf FROM j2)"""
-ORACLES["stat_mentions"] = f"""WITH {JUDGED} SELECT doc_id, player, stat_type, window_size, season, opposition, claimed_value, round(round(v, 2), 4) AS computed_value, v IS NOT NULL AS stats_found,
+ORACLES["stat_mentions"] = f"""WITH {JUDGED} SELECT doc_id, player, stat_type, window_size::DOUBLE AS window_size, season, opposition, claimed_value, round(round(v, 2), 4) AS computed_value, v IS NOT NULL AS stats_found,
 ok AS stats_verified, acc AS stat_accuracy_score, conf AS stat_confidence FROM j3"""
 ORACLES["verify_documents"] = f"""WITH {JUDGED}, g AS (SELECT doc_id, avg(acc) FILTER (v IS NOT NULL) AS a, bool_and(ok) FILTER (v IS NOT NULL) AS allok, bool_or(conf = 'high') FILTER (v IS NOT NULL) AS hi, count(*) AS n FROM j3 GROUP BY doc_id)
 SELECT s_suppkey AS doc_id, a IS NOT NULL AS stats_found, coalesce(allok, FALSE) AS stats_verified, coalesce(round(a, 4), 0.0) AS stat_accuracy_score, CASE WHEN a IS NULL THEN 'low' WHEN hi THEN 'high' ELSE 'medium' END AS stat_confidence,

@@ -12,6 +12,7 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     # methods above 8000 bytes are never compiled by the JIT: let wide projections be split instead
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.codegen.maxFields": "60",
 }
 # only a new session can take these
 STATIC_DEFAULTS = {
