@@ -49,8 +49,8 @@ def player_name(n: Column) -> Column:
 
 def ball_log(spark: SparkSession, d: str) -> DataFrame:
     """A raw match log: orders are matches, lineitem rows are deliveries and squad entries."""
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-                                            "l_returnflag", "l_linestatus")
+    li = spread(table(spark, d, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag"), "l_orderkey")
     out = F.when(c("l_returnflag").isin("R", "A"), player_name(c("l_suppkey"))).otherwise("")
     kind = (F.when(c("l_returnflag") == "R", "bowled")
             .when((c("l_returnflag") == "A") & (c("l_linenumber") > 3), "run out")
@@ -71,7 +71,7 @@ def ball_log(spark: SparkSession, d: str) -> DataFrame:
     side = F.pmod(c("l_orderkey") + c("l_linenumber") % 2, F.lit(5))
     log = balls.unionByName(rows(li, "l_orderkey", 10 + c("l_linenumber"), c0=F.lit("info"), c1=F.lit("player"),
                                  c2=F.concat(F.lit("T"), letters(side)), c3=player_name(c("l_suppkey"))))
-    orders = table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
+    orders = spread(table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority"), "o_orderkey")
     year = (F.year("o_orderdate") + 28).cast("string")
     heads = [
         ("team", F.concat(F.lit("T"), letters(F.pmod(c("o_orderkey"), F.lit(5)))), 0),
