@@ -30,27 +30,21 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Col
     spread over its chunks; only one row per (key, chunk) meets in a window.
     """
     sums, maxima = dict(sums or {}), dict(maxima or {})
-    aggs = {**{n: F.sum(c) for n, c in sums.items()}, **{n: F.max(c) for n, c in maxima.items()}}
-    exprs = {**sums, **maxima}
+    fold = {**{n: F.sum for n in sums}, **{n: F.max for n in maxima}}
     cut = [*keys, "_chunk"]
-    base = df.withColumn("_chunk", chunk)
-
+    base = df.select("*", chunk.alias("_chunk"), *[e.alias(f"_v_{n}") for n, e in {**sums, **maxima}.items()],
+                     F.lit(1).alias("_place"))
     earlier = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    totals = base.groupBy(*cut).agg(*[a.alias(f"_t_{n}") for n, a in aggs.items()])
-    offsets = totals.select(
-        *cut,
-        *[F.sum(f"_t_{n}").over(earlier).alias(f"_o_{n}") for n in sums],
-        *[F.max(f"_t_{n}").over(earlier).alias(f"_o_{n}") for n in maxima],
-    )
-    here = W.partitionBy(*cut).orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
-    placed = join_null_safe(base, offsets, cut)
-    out = placed.select(
-        *df.columns,
-        *[(F.coalesce(F.col(f"_o_{n}"), F.lit(0)) + F.coalesce(F.sum(exprs[n]).over(here), F.lit(0))).alias(n)
-          for n in sums],
-        *[F.greatest(F.col(f"_o_{n}"), F.max(exprs[n]).over(here)).alias(n) for n in maxima],
-    )
-    return out
+    totals = base.groupBy(*cut).agg(*[f(f"_v_{n}").alias(f"_v_{n}") for n, f in fold.items()])
+    # what came before a chunk enters it as one row ahead of the others: no join, one shuffle, NULL keys included
+    heads = totals.select(*cut, *[f(f"_v_{n}").over(earlier).alias(f"_v_{n}") for n, f in fold.items()],
+                          F.lit(0).alias("_place"))
+    here = W.partitionBy(*cut).orderBy("_place", *order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
+    both = base.unionByName(heads, allowMissingColumns=True)
+    value = {n: f(f"_v_{n}").over(here) for n, f in fold.items()}
+    placed = both.select(*df.columns, "_place", *[
+        (F.coalesce(v, F.lit(0)) if n in sums else v).alias(n) for n, v in value.items()])
+    return placed.filter("_place = 1").drop("_place")
 
 
 def hash_order(key: Column, seed: int) -> Column:
