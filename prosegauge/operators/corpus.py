@@ -29,6 +29,7 @@ def stratified_split(df: DataFrame, label: str, key: str, ratio: float = 0.8, se
     base = (df.withColumn("_hash", hash_order(F.col(key), seed))
             .withColumn("_prefix", F.substring("_hash", 1, digits)))
     counts = base.groupBy(label, "_prefix").agg(F.count(F.lit(1)).alias("_n"))
+    name = F.coalesce(F.col(label).cast("string"), F.lit("\u0000"))
     by_label = W.partitionBy(label)
     size = F.sum("_n").over(by_label)
     upto = F.sum("_n").over(by_label.orderBy("_prefix").rowsBetween(W.unboundedPreceding, 0))
@@ -36,9 +37,12 @@ def stratified_split(df: DataFrame, label: str, key: str, ratio: float = 0.8, se
     wanted = F.when(size > 1, F.least(F.greatest(F.bround(size * ratio).cast("bigint"), F.lit(1)), size - 1))
     cuts = (counts.select(label, "_prefix", "_n", upto.alias("_upto"), F.coalesce(wanted, F.lit(1)).alias("_want"))
             .filter((F.col("_upto") >= F.col("_want")) & (F.col("_upto") - F.col("_n") < F.col("_want")))
-            .select(label, F.col("_prefix").alias("_cut"),
-                    (F.col("_want") - F.col("_upto") + F.col("_n")).alias("_take")))
-    placed = join_null_safe(base, cuts, [label])
+            .select(name.alias("_key"), F.struct(F.col("_prefix").alias("cut"), (
+                F.col("_want") - F.col("_upto") + F.col("_n")).alias("take")).alias("_at")))
+    # one entry per class: looked up as a constant, so that rows are not shuffled by a class that may be hot
+    table = cuts.agg(F.map_from_entries(F.collect_list(F.struct("_key", "_at")))).scalar()
+    placed = base.withColumn("_at", F.element_at(table, name)).select(
+        *base.columns, F.col("_at.cut").alias("_cut"), F.col("_at.take").alias("_take"))
     at_cut = placed.filter(F.col("_prefix") == F.col("_cut"))
     inside = W.partitionBy(label, "_prefix").orderBy("_hash", key)
     ranked = at_cut.withColumn("split", F.when(F.row_number().over(inside) <= F.col("_take"), "train")

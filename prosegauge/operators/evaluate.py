@@ -14,7 +14,7 @@ from prosegauge.functions.numeric import ratio, unit
 from prosegauge.operators.scale import top_per_group
 
 c = F.col
-BLOCK_ROWS = 8192
+BLOCK_ROWS = 2048
 
 
 # --- reports ------------------------------------------------------------------------

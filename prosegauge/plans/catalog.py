@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from prosegauge.functions import numeric as nu, text as tx
 from prosegauge.lexicons import LEXICON, STANCES
 from prosegauge.operators import (
-    claims as cl, clean, corpus, evaluate as ev, facts as fa, paragraphs as pa, quality as qu, scoring as sc,
+    claims as cl, clean, corpus, evaluate as ev, facts as fa, fusion as fu, paragraphs as pa, quality as qu, scoring as sc,
     signals as si, social as so, stance as st, submissions as su, writer as wr,
 )
 from prosegauge.plans import demo as dm
@@ -699,3 +699,21 @@ def corpus_build(s, d):
     out = build_corpus(dm.documents(s, d), lex=D, topic=dm.WORDS[:4], sep=dm.SEP)
     return out.select("doc_id", "stance_label", "confidence", "split", *[
         F.get("expected_score_band", F.lit(i)).alias(n) for i, n in enumerate(("score_lo", "score_hi"))])
+
+
+@query
+def adaptive_scoring(s, d):
+    """Stance blend, stance weighting, writer profile and toxicity penalty."""
+    out = dm.scored_rows(s, d).drop("toxicity_penalty")
+    for step in (sc.stance_blend, sc.stance_weighting, sc.adaptive_components, sc.toxicity_penalty):
+        out = step(out)
+    return rounded(out.select("id", "constructiveness", "respectfulness", "analytical_tone", "clarity", "fan_sincerity",
+                              "dominant_stance_component", "soft_stance_component", "final_stance_component",
+                              "toxicity_penalty", "total"), 4)
+
+
+@query
+def fuse_scores(s, d):
+    out = fu.fuse_scores(dm.scored_rows(s, d))
+    return rounded(out.select("id", "final_score", "toxicity_adjustment", "ceiling", "archetype_detected", "core_component",
+                              "originality_component"), 3)

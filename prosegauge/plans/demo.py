@@ -157,3 +157,38 @@ def initial_members(spark: SparkSession, d: str) -> DataFrame:
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(c("vec_id").alias("id"), "embedding", "label")
+
+
+def scored_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Events as documents in the middle of scoring: every input of the rule chain and the fusion, by arithmetic."""
+    from prosegauge.lexicons import COMPONENT_MAX, STANCES, WRITER_TYPES
+    from prosegauge.operators.stance import prob
+    from prosegauge.operators.writer import writer_column
+
+    i = c("id")
+
+    def part(mod: int, den: float) -> Column:
+        return (i % mod) / F.lit(den)
+
+    def pick(names: list[str], n: int) -> Column:
+        return F.get(F.array(*[F.lit(x) for x in names]), (i % n).cast("int"))
+
+    cols = {prob(s): ((i * (k + 3)) % 11) / F.lit(40.0) for k, s in enumerate(STANCES)}
+    cols |= {writer_column("prob", w): part(k + 2, 10.0) for k, w in enumerate(WRITER_TYPES)}
+    cols |= {k: F.least(F.lit(m), c("value") / F.lit(240.0 / m)) for k, m in COMPONENT_MAX.items()}
+    cols |= {
+        "stance_label": pick(STANCES, 8), "writer_type": pick(WRITER_TYPES, 5),
+        "attack_rejection_detected": i % 5 == 0, "attack_endorsement_detected": i % 7 == 0,
+        "supportive_defense_strength": part(10, 12.0), "causal_defense_score": part(9, 12.0),
+        "mean_respect": part(6, 6.0), "toxicity_mean": part(13, 20.0), "toxicity_max": part(17, 17.0),
+        "toxicity_ratio": part(3, 4.0), "abuse_mean": part(19, 40.0), "stats_found": i % 3 == 0,
+        "stats_verified": i % 6 == 0, "stat_accuracy_score": part(4, 3.0), "writing_quality_component": part(23, 1.0) - 9.0,
+        "toxicity_penalty": -part(26, 1.0), "mean_sentiment_positive": part(3, 3.0), "mean_sentiment_neutral": part(2, 4.0),
+        "mean_sentiment_negative": part(3, 5.0), "mean_negativity": part(8, 8.0), "attack_severity": F.when(
+            i % 10 == 1, (i % 4).cast("int")).otherwise(0), "dismissive_text": i % 12 == 2, "ceiling_suggestion": i % 2 == 0,
+        **{n: part(m, 10.0) for n, m in [
+            ("lexical_diversity_score", 10), ("sentence_variety_score", 9), ("repetition_penalty", 8),
+            ("argument_logic_score", 7), ("information_density_score", 11), ("coherence_score", 6),
+            ("counter_argument_score", 5), ("completeness_score", 4)]},
+    }
+    return submissions(spark, d).select("id", *[e.alias(n) for n, e in cols.items()])

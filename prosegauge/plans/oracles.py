@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from prosegauge.functions.text import SPACES, WS
 from prosegauge.lexicons import (
-    CALIBRATION_BANDS, LABEL_BANDS, LEXICON, NON_BOWLER_WICKETS, REBALANCE_VARIANTS, STANCES, WRITER_TYPES,
+    ARCHETYPES, CALIBRATION_BANDS, COMPONENT_MAX, FUSION_BANDS, LABEL_BANDS, LEXICON, NON_BOWLER_WICKETS,
+    REBALANCE_VARIANTS, STANCE_ANCHORS, STANCE_STRENGTH_BASE, STANCES, WRITER_PROFILES, WRITER_TYPES,
 )
 from prosegauge.operators.clean import TOPIC_GROUPS
 from prosegauge.plans.demo import ABUSE, DEMO, WORDS
@@ -718,6 +719,73 @@ d AS (SELECT *, round(greatest(0.0, least(100.0, CASE {' '.join(f'WHEN {w} THEN
 SELECT id, round(y, 6) AS calibrated_score, r AS calibration_reason, y <> x AS calibration_applied, round(abs(gap), 2) AS band_deviation_before, round(CASE WHEN y < lo THEN lo - y WHEN y > hi THEN y - hi ELSE 0 END, 2) AS band_deviation_after FROM d"""
 
 
+# --- rule chain and fusion on derived rows --------------------------------------------------------------------
+
+_pn = [f"p_{s.lower()}" for s in STANCES]
+_wn = [wcol("w", w) for w in WRITER_TYPES]
+_in = {**{n: f"((id * {k + 3}) % 11) / 40.0" for k, n in enumerate(_pn)}, **{n: f"(id % {k + 2}) / 10.0" for k, n in enumerate(_wn)},
+       **{k: f"least({m}, value / {240.0 / m})" for k, m in COMPONENT_MAX.items()}}
+ROWS = f"""{SUBS}, rw AS (SELECT id, {', '.join(f'({e})::DOUBLE AS {n}' for n, e in _in.items())}, {_sl}[(id % 8 + 1)::INT] AS label,
+{sql_list(WRITER_TYPES)}[(id % 5 + 1)::INT] AS writer, id % 5 = 0 AS rej, id % 7 = 0 AS endo, (id % 10)/12.0::DOUBLE AS st, (id % 9)/12.0::DOUBLE AS causal, (id % 6)/6.0::DOUBLE AS resp,
+(id % 13)/20.0::DOUBLE AS tm, (id % 17)/17.0::DOUBLE AS tx, (id % 3)/4.0::DOUBLE AS tr, (id % 19)/40.0::DOUBLE AS ab FROM subs)"""
+_an = [f"p_{s.lower()}" for s in STANCE_ANCHORS]
+_as = "(" + " + ".join(_an) + ")"
+_max2 = f"list_sort([{', '.join(f'a_{n}' for n in _an)}], 'DESC')"
+ANCH = f"""an AS (SELECT *, {', '.join(f'CASE WHEN {_as} > 0 THEN {n}/{_as} ELSE 0.0 END AS a_{n}' for n in _an)} FROM rw),
+am AS (SELECT *, {_max2}[1] - {_max2}[2] AS gap, CASE greatest({', '.join(f'a_{n}' for n in _an)}) {' '.join(f'WHEN a_{n} THEN {v}' for n, v in zip(_an, STANCE_ANCHORS.values()))} END::DOUBLE AS dom,
+{' + '.join(f'{v}*a_{n}' for n, v in zip(_an, STANCE_ANCHORS.values()))} AS soft FROM an),
+ab AS (SELECT *, CASE WHEN gap >= 0.15 THEN 0.65*dom + 0.35*soft ELSE 0.45*dom + 0.55*soft END AS blend FROM am)"""
+
+
+def prof(f: str) -> str:
+    return case("writer", {w: p[f] for w, p in WRITER_PROFILES.items()}, "1.0")
+
+
+_kind = "(label = 'SUPPORTIVE_DEFENSE' AND resp > 0.7)"
+_host = "(label = 'DIRECT_ATTACK' AND NOT rej)"
+_conf = "[" + ", ".join(_wn) + "][list_position(" + sql_list(WRITER_TYPES) + ", writer)]"
+ORACLES["adaptive_scoring"] = f"""WITH {ROWS}, {ANCH}, w AS (SELECT *, greatest(20.0, least(95.0, CASE WHEN label IN ('DIRECT_ATTACK','DISMISSIVE_COMPLAINT') THEN dom ELSE blend END)) AS fin,
+CASE WHEN {_kind} THEN least(40.0, constructiveness + 0.25) WHEN label = 'CONSTRUCTIVE_CRITICISM' THEN least(40.0, constructiveness + 0.3) WHEN label = 'BALANCED_DEBATE' THEN least(40.0, constructiveness + 2)
+WHEN label = 'DISMISSIVE_COMPLAINT' THEN constructiveness*0.82 WHEN {_host} THEN constructiveness*0.7 ELSE constructiveness END AS c1,
+CASE WHEN label = 'CONSTRUCTIVE_CRITICISM' THEN least(15.0, analytical_tone + 0.2) WHEN label = 'BALANCED_DEBATE' THEN least(15.0, analytical_tone + 1.5) ELSE analytical_tone END AS a1,
+CASE WHEN {_host} THEN respectfulness*0.65 ELSE respectfulness END AS r1, CASE WHEN {_kind} THEN least(15.0, fan_sincerity + 0.35) ELSE fan_sincerity END AS f1 FROM ab),
+x AS (SELECT *, round(greatest(c1, least(40.0, c1*(1 + 0.08*{_conf}))), 2) AS c2, round(least(20.0, r1*{prof('respectfulness')}), 2) AS r2, round(least(15.0, a1*{prof('analytical_tone')}), 2) AS a2,
+round(least(10.0, clarity*{prof('clarity')}), 2) AS k2, round(least(15.0, f1*{prof('fan_sincerity')}), 2) AS f2, {unit('0.2*tm + 0.2*tx + 0.15*tr + 0.45*ab')} AS raw FROM w),
+y AS (SELECT *, label = 'SUPPORTIVE_DEFENSE' AND st >= 0.4 AND resp >= 0.7 AND raw < 0.25 AND p_direct_attack <= 0.25 AND p_dismissive_complaint <= 0.35 AS fair,
+label = 'SUPPORTIVE_DEFENSE' AND causal >= 0.35 AND NOT endo AS intent FROM x),
+z AS (SELECT *, round(greatest(CASE WHEN intent THEN -1.0 WHEN rej OR fair THEN -5.0 ELSE -25.0 END, -25.0*{unit(f"pow(raw * CASE WHEN rej THEN 0.2 ELSE 1 END * CASE WHEN fair THEN 0.2 ELSE 1 END * CASE WHEN intent THEN 0.2 ELSE 1 END, 1.22) * {prof('toxicity_strength')} * greatest(0.65, least(1.35, 0.65 + 0.7*ab))")}), 2) AS pen FROM y)
+SELECT id, round(c2, 4) AS constructiveness, round(r2, 4) AS respectfulness, round(a2, 4) AS analytical_tone, round(k2, 4) AS clarity, round(f2, 4) AS fan_sincerity, round(dom, 4) AS dominant_stance_component,
+round(soft, 4) AS soft_stance_component, round(fin, 4) AS final_stance_component, round(pen, 4) AS toxicity_penalty, round(c2 + r2 + a2 + k2 + f2 + pen, 4) AS total FROM z"""
+_arch = {k: wcol("w", w) for k, (w, _) in ARCHETYPES.items()}
+_asum = "(" + " + ".join(_arch.values()) + ")"
+_part = {"stance": "(stc - 20)/75", "stat_accuracy": "acc", "writing_quality": "(qual - 20)/75", "argument_logic": "(id % 7)/10.0", "information_density": "least(1.0, (id % 11)/10.0)",
+         "toxicity": "1 - tox", "engagement_style": "least(1.0, fan_sincerity/15)", "structure": "(id % 4)/10.0", "coherence": "(id % 6)/10.0", "counter_argument": "(id % 5)/10.0"}
+_fus = " + ".join(f"h_{k}*(" + " + ".join(f"{w}*({_part[p]})" for p, w in ws.items()) + ")" for k, (_, ws) in ARCHETYPES.items())
+
+
+def rng(x: str) -> str:
+    return f"(20 + 75*{unit(x)})"
+
+
+_sent = "(pos + neu + neg)"
+ORACLES["fuse_scores"] = f"""WITH {ROWS}, {ANCH}, b AS (SELECT *, {', '.join(f'CASE WHEN {_asum} > 0 THEN {c}/{_asum} ELSE 0.25 END AS h_{k}' for k, c in _arch.items())},
+(id % 3)/3.0::DOUBLE AS pos, (id % 2)/4.0::DOUBLE AS neu, (id % 3)/5.0::DOUBLE AS neg, (id % 8)/8.0::DOUBLE AS sad, p_constructive_criticism + 0.7*p_balanced_debate AS cons,
+least(1.0, (id % 4)/3.0)::DOUBLE AS acc, {rng('((id % 23) - 9 + 10)/25.0')} AS qual, least(1.0, (id % 26)/25.0)::DOUBLE AS tox,
+{unit('0.5*(id % 10)/10.0 + 0.3*(id % 9)/10.0 - 0.2*(id % 8)/10.0')}::DOUBLE AS orig, CASE WHEN id % 10 = 1 THEN id % 4 ELSE 0 END AS sev FROM ab),
+c AS (SELECT *, CASE WHEN {_sent} > 0 THEN pos/{_sent} ELSE 1 - sad END AS s1, CASE WHEN {_sent} > 0 THEN neu/{_sent} ELSE 0 END AS s2, CASE WHEN {_sent} > 0 THEN neg/{_sent} ELSE sad END AS s3,
+{unit(f"({case('label', STANCE_STRENGTH_BASE, '0.55')}) + 0.14*st + 0.08*cons - 0.2*p_direct_attack - 0.12*p_dismissive_complaint")} AS strength FROM b),
+e AS (SELECT *, 78*s1 + 62*s2 + 40*s3 AS senti, list_sort([s1, s2, s3], 'DESC')[1] - list_sort([s1, s2, s3], 'DESC')[2] AS sgap,
+greatest(20.0, least(95.0, 0.8*blend + 0.2*(20 + 75*strength) + 20*st + 10*cons - 16*p_direct_attack - 12*p_dismissive_complaint)) AS stc FROM c),
+f AS (SELECT *, {_fus} AS fus, 0.45*stc + 0.25*senti + 0.15*qual + 0.1*{rng('acc')} + 0.05*{rng('orig')} AS core0, least(gap, sgap) < 0.1 AS unsure FROM e),
+g AS (SELECT *, CASE WHEN unsure THEN 0.9*core0 + 0.05*(soft + senti) ELSE core0 END AS core FROM f),
+h AS (SELECT *, (0.8*core + 0.2*{rng('fus')}) * CASE WHEN unsure THEN 0.98 ELSE 1 END + CASE WHEN id % 3 <> 0 THEN 0 WHEN id % 6 = 0 THEN 4 WHEN (id % 4)/3.0 >= 0.5 THEN 2 ELSE -6 END AS raw0 FROM g),
+i AS (SELECT *, CASE WHEN tox > 0.75 THEN least(raw0, 30) WHEN tox > 0.6 THEN least(raw0, 40) ELSE raw0 END AS raw1,
+CASE WHEN label = 'DIRECT_ATTACK' OR sev >= 1 THEN [40.0, 30.0, 25.0, 20.0][(sev + 1)::INT] WHEN label = 'DISMISSIVE_COMPLAINT' OR id % 12 = 2 THEN CASE WHEN id % 2 = 0 THEN 50.0 ELSE 40.0 END END AS ceil FROM h)
+SELECT id, round(round(greatest(20.0, least(95.0, CASE WHEN ceil IS NOT NULL THEN least(raw1, ceil) ELSE greatest({case('label', {k: v[0] for k, v in FUSION_BANDS.items()}, '20.0')}, least({case('label', {k: v[1] for k, v in FUSION_BANDS.items()}, '95.0')}, raw1)) END)), 2), 3) AS final_score,
+CASE WHEN tox > 0.75 THEN 'cap_30' WHEN tox > 0.6 THEN 'cap_40' ELSE 'none' END AS toxicity_adjustment, round(ceil::DOUBLE, 3) AS ceiling,
+CASE greatest({', '.join(f'h_{k}' for k in _arch)}) {' '.join(f"WHEN h_{k} THEN '{k}'" for k in _arch)} END AS archetype_detected, round(round(core, 4), 3) AS core_component, round(round(orig, 4), 3) AS originality_component FROM i"""
+
+
 # --- rounding -------------------------------------------------------------------------------------------------
 
 def half_up(sql: str) -> str:
