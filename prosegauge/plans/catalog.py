@@ -717,3 +717,39 @@ def fuse_scores(s, d):
     out = fu.fuse_scores(dm.scored_rows(s, d))
     return rounded(out.select("id", "final_score", "toxicity_adjustment", "ceiling", "archetype_detected", "core_component",
                               "originality_component"), 3)
+
+
+COMPS = ["constructiveness", "respectfulness", "analytical_tone", "clarity", "fan_sincerity", "total"]
+
+
+@query
+def floor_uplift(s, d):
+    return rounded(sc.floor_uplift(dm.scored_rows(s, d)).select("id", *COMPS), 3)
+
+
+@query
+def rescue_layer(s, d):
+    out = sc.rescue(dm.scored_rows(s, d))
+    return rounded(out.select("id", *COMPS, "rescue_reason", "rescue_activated", "rescued_outlier",
+                              "analytical_boost_applied"), 3)
+
+
+@query
+def complaint_and_abuse_caps(s, d):
+    out = sc.complaint_and_abuse_caps(dm.scored_rows(s, d))
+    return rounded(out.select("id", "constructiveness", "toxicity_penalty", "total"), 3)
+
+
+@query
+def sarcasm_penalty(s, d):
+    out = sc.sarcasm_penalty(dm.scored_rows(s, d))
+    return rounded(out.select("id", "sarcasm_credibility_penalty", "rule_score"), 2)
+
+
+@query
+def fold_adjustments(s, d):
+    base = dm.scored_rows(s, d).withColumns({
+        "rule_score": F.least(F.lit(95.0), F.greatest(F.lit(20.0), c("total"))), "stat_score_adjustment":
+        (c("id") % 9 - 4).cast("double"), "quality_component": (c("id") % 22 - 7).cast("double")})
+    out = sc.fold_adjustments(base)
+    return rounded(out.select("id", "adjusted_score", "writing_quality_component"), 2)

@@ -186,9 +186,23 @@ def scored_rows(spark: SparkSession, d: str) -> DataFrame:
         "toxicity_penalty": -part(26, 1.0), "mean_sentiment_positive": part(3, 3.0), "mean_sentiment_neutral": part(2, 4.0),
         "mean_sentiment_negative": part(3, 5.0), "mean_negativity": part(8, 8.0), "attack_severity": F.when(
             i % 10 == 1, (i % 4).cast("int")).otherwise(0), "dismissive_text": i % 12 == 2, "ceiling_suggestion": i % 2 == 0,
+        "fairness_defense_score": part(4, 4.0), "constructive_pattern_ratio": part(7, 14.0),
+        "mean_reasoning": part(11, 22.0), "mean_suggestion": part(9, 30.0), "mean_depth": part(13, 24.0),
+        "mean_strategic": part(5, 12.0), "mean_discourse": part(8, 16.0), "mean_word_count": 20.0 + part(90, 1.0),
+        "mean_sentence_count": part(9, 1.0), "rescue_reasoning_hits": (i % 6).cast("int"),
+        "rescue_suggestion_hits": (i % 4).cast("int"), "rescue_complaint": i % 3 == 1, "cap_complaint": i % 4 != 1,
+        "cap_reasoning_hits": (i % 5).cast("int"), "cap_suggestion_hits": (i % 3).cast("int"),
+        "sarcasm_score": part(11, 10.0), "ridicule_score": part(7, 7.0), "contradiction_score": part(5, 5.0),
+        "context_mismatch_score": part(2, 1.0), "exaggeration_score": part(3, 3.0), "neutrality_score": part(12, 12.0),
+        "stance_confidence": part(16, 16.0), "primary_stance_label": F.when(i % 3 == 0, "SARCASTIC_ATTACK").otherwise(
+            "DIRECT_CRITICISM"),
+        "sarcasm_gate_reason": F.when(i % 4 == 0, "sarcasm_threshold_met_and_no_stronger_supportive_context").otherwise(
+            "score_below_threshold"),
+        "stance_blend_adjustment": part(7, 1.0) - 3.0,
         **{n: part(m, 10.0) for n, m in [
             ("lexical_diversity_score", 10), ("sentence_variety_score", 9), ("repetition_penalty", 8),
             ("argument_logic_score", 7), ("information_density_score", 11), ("coherence_score", 6),
             ("counter_argument_score", 5), ("completeness_score", 4)]},
     }
-    return submissions(spark, d).select("id", *[e.alias(n) for n, e in cols.items()])
+    rows = submissions(spark, d).select("id", *[e.alias(n) for n, e in cols.items()])
+    return rows.withColumn("total", sum((c(k) for k in COMPONENT_MAX), c("toxicity_penalty")))

@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from prosegauge.functions.text import SPACES, WS
 from prosegauge.lexicons import (
-    ARCHETYPES, CALIBRATION_BANDS, COMPONENT_MAX, FUSION_BANDS, LABEL_BANDS, LEXICON, NON_BOWLER_WICKETS,
-    REBALANCE_VARIANTS, STANCE_ANCHORS, STANCE_STRENGTH_BASE, STANCES, WRITER_PROFILES, WRITER_TYPES,
+    ARCHETYPES, CALIBRATION_BANDS, COMPONENT_MAX, FLOOR_QUALITY_WEIGHTS, FUSION_BANDS, LABEL_BANDS, LEXICON,
+    NON_BOWLER_WICKETS, REBALANCE_VARIANTS, STANCE_ANCHORS, STANCE_STRENGTH_BASE, STANCES, UPLIFT_WEIGHTS,
+    WRITER_FLOORS, WRITER_PROFILES, WRITER_TYPES,
 )
 from prosegauge.operators.clean import TOPIC_GROUPS
 from prosegauge.plans.demo import ABUSE, DEMO, WORDS
@@ -580,7 +581,7 @@ coalesce(round((a - 0.5)*2.0, 2), 0.0) AS stat_score_adjustment, coalesce(n, 0)
 # --- submissions, quotas, profiles ------------------------------------------------------------------
 
 ORACLES["validate_submissions"] = f"""WITH {TURNS} SELECT doc_id, CASE WHEN length(text) < 10 THEN 'text_too_short' WHEN length(text) > 5000 THEN 'text_too_long' WHEN turn = 5 THEN 'unknown_model' END AS reject_reason FROM turns"""
-QUICK = greatest_quick = (f"greatest(20.0, least(95.0, 50.0 + 12.0*{anyof('lower(text)', D['quick_positive'])}::INT - 12.0*{anyof('lower(text)', D['quick_negative'])}::INT"
+QUICK = (f"greatest(20.0, least(95.0, 50.0 + 12.0*{anyof('lower(text)', D['quick_positive'])}::INT - 12.0*{anyof('lower(text)', D['quick_negative'])}::INT"
                           f" + 4.0*{anyof('lower(text)', D['quick_topic'])}::INT - 10.0*{anyof('lower(text)', D['quick_abuse'])}::INT))::DOUBLE")
 ORACLES["quick_score"] = f"WITH {TURNS} SELECT doc_id, {QUICK} AS score, 0.72::DOUBLE AS confidence, least(100.0, {QUICK} + 3)::DOUBLE AS quality FROM turns"
 ORACLES["route_scores"] = f"""WITH {TURNS}, a AS (SELECT doc_id AS id, turn, {QUICK} AS s, CASE WHEN turn % 3 = 0 THEN (length(text) % 100)::DOUBLE END AS rs FROM turns)
@@ -786,6 +787,66 @@ CASE WHEN tox > 0.75 THEN 'cap_30' WHEN tox > 0.6 THEN 'cap_40' ELSE 'none' END
 CASE greatest({', '.join(f'h_{k}' for k in _arch)}) {' '.join(f"WHEN h_{k} THEN '{k}'" for k in _arch)} END AS archetype_detected, round(round(core, 4), 3) AS core_component, round(round(orig, 4), 3) AS originality_component FROM i"""
 
 
+CH = f"""{ROWS}, ch AS (SELECT *, -(id % 26)::DOUBLE AS pen, (id % 4)/4.0 AS fair_s, (id % 7)/14.0 AS pat, (id % 11)/22.0 AS reas, (id % 9)/30.0 AS sugg, (id % 13)/24.0 AS depth, (id % 5)/12.0 AS strat,
+(id % 8)/16.0 AS disc, 20.0 + id % 90 AS words, id % 9 AS sens, id % 6 AS rr, id % 4 AS rs, id % 3 = 1 AS rc, id % 4 <> 1 AS cc, id % 5 AS cr, id % 3 AS cs2,
+constructiveness AS con, respectfulness AS res, analytical_tone AS ana, clarity AS cla, fan_sincerity AS fan, constructiveness + respectfulness + analytical_tone + clarity + fan_sincerity - (id % 26) AS tot FROM rw)"""
+_fw = FLOOR_QUALITY_WEIGHTS
+_short = {"constructiveness": "con", "respectfulness": "res", "analytical_tone": "ana", "clarity": "cla", "fan_sincerity": "fan"}
+
+
+def _quality(w: str) -> str:
+    return " + ".join(f"{x}*({_short[k]}/{COMPONENT_MAX[k]})" for k, x in _fw[w].items())
+
+
+def _lifted(k: str) -> str:
+    share = case("writer", {w: t.get(k, 0.0) for w, t in UPLIFT_WEIGHTS.items()}, "0.0")
+    return f"CASE WHEN lift IS NOT NULL AND ({share}) > 0 THEN round(least({COMPONENT_MAX[k]}, {_short[k]} + lift*({share})), 2) ELSE {_short[k]} END AS l_{_short[k]}"
+
+
+_order = list(_short.items())
+_room = {n: f"greatest(0.0, {COMPONENT_MAX[k]} - l_{n})" for k, n in _order}
+_used, _adds = "0.0", {}
+for _k, _n in _order:
+    _adds[_n] = f"least({_room[_n]}, greatest(0.0, rest - ({_used})))"
+    _used += f" + {_room[_n]}"
+ORACLES["floor_uplift"] = f"""WITH {CH}, a AS (SELECT *, CASE writer WHEN 'Analyst' THEN {_quality('Analyst')} WHEN 'Storyteller' THEN {_quality('Storyteller')} WHEN 'Debater' THEN {_quality('Debater')} ELSE {_quality('other')} END AS qs,
+label = 'SUPPORTIVE_DEFENSE' AND rej AND st >= 0.45 AND fair_s >= 0.5 AND resp >= 0.75 AND ab < 0.2 AND tm < 0.2 AND p_direct_attack <= 0.2 AND p_dismissive_complaint <= 0.3 AS gate FROM ch),
+b AS (SELECT *, greatest({case('writer', WRITER_FLOORS, '60.0')}, CASE WHEN gate THEN 72.0 ELSE 0 END) AS flr, pat >= 0.35 OR (writer = 'Analyst' AND ana >= 7) OR (writer = 'Debater' AND ana >= 6.5 AND res >= 13) OR (writer = 'Storyteller' AND cla >= 7 AND fan >= 7)
+OR (writer = 'Passionate Fan' AND fan >= 8 AND res >= 14) OR gate OR (writer IN ('Analyst','Debater') AND ab < 0.08 AND pat >= 0.2 AND qs >= 0.34) OR (writer = 'Storyteller' AND ab < 0.08 AND pat >= 0.2 AND qs >= 0.36 AND cla >= 6) AS trig FROM a),
+c AS (SELECT *, CASE WHEN (ab < 0.12 OR gate) AND trig AND tot < flr THEN flr - tot END AS lift FROM b), e AS (SELECT *, {', '.join(_lifted(k) for k in _short)} FROM c),
+f AS (SELECT *, CASE WHEN lift IS NULL THEN 0 ELSE greatest(0.0, flr - ({' + '.join(f'l_{n}' for n in _short.values())} + pen)) END AS rest FROM e),
+g AS (SELECT *, {', '.join(f'CASE WHEN {e} > 0 THEN round(l_{n} + {e}, 2) ELSE l_{n} END AS z_{n}' for n, e in _adds.items())} FROM f)
+SELECT id, {', '.join(f'round(z_{n}, 3) AS {k}' for k, n in _order)}, round(CASE WHEN lift IS NULL THEN tot ELSE {' + '.join(f'z_{n}' for n in _short.values())} + pen END, 3) AS total FROM g"""
+ORACLES["rescue_layer"] = f"""WITH {CH}, a AS (SELECT *, tm < 0.18 AND ab < 0.08 AS calm, writer <> 'Passionate Fan' AS elig FROM ch),
+b AS (SELECT *, writer = 'Analyst' AND calm AND resp >= 0.65 AND strat >= 0.2 AS g1, calm AND tm < 0.05 AND resp > 0.7 AND (reas >= 0.4 OR depth >= 0.4) AS g2,
+calm AND resp >= 0.65 AND (reas >= 0.08 OR rr >= 1 OR disc >= 0.35 OR ana >= 6.5) AND (sugg >= 0.12 OR depth >= 0.2 OR disc >= 0.4 OR rs >= 2) AND words >= 70 AND sens >= 4 AS g3,
+rc AND sugg < 0.12 AND rs <= 1 AND reas < 0.3 AND rr <= 2 AND disc < 0.25 AS moan FROM a),
+c AS (SELECT *, elig AND (g1 OR g2 OR g3) AND NOT moan AS act FROM b),
+e AS (SELECT *, act AND label = 'SUPPORTIVE_DEFENSE' AND st >= 0.4 AND depth >= 0.3 AND resp >= 0.7 AS fr, act AND (reas >= 0.2 OR rr >= 4) AND depth >= 0.25 AND pat >= 0.15 AND resp >= 0.72 AND tm < 0.12 AS bo FROM c),
+f AS (SELECT *, CASE WHEN act AND g2 THEN round(least(40.0, con + 0.25), 2) ELSE con END AS c1, CASE WHEN act AND g2 THEN round(least(15.0, ana + 0.35), 2) ELSE ana END AS a1 FROM e),
+g AS (SELECT *, CASE WHEN fr THEN round(least(40.0, c1 + 0.2), 2) ELSE c1 END AS c2, CASE WHEN fr THEN round(least(15.0, a1 + 0.15), 2) ELSE a1 END AS a2 FROM f),
+h AS (SELECT *, CASE WHEN fr OR (act AND g2) THEN c2 + res + a2 + cla + fan + pen ELSE tot END AS t2, CASE WHEN bo THEN round(least(40.0, c2 + 2), 2) ELSE c2 END AS c3 FROM g),
+i AS (SELECT *, t2 + CASE WHEN bo THEN 2 ELSE 0 END + CASE WHEN act AND c3 < 24 THEN 24 - c3 ELSE 0 END AS t3, CASE WHEN act THEN greatest(24.0, c3) ELSE c3 END AS c4, CASE WHEN g1 THEN 80.0 WHEN writer IN ('Analyst','Debater') THEN 73.0 ELSE 68.0 END AS fl FROM h)
+SELECT id, round(c4, 3) AS constructiveness, round(res, 3) AS respectfulness, round(a2, 3) AS analytical_tone, round(cla, 3) AS clarity, round(fan, 3) AS fan_sincerity, round(CASE WHEN act THEN greatest(fl, t3) ELSE t3 END, 3) AS total,
+CASE WHEN NOT elig THEN 'writer_not_eligible' WHEN NOT (g1 OR g2 OR g3) THEN 'signal_gate_failed' WHEN moan THEN 'complaint_like_blocked' WHEN fr THEN 'fairness_defense_detected' WHEN g2 THEN 'simple_reasoning_detected' ELSE 'constructive_rescue' END AS rescue_reason,
+act AS rescue_activated, act AND t3 < fl AS rescued_outlier, bo AS analytical_boost_applied FROM i"""
+ORACLES["complaint_and_abuse_caps"] = f"""WITH {CH}, a AS (SELECT *, writer = 'Analyst' AND depth >= 0.4 AND resp >= 0.7 AS deep FROM ch),
+b AS (SELECT *, CASE WHEN deep THEN greatest(24.0, con) ELSE con END AS c1 FROM a), c AS (SELECT *, CASE WHEN deep THEN c1 + res + ana + cla + fan + pen ELSE tot END AS t1 FROM b),
+e AS (SELECT *, CASE WHEN ab < 0.12 AND cc AND reas < 0.1 AND cr <= 1 AND sugg < 0.1 AND (depth < 0.18 OR cs2 = 0) AND disc < 0.2 AND c1 < 18 AND fan < 6 THEN least(58.0, t1) ELSE t1 END AS t2 FROM c),
+f AS (SELECT *, CASE WHEN ab < 0.12 AND cc AND sugg < 0.1 AND ana < 4.5 AND fan < 6 AND cr <= 2 THEN least(60.0, t2) ELSE t2 END AS t3, cc AND reas < 0.1 AND sugg < 0.1 AND depth < 0.2 AND disc < 0.2 AND ab < 0.12 AS mt FROM e),
+g AS (SELECT *, CASE WHEN mt THEN round(c1*0.78, 2) ELSE c1 END AS c2, ab >= 0.2 AND NOT rej AS bad FROM f),
+h AS (SELECT *, CASE WHEN bad THEN least(pen, CASE WHEN ab >= 0.35 THEN -25.0 ELSE -20.0 END) ELSE pen END AS p2, CASE WHEN mt THEN c2 + res + ana + cla + fan + pen ELSE t3 END AS t4 FROM g)
+SELECT id, round(c2, 3) AS constructiveness, round(p2, 3)::DOUBLE AS toxicity_penalty, round(CASE WHEN bad THEN least(35.0, c2 + res + ana + cla + fan + p2) ELSE t4 END, 3) AS total FROM h"""
+ORACLES["sarcasm_penalty"] = f"""WITH {CH}, a AS (SELECT *, CASE WHEN id % 7 <> 3 THEN greatest(20.0, least(95.0, tot + id % 7 - 3)) ELSE tot END AS t1, (id % 11)/10.0 AS sa, (id % 7)/7.0 AS ri, id % 3 = 0 AS mock FROM ch),
+b AS (SELECT *, CASE WHEN (mock OR label IN ('SARCASTIC_CRITICISM','DIRECT_ATTACK','DISMISSIVE_COMPLAINT')) AND label <> 'SUPPORTIVE_DEFENSE' THEN
+greatest(0.0, least(42.0, (12*sa + 9*ri + 7*((id % 5)/5.0) + 7*(id % 2) + 4*((id % 3)/3.0) - 4*((id % 12)/12.0) + CASE WHEN sa >= 0.5 AND ri >= 0.5 THEN 8 ELSE 0 END + CASE WHEN id % 4 = 0 AND mock THEN 6 ELSE 0 END) * (0.8 + 0.4*((id % 16)/16.0)))) ELSE 0 END AS p FROM a),
+c AS (SELECT *, round(greatest(20.0, least(95.0, CASE WHEN p > 0 THEN greatest(0.0, t1 - p) ELSE t1 END)), 2) AS sc FROM b)
+SELECT id, round(round(-p, 2), 2)::DOUBLE AS sarcasm_credibility_penalty, round(CASE WHEN label = 'SUPPORTIVE_DEFENSE' AND st >= 0.25 AND st < 0.4 THEN round(least(82.0, sc + 5*st), 2) ELSE sc END, 2) AS rule_score FROM c"""
+ORACLES["fold_adjustments"] = f"""WITH {CH}, a AS (SELECT *, greatest(20.0, least(95.0, tot)) AS r, (id % 9 - 4)::DOUBLE AS adj, CASE WHEN label IN ('DIRECT_ATTACK','DISMISSIVE_COMPLAINT') THEN least(3.0, id % 22 - 7) ELSE id % 22 - 7 END::DOUBLE AS q FROM ch),
+b AS (SELECT *, CASE WHEN id % 3 = 0 THEN round(greatest(20.0, least(95.0, r + adj)), 2) ELSE r END AS s FROM a)
+SELECT id, round(round(greatest(20.0, least(95.0, s + q)), 2), 2) AS adjusted_score, round(round(q, 2), 2) AS writing_quality_component FROM b"""
+
+
 # --- rounding -------------------------------------------------------------------------------------------------
 
 def half_up(sql: str) -> str:
