@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosegauge.llm import bpe, mixing, neighbours, quality, repetition, secrets
+from prosegauge.llm import bpe, mixing, neighbours, pii, quality, repetition, secrets
 from prosegauge.llm.common import table
 
 
@@ -21,6 +21,11 @@ def op3_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find_personal_data(docs, pii.fit(docs))
+
+
 def op6_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -42,7 +47,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_source_mix, op3_repetition_rules, op6_bpe_roundtrip, op8_quality_classifier,
+    f.__name__: f for f in (op2_source_mix, op3_repetition_rules, op5_personal_data, op6_bpe_roundtrip, op8_quality_classifier,
                             op9_multiprobe_search, op10_secret_scan)
 }
 ORACLES: dict[str, str] = {}
