@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 BLOCK = 2_000_000
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``. Only a local session that names none gets one of its own."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
@@ -30,7 +33,13 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: later steps read it and survive lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/prosegauge-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    # the table replaces the shuffle files that it was made from
+    before = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

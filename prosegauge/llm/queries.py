@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosegauge.llm import bpe, mixing, neighbours, pii, quality, repetition, secrets
+from prosegauge.llm import bpe, jaccard, mixing, neighbours, pii, quality, repetition, secrets
 from prosegauge.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op6_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -47,7 +51,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_source_mix, op3_repetition_rules, op5_personal_data, op6_bpe_roundtrip, op8_quality_classifier,
-                            op9_multiprobe_search, op10_secret_scan)
+    f.__name__: f for f in (op2_source_mix, op3_repetition_rules, op5_personal_data, op6_bpe_roundtrip, op7_jaccard_join,
+                            op8_quality_classifier, op9_multiprobe_search, op10_secret_scan)
 }
 ORACLES: dict[str, str] = {}
