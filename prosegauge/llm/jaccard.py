@@ -7,8 +7,9 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosegauge.llm.common import blocks, mix, saved, span_hashes, text_bytes, words_of
@@ -16,6 +17,8 @@ from prosegauge.llm.graph import components
 
 #: Ratio of the sizes that share a band.
 BAND = 1.4
+#: Most tokens and sets of a block of a family, on average.
+BLOCK_TOKENS, BLOCK_SETS = 1_000_000, 2048
 #: Cost of a chance meeting in a segment, in index rows; and share of sets that may have more empty segments than spared.
 MEETING, SPARED = 50.0, 1e-3
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -157,22 +160,133 @@ def _each_set(docs: DataFrame, words: int, schema: str, make: object) -> DataFra
     return docs.mapInArrow(run, schema)
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs of set ids whose sets link, by exact intersection."""
-    left = sets.select(F.col("set").alias("a"), F.col("tokens").alias("_a"))
-    right = sets.select(F.col("set").alias("b"), F.col("tokens").alias("_b"))
-    both = F.size(F.array_intersect("_a", "_b"))
-    union = F.size("_a") + F.size("_b") - F.col("_both")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "_a", "_b", both.alias("_both")).where(
-        100 * F.col("_both") >= percent * union).select("a", "b")
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Size of the intersection of every left with every right set. Tokens of many sets go through a matrix product,
+    those of few through their pairs of places."""
+    n, m = len(left), len(right)
+    every = np.concatenate([*left, *right]) if n + m else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(n + m), [len(x) for x in (*left, *right)])
+    _, token = np.unique(every, return_inverse=True)
+    on_left = np.bincount(token[owner < n], minlength=token.max(initial=-1) + 1)
+    on_right = np.bincount(token[owner >= n], minlength=len(on_left))
+    out = np.zeros((n, m), np.float32)
+    common = (on_left > 0) & (on_right > 0)
+    dense = np.flatnonzero(common & (on_left * on_right > 1024))
+    column = np.full(len(on_left), -1)
+    column[dense] = np.arange(len(dense))
+    place = column[token]
+    for at in range(0, len(dense), 4096):
+        some = (place >= at) & (place < at + 4096)
+        hot = np.zeros((n + m, min(4096, len(dense) - at)), np.float32)
+        hot[owner[some], place[some] - at] = 1
+        out += hot[:n] @ hot[n:].T
+    rare = (common & (on_left * on_right <= 1024))[token]
+    order = np.argsort(token[rare], kind="stable")
+    t, o = token[rare][order], owner[rare][order]
+    a, b = (t[o < n], o[o < n]), (t[o >= n], o[o >= n] - n)
+    low, high = np.searchsorted(b[0], a[0], "left"), np.searchsorted(b[0], a[0], "right")
+    step = 1 << 22
+    cuts = np.searchsorted(np.cumsum(high - low), np.arange(0, int((high - low).sum()) + step, step))
+    for x, y in zip(cuts[:-1], cuts[1:] + 1, strict=True):
+        x = x + 1 if x else 0
+        times = (high - low)[x:y]
+        if times.sum():
+            to = np.repeat(low[x:y], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            out += np.bincount(np.repeat(a[1][x:y], times) * m + b[1][to], minlength=n * m).reshape(n, m)
+    return out
+
+
+def forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Links of a spanning forest of a symmetric matrix."""
+    out, open_ = [], np.ones(len(linked), bool)
+    while open_.any():
+        edge = [int(np.argmax(open_))]
+        open_[edge[0]] = False
+        while edge:
+            i = edge.pop()
+            new = np.flatnonzero(linked[i] & open_)
+            open_[new] = False
+            out += [(i, int(j)) for j in new]
+            edge += new.tolist()
+    return out
+
+
+def _linked(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    both = shared_counts(left, right)
+    sizes = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])[None, :]
+    return 100 * both >= percent * (sizes - both)
+
+
+def _verified(plan: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that join the sets of each block, or of each two blocks, as far as sets link.
+
+    ``plan``: task, family, i, j (the blocks), side (which of the two), set. A task holds one pair of blocks of a large
+    family or some small families; a set's tokens come to it once.
+    """
+
+    def verify(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (_, i, j), part in rows.groupby(["family", "i", "j"], sort=False):
+            ids, tokens, side = part["set"].to_numpy(), part["tokens"].tolist(), part["side"].to_numpy()
+            if i == j:
+                out += [(ids[a], ids[b]) for a, b in forest(_linked(tokens, tokens, percent))]
+                continue
+            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            if len(left) and len(right):
+                cross = np.zeros((len(ids), len(ids)), bool)
+                cross[np.ix_(left, right)] = _linked([tokens[k] for k in left], [tokens[k] for k in right], percent)
+                out += [(ids[a], ids[b]) for a, b in forest(cross | cross.T)]
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    return plan.join(sets, "set").groupBy("task").applyInPandas(verify, "a long, b long")
+
+
+def _parts(size: Column, rows: Column) -> Column:
+    return F.greatest(F.ceil(size / BLOCK_TOKENS), F.ceil(rows / BLOCK_SETS)).cast("int")
+
+
+def _first_plan(families: DataFrame) -> DataFrame:
+    """Each family in as many blocks as its size asks for; each block with itself. Small families share tasks."""
+    parts = families.groupBy("family").agg(_parts(F.sum("n"), F.count("*")).alias("parts"))
+    tasks = max(1, math.ceil((families.agg(F.sum("n")).first()[0] or 0) / BLOCK_TOKENS))
+    block = F.pmod(F.xxhash64("set"), F.col("parts")).cast("int")
+    return families.join(parts, "family").select(
+        F.when(F.col("parts") > 1, F.xxhash64("family", block)).otherwise(F.pmod(F.xxhash64("family"), F.lit(tasks))).alias("task"),
+        "family", block.alias("i"), block.alias("j"), F.lit(0).alias("side"), "set")
+
+
+def _second_plan(families: DataFrame) -> DataFrame:
+    """Families of more than one block again: blocks hold sets of one large component, or small components whole, and
+    meet unless they are of the same component."""
+    large = families.groupBy("family").agg(_parts(F.sum("n"), F.count("*")).alias("_p"), F.min("root").alias("_l"),
+                                           F.max("root").alias("_h")).where("_p > 1 AND _l != _h").select("family")
+    families = families.join(large, "family", "left_semi")
+    roots = families.groupBy("family", "root").agg(F.sum("n").alias("n"), F.count("*").alias("sets")).withColumn(
+        "parts", _parts(F.col("n"), F.col("sets")))
+    pool = roots.where("parts = 1").groupBy("family").agg(_parts(F.sum("n"), F.sum("sets")).alias("pools"))
+    roots = roots.join(pool, "family", "left").select(
+        "family", "root", "parts", F.when(F.col("parts") > 1, F.col("root")).otherwise(
+            F.pmod(F.xxhash64("root"), F.col("pools"))).alias("pool"), (F.col("parts") > 1).alias("alone"))
+    placed = families.join(roots, ["family", "root"]).select(
+        "family", "set", "pool", "alone", F.when(F.col("alone"), F.pmod(F.xxhash64("set"), F.col("parts"))).otherwise(
+            F.lit(0)).cast("int").alias("part"))
+    blocks_ = placed.select("family", "alone", "pool", "part").distinct().withColumn("block", F.xxhash64("alone", "pool", "part"))
+    one = blocks_.select("family", F.col("block").alias("i"), F.col("alone").alias("_a"), F.col("pool").alias("_p"))
+    two = blocks_.select("family", F.col("block").alias("j"), F.col("alone").alias("_b"), F.col("pool").alias("_q"))
+    meet = one.join(two, "family").where("i < j AND NOT (_a AND _b AND _p = _q) OR i = j AND NOT _a").select("family", "i", "j")
+    placed = placed.select("family", "set", F.xxhash64("alone", "pool", "part").alias("block"))
+    side = lambda k, s: meet.withColumn("block", F.col(k)).join(placed, ["family", "block"]).select(
+        F.xxhash64("family", "i", "j").alias("task"), "family", "i", "j", F.lit(s).alias("side"), "set")
+    return side("i", 0).unionByName(side("j", 1).where("i != j"))
 
 
 def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Documents whose sets of ``words``-word shingles have a Jaccard similarity of ``percent`` or more are linked.
 
-    Equal sets are one node from the start. Sets that link share an index key (see ``allocation``). Of the sets of a key,
-    each is first compared with one of them; after that only sets of one key in different components are.
-    Every candidate is verified on the whole sets.
+    Equal sets are one node from the start. Sets that link share an index key (see ``allocation``); sets joined by keys
+    are a family. Inside families all sets are compared exactly, as matrices of blocks: a family of one block at once, a
+    larger one block by block, and then only blocks of different components with each other. Links leave a task as a
+    spanning forest, so no pairs are listed.
 
     One row for each input row: doc_id, n_shingles, component_id (smallest doc_id reachable by links). Null or empty
     texts and texts without words have n_shingles 0 and are linked with nothing; rows without doc_id get a null
@@ -203,22 +317,15 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     some = docs.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi")
     sets = _each_set(some, words, "set long, tokens array<long>", tokens).join(wanted, "set", "left_semi")
     sets = saved(sets.dropDuplicates(["set"]), "tokens")
-    links = saved(_links(pairs, sets, percent), "links")
+    sizes = every.groupBy("set").agg(F.max("n").alias("n"))
+    families = saved(components(pairs).select(F.col("node").alias("set"), F.col("root").alias("family")).join(sizes, "set"), "families")
+    links = saved(_verified(_first_plan(families), sets, percent), "links")
     roots = saved(components(links), "roots")
-
-    # sets of one key that are still apart and have not been compared
-    placed = members.join(roots, members["set"] == roots["node"], "left").select(
-        "key", "set", "head", F.coalesce("root", "set").alias("root"))
-    apart = placed.where("set != head").groupBy("key").agg(F.min("root").alias("_l"), F.max("root").alias("_h")).where(
-        "_l != _h").select("key")
-    open_ = saved(placed.where("set != head").join(apart, "key", "left_semi"), "open")
-    other = open_.select("key", F.col("set").alias("b"), F.col("root").alias("_b"))
-    more = open_.select("key", F.col("set").alias("a"), F.col("root").alias("_a")).join(other, "key").where(
-        "a < b AND _a != _b").select("a", "b").distinct()
-    late = saved(_links(more, sets, percent), "links")
+    apart = families.join(roots, families["set"] == roots["node"], "left").select(
+        "set", "family", "n", F.coalesce("root", "set").alias("root"))
+    late = saved(_verified(_second_plan(apart), sets, percent), "links")
     if not late.isEmpty():
         roots = saved(components(links.unionByName(late)), "roots")
-
     named = every.join(roots, every["set"] == roots["node"], "left").select(
         "doc_id", "n", F.coalesce("root", "set").alias("root"))
     least = named.where("n > 0 AND doc_id IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
