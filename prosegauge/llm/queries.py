@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosegauge.llm import bpe, jaccard, mixing, neighbours, pii, quality, repetition, secrets
+from prosegauge.llm import bpe, jaccard, mixing, neighbours, pii, quality, repetition, secrets, suffixes
 from prosegauge.llm.common import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), 200)
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), F.array("source")).select(
         "doc_id", "size", "source_size", "target", "taken")
@@ -51,7 +55,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_source_mix, op3_repetition_rules, op5_personal_data, op6_bpe_roundtrip, op7_jaccard_join,
+    f.__name__: f for f in (op1_suffix_dedup, op2_source_mix, op3_repetition_rules, op5_personal_data, op6_bpe_roundtrip, op7_jaccard_join,
                             op8_quality_classifier, op9_multiprobe_search, op10_secret_scan)
 }
 ORACLES: dict[str, str] = {}
