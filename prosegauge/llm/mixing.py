@@ -127,6 +127,11 @@ def mix_sources(docs: DataFrame, members: Column, *, weights: tuple[int, ...] =
     taken = size * repeats. Null or empty texts have size 0 and taken 0. Rows that agree in id and text are taken or left
     together. An empty table gives no rows. Same rows, same result, however they are partitioned.
     """
+    return _mixed(docs, members, weights, most, seed).drop("order")
+
+
+def _mixed(docs: DataFrame, members: Column, weights: tuple[int, ...], most: int, seed: int) -> DataFrame:
+    """``mix_sources`` with the seeded order number of each row."""
     spark = docs.sparkSession
     own = F.coalesce(members, F.array(F.lit(None).cast("string")))
     own = F.array_sort(F.array_distinct(F.when(F.size(own) == 0, F.array(F.lit(None).cast("string"))).otherwise(own)))
@@ -165,11 +170,13 @@ def mix_sources(docs: DataFrame, members: Column, *, weights: tuple[int, ...] =
     more = F.when(F.col("order") == F.col("fit"), F.col("times")).otherwise(F.lit(0))
     repeats = F.when(F.col("size") > 0, used + more).otherwise(F.lit(0))
     return out.select("doc_id", "size", "sources", "source_size", "target", repeats.alias("repeats"),
-                      (F.col("size") * repeats).alias("taken"))
+                      (F.col("size") * repeats).alias("taken"), "order")
 
 
-def mixed_documents(docs: DataFrame, members: Column, **options: object) -> DataFrame:
+def mixed_documents(docs: DataFrame, members: Column, *, weights: tuple[int, ...] = (5, 2, 1), most: int = 3,
+                    seed: int = 7) -> DataFrame:
     """The documents that a mix takes, each as often as it is repeated, with the columns of ``docs``."""
-    taken = mix_sources(docs, members, **options).where("repeats > 0 AND size > 0").select("doc_id", "repeats").distinct()
-    times = taken.select("doc_id", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))).alias("_time"))
-    return docs.join(times, "doc_id").select(*docs.columns)
+    taken = _mixed(docs, members, weights, most, seed).where("repeats > 0").select("order", "repeats").distinct()
+    times = taken.select("order", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("order"))
+    return rows.join(times.select("order"), "order").select("_row.*")

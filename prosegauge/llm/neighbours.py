@@ -17,7 +17,7 @@ from prosegauge.llm.common import mix, saved
 
 #: The fit: so many vectors tell the spread of a hash, and the true neighbours of so many queries set the probes.
 SAMPLE_ROWS, SAMPLE_QUERIES = 2000, 48
-TABLES, BUCKET_ROWS, AIM, MAX_PROBES = 2, 64, 0.97, 4096
+TABLES, BUCKET_ROWS, AIM, MAX_PROBES = 2, 512, 0.96, 128
 #: A bucket over so many vectors or probes is compared in blocks.
 BLOCK_ROWS = 8192
 
@@ -124,7 +124,7 @@ def fit(vectors: DataFrame, queries: DataFrame, k: int, seed: int = 11) -> Index
     The width is 1.8 times the median distance of a k-th neighbour, from the true neighbours of up to
     ``SAMPLE_QUERIES`` queries among all vectors. The number of hashes leaves about ``BUCKET_ROWS`` vectors for a
     bucket at the entropy of a hash over up to ``SAMPLE_ROWS`` vectors. Probes double until the calibration queries
-    find the share ``AIM`` of their true neighbours.
+    find the share ``AIM`` of their true neighbours; if ``MAX_PROBES`` are not enough, there is one hash less.
     """
     pick = lambda df, n: [(r[0], list(r[1])) for r in df.select(
         "vec_id", F.col("embedding").cast("array<double>")).orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(n).collect()]
@@ -146,21 +146,29 @@ def fit(vectors: DataFrame, queries: DataFrame, k: int, seed: int = 11) -> Index
         entropy.append(float(-(p * np.log(p)).sum()))
     hashes = math.ceil(math.log(max(total / BUCKET_ROWS, 2)) / max(np.mean(entropy), 0.25))
     hashes = min(max(hashes, 2), 24)
-    index = Index(draw.normal(size=(TABLES, hashes, dims)), draw.uniform(size=(TABLES, hashes)), width, 1)
-    if pairs:
-        ranks = np.full(len(pairs), MAX_PROBES)
-        for t in range(TABLES):
-            made: dict[bytes, dict[tuple[int, ...], int]] = {}
-            for i, (q, v) in enumerate(pairs):
-                cell, place = index.cells(q[None], t)
-                steps = made.get(q.tobytes())
-                if steps is None:
-                    steps = made[q.tobytes()] = {s: n for n, s in enumerate(index.sequence(place[0], MAX_PROBES))}
-                other, _ = index.cells(v[None], t)
-                ranks[i] = min(ranks[i], steps.get(tuple((other - cell)[0].tolist()), MAX_PROBES))
+    while True:
+        index = Index(draw.normal(size=(TABLES, hashes, dims)), draw.uniform(size=(TABLES, hashes)), width, 1)
+        ranks = _visits(index, pairs)
         while index.probes < MAX_PROBES and (ranks < index.probes).mean() < AIM:
             index.probes *= 2
-    return index
+        if hashes == 1 or (ranks < index.probes).mean() >= AIM:
+            return index
+        hashes -= 1
+
+
+def _visits(index: Index, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """After how many probes each query meets its neighbour, in the better table."""
+    ranks = np.full(max(len(pairs), 1), MAX_PROBES if pairs else 0)
+    for t in range(TABLES):
+        made: dict[bytes, dict[tuple[int, ...], int]] = {}
+        for i, (q, v) in enumerate(pairs):
+            cell, place = index.cells(q[None], t)
+            steps = made.get(q.tobytes())
+            if steps is None:
+                steps = made[q.tobytes()] = {s: n for n, s in enumerate(index.sequence(place[0], MAX_PROBES))}
+            other, _ = index.cells(v[None], t)
+            ranks[i] = min(ranks[i], steps.get(tuple((other - cell)[0].tolist()), MAX_PROBES))
+    return ranks
 
 
 def search(rows: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
