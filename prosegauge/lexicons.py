@@ -155,12 +155,6 @@ LEXICON: dict[str, list[str]] = {
     "tag_quoted": ["people say", "some say", "others believe", "analysts say"],
     "tag_reported": ["analysts", "reports", "people say", "some say", "others believe"],
     "tag_conversational": ["honestly", "really", "you know", "i think", "it feels"],
-    # substrings without which the patterns below cannot match
-    "sarcasm_cues": [
-        "masterclass", "brilliant", "amazing", "fantastic", "legendary", "outstanding", "elite", "visionary", "genius",
-    ],
-    "contrast_cues": ["people say ", "some say ", "others think ", "many argue ", "critics say "],
-    "personal_attack_cues": ["you are", "he is", "they are", "that player is"],
     # --- constructiveness and discourse -------------------------------------
     "reasoning": [
         "because", "since", "if", "then", "therefore", "which means", "this shows", "this suggests", "as a result",

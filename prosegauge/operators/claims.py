@@ -9,10 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from prosegauge.functions import numeric as nu, text as tx
 from prosegauge.lexicons import WRITER_TYPES
 from prosegauge.operators.facts import MEASURES, chosen_statistic, measure_sums
-from prosegauge.operators.scale import join_null_safe, top_per_group
+from prosegauge.operators.scale import join_null_safe, top_by_own_limit
 from prosegauge.session import checkpointed
 
-WINDOW_LIMIT = 999  # a window size has at most three digits, so this many newest rows decide every claim
 FILTERS = ["window_size", "season", "year_lo", "year_hi", "opposition", "venue"]
 ATTRIBUTES = ["stat_type", "window_type", *FILTERS, "claimed_value"]
 S = tx.WS
@@ -197,9 +196,9 @@ def computed_values(claims: DataFrame, facts: DataFrame, salts: int = 16) -> Dat
 
     Claims repeat the same question, so only distinct (player, filters) meet the
     facts. Questions without a window are answered from facts that are summed
-    per (player, season, year, opposition, venue) first; windowed ones keep at
-    most 999 newest rows per question. The joins are salted, as one player may
-    own a third of the facts.
+    per (player, season, year, opposition, venue) first; windowed ones keep as
+    many newest rows per question as its window has. The joins are salted, as one
+    player may own a third of the facts.
     """
     asked = claims.select("player", *FILTERS, F.coalesce(
         (F.col("window_size") > 0), F.lit(False)).alias("_windowed")).distinct()
@@ -226,9 +225,9 @@ def computed_values(claims: DataFrame, facts: DataFrame, salts: int = 16) -> Dat
                  F.xxhash64(*groups)).select("_q", *MEASURES).groupBy("_q").agg(*measure_sums())
     rows = meet(facts, asked.filter("_windowed"), F.xxhash64("match_id")).select(
         "_q", "window_size", "match_date", "match_id", *MEASURES)
-    newest = top_per_group(rows, ["_q"], [F.desc_nulls_last("match_date"), F.asc("match_id")], WINDOW_LIMIT,
-                           ["match_id"])
-    windowed = newest.filter(F.col("_rank") <= F.col("window_size")).groupBy("_q").agg(*measure_sums())
+    newest = top_by_own_limit(rows, ["_q"], [F.desc_nulls_last("match_date"), F.asc("match_id")], "window_size",
+                              ["match_id"])
+    windowed = newest.groupBy("_q").agg(*measure_sums())
     answers = asked.select("player", *FILTERS, "_q").join(plain.unionByName(windowed), "_q").drop("_q")
     return (join_null_safe(claims, answers, ["player", *FILTERS], "left")
             .withColumn("computed_value", chosen_statistic(F.col("stat_type"))).drop(*MEASURES))

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,10 +10,10 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from prosegauge.functions import numeric as nu
 from prosegauge.functions.numeric import ratio, unit
-from prosegauge.operators.scale import top_per_group
 
 c = F.col
-BLOCK_ROWS = 2048
+#: Most labelled rows of a bank that tasks hold.
+BANK_ROWS = 100_000
 
 
 # --- reports ------------------------------------------------------------------------
@@ -187,10 +186,16 @@ def repair_counts(df: DataFrame) -> DataFrame:
 
 # --- centroids and neighbours ------------------------------------------------------------
 
-def label_means(samples: DataFrame, dim: int, label: str = "label", vec: str = "embedding") -> DataFrame:
-    """Count and component sums per label: one map-side aggregate, vectors are not exploded."""
-    sums = [F.sum(F.get(c(vec), F.lit(i)).cast("double")) for i in range(dim)]
-    return samples.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.array(*sums).alias("vec_sum"))
+def label_means(samples: DataFrame, label: str = "label", vec: str = "embedding") -> DataFrame:
+    """Count and component sums per label, of vectors of any one length; unequal lengths in a label are an error.
+
+    Components are summed map-side, so a label of any size leaves a task as one row per component.
+    """
+    parts = samples.select(label, F.posexplode(F.col(vec).cast("array<double>")).alias("_at", "_x")).groupBy(
+        label, "_at").agg(F.sum("_x").alias("_s"), F.count(F.lit(1)).alias("_n"))
+    sums = F.transform(F.array_sort(F.collect_list(F.struct("_at", "_s"))), lambda e: e["_s"])
+    same = F.when(F.min("_n") != F.max("_n"), F.raise_error(F.lit("vectors of unequal length"))).otherwise(sums)
+    return parts.groupBy(label).agg(F.max("_n").alias("n"), same.alias("vec_sum"))
 
 
 def _unit_vector(v: Column) -> Column:
@@ -198,9 +203,9 @@ def _unit_vector(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(length > 0, x / length).otherwise(x))
 
 
-def label_centroids(samples: DataFrame, dim: int, label: str = "label", vec: str = "embedding",
+def label_centroids(samples: DataFrame, label: str = "label", vec: str = "embedding",
                     unit_length: bool = True) -> DataFrame:
-    means = label_means(samples, dim, label, vec)
+    means = label_means(samples, label, vec)
     mean = F.transform("vec_sum", lambda x: x / c("n"))
     plain = means.select(label, "n", mean.alias("centroid"))
     return plain.withColumn("centroid", _unit_vector(c("centroid"))) if unit_length else plain
@@ -230,51 +235,45 @@ def centroid_scores(queries: DataFrame, centroids: DataFrame, key: str = "id", l
 
 
 def nearest(queries: DataFrame, samples: DataFrame, k: int, key: str = "id", label: str = "label",
-            vec: str = "embedding", leave_one_out: bool = False, digits: int = 9,
-            block_rows: int = BLOCK_ROWS) -> DataFrame:
+            vec: str = "embedding", leave_one_out: bool = False, digits: int = 9) -> DataFrame:
     """Exact ``k`` nearest samples of every query by dot product: (key, rank, sample_id, label, sim).
 
-    Both sides are cut into blocks of bounded size. Each (query block, sample
-    block) cell is one matrix product in one task and sends on only the best k
-    per query; the cells' results are then merged. Any number of samples works,
-    and nothing is collected or broadcast.
+    The samples are a fitted bank of at most ``BANK_ROWS`` labelled rows (more are an error). Tasks hold the bank and
+    score their queries in batches, so no vector is shuffled and the work is the queries' rows times the bank. Ties go
+    to the smaller sample id; a pair without a finite similarity is no neighbour. NULL vectors take no part.
     """
-    cores = queries.sparkSession.sparkContext.defaultParallelism
-    n_q, n_s = queries.count(), samples.count()
-    q_blocks = max(math.ceil(n_q / block_rows), min(cores, math.ceil(n_q / 64)), 1)
-    s_blocks = max(math.ceil(n_s / block_rows), 1)
-
-    def block(col: str, n: int) -> Column:
-        return F.pmod(F.xxhash64(c(col)), F.lit(n)).cast("int")
-
-    q = queries.select(c(key).alias("qid"), c(vec).cast("array<double>").alias("v"),
-                       block(key, q_blocks).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(s_blocks - 1))).alias("sb"))
-    s = samples.select(c(key).alias("sid"), c(label).alias("lab"), c(vec).cast("array<double>").alias("v"),
-                       block(key, s_blocks).alias("sb"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
-    id_type, sid_type = q.schema["qid"].dataType, s.schema["sid"].dataType
-    out = T.StructType([T.StructField("qid", id_type), T.StructField("sid", sid_type),
-                        T.StructField("lab", s.schema["lab"].dataType), T.StructField("sim", T.DoubleType())])
-
-    def cell(qs: pd.DataFrame, ss: pd.DataFrame) -> pd.DataFrame:
-        if qs.empty or ss.empty:
-            return pd.DataFrame({f.name: [] for f in out.fields})
-        ss = ss.sort_values("sid", kind="stable")
-        sims = np.round(np.vstack(qs["v"].to_numpy()) @ np.vstack(ss["v"].to_numpy()).T, digits)
-        sids, labs = ss["sid"].to_numpy(), ss["lab"].to_numpy()
-        if leave_one_out:
-            sims[qs["qid"].to_numpy()[:, None] == sids[None, :]] = -np.inf
-        # stable sort on ids that are already ordered: ties go to the smaller id
-        best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(qs)), best.shape[1])
-        flat = best.ravel()
-        frame = pd.DataFrame({"qid": qs["qid"].to_numpy()[rows], "sid": sids[flat], "lab": labs[flat],
-                              "sim": sims[rows, flat]})
-        return frame[np.isfinite(frame["sim"])]
-
-    cells = q.groupBy("qb", "sb").cogroup(s.groupBy("qb", "sb")).applyInPandas(cell, out)
-    # at most k rows per sample block are left for each query
-    merged = top_per_group(cells, ["qid"], [c("sim").desc(), c("sid").asc()], k, ["sid"], rank="rank")
-    return merged.select(c("qid").alias(key), "rank", c("sid").alias("sample_id"), c("lab").alias(label), "sim")
+    spark = queries.sparkSession
+    bank = samples.filter(c(vec).isNotNull()).select(key, label, c(vec).cast("array<double>").alias(vec)).limit(
+        BANK_ROWS + 1).collect()
+    if len(bank) > BANK_ROWS:
+        raise ValueError(f"more than {BANK_ROWS} samples")
+    bank.sort(key=lambda r: r[0])
+    held = spark.sparkContext.broadcast((
+        np.array([r[0] for r in bank]), np.array([r[1] for r in bank]),
+        np.array([r[2] for r in bank]).reshape(len(bank), -1)))
+    out = T.StructType([T.StructField(key, queries.schema[key].dataType), T.StructField("rank", T.IntegerType()),
+                        T.StructField("sample_id", samples.schema[key].dataType),
+                        T.StructField(label, samples.schema[label].dataType), T.StructField("sim", T.DoubleType())])
+
+    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, labels, vectors = held.value
+        for frame in frames:
+            for at in range(0, len(frame) if len(ids) else 0, 256):
+                some = frame.iloc[at: at + 256]
+                sims = np.round(np.vstack(some[vec].to_numpy()) @ vectors.T, digits)
+                sims[~np.isfinite(sims)] = -np.inf
+                if leave_one_out:
+                    sims[some[key].to_numpy()[:, None] == ids[None, :]] = -np.inf
+                for own, row in zip(some[key], sims):
+                    n = min(k, len(ids))
+                    best = np.flatnonzero(row >= np.partition(row, len(ids) - n)[len(ids) - n])
+                    best = best[np.isfinite(row[best])]
+                    best = best[np.argsort(-row[best], kind="stable")][:n]
+                    yield pd.DataFrame({key: own, "rank": np.arange(1, len(best) + 1), "sample_id": ids[best],
+                                        label: labels[best], "sim": row[best]})
+
+    scored = queries.filter(c(vec).isNotNull()).select(key, c(vec).cast("array<double>").alias(vec))
+    return scored.mapInPandas(score, out)
 
 
 def knn_label_votes(queries: DataFrame, samples: DataFrame, k: int = 16, key: str = "id", label: str = "label",
@@ -284,14 +283,14 @@ def knn_label_votes(queries: DataFrame, samples: DataFrame, k: int = 16, key: st
     return near.groupBy(key, label).agg(F.sum(F.pow(F.greatest(F.lit(0.0), c("sim")), F.lit(2.0))).alias("votes"))
 
 
-def loo_label_scores(samples: DataFrame, dim: int, k: int = 16, key: str = "id", label: str = "label",
+def loo_label_scores(samples: DataFrame, k: int = 16, key: str = "id", label: str = "label",
                      vec: str = "embedding") -> DataFrame:
     """Label probabilities of every sample without itself: neighbour votes + centroid scores.
 
     The centroid of a sample's own label is (sum - x) / (n - 1): label sums are
     made once instead of n times.
     """
-    packed = label_means(samples, dim, label, vec).agg(
+    packed = label_means(samples, label, vec).agg(
         F.array_sort(F.collect_list(F.struct(label, "n", "vec_sum"))).alias("all")).scalar()
 
     def sim(e: Column) -> Column:

@@ -60,7 +60,7 @@ def match_info(log: DataFrame) -> DataFrame:
     """One row per match: the two teams in file order, date, year, season, venue. Later rows win."""
     info = log.filter((F.col("c0") == "info") & F.col("c1").isin("team", "date", "season", "venue"))
     # only team rows need an order among themselves; a match has two of them
-    teams = top_per_group(info.filter(F.col("c1") == "team"), ["match_id"], [F.col("row_order")], 2, ["row_order"])
+    teams = top_per_group(info.filter(F.col("c1") == "team"), ["match_id"], [F.col("row_order")], 2)
     sides = teams.groupBy("match_id").agg(*[
         F.max(F.when(F.col("_rank") == i, normalize_team(F.col("c2")))).alias(n)
         for i, n in ((1, "team_a"), (2, "team_b"))])
@@ -172,8 +172,7 @@ def last_n(rows: DataFrame, n: int, by: Sequence[str] = ("player",)) -> DataFram
     """Newest ``n`` matches per player (``n`` = 0: all). Equal dates go by match id."""
     if n == 0:
         return rows
-    return top_per_group(rows, by, [F.desc_nulls_last("match_date"), F.asc("match_id")], max(1, n),
-                         ["match_id"]).drop("_rank")
+    return top_per_group(rows, by, [F.desc_nulls_last("match_date"), F.asc("match_id")], max(1, n)).drop("_rank")
 
 
 def this_season_stats(rows: DataFrame, by: Sequence[str] = ("player",)) -> DataFrame:

@@ -80,21 +80,26 @@ def group_rank(df: DataFrame, group: str, order: str, upto: int | None = None, d
 def first_rows(df: DataFrame, keys: Sequence[Column], order: Sequence[Column]) -> DataFrame:
     """First row per key. Copies are folded map-side, so a group of any size is safe."""
     row = F.struct(*[F.col(c) for c in df.columns])
-    key = F.sha2(F.concat_ws("\u0001", *[F.coalesce(k.cast("string"), F.lit("\u0000")) for k in keys]), 256)
+    # JSON keeps the values apart, and NULL from every text
+    key = F.sha2(F.to_json(F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]), {"ignoreNullFields": "false"}), 256)
     return df.groupBy(key.alias("_key")).agg(F.min_by(row, F.struct(*order)).alias("_row")).select("_row.*")
 
 
-def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, unique: Sequence[str],
-                  rank: str = "_rank", salts: int = 32) -> DataFrame:
-    """Best ``k`` rows per group. ``unique`` names the columns that tell rows of a group apart.
+def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
+                  rank: str = "_rank") -> DataFrame:
+    """Best ``k`` rows per group. Spark's own group limit cuts every group to ``k`` rows in each task before the shuffle."""
+    return df.withColumn(rank, F.row_number().over(W.partitionBy(*group).orderBy(*order))).filter(F.col(rank) <= k)
 
-    For small ``k`` Spark's own group limit cuts every group map-side. For large
-    ``k`` rows are cut per (group, salt) first, so a hot group reaches its last
-    task as ``salts * k`` rows.
+
+def top_by_own_limit(df: DataFrame, group: Sequence[str], order: Sequence[Column], limit: str, unique: Sequence[str],
+                     salts: int = 32) -> DataFrame:
+    """Best rows per group, as many as the group's column ``limit`` says (the same in all its rows; any size).
+
+    Rows are cut per (group, salt) first, so a hot group reaches its last task as ``salts * limit`` rows. ``unique``
+    names the columns that tell rows of a group apart.
     """
-    final = W.partitionBy(*group).orderBy(*order)
-    if k > 100:
-        first = W.partitionBy(*group, "_salt").orderBy(*order)
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*unique), F.lit(salts)))
-        df = salted.withColumn(rank, F.row_number().over(first)).filter(F.col(rank) <= k).drop("_salt", rank)
-    return df.withColumn(rank, F.row_number().over(final)).filter(F.col(rank) <= k)
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*unique), F.lit(salts)))
+    for keys in ([*group, "_salt"], group):
+        salted = salted.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(
+            F.col("_rank") <= F.col(limit))
+    return salted.drop("_salt")

@@ -59,7 +59,7 @@ def like_minded_writers(writers: DataFrame, users: DataFrame, topic: str | None
     cands = pool.join(active, "user_id").withColumns({
         "_set": F.array_sort(F.array_distinct("primary_topics")), "_liked": liked})
     bucket = ["_set", "_liked"]
-    leaders = top_per_group(cands, bucket, _ranking(), k + 1, ["user_id"]).drop("_rank")
+    leaders = top_per_group(cands, bucket, _ranking(), k + 1).drop("_rank")
 
     asked = (targets if targets is not None else writers.select("user_id")).select("user_id").distinct()
     own = join_null_safe(asked, pool.select("user_id", "primary_topics"), ["user_id"], "left")
@@ -78,9 +78,9 @@ def like_minded_writers(writers: DataFrame, users: DataFrame, topic: str | None
         F.size(F.array_intersect("_want_set", "_set")))
     scored = met.withColumn("match_score", 2 * shared + c("_liked").cast("int")).filter("match_score > 0")
     ranked = scored.join(leaders, bucket)
-    best = top_per_group(ranked, ["_want_set"], [c("match_score").desc(), *_ranking()], k + 1, ["user_id"])
+    best = top_per_group(ranked, ["_want_set"], [c("match_score").desc(), *_ranking()], k + 1)
     page = own.join(best.drop("_rank"), "_want_set").filter(c("user_id") != c("target_id"))
-    final = top_per_group(page, ["target_id"], [c("match_score").desc(), *_ranking()], k, ["user_id"], rank="place")
+    final = top_per_group(page, ["target_id"], [c("match_score").desc(), *_ranking()], k, rank="place")
     shared_topics = F.when(F.size("_want") == 0, c("primary_topics")).otherwise(
         F.filter("_want", lambda t: F.array_contains(c("primary_topics"), t)))
     reason = F.concat_ws("; ", F.when(F.size("shared_topics") > 0, F.concat(
@@ -101,12 +101,12 @@ def discover_communities(writers: DataFrame, communities: DataFrame, k: int = 10
     by_size = [c("member_count").desc(), c("id").asc()]
     slim = public.select("id", "name", "member_count", F.explode(F.array_distinct(F.array_compact(F.concat(
         F.array("primary_topic"), _topics(public, "secondary_topics"))))).alias("_t"))
-    leaders = top_per_group(slim, ["_t"], by_size, k, ["id"]).drop("_rank")
+    leaders = top_per_group(slim, ["_t"], by_size, k).drop("_rank")
     asked = writers.select("user_id", F.array_sort(F.array_distinct(F.slice(
         _topics(writers, "primary_topics"), 1, 3))).alias("_set"))
     sets = asked.select("_set").distinct()
     matched = sets.select("_set", F.explode("_set").alias("_t")).join(leaders, "_t").drop("_t").distinct()
-    lists = top_per_group(matched, ["_set"], by_size, k, ["id"], rank="place")
+    lists = top_per_group(matched, ["_set"], by_size, k, rank="place")
     newest = (public.orderBy(c("created_at").desc(), c("id")).limit(k)
               .select(F.struct("created_at", "id", "name", "member_count").alias("e")))
     # k rows at most: numbered as one array, attached to the single empty topic set

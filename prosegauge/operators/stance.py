@@ -63,10 +63,8 @@ def with_sarcasm(df: DataFrame, lex: Lex = LEXICON, lowered: str = "_lower") ->
         "_mismatch": tx.contains_any(low, lex["sarcasm_mismatch"]),
         "_delayed": tx.contains_any(low, lex["sarcasm_delayed"]),
         "_apparently": low.contains("apparently"),
-        "_cued": tx.contains_any(low, lex["sarcasm_cues"]),
     })
-    # a pattern is tried only where one of its opening words occurs
-    cues = cues.withColumn("_praise_fails", c("_cued") & tx.regex_any(low, PATTERNS["praise_mismatch"]))
+    cues = cues.withColumn("_praise_fails", tx.regex_any(low, PATTERNS["praise_mismatch"]))
 
     def count(*conds: Column) -> Column:
         return total([x.cast("int") for x in conds])
@@ -75,8 +73,8 @@ def with_sarcasm(df: DataFrame, lex: Lex = LEXICON, lowered: str = "_lower") ->
         "exaggeration_score": F.least(F.lit(1.0), count(
             c("_metaphor"), c("_absurd"), tx.contains_any(low, lex["sarcasm_grief"])) / 2.0),
         "contradiction_score": F.least(F.lit(1.0), count(
-            c("_praise_fails"), c("_cued") & tx.regex_any(low, PATTERNS["praise_contradiction"]),
-            c("_cued") & tx.regex_any(low, PATTERNS["mocking_tail"]), c("_praise") & low.contains("?"),
+            c("_praise_fails"), tx.regex_any(low, PATTERNS["praise_contradiction"]),
+            tx.regex_any(low, PATTERNS["mocking_tail"]), c("_praise") & low.contains("?"),
             c("_praise") & c("_apparently"), c("_praise") & c("_mismatch")) / 2.0),
         "context_mismatch_score": (c("_praise") & (c("_mismatch") | c("_metaphor") | c("_absurd")
                                                    | c("_apparently"))).cast("double"),
@@ -87,7 +85,7 @@ def with_sarcasm(df: DataFrame, lex: Lex = LEXICON, lowered: str = "_lower") ->
     scored = features.withColumn("sarcasm_score", unit(
         0.2 * c("exaggeration_score") + 0.3 * c("contradiction_score") + 0.2 * c("context_mismatch_score")
         + 0.2 * c("mocking_praise_score") + 0.1 * c("delayed_negative_score")))
-    return scored.drop("_metaphor", "_absurd", "_praise", "_mismatch", "_delayed", "_apparently", "_praise_fails", "_cued")
+    return scored.drop("_metaphor", "_absurd", "_praise", "_mismatch", "_delayed", "_apparently", "_praise_fails")
 
 
 def sarcasm(paras: DataFrame, lex: Lex = LEXICON, keep: Sequence[str] = KEYS) -> DataFrame:
@@ -134,8 +132,7 @@ def with_quotes(df: DataFrame, lex: Lex = LEXICON, lowered: str = "_lower") -> D
     low, c = F.col(lowered), F.col
     found = df.withColumns({
         "quoted_attack_detected": tx.contains_any(low, lex["quote_context"]) & tx.contains_any(low, lex["attack"]),
-        "contrast_rejection_detected": tx.contains_any(low, lex["contrast_cues"])
-        & tx.regex_any(low, PATTERNS["contrast_rejection"]),
+        "contrast_rejection_detected": tx.regex_any(low, PATTERNS["contrast_rejection"]),
     })
     said = low.contains("people say")
     rejects = tx.contains_any(low, lex["rejection"]) | (said & tx.regex_any(low, PATTERNS["rejection_structure"]))

@@ -231,7 +231,7 @@ def topic_affinity(submissions: DataFrame, communities: DataFrame, user: str = "
         F.min(F.struct(ts, key)).alias("_at"))
     topics = sighted.join(listed, "community_id").select(user, "_at", F.posexplode("_topics").alias("_pos", "topic"))
     first = topics.groupBy(user, "topic").agg(F.min(F.struct("_at", "_pos")).alias("_first"))
-    best = top_per_group(first, [user], [c("_first").asc()], keep, ["topic"])
+    best = top_per_group(first, [user], [c("_first").asc()], keep)
     # at most ``keep`` rows per user are left to collect
     return best.groupBy(user).agg(F.transform(
         F.array_sort(F.collect_list(F.struct("_rank", "topic"))), lambda e: e["topic"]).alias("primary_topics"))

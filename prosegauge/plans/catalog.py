@@ -649,14 +649,14 @@ def writer_distribution(s, d):
 
 @query
 def label_centroids(s, d):
-    out = ev.label_centroids(dm.vectors(s, d), 64)
+    out = ev.label_centroids(dm.vectors(s, d))
     return out.select("label", "n", F.posexplode("centroid").alias("dim", "x")).withColumn("x", r6(c("x")))
 
 
 @query
 def centroid_scores(s, d):
     v = dm.vectors(s, d)
-    return rounded(ev.centroid_scores(v, ev.label_centroids(v, 64)), 5)
+    return rounded(ev.centroid_scores(v, ev.label_centroids(v)), 5)
 
 
 @query
@@ -667,7 +667,7 @@ def knn_votes(s, d):
 
 @query
 def loo_scores(s, d):
-    return rounded(ev.loo_label_scores(dm.vectors(s, d), 64).drop("predicted"), 3)
+    return rounded(ev.loo_label_scores(dm.vectors(s, d)).drop("predicted"), 3)
 
 
 @query

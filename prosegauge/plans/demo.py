@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from prosegauge.lexicons import LEXICON
 from prosegauge.session import configure
-from prosegauge.sources.readers import spread
 
 c = F.col
 SEP = "\n"
@@ -30,7 +29,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return table(spark, d, "documents").select("doc_id", "text")
 
 
 def turns(spark: SparkSession, d: str) -> DataFrame:
@@ -49,8 +48,8 @@ def player_name(n: Column) -> Column:
 
 def ball_log(spark: SparkSession, d: str) -> DataFrame:
     """A raw match log: orders are matches, lineitem rows are deliveries and squad entries."""
-    li = spread(table(spark, d, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag"), "l_orderkey")
+    li = table(spark, d, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag")
     out = F.when(c("l_returnflag").isin("R", "A"), player_name(c("l_suppkey"))).otherwise("")
     kind = (F.when(c("l_returnflag") == "R", "bowled")
             .when((c("l_returnflag") == "A") & (c("l_linenumber") > 3), "run out")
@@ -71,7 +70,7 @@ def ball_log(spark: SparkSession, d: str) -> DataFrame:
     side = F.pmod(c("l_orderkey") + c("l_linenumber") % 2, F.lit(5))
     log = balls.unionByName(rows(li, "l_orderkey", 10 + c("l_linenumber"), c0=F.lit("info"), c1=F.lit("player"),
                                  c2=F.concat(F.lit("T"), letters(side)), c3=player_name(c("l_suppkey"))))
-    orders = spread(table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority"), "o_orderkey")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
     year = (F.year("o_orderdate") + 28).cast("string")
     heads = [
         ("team", F.concat(F.lit("T"), letters(F.pmod(c("o_orderkey"), F.lit(5)))), 0),

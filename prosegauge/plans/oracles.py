@@ -293,16 +293,14 @@ CASE WHEN fn+tp > 0 THEN round(fn*100.0::DOUBLE/(fn+tp), 2) ELSE 0.0 END AS fn_p
 _attacks = " + ".join(f"regexp_matches(al, '\\b{p}\\b')::INT" for p in ("you are", "he is", "they are", "that player is"))
 
 
-def gated_attacks(cues: Sequence[str]) -> str:
-    return " + ".join(f"(contains(low, {q(cue)}) AND regexp_matches({ASCII.format(x='low')}, '\\b{p}\\b'))::INT"
-                      for cue, p in zip(cues, ("you are", "he is", "they are", "that player is")))
+ATTACKS = " + ".join(f"regexp_matches({ASCII.format(x='low')}, '\\b{p}\\b')::INT" for p in ("you are", "he is", "they are", "that player is"))
 
 
-def abuse(words: Sequence[str], cues: Sequence[str]) -> str:
-    return unit(f"0.7 * ({hits('low', words)} / {float(len(words))}) + 0.3 * least(1.0, ({gated_attacks(cues)}) / 2.0)")
+def abuse(words: Sequence[str]) -> str:
+    return unit(f"0.7 * ({hits('low', words)} / {float(len(words))}) + 0.3 * least(1.0, ({ATTACKS}) / 2.0)")
 
 
-ORACLES["toxicity"] = f"""WITH {LOWP}, a AS (SELECT doc_id, para_ix, {abuse(ABUSE, D['personal_attack_cues'])}::DOUBLE AS v FROM lp)
+ORACLES["toxicity"] = f"""WITH {LOWP}, a AS (SELECT doc_id, para_ix, {abuse(ABUSE)}::DOUBLE AS v FROM lp)
 SELECT doc_id, para_ix, 0.0::DOUBLE AS model_toxicity, round(v, 6) AS abuse_signal, round(least(1.0, 0.75*v)::DOUBLE, 6) AS effective_toxicity, 0.0::DOUBLE AS negativity FROM a"""
 _arc = f"({anyof('low', D['discourse_events'])} AND {anyof('low', D['discourse_interpretation'])} AND {anyof('low', D['discourse_impact'])})::INT"
 DISC = (f"CASE WHEN len(ss) > 0 THEN {unit(f'0.3*{score("low", D["discourse_contrast"], 2.0)} + 0.2*{score("low", D["discourse_frames"], 2.0)} + 0.35*{_arc} + 0.15*{unit("(len(ss)-3)/4.0")}')} ELSE 0.0 END")
@@ -330,7 +328,7 @@ def kwr(words: Sequence[str]) -> str:
 
 
 ORACLES["paragraph_components"] = f"""WITH {LOWP}, {CONSTR_CTE},
-p1 AS (SELECT *, {toks('text')} AS t, ({abuse(D['abuse_words'], D['personal_attack_cues'])})::DOUBLE AS ab FROM cs),
+p1 AS (SELECT *, {toks('text')} AS t, ({abuse(D['abuse_words'])})::DOUBLE AS ab FROM cs),
 p2 AS (SELECT *, least(1.0, 0.75*ab) AS tox, {clear('len(t)', 'len(ss)', 'low')} AS clar,
 {unit(f'0.48*{unit(f"14.0*{kwr(D['analytical_reasoning_terms'] + D['analytical_terms'])}")} + 0.24*{unit(f"2.2*({hits('low', D['analytical_phrases'])}/{float(len(D['analytical_phrases']))})")} + 0.28*strategic_score')} AS ana,
 {unit(f"1.2*({hits('low', D['debate_terms'])}/{float(len(D['debate_terms']))})")} AS dbal,
@@ -367,8 +365,8 @@ _P2 = "(visionary|brilliant|amazing|masterclass).{0,80}(but|until|except|while).
 _P3 = "(visionary|genius|masterclass).{0,30}really"
 SARC = f"""s1 AS (SELECT *, {anyof('low', D['sarcasm_metaphors'])} AS meta, {anyof('low', D['sarcasm_comparisons'])} AS absurd, {anyof('low', D['sarcasm_praise'])} AS praise,
 {anyof('low', D['sarcasm_mismatch'])} AS mism, {anyof('low', D['sarcasm_delayed'])} AS delayed, contains(low, 'apparently') AS appa,
-({anyof('low', D['sarcasm_cues'])} AND regexp_matches(low, '{_P1}')) AS fails, ({anyof('low', D['sarcasm_cues'])} AND regexp_matches(low, '{_P2}')) AS contra,
-({anyof('low', D['sarcasm_cues'])} AND regexp_matches(low, '{_P3}')) AS tail, {anyof('low', D['sarcasm_grief'])} AS grief FROM lp),
+regexp_matches(low, '{_P1}') AS fails, regexp_matches(low, '{_P2}') AS contra,
+regexp_matches(low, '{_P3}') AS tail, {anyof('low', D['sarcasm_grief'])} AS grief FROM lp),
 s2 AS (SELECT *, least(1.0, (meta::INT + absurd::INT + grief::INT)/2.0)::DOUBLE AS exaggeration_score,
 least(1.0, (fails::INT + contra::INT + tail::INT + (praise AND contains(low,'?'))::INT + (praise AND appa)::INT + (praise AND mism)::INT)/2.0)::DOUBLE AS contradiction_score,
 (praise AND (mism OR meta OR absurd OR appa))::INT::DOUBLE AS context_mismatch_score,
@@ -400,7 +398,7 @@ def quotes(src: str) -> str:
     rej = " OR ".join(f"regexp_matches(low, {q(p)})" for p in (
         "people say .+ but", "some say .+ but", "others think .+ but", "many argue .+ however", "critics say .+ but"))
     return f"""q1 AS (SELECT *, ({anyof('low', D['quote_context'])} AND {anyof('low', D['attack'])}) AS quoted_attack_detected,
-({anyof('low', D['contrast_cues'])} AND ({rej})) AS contrast_rejection_detected FROM {src}),
+({rej}) AS contrast_rejection_detected FROM {src}),
 q2 AS (SELECT *, quoted_attack_detected AND ({anyof('low', D['rejection'])} OR regexp_matches(low, 'people say.*(but|however|instead|rather|actually).*(wrong|unfair|incorrect)')) AS attack_rejection_detected,
 quoted_attack_detected AND ({anyof('low', D['endorsement'])} OR regexp_matches(low, 'people say .* and (they are|that''s) right')) AS attack_endorsement_detected FROM q1)"""
 

@@ -71,11 +71,3 @@ def read_table(spark: SparkSession, name: str, root: str | None = None, url: str
                     "upperBound": str(bounds[1]), "numPartitions": str(partitions)}
     return spark.read.format("jdbc").options(**options).load()
 
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use every core on a small input that arrives in few splits; a large input stays as it is.
-
-    Partitioning by the row key also serves the later grouping by that key.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

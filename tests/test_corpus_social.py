@@ -204,14 +204,14 @@ def test_neighbours_against_brute_force(frame):
     vecs = [(i, [rnd.gauss(0, 1) for _ in range(8)], i % 3) for i in range(70)]
     df = frame(vecs, "id bigint, embedding array<float>, label int")
     got: dict = {}
-    near = ev.nearest(df, df, 5, leave_one_out=True, block_rows=32)
+    near = ev.nearest(df, df, 5, leave_one_out=True)
     for r in near.orderBy("id", "rank").collect():
         got.setdefault(r.id, []).append(r.sample_id)
     exact = {r.id: r.embedding for r in df.collect()}
     for i, v in exact.items():
         sims = sorted((-round(sum(a * b for a, b in zip(v, w)), 9), j) for j, w in exact.items() if j != i)
         assert got[i] == [j for _, j in sims[:5]]
-    c = ev.label_centroids(df, 8).collect()
+    c = ev.label_centroids(df).collect()
     assert len(c) == 3 and all(sum(x * x for x in r.centroid) == pytest.approx(1.0) for r in c)
-    p = ev.loo_label_scores(df, 8, 5).groupBy("id").agg(F.sum("probability").alias("s")).collect()
+    p = ev.loo_label_scores(df, 5).groupBy("id").agg(F.sum("probability").alias("s")).collect()
     assert all(abs(r.s - 1) < 1e-3 for r in p)
