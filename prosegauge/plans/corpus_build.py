@@ -11,6 +11,7 @@ from prosegauge.lexicons import LEXICON
 from prosegauge.operators.clean import clean_texts
 from prosegauge.operators.corpus import estimate_bands, stratified_split
 from prosegauge.plans.score_documents import apply_rules, document_signals
+from prosegauge.session import checkpointed
 
 
 def build_corpus(raw: DataFrame, scores: DataFrame | None = None, lex: Mapping[str, list[str]] = LEXICON,
@@ -20,7 +21,9 @@ def build_corpus(raw: DataFrame, scores: DataFrame | None = None, lex: Mapping[s
     cleaned = clean_texts(raw.select("doc_id", "text"), ["doc_id"], topic)
     scored = apply_rules(document_signals(cleaned, scores, lex, sep))
     banded = estimate_bands(scored.withColumn("final_score", F.col("rule_score")))
-    labelled = banded.select("doc_id", "stance_label", F.col("stance_confidence").alias("confidence"),
-                             "expected_score_band", "expected_toxicity_band", "expected_supportive_strength_band")
+    # texts are scored once: the split reads its small input several times, and the text joins last
+    labelled = checkpointed(banded.select(
+        "doc_id", "stance_label", F.col("stance_confidence").alias("confidence"),
+        "expected_score_band", "expected_toxicity_band", "expected_supportive_strength_band"))
     return stratified_split(labelled, "stance_label", "doc_id", ratio, seed).join(
         cleaned.select("doc_id", "text"), "doc_id")
