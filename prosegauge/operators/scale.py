@@ -13,6 +13,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from prosegauge.session import checkpointed
+
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` where NULL meets NULL, so that no row of ``left`` is lost."""
@@ -21,19 +23,28 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
-            sums: Mapping[str, Column] | None = None, maxima: Mapping[str, Column] | None = None,
-            inclusive: bool = True) -> DataFrame:
+def chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows in ranges of ``keys`` and ``order`` of about equal row counts; ``_chunk`` is the number of the range.
+
+    A hot key, or a hot day of one, is spread over many ranges. The ranges are sampled, so they are fixed by a
+    checkpoint before anything reads them twice; the input itself is read once.
+    """
+    return checkpointed(df.repartitionByRange(*keys, *order).withColumn("_chunk", F.spark_partition_id()))
+
+
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, Column] | None = None,
+            maxima: Mapping[str, Column] | None = None, inclusive: bool = True) -> DataFrame:
     """Add running sums and maxima per ``keys`` in ``order``.
 
-    ``chunk`` must grow with ``order`` (a truncated timestamp). A hot key is
-    spread over its chunks; only one row per (key, chunk) meets in a window.
+    Works inside (key, chunk) partitions; only one row per (key, chunk) meets in a window of a key. A frame that is
+    ``chunked`` already keeps its ``_chunk``.
     """
+    given = "_chunk" in df.columns
     sums, maxima = dict(sums or {}), dict(maxima or {})
     fold = {**{n: F.sum for n in sums}, **{n: F.max for n in maxima}}
     cut = [*keys, "_chunk"]
-    base = df.select("*", chunk.alias("_chunk"), *[e.alias(f"_v_{n}") for n, e in {**sums, **maxima}.items()],
-                     F.lit(1).alias("_place"))
+    base = (df if given else chunked(df, keys, order)).select(
+        "*", *[e.alias(f"_v_{n}") for n, e in {**sums, **maxima}.items()], F.lit(1).alias("_place"))
     earlier = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     totals = base.groupBy(*cut).agg(*[f(f"_v_{n}").alias(f"_v_{n}") for n, f in fold.items()])
     # what came before a chunk enters it as one row ahead of the others: no join, one shuffle, NULL keys included
@@ -42,9 +53,9 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Col
     here = W.partitionBy(*cut).orderBy("_place", *order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
     both = base.unionByName(heads, allowMissingColumns=True)
     value = {n: f(f"_v_{n}").over(here) for n, f in fold.items()}
-    placed = both.select(*df.columns, "_place", *[
-        (F.coalesce(v, F.lit(0)) if n in sums else v).alias(n) for n, v in value.items()])
-    return placed.filter("_place = 1").drop("_place")
+    placed = both.select(*df.columns, *([] if given else ["_chunk"]), "_place", *[
+        (F.coalesce(v, F.lit(0)) if n in sums else v).alias(n) for n, v in value.items()]).filter("_place = 1")
+    return placed.drop("_place") if given else placed.drop("_place", "_chunk")
 
 
 def hash_order(key: Column, seed: int) -> Column:

@@ -119,8 +119,7 @@ def discover_communities(writers: DataFrame, communities: DataFrame, k: int = 10
 
 # --- membership (W13) and creation (W14) -----------------------------------------------------
 
-def apply_membership(commands: DataFrame, members: DataFrame, communities: DataFrame,
-                     chunk: Column | None = None) -> DataFrame:
+def apply_membership(commands: DataFrame, members: DataFrame, communities: DataFrame) -> DataFrame:
     """Replay join and leave commands: ``accepted`` and ``reason`` of each.
 
     In a public community the state before a command is set by the previous
@@ -128,9 +127,8 @@ def apply_membership(commands: DataFrame, members: DataFrame, communities: DataF
     only an initial member's first leave counts.
     """
     pair, order = ["community_id", "user_id"], ["ts", "cmd_id"]
-    chunk = F.date_trunc("day", c("ts")) if chunk is None else chunk
     leave = c("command") == "leave"
-    seen = running(commands, pair, order, chunk, inclusive=False, maxima={
+    seen = running(commands, pair, order, inclusive=False, maxima={
         "_last": F.struct("ts", "cmd_id", "command"),
         "_left": leave.cast("int"),
     })

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from prosegauge.functions import text as tx
 from prosegauge.functions.numeric import clip
 from prosegauge.lexicons import LEXICON, WRITING_STYLES
-from prosegauge.operators.scale import join_null_safe, running, top_per_group
+from prosegauge.operators.scale import chunked, join_null_safe, running, top_per_group
+from prosegauge.session import checkpointed
 
 c = F.col
 MODELS = ["eqs", "bqs", "hybrid"]
@@ -149,47 +150,52 @@ def quota_decisions(requests: DataFrame, limit: int, user: str = "user_id", ts:
     """
     month = requests.withColumns({"_month": month_of(ts), "_counts": (
         c(success) & (F.coalesce(c(model), F.lit("eqs")) != "bqs")).cast("int")})
-    # a hot user is spread over the days of the month
-    placed = running(month, [user, "_month"], [ts, key], F.date_trunc("day", c(ts)),
-                     sums={"used_before": c("_counts")}, inclusive=False)
+    placed = running(month, [user, "_month"], [ts, key], sums={"used_before": c("_counts")}, inclusive=False)
     free = F.coalesce(c(model) == "bqs", F.lit(False))
     return placed.withColumn("allowed", free | (c("used_before") < limit)).drop("_month", "_counts")
 
 
 # --- running averages and profiles ---------------------------------------------------------
 
-def running_average(scores: DataFrame, cols: Sequence[str], user: str = "user_id", ts: str = "ts", key: str = "id",
-                    chunk: Column | None = None) -> DataFrame:
+def running_average(scores: DataFrame, cols: Sequence[str], user: str = "user_id", ts: str = "ts",
+                    key: str = "id") -> DataFrame:
     """Add ``n`` and ``avg_<col>`` after every submission.
 
     A NULL score leaves the average but still counts as a submission, so a later
     score x at place n gives avg * (n-1)/n + x/n. That is an affine map; maps
-    are composed inside (user, chunk) and then across the chunks of a user.
+    are composed inside (user, chunk), and the few chunk maps across a user.
     """
-    chunk = F.date_trunc("day", c(ts)) if chunk is None else chunk
     counts = {f"_k_{s}": c(s).isNotNull().cast("int") for s in cols}
-    base = running(scores, [user], [ts, key], chunk, sums={"n": F.lit(1), **counts})
-    steps: dict[str, Column] = {}
+    base = running(chunked(scores, [user], [ts, key]), [user], [ts, key], sums={"n": F.lit(1), **counts})
+    here = W.partitionBy(user, "_chunk").orderBy(ts, key).rowsBetween(W.unboundedPreceding, 0)
+    logs, adds = {}, {}
     for s in cols:
         given, first = c(s).isNotNull(), c(f"_k_{s}") == 1
-        steps[f"_step_{s}"] = F.when(given & ~first, F.ln((c("n") - 1) / c("n"))).otherwise(0.0)
-        steps[f"_add_{s}"] = F.when(given & first, c(s).cast("double")).when(given, c(s) / c("n")).otherwise(0.0)
-    base = base.withColumns({**steps, "_chunk_of": chunk})
+        step = F.when(given & ~first, F.ln((c("n") - 1) / c("n"))).otherwise(0.0)
+        logs[f"_log_{s}"] = F.sum(step).over(here)
+        adds[f"_add_{s}"] = F.when(given & first, c(s).cast("double")).when(given, c(s) / c("n")).otherwise(0.0)
     # log of the product of the factors so far, then the discounted sum
-    base = running(base, [user], [ts, key], c("_chunk_of"), sums={f"_log_{s}": c(f"_step_{s}") for s in cols})
-    base = running(base, [user], [ts, key], c("_chunk_of"),
-                   sums={f"_sum_{s}": c(f"_add_{s}") * F.exp(-c(f"_log_{s}")) for s in cols})
-    out = {f"avg_{s}": F.when(c(f"_k_{s}") > 0, c(f"_sum_{s}") * F.exp(c(f"_log_{s}"))) for s in cols}
+    base = base.withColumns({**logs, **adds})
+    inside = checkpointed(base.withColumns({f"_sum_{s}": F.sum(c(f"_add_{s}") * F.exp(-c(f"_log_{s}"))).over(here) for s in cols}))
+    last = F.struct(ts, key)
+    maps = inside.groupBy(user, "_chunk").agg(
+        *[F.max_by(f"_log_{s}", last).alias(f"_l_{s}") for s in cols], *[F.max_by(f"_sum_{s}", last).alias(f"_s_{s}") for s in cols])
+    earlier = W.partitionBy(user).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    maps = maps.withColumns({f"_before_{s}": F.coalesce(F.sum(f"_l_{s}").over(earlier), F.lit(0.0)) for s in cols})
+    maps = maps.select(user, "_chunk", *[f"_before_{s}" for s in cols], *[
+        F.coalesce(F.sum(c(f"_s_{s}") * F.exp(-c(f"_before_{s}"))).over(earlier), F.lit(0.0)).alias(f"_carry_{s}") for s in cols])
+    base = join_null_safe(inside, maps, [user, "_chunk"])
+    out = {f"avg_{s}": F.when(c(f"_k_{s}") > 0, (c(f"_carry_{s}") + c(f"_sum_{s}") * F.exp(-c(f"_before_{s}")))
+                              * F.exp(c(f"_log_{s}") + c(f"_before_{s}"))) for s in cols}
     return base.select(*scores.columns, "n", *[e.alias(n) for n, e in out.items()])
 
 
 def with_reputation(averaged: DataFrame, avg: str = "avg_eqs_score", user: str = "user_id", ts: str = "ts",
-                    key: str = "id", chunk: Column | None = None) -> DataFrame:
+                    key: str = "id") -> DataFrame:
     """Running maximum of int(average * submissions / 10)."""
-    chunk = F.date_trunc("day", c(ts)) if chunk is None else chunk
     # nudge by 1e-9 so that floating noise below a whole number does not cost a point
     points = F.floor(F.coalesce(c(avg), F.lit(0.0)) * c("n") / 10.0 + 1e-9)
-    return running(averaged, [user], [ts, key], chunk, maxima={"reputation_points": points})
+    return running(averaged, [user], [ts, key], maxima={"reputation_points": points})
 
 
 def writer_profiles(scores: DataFrame, user: str = "user_id", ts: str = "ts", key: str = "id",
@@ -202,8 +208,7 @@ def writer_profiles(scores: DataFrame, user: str = "user_id", ts: str = "ts", ke
     """
     cols = [x for x in ("eqs_score", "bqs_score") if x in scores.columns]
     if null_free:
-        averaged = running(scores, [user], [ts, key], F.date_trunc("day", c(ts)),
-                           sums={"n": F.lit(1), **{f"_s_{x}": c(x).cast("double") for x in cols}})
+        averaged = running(scores, [user], [ts, key], sums={"n": F.lit(1), **{f"_s_{x}": c(x).cast("double") for x in cols}})
         averaged = averaged.withColumns({f"avg_{x}": c(f"_s_{x}") / c("n") for x in cols})
     else:
         averaged = running_average(scores, cols, user, ts, key)
