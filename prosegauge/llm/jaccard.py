@@ -310,6 +310,8 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     every = saved(_each_set(docs, words, "doc_id long, n long, set long", ids), "sets")
     index = saved(_each_set(docs, words, "key long, set long", keys), "index")
     shared = index.groupBy("key").agg(F.min("set").alias("head"), F.max("set").alias("tail")).where("head != tail").drop("tail")
+    # written first, so that the join has plain shuffles on both sides and a hot key can be split
+    shared = saved(shared, "shared")
     members = saved(index.join(shared, "key").distinct(), "members")
     pairs = saved(members.where("set != head").select(F.col("head").alias("a"), F.col("set").alias("b")).distinct(), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()

@@ -19,8 +19,8 @@ from prosegauge.llm.common import blocks, gram_hashes, saved, text_bytes
 GRAM = 24
 #: Contents of one task, and of one batch of its index.
 TASK_CONTENTS, BATCH_CONTENTS = 6000, 512
-#: A gram with more different contents than this is spread by window digests over many tasks.
-HOT_CONTENTS = 2000
+#: A gram with more different contents than this is dealt out by window digests, about so many windows to a task.
+HOT_CONTENTS, TASK_WINDOWS = 2000, 400_000
 
 
 def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -121,6 +121,84 @@ def _runs(number: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return number[first], offset[first], offset[last] + 1
 
 
+_SPANS = "gram long, content long, first array<long>, last array<long>"
+
+
+def _by_content(number: np.ndarray, offset: np.ndarray, gram: np.ndarray, content: np.ndarray) -> pd.DataFrame:
+    """A row for each content with its runs of offsets."""
+    number, first, last = _runs(number, offset)
+    own, at = np.unique(number, return_index=True)
+    at = at[1:]
+    lists = {k: pd.Series(np.split(x, at) if len(own) else [], dtype=object) for k, x in (("first", first), ("last", last))}
+    return pd.DataFrame({"gram": gram[own], "content": content[own], **lists})
+
+
+#: Windows of one batch, for one bucket: digests, where they are, and the contents of the batch.
+_DEALT = "bucket long, digests binary, number binary, offset binary, told binary, grams binary, contents binary"
+
+
+def _deal(batches: Iterator[pa.RecordBatch], width: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Different window digests of each batch of contents, packed by bucket, so that a very common window leaves a batch
+    once. Windows that are twice or more in the batch are told; their other places go along behind the digests."""
+    names = [part.split()[0] for part in _DEALT.split(", ")]
+    for batch in batches:
+        contents = batch.column("bytes").to_pylist()
+        if not contents:
+            continue
+        sizes = np.array([len(c) - width + 1 for c in contents])
+        number = np.repeat(np.arange(len(contents)), sizes)
+        offset = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        digests = np.frombuffer(b"".join(
+            xxhash.xxh3_128_digest(view[i: i + width]) for c in contents for view in (memoryview(c),) for i in range(len(c) - width + 1)),
+            "V16")
+        low = digests.view(np.uint64)[1::2]
+        order = np.lexsort((digests.view(np.uint64)[::2], low))
+        pairs = digests.view(np.uint64).reshape(-1, 2)[order]
+        same = np.zeros(len(order), bool)
+        same[1:] = (pairs[1:] == pairs[:-1]).all(1)
+        told = same.copy()
+        told[:-1] |= same[1:]
+        owns = [batch.column(c).to_numpy().astype(np.int64).tobytes() for c in ("gram", "content")]
+        bucket = (low[order] % np.uint64(buckets)).astype(np.int64)
+        for b in range(buckets):
+            at = np.flatnonzero((bucket == b) & ~same)
+            more = order[same & (bucket == b)]
+            if len(at):
+                where = np.concatenate([order[at], more])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([b]), *[pa.array([x], pa.binary()) for x in (
+                        digests[order[at]].tobytes(), number[where].astype(np.int64).tobytes(), offset[where].astype(np.int64).tobytes(),
+                        told[at].tobytes(), *owns)]], names)
+
+
+def _meet(rows: pd.DataFrame) -> pd.DataFrame:
+    """Windows of a bucket that are in several batches, found by a ``LogIndex`` of their digests, or told by their batch."""
+    index = LogIndex(16)
+    grams, contents, numbers, offsets, known, at, base = [], [], [], [], [], 0, 0
+    for row in rows.itertuples():
+        digests = np.frombuffer(row.digests, np.uint8).reshape(-1, 16)
+        # no byte is 0, which a fixed-width string would drop at its end: 16 bytes become 32 of 1 to 16
+        wide = (np.stack([digests >> 4, digests & 15], 2) + 1).astype(np.uint8).reshape(-1, 32)
+        places = np.frombuffer(row.number, np.int64)
+        index.add(np.ascontiguousarray(wide).view("S32")[:, 0], np.arange(at, at + len(digests)))
+        told = np.ones(len(places), bool)
+        told[: len(digests)] = np.frombuffer(row.told, bool)
+        known.append(told)
+        numbers.append(places + base)
+        offsets.append(np.frombuffer(row.offset, np.int64))
+        grams.append(np.frombuffer(row.grams, np.int64))
+        contents.append(np.frombuffer(row.contents, np.int64))
+        # places of a batch: its digests first, then the told ones; the index numbers all places alike
+        at += len(places)
+        base += len(grams[-1])
+    told = np.concatenate(known)
+    if index.found:
+        told[np.concatenate(index.found)] = True
+    number, offset = np.concatenate(numbers)[told], np.concatenate(offsets)[told]
+    order = np.lexsort((offset, number))
+    return _by_content(number[order], offset[order], np.concatenate(grams), np.concatenate(contents))
+
+
 def _row_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
@@ -158,7 +236,8 @@ def remove_repeats(docs: DataFrame, width: int = 200, with_text: bool = False) -
     groups = saved(keyed.mapInArrow(group, "gram long, content long, row long, start long, count int"), "groups")
     again = groups.groupBy("gram").agg(F.count("*").alias("n"), F.min("content").alias("_l"), F.max("content").alias("_h")).where(
         "n > 1").select("gram", (F.col("_l") != F.col("_h")).alias("differs"))
-    shared = saved(groups.join(again, "gram"), "shared")
+    # written first, so that the join has plain shuffles on both sides and a hot gram can be split
+    shared = saved(groups.join(saved(again, "again"), "gram"), "shared")
 
     # contents of grams that have several, each with one place
     contents = shared.where("differs").groupBy("gram", "content").agg(
@@ -182,34 +261,24 @@ def remove_repeats(docs: DataFrame, width: int = 200, with_text: bool = False) -
     tasks = max(1, math.ceil(texts.count() / TASK_CONTENTS))
 
     def index(rows: pd.DataFrame) -> pd.DataFrame:
-        number, first, last = _runs(*repeated_windows(rows["bytes"].tolist(), width))
-        return pd.DataFrame({"gram": rows["gram"].to_numpy()[number], "content": rows["content"].to_numpy()[number],
-                             "first": first, "last": last})
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for gram, content, raw in zip(batch.column("gram"), batch.column("content"), batch.column("bytes"), strict=True):
-                view = memoryview(raw.as_buffer())
-                n = len(view) - width + 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([gram.as_py()] * n, pa.int64()), pa.array([content.as_py()] * n, pa.int64()), pa.array(np.arange(n)),
-                     pa.array([xxhash.xxh3_128_digest(view[i: i + width]) for i in range(n)], pa.binary())],
-                    ["gram", "content", "first", "digest"])
+        found = repeated_windows(rows["bytes"].tolist(), width)
+        return _by_content(*found, rows["gram"].to_numpy(), rows["content"].to_numpy())
 
-    spans = "gram long, content long, first long, last long"
-    few = texts.join(many, "gram", "left_anti").groupBy(F.pmod("gram", F.lit(tasks)).alias("_task")).applyInPandas(index, spans)
-    spread = texts.join(many, "gram", "left_semi").mapInArrow(digest, "gram long, content long, first long, digest binary")
-    twice = spread.groupBy("digest").count().where(F.col("count") > 1).select("digest")
-    hot = spread.join(twice, "digest").select("gram", "content", "first", (F.col("first") + 1).alias("last"))
-    parts = saved(few.unionByName(hot), "parts")
+    few = texts.join(many, "gram", "left_anti").groupBy(F.pmod("gram", F.lit(tasks)).alias("_task")).applyInPandas(index, _SPANS)
+    hot = saved(texts.join(many, "gram", "left_semi"), "hot")
+    deal = max(1, math.ceil((hot.agg(F.sum(F.octet_length("bytes") - width + 1)).first()[0] or 0) / TASK_WINDOWS))
+    dealt = hot.mapInArrow(lambda batches: _deal(batches, width, deal), _DEALT).groupBy("bucket").applyInPandas(_meet, _SPANS)
+    parts = saved(few.unionByName(dealt), "parts")
 
     place = shared.select("gram", "content", "row", "start", "count", "differs")
     whole = place.where("NOT differs").unionByName(place.where("differs").join(
         contents.where("times > 1").select("gram", "content"), ["gram", "content"], "left_semi"))
-    covered = whole.select("row", "start", (F.col("start") + F.col("count") - 1 + width).alias("stop")).unionByName(
+    span = lambda first, last: F.struct(
+        (F.col("start") + first).alias("start"), (F.col("start") + last - 1 + width).alias("stop"))
+    covered = whole.select("row", F.array(span(F.lit(0), F.col("count"))).alias("some")).unionByName(
         place.where("differs").join(parts, ["gram", "content"]).select(
-            "row", (F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("last") - 1 + width).alias("stop")))
-    covered = covered.groupBy("row").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+            "row", F.zip_with("first", "last", span).alias("some")))
+    covered = covered.groupBy("row").agg(F.flatten(F.collect_list("some")).alias("spans"))
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
 

@@ -33,6 +33,7 @@ def test_repeats_equal_brute_force(spark, monkeypatch, hot, width):
     monkeypatch.setattr(suffixes, "HOT_CONTENTS", hot)
     if hot == 3:
         monkeypatch.setattr(suffixes, "TASK_CONTENTS", 40)
+        monkeypatch.setattr(suffixes, "TASK_WINDOWS", 500)
         monkeypatch.setattr(suffixes, "BATCH_CONTENTS", 4)
     draw = random.Random(4)
     some = ["".join(draw.choice("abcdefgh é\n") for _ in range(draw.randint(150, 420))) for _ in range(12)]
