@@ -258,6 +258,16 @@ def toxicity(s, d):
     return rounded(si.toxicity(paras(s, d), D | {"abuse_words": dm.ABUSE}))
 
 
+@query
+def toxicity_default(s, d):
+    """The default lists over texts into which their markers are put."""
+    lists = F.array(*[F.lit(x) for x in (*L["abuse_words"], "You are", "he is", "They are", "that player is")])
+    marked = paras(s, d).withColumn("text", F.concat_ws(" ", "text", F.get(
+        lists, F.pmod(c("doc_id") + c("para_ix"), F.size(lists)).cast("int")), F.get(
+        lists, F.pmod(c("doc_id") * 7 + c("para_ix") * 3, F.size(lists)).cast("int"))))
+    return rounded(si.toxicity(marked, L))
+
+
 @query
 def discourse(s, d):
     return rounded(si.discourse(paras(s, d), D))
@@ -572,7 +582,8 @@ def apply_creations(s, d):
 @query
 def reject_existing(s, d):
     cust = dm.table(s, d, "customer").select(c("c_custkey").alias("key"))
-    return clean.reject_existing(cust, dm.table(s, d, "orders").select(c("o_custkey").alias("key")), ["key"])
+    urgent = dm.table(s, d, "orders").filter(c("o_orderpriority") == "1-URGENT")
+    return clean.reject_existing(cust, urgent.select(c("o_custkey").alias("key")), ["key"])
 
 
 # --- evaluation -----------------------------------------------------------------------------------------

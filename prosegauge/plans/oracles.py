@@ -302,6 +302,11 @@ def abuse(words: Sequence[str]) -> str:
 
 ORACLES["toxicity"] = f"""WITH {LOWP}, a AS (SELECT doc_id, para_ix, {abuse(ABUSE)}::DOUBLE AS v FROM lp)
 SELECT doc_id, para_ix, 0.0::DOUBLE AS model_toxicity, round(v, 6) AS abuse_signal, round(least(1.0, 0.75*v)::DOUBLE, 6) AS effective_toxicity, 0.0::DOUBLE AS negativity FROM a"""
+_marks = sql_list([*LEXICON["abuse_words"], "You are", "he is", "They are", "that player is"])
+_n_marks = len(LEXICON["abuse_words"]) + 4
+ORACLES["toxicity_default"] = f"""WITH {LOWP}, mk AS (SELECT doc_id, para_ix, low || ' ' || lower({_marks}[((doc_id + para_ix) % {_n_marks} + 1)::INT])
+|| ' ' || lower({_marks}[((doc_id * 7 + para_ix * 3) % {_n_marks} + 1)::INT]) AS low FROM lp), a AS (SELECT doc_id, para_ix, {abuse(LEXICON['abuse_words'])}::DOUBLE AS v FROM mk)
+SELECT doc_id, para_ix, 0.0::DOUBLE AS model_toxicity, round(v, 6) AS abuse_signal, round(least(1.0, 0.75*v)::DOUBLE, 6) AS effective_toxicity, 0.0::DOUBLE AS negativity FROM a"""
 _arc = f"({anyof('low', D['discourse_events'])} AND {anyof('low', D['discourse_interpretation'])} AND {anyof('low', D['discourse_impact'])})::INT"
 DISC = (f"CASE WHEN len(ss) > 0 THEN {unit(f'0.3*{score("low", D["discourse_contrast"], 2.0)} + 0.2*{score("low", D["discourse_frames"], 2.0)} + 0.35*{_arc} + 0.15*{unit("(len(ss)-3)/4.0")}')} ELSE 0.0 END")
 DEB = score("low", D["debate_balance"], 2.0)
@@ -655,7 +660,8 @@ ORACLES["member_counts"] = f"""WITH {REPLAY}, d AS (SELECT community_id, sum(CAS
 SELECT id, greatest(0, member_count + coalesce(d, 0))::BIGINT AS member_count FROM comm LEFT JOIN d ON id = community_id"""
 ORACLES["first_creations"] = """WITH c AS (SELECT event_id AS cmd_id, ts, 'nation_' || (event_id % 400) AS slug FROM events)
 SELECT cmd_id, slug FROM c WHERE slug NOT IN (SELECT lower(n_name) FROM nation) QUALIFY row_number() OVER (PARTITION BY slug ORDER BY ts, cmd_id) = 1"""
-ORACLES["reject_existing"] = "SELECT c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"
+ORACLES["reject_existing"] = """SELECT c_custkey AS key FROM customer
+WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')"""
 
 # --- evaluation -------------------------------------------------------------------------------------------
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -11,7 +12,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from prosegauge.lexicons import WRITING_STYLES
 from prosegauge.operators.submissions import month_of, quick_score
-from prosegauge.sources.sinks import append_scores
 
 c = F.col
 
@@ -33,8 +33,8 @@ def stream_quota_decisions(requests: DataFrame, limit: int, user: str = "user_id
                            model: str = "model", success: str = "success", lateness: str = "1 day") -> DataFrame:
     """A decision per request from keyed state that ends with the month.
 
-    State is one counter per (user, model, month). Inside a micro-batch the
-    requests of a key are taken in time order.
+    State is one counter of successful remote requests per (user, month), whatever their model, as in the batch form; a
+    NULL success is none. Inside a micro-batch the requests of a key are taken in time order.
     """
     timed = with_event_time(requests, ts, lateness).select(
         c(user).cast("string").alias("user_id"), c(model).alias("model"), month_of(ts).alias("month"),
@@ -46,37 +46,54 @@ def stream_quota_decisions(requests: DataFrame, limit: int, user: str = "user_id
             return
         rows = pd.concat(list(batches)).sort_values(["ts", "id"])
         used = state.get[0] if state.exists else 0
-        counted = (rows["success"] & (keys[1] != "bqs")).astype(int)
+        free = (rows["model"] == "bqs").fillna(False).astype(bool)
+        counted = (rows["success"].eq(True).fillna(False).astype(bool) & ~free).astype(int)
         before = used + counted.cumsum() - counted
         state.update((int(used + counted.sum()),))
-        month_end = (pd.Timestamp(keys[2]) + pd.offsets.MonthBegin(1)).value // 1_000_000
+        month_end = (pd.Timestamp(keys[1]) + pd.offsets.MonthBegin(1)).value // 1_000_000
         if month_end > state.getCurrentWatermarkMs():
             state.setTimeoutTimestamp(month_end)
-        yield pd.DataFrame({"user_id": keys[0], "model": keys[1], "id": rows["id"], "ts": rows["ts"],
-                            "used_before": before, "allowed": (before < limit) | (keys[1] == "bqs")})
+        yield pd.DataFrame({"user_id": keys[0], "model": rows["model"], "id": rows["id"], "ts": rows["ts"],
+                            "used_before": before, "allowed": (before < limit) | free})
 
-    return timed.groupBy("user_id", "model", "month").applyInPandasWithState(
+    return timed.groupBy("user_id", "month").applyInPandasWithState(
         decide, "user_id string, model string, id bigint, ts timestamp, used_before bigint, allowed boolean",
         "used bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_profiles(scores: DataFrame, user: str = "user_id", ts: str = "ts", key: str = "id",
                     styles: Sequence[str] = WRITING_STYLES) -> DataFrame:
-    """Writer profiles kept up to date: count, averages, style, reputation; run it in update mode."""
+    """Writer profiles kept up to date: count, averages, style, reputation; run it in update mode.
+
+    Rows of a micro-batch are folded in time order; a row of an earlier time in a later micro-batch is folded when it
+    comes. State is four values per user and has no timeout.
+    """
     rows = scores.select(c(user).cast("string").alias("user_id"), c(ts).cast("timestamp").alias("ts"),
                          c(key).alias("id"), c("eqs_score").cast("double").alias("eqs_score"),
                          (c("stance_label") if "stance_label" in scores.columns else F.lit(None).cast("string"))
                          .alias("style"))
-    known = set(styles)
+    known = list(styles)
 
     def fold(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, avg, style, points = state.get if state.exists else (0, None, None, 0)
-        for row in pd.concat(list(batches)).sort_values(["ts", "id"]).itertuples():
-            if pd.notna(row.eqs_score):
-                avg = row.eqs_score if avg is None else (avg * n + row.eqs_score) / (n + 1)
-            n += 1
-            points = max(points, int((avg or 0.0) * n / 10.0 + 1e-9))
-            style = row.style if row.style in known else style
+        batch = pd.concat(list(batches)).sort_values(["ts", "id"])
+        place = n + np.arange(1, len(batch) + 1)
+        score = batch["eqs_score"].to_numpy(float)
+        given = ~np.isnan(score)
+        if avg is None and given.any():
+            avg, given = 0.0, given & (np.arange(len(score)) != (first := int(np.argmax(given))))
+        else:
+            first = -1
+        # a score x at place n turns an average a into a * (n - 1) / n + x / n; the first one is the average
+        log = np.cumsum(np.log(np.where(given, (place - 1) / place, 1.0)))
+        add = np.where(given, score / place, 0.0)
+        if first >= 0:
+            add[first] = score[first]
+        averages = np.exp(log) * ((avg or 0.0) + np.cumsum(add * np.exp(-log)))
+        points = max(points, int(np.floor(averages * place / 10.0 + 1e-9).max()))
+        avg, n = (None if avg is None else float(averages[-1])), int(place[-1])
+        named = batch["style"][batch["style"].isin(known)]
+        style = named.iloc[-1] if len(named) else style
         state.update((n, avg, style, points))
         yield pd.DataFrame({"user_id": [keys[0]], "total_submissions": [n], "avg_eqs_score": [avg],
                             "writing_style": [style], "reputation_points": [points]})
@@ -103,6 +120,6 @@ def stream_scores(docs: DataFrame, score: Callable[[DataFrame], DataFrame], path
 
 
 def append_history(scored: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Append scored submissions of a stream to the history table."""
-    return scored.writeStream.foreachBatch(lambda batch, _: append_scores(batch, path)).option(
-        "checkpointLocation", checkpoint)
+    """Append scored submissions of a stream to the history table; a repeated epoch replaces its own rows."""
+    return scored.writeStream.foreachBatch(
+        lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")).option("checkpointLocation", checkpoint)
