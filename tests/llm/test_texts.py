@@ -11,6 +11,7 @@ import pytest
 import tiktoken
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from prosegauge.llm import bpe, quality, repetition, secrets
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -172,7 +173,7 @@ def test_quality_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
     model = quality.fit(docs, labels)
     rows = quality.score_quality(docs.select("doc_id", "text"), model).join(labels, "doc_id").where(
-        quality.held_out(docs["doc_id"])).select("score", "quality").collect()
+        quality.held_out(F.col("doc_id"))).select("score", "quality").collect()
     right = sum((r.score >= quality.THRESHOLD) == (r.quality == 1) for r in rows)
     assert len(rows) > 50 and right >= 0.95 * len(rows)
 
