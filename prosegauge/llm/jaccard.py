@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,13 +12,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prosegauge.llm.common import blocks, mix, saved, span_hashes, text_bytes, words_of
+from prosegauge.llm.common import blocks, dropped, mix, saved, span_hashes, text_bytes, words_of
 from prosegauge.llm.graph import components
 
 #: Ratio of the sizes that share a band.
-BAND = 1.4
+BAND = 1.25
+#: Parts of the keys that are indexed one after the other.
+PASSES = 3
 #: Most tokens and sets of a block of a family, on average.
 BLOCK_TOKENS, BLOCK_SETS = 1_000_000, 2048
+#: Fewest tokens a segment has, on average, where one may be left out: fewer would often leave nothing.
+DELETED_SHARE = 6
 #: Cost of a chance meeting in a segment, in index rows; and share of sets that may have more empty segments than spared.
 MEETING, SPARED = 50.0, 1e-3
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -56,6 +60,8 @@ def allocation(band: int, percent: int) -> tuple[int, int, int]:
             if not segments:
                 continue
             share = low / segments
+            if deleted and share < DELETED_SHARE:
+                continue
             empties = segments * math.exp(-share)
             # the tail of a Poisson count of empty segments
             tail, term = 1.0, math.exp(-empties)
@@ -297,10 +303,14 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     def ids(part: pa.RecordBatch, token: np.ndarray, text: np.ndarray, size: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size), pa.array(own)], ["doc_id", "n", "set"])
 
-    def keys(part: pa.RecordBatch, token: np.ndarray, text: np.ndarray, size: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
-        valid = ~part.column("doc_id").is_null().to_numpy(zero_copy_only=False)
-        found, owner = signatures(token, text, np.where(valid, size, 0), percent)
-        return pa.RecordBatch.from_arrays([pa.array(found), pa.array(own[owner])], ["key", "set"])
+    def keys(turn: int) -> Callable[..., pa.RecordBatch]:
+        def make(part: pa.RecordBatch, token: np.ndarray, text: np.ndarray, size: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+            valid = ~part.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+            found, owner = signatures(token, text, np.where(valid, size, 0), percent)
+            mine = found % PASSES == turn
+            return pa.RecordBatch.from_arrays([pa.array(found[mine]), pa.array(own[owner[mine]])], ["key", "set"])
+
+        return make
 
     def tokens(part: pa.RecordBatch, token: np.ndarray, text: np.ndarray, size: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
         bounds = np.searchsorted(text, np.arange(len(part) + 1)).astype(np.int32)
@@ -308,12 +318,16 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
         return pa.RecordBatch.from_arrays([pa.array(own), lists], ["set", "tokens"])
 
     every = saved(_each_set(docs, words, "doc_id long, n long, set long", ids), "sets")
-    index = saved(_each_set(docs, words, "key long, set long", keys), "index")
-    shared = index.groupBy("key").agg(F.min("set").alias("head"), F.max("set").alias("tail")).where("head != tail").drop("tail")
-    # written first, so that the join has plain shuffles on both sides and a hot key can be split
-    shared = saved(shared, "shared")
-    members = saved(index.join(shared, "key").distinct(), "members")
-    pairs = saved(members.where("set != head").select(F.col("head").alias("a"), F.col("set").alias("b")).distinct(), "pairs")
+    pairs = None
+    for turn in range(PASSES):  # each over a part of all keys, so that only a part of the index is on disk
+        index = saved(_each_set(docs, words, "key long, set long", keys(turn)), "index")
+        shared = index.groupBy("key").agg(F.min("set").alias("head"), F.max("set").alias("tail")).where("head != tail").drop("tail")
+        # written first, so that the join has plain shuffles on both sides and a hot key can be split
+        shared = saved(shared, "shared")
+        found = saved(index.join(shared, "key").where("set != head").select(
+            F.col("head").alias("a"), F.col("set").alias("b")).distinct(), "pairs")
+        dropped(index)
+        pairs = found if pairs is None else pairs.unionByName(found)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
     chosen = every.where("doc_id IS NOT NULL").join(wanted, "set").groupBy("set").agg(F.min("doc_id").alias("doc_id"))
     some = docs.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi")
