@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosegauge.llm import bpe, jaccard, mixing, neighbours, pii, quality, repetition, secrets, suffixes
-from prosegauge.llm.common import table
+from prosegauge.llm import bpe, chats, jaccard, mixing, neighbours, pii, quality, repetition, secrets, suffixes
+from prosegauge.llm.common import saved, table
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op3_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op4_transcript_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = saved(chats.transcripts(table(spark, sf_dir, "conversations")), "transcripts")
+    return chats.parse(found, chats.fit(found)).drop("rendered")
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pii.find_personal_data(docs, pii.fit(docs))
@@ -55,7 +60,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_dedup, op2_source_mix, op3_repetition_rules, op5_personal_data, op6_bpe_roundtrip, op7_jaccard_join,
+    f.__name__: f for f in (op1_suffix_dedup, op2_source_mix, op3_repetition_rules, op4_transcript_turns,
+                            op5_personal_data, op6_bpe_roundtrip, op7_jaccard_join,
                             op8_quality_classifier, op9_multiprobe_search, op10_secret_scan)
 }
 ORACLES: dict[str, str] = {}
