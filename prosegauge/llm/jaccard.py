@@ -233,6 +233,7 @@ def _verified(plan: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def verify(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for (_, i, j), part in rows.groupby(["family", "i", "j"], sort=False):
+            part = part[~part.duplicated(["side", "set"])]
             ids, tokens, side = part["set"].to_numpy(), part["tokens"].tolist(), part["side"].to_numpy()
             if i == j:
                 out += [(ids[a], ids[b]) for a, b in forest(_linked(tokens, tokens, percent))]
@@ -315,7 +316,8 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     def tokens(part: pa.RecordBatch, token: np.ndarray, text: np.ndarray, size: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
         bounds = np.searchsorted(text, np.arange(len(part) + 1)).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(token.view(np.int64)))
-        return pa.RecordBatch.from_arrays([pa.array(own), lists], ["set", "tokens"])
+        chosen = pa.array(own == part.column("wanted").to_numpy())
+        return pa.RecordBatch.from_arrays([pa.array(own), lists], ["set", "tokens"]).filter(chosen)
 
     every = saved(_each_set(docs, words, "doc_id long, n long, set long", ids), "sets")
     pairs = None
@@ -329,10 +331,10 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
         dropped(index)
         pairs = found if pairs is None else pairs.unionByName(found)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+    # one document stands for each set; repeated rows of it give the set again, which the verification drops
     chosen = every.where("doc_id IS NOT NULL").join(wanted, "set").groupBy("set").agg(F.min("doc_id").alias("doc_id"))
-    some = docs.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = _each_set(some, words, "set long, tokens array<long>", tokens).join(wanted, "set", "left_semi")
-    sets = saved(sets.dropDuplicates(["set"]), "tokens")
+    some = docs.join(chosen.select("doc_id", F.col("set").alias("wanted")), "doc_id")
+    sets = saved(_each_set(some, words, "set long, tokens array<long>", tokens), "tokens")
     sizes = every.groupBy("set").agg(F.max("n").alias("n"))
     families = saved(components(pairs).select(F.col("node").alias("set"), F.col("root").alias("family")).join(sizes, "set"), "families")
     links = saved(_verified(_first_plan(families), sets, percent), "links")
