@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from prosegauge.functions import numeric as nu
 from prosegauge.functions.numeric import ratio, unit
+from prosegauge.session import checkpointed, drop_checkpoint
 
 c = F.col
-#: Most labelled rows of a bank that tasks hold.
+#: Most labelled rows of the part of a bank that tasks hold at a time.
 BANK_ROWS = 100_000
 
 
@@ -234,46 +237,102 @@ def centroid_scores(queries: DataFrame, centroids: DataFrame, key: str = "id", l
     return queries.withColumn("_packed", packed).select(key, F.inline(scored))
 
 
+def _bank_parts(samples: DataFrame, key: str, label: str, vec: str) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
+    """Ids, labels and vectors of all samples by id, at most ``BANK_ROWS`` rows at a time. Rows travel as Arrow batches."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, batch.schema) as stream:
+                stream.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], ["rows"])
+
+    def part(rows: pa.Table) -> tuple[pa.Array, pa.Array, np.ndarray]:
+        ids, labels, vectors = (pa.concat_arrays(rows.column(n).chunks) for n in (key, label, vec))
+        return ids, labels, vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+
+    ordered = samples.filter(c(vec).isNotNull()).select(key, label, c(vec).cast("array<double>").alias(vec)).orderBy(key, label)
+    waiting: list[pa.Table] = []
+    for row in ordered.mapInArrow(pack, "rows binary").toLocalIterator():
+        waiting.append(pa.ipc.open_stream(row[0]).read_all())
+        while sum(t.num_rows for t in waiting) >= BANK_ROWS:
+            rows = pa.concat_tables(waiting)
+            yield part(rows.slice(0, BANK_ROWS))
+            waiting = [rows.slice(BANK_ROWS)]
+    if sum(t.num_rows for t in waiting):
+        yield part(pa.concat_tables(waiting))
+
+
 def nearest(queries: DataFrame, samples: DataFrame, k: int, key: str = "id", label: str = "label",
             vec: str = "embedding", leave_one_out: bool = False, digits: int = 9) -> DataFrame:
     """Exact ``k`` nearest samples of every query by dot product: (key, rank, sample_id, label, sim).
 
-    The samples are a fitted bank of at most ``BANK_ROWS`` labelled rows (more are an error). Tasks hold the bank and
-    score their queries in batches, so no vector is shuffled and the work is the queries' rows times the bank. Ties go
-    to the smaller sample id; a pair without a finite similarity is no neighbour. NULL vectors take no part.
+    Any number of samples: the bank comes in parts by id of at most ``BANK_ROWS`` rows. Tasks hold one part and score
+    their queries in batches; a query carries its best so far from part to part, so the work is the queries' rows times
+    the bank and the driver holds a part at a time. Ties go to the smaller sample id; a pair without a finite similarity
+    is no neighbour. NULL vectors take no part.
     """
     spark = queries.sparkSession
-    bank = samples.filter(c(vec).isNotNull()).select(key, label, c(vec).cast("array<double>").alias(vec)).limit(
-        BANK_ROWS + 1).collect()
-    if len(bank) > BANK_ROWS:
-        raise ValueError(f"more than {BANK_ROWS} samples")
-    bank.sort(key=lambda r: r[0])
-    held = spark.sparkContext.broadcast((
-        np.array([r[0] for r in bank]), np.array([r[1] for r in bank]),
-        np.array([r[2] for r in bank]).reshape(len(bank), -1)))
-    out = T.StructType([T.StructField(key, queries.schema[key].dataType), T.StructField("rank", T.IntegerType()),
-                        T.StructField("sample_id", samples.schema[key].dataType),
-                        T.StructField(label, samples.schema[label].dataType), T.StructField("sim", T.DoubleType())])
-
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, labels, vectors = held.value
-        for frame in frames:
-            for at in range(0, len(frame) if len(ids) else 0, 256):
-                some = frame.iloc[at: at + 256]
-                sims = np.round(np.vstack(some[vec].to_numpy()) @ vectors.T, digits)
-                sims[~np.isfinite(sims)] = -np.inf
+    kept = [T.StructField(key, queries.schema[key].dataType), T.StructField(vec, T.ArrayType(T.DoubleType()))]
+    best = [T.StructField("_ids", T.ArrayType(samples.schema[key].dataType)),
+            T.StructField("_labels", T.ArrayType(samples.schema[label].dataType)),
+            T.StructField("_sims", T.ArrayType(T.DoubleType()))]
+
+    def step(state: DataFrame, held: Broadcast, last: bool) -> DataFrame:
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, labels, vectors = held.value
+            n, first = min(k, len(ids)), None
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                mine = batch.column(vec).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
                 if leave_one_out:
-                    sims[some[key].to_numpy()[:, None] == ids[None, :]] = -np.inf
-                for own, row in zip(some[key], sims):
-                    n = min(k, len(ids))
-                    best = np.flatnonzero(row >= np.partition(row, len(ids) - n)[len(ids) - n])
-                    best = best[np.isfinite(row[best])]
-                    best = best[np.argsort(-row[best], kind="stable")][:n]
-                    yield pd.DataFrame({key: own, "rank": np.arange(1, len(best) + 1), "sample_id": ids[best],
-                                        label: labels[best], "sim": row[best]})
-
-    scored = queries.filter(c(vec).isNotNull()).select(key, c(vec).cast("array<double>").alias(vec))
-    return scored.mapInPandas(score, out)
+                    if first is None:  # ids are in order: a number for each different one
+                        first = pc.index_in(ids, value_set=ids).to_numpy()
+                    own = pc.index_in(batch.column(key).cast(ids.type), value_set=ids).fill_null(-1).to_numpy()
+                before = [batch.column(f.name) for f in best]
+                starts = np.append(0, np.cumsum(before[2].value_lengths().to_numpy()))
+                flat = [x.flatten() for x in before]
+                sims_before = flat[2].to_numpy(zero_copy_only=False)
+                taken, found = [], []
+                for at in range(0, batch.num_rows, 256):
+                    sims = np.round(mine[at: at + 256] @ vectors.T, digits)
+                    sims[~np.isfinite(sims)] = -np.inf
+                    if leave_one_out:
+                        sims[own[at: at + 256, None] == first[None, :]] = -np.inf
+                    for i, row in enumerate(sims, at):
+                        top = np.flatnonzero(row >= np.partition(row, len(ids) - n)[len(ids) - n])
+                        top = top[np.isfinite(row[top])]
+                        both = np.append(sims_before[starts[i]: starts[i + 1]], row[top])
+                        order = np.argsort(-both, kind="stable")[:k]  # earlier parts hold smaller ids
+                        taken.append(np.append(np.arange(starts[i], starts[i + 1]), starts[-1] + top)[order])
+                        found.append(both[order])
+                ends = pa.array(np.append(0, np.cumsum([len(x) for x in taken])), pa.int32())
+                where = pa.array(np.concatenate(taken).astype(np.int64))
+                lists = [pa.ListArray.from_arrays(ends, pa.concat_arrays([old, new.cast(old.type)]).take(where))
+                         for old, new in zip(flat, (ids, labels))]
+                lists.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found))))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(f.name) for f in kept[: 1 if last else 2]] + lists, [f.name for f in fields])
+
+        fields = kept[: 1 if last else 2] + best
+        return state.mapInArrow(score, T.StructType(fields))
+
+    state = queries.filter(c(vec).isNotNull()).select(key, c(vec).cast("array<double>").alias(vec), *[
+        F.array().cast(f.dataType).alias(f.name) for f in best])
+    waiting, written = None, None
+    for part in _bank_parts(samples, key, label, vec):
+        if waiting is not None:
+            state, old = checkpointed(step(state, waiting, False)), written
+            waiting.destroy()
+            written = state
+            if old is not None:
+                drop_checkpoint(old)
+        waiting = spark.sparkContext.broadcast(part)
+    if waiting is not None:
+        state = step(state, waiting, True)
+    each = state.select(key, F.posexplode(F.arrays_zip("_ids", "_labels", "_sims")).alias("_at", "_best"))
+    return each.select(key, (c("_at") + 1).alias("rank"), c("_best._ids").alias("sample_id"),
+                       c("_best._labels").alias(label), c("_best._sims").alias("sim"))
 
 
 def knn_label_votes(queries: DataFrame, samples: DataFrame, k: int = 16, key: str = "id", label: str = "label",

@@ -52,3 +52,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a shared folder")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="prosegauge-ckpt-"))
     return df.checkpoint(eager=True)
+
+
+def drop_checkpoint(df: DataFrame) -> None:
+    """Remove the files of a ``checkpointed`` frame that nothing reads any more."""
+    file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

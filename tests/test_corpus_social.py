@@ -215,3 +215,21 @@ def test_neighbours_against_brute_force(frame):
     assert len(c) == 3 and all(sum(x * x for x in r.centroid) == pytest.approx(1.0) for r in c)
     p = ev.loo_label_scores(df, 5).groupBy("id").agg(F.sum("probability").alias("s")).collect()
     assert all(abs(r.s - 1) < 1e-3 for r in p)
+
+
+def test_neighbours_of_a_bank_of_many_parts(frame, monkeypatch):
+    rnd = random.Random(2)
+    # few different components, so that similarities tie within and across parts; an id twice; a NULL vector
+    rows = [(i, [float(rnd.randint(-1, 1)) for _ in range(4)], i % 3) for i in range(70)] + [(5, [1.0, 1.0, 0.0, 0.0], 2), (99, None, 1)]
+    df = frame(rows, "id bigint, embedding array<float>, label int")
+    for alone in (True, False):
+        whole = sorted(map(tuple, ev.nearest(df, df, 6, leave_one_out=alone).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(ev, "BANK_ROWS", 9)
+            assert sorted(map(tuple, ev.nearest(df, df, 6, leave_one_out=alone).collect())) == whole
+        vectors = [(i, v) for i, v, _ in sorted(rows, key=lambda r: (r[0], r[2])) if v]
+        wanted = []
+        for i, v in vectors:
+            sims = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in vectors if j != i or not alone)
+            wanted += [(i, n, j, -s) for n, (s, j) in enumerate(sims[:6], 1)]
+        assert sorted((a, n, b, s) for a, n, b, _, s in whole) == sorted(wanted)
