@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prosegauge.llm.common import blocks, mix, span_hashes, text_bytes, words_of
+from prosegauge.llm.mixing import word_count
 
 #: Words of a passage.
 PASSAGE = 64
-#: The fit reads at most so many labelled rows of each label, those of least hash, and so many passages of one text.
-FIT_ROWS, FIT_PASSAGES = 1500, 64
+#: The fit reads at most so many labelled rows of each label, those of least hash, with all their passages; fewer rows if
+#: their passages would come to more than so many of each label (one row at least).
+FIT_ROWS, FIT_PASSAGES = 1500, 100_000
 THRESHOLD = 0.7
 _HASHED = 24
 _SETS = [b"#*$%&|<>", b"!?", b".,;:", b"0123456789", bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(128, 192)), b"\n"]
@@ -148,7 +150,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
-    """Train on up to ``FIT_ROWS`` rows of each label that are not held out. Null labels and ids are left out."""
+    """Train on up to ``FIT_ROWS`` rows of each label that are not held out, on whole texts as they are scored. Null labels
+    and ids are left out; rows that agree in id and text count once."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).select(
         "doc_id", F.col(label).alias("label")).distinct()
     order = [F.xxhash64(F.lit(5), "doc_id"), F.col("doc_id")]
@@ -156,7 +159,22 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
         known.where("label = 1").orderBy(*order).limit(FIT_ROWS))
     # at most 2 * FIT_ROWS ids
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
-    schema = "doc_id long, label int, x array<float>, n long"
+    # a row for each id: how many passages it brings
+    size = F.greatest(F.ceil(word_count(F.col("text")) / PASSAGE), F.lit(1))
+    sizes = rows.groupBy("doc_id", "label").agg(F.sum(size).alias("n")).orderBy("label", *order).collect()
+    left, chosen = {}, []
+    for r in sizes:
+        room = left.get(r["label"], FIT_PASSAGES)
+        if room >= r["n"] or r["label"] not in left:
+            chosen.append((r["doc_id"], r["label"]))
+        else:
+            room = 0  # the rows after it are out too: none is chosen for being short
+        left[r["label"]] = room - r["n"]
+    if len(chosen) < len(sizes):
+        kept = docs.sparkSession.createDataFrame(chosen, some.schema)
+        rows = docs.select("doc_id", "text").join(F.broadcast(kept), "doc_id")
+    rows = rows.withColumn("own", F.xxhash64("text"))
+    schema = "doc_id long, label int, own long, x array<float>, n long"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,20 +182,22 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
                 part = batch.slice(a, b - a)
                 x, owner = passages(part.column("text"))
                 number = np.arange(len(owner)) - np.searchsorted(owner, owner)
-                keep = number < FIT_PASSAGES
-                x, owner = x[keep], owner[keep]
+                ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * FEATURES)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id").take(pa.array(owner)).cast(pa.int64()),
-                     part.column("label").take(pa.array(owner)).cast(pa.int32()),
-                     pa.array(list(x), pa.list_(pa.float32())), pa.array(number[keep])], ["doc_id", "label", "x", "n"])
+                     part.column("label").take(pa.array(owner)).cast(pa.int32()), part.column("own").take(pa.array(owner)),
+                     pa.ListArray.from_arrays(ends, pa.array(x.reshape(-1))), pa.array(number)],
+                    ["doc_id", "label", "own", "x", "n"])
 
-    got = rows.mapInArrow(encode, schema).toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending"), ("n", "ascending")])
+    got = rows.mapInArrow(encode, schema).toArrow().sort_by([(c, "ascending") for c in ("doc_id", "label", "own", "n")])
     if not got.num_rows:
         return train(np.zeros((0, FEATURES)), np.zeros(0, np.int64), np.zeros(0))
     x = got.column("x").combine_chunks().flatten().to_numpy().reshape(got.num_rows, FEATURES).astype(np.float64)
-    number = got.column("n").to_numpy()
-    owner = np.cumsum(number == 0) - 1  # repeated rows fall apart into passages that agree: a bag each
-    label_of = got.column("label").to_numpy()[np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))]
+    keys = np.stack([got.column(c).to_numpy() for c in ("doc_id", "label", "own", "n")])
+    first = np.append(True, (keys[:, 1:] != keys[:, :-1]).any(0))  # repeated rows bring their passages again
+    x, number = x[first], keys[3, first]
+    owner = np.cumsum(number == 0) - 1
+    label_of = keys[1, first][np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))]
     return train(x, owner, label_of.astype(np.float64))
 
 

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -186,3 +187,23 @@ def test_quality_frames(spark, messy, empty):
     assert all(0 <= r.score <= 1 for r in got.collect()) and got.count() == 11
     alone = quality.fit(empty, labels.limit(0))
     assert quality.score_quality(empty, alone).count() == 0
+
+
+def test_fit_reads_whole_texts(spark, monkeypatch):
+    # good and bad texts agree in their first 5,000 words
+    draw = random.Random(8)
+    same = " ".join(f"w{draw.randint(0, 400)}" for _ in range(5000))
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2][:40]
+    rows = [(i, same + (" #$%& ***" * 700 if i % 2 else " calm words" * 700)) for i in ids]
+    docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in ids], "doc_id long, quality int")
+    bags, real = [], quality.train
+    monkeypatch.setattr(quality, "train", lambda x, owner, label: bags.append((np.bincount(owner), label)) or real(x, owner, label))
+    model = quality.fit(docs, labels)
+    assert bags[0][0].tolist() == [100] * 40 and sum(bags[0][1]) == sum(1 - i % 2 for i in ids)
+    scores = {r.doc_id: r.score for r in quality.score_quality(docs, model).collect()}
+    assert all((scores[i] >= 0.5) == (i % 2 == 0) for i in ids)
+    # where memory is short there are fewer rows, each whole
+    monkeypatch.setattr(quality, "FIT_PASSAGES", 550)
+    quality.fit(docs, labels)
+    assert set(bags[1][0].tolist()) == {100} and len(bags[1][0]) in (9, 10) and 0 < sum(bags[1][1]) < len(bags[1][1])
