@@ -45,37 +45,133 @@ _LEX = re.compile(r"""
   | (?P<end>[,;\n])
   | (?P<other>[^\s])
 """, re.VERBOSE)
-_STEM = re.compile(r"(?i)passw|pwd|passphrase|secret|token|api_?-?key|credential|bearer|auth|signature|private|key|salt")
+#: What may be a target: a run of a name's signs, or the end of a string, before an assignment's sign.
+_TARGET = re.compile(r"""(?:(?<![\w$.-])(?P<run>[\w$.-]++)|["'`])[^\S\n]*+\]?+[^\S\n]*+[:=]""")
+_LETTERS = bytes(range(65, 91)) + bytes(range(97, 123))
+_OTHERS = bytes(set(range(256)) - set(_LETTERS))
+
+
+def _name_words(name: str) -> tuple[list[str], int]:
+    """Words of a name, then each two in a row as one; and how many are single."""
+    words = [p.lower() for p in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+", name)]
+    return words + [a + b for a, b in zip(words, words[1:], strict=False)], len(words)
 
 
 def name_score(name: str) -> float:
     """How much a target's name says that its value is secret."""
-    parts = re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+", name)
-    words = [p.lower() for p in parts]
-    words += [a + b for a, b in zip(words, words[1:], strict=False)]
-    if HARMLESS & set(words[-1:] + words[len(parts) - 1: len(parts)]):
+    words, single = _name_words(name)
+    if HARMLESS & set(words[-1:] + words[single - 1: single]):
         return 0.0
+    return _said(words)
+
+
+def _said(words: list[str]) -> float:
     return min(1.0, sum(SENSITIVE.get(w, 0.0) for w in set(words)))
 
 
+def may_hold(text: str) -> bool:
+    """False only for texts without a target that ``name_score`` gives 0.5 or more.
+
+    A name is inside its run, so its words are among the run's. A string's words, without what is between letters, are
+    in the text's letters.
+    """
+    seen, strings = set(), False
+    for m in _TARGET.finditer(text):
+        run = m["run"]
+        if run is None:
+            strings = True
+        elif run not in seen:
+            seen.add(run)
+            if _said(_name_words(run)[0]) >= 0.5:
+                return True
+    if not strings:
+        return False
+    letters = text.encode(errors="replace").translate(None, _OTHERS).lower()
+    return sum(said for word, said in SENSITIVE.items() if word.encode() in letters) >= 0.5
+
+
 def literal_score(value: str) -> float:
     """From 0 to 1.5: length, entropy in bits and mixed kinds of characters."""
     if len(value) < 6 or _PLACEHOLDER.match(value) or " " in value.strip() and len(value.split()) > 4:
         return 0.0
-    n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9\s]"))
+    return _strength(len(value), Counter(value))
+
+
+def _strength(n: int, counts: Counter) -> float:
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
+    signs = "".join(counts)
+    kinds = sum(bool(re.search(p, signs)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9\s]"))
     return min(1.0, entropy * n / 60) + (0.25 if kinds > 1 else 0) + (0.25 if kinds > 2 else 0)
 
 
-def pairs(text: str) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """Name-literal pairs in order: each assignment's target and the literals that its value comes from.
+class Value:
+    """What an assignment gives: literals (start, end, text) and values of earlier constants, in order."""
+
+    __slots__ = ("parts", "sums")
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[int, int, str] | Value] = []
+        self.sums: tuple | None = None
+
+
+#: Signs of a value's head and tail that are kept: no shorter than any whole placeholder.
+_EDGE = 16
+
+
+def _sums(text: str) -> tuple:
+    """Of a text: signs, counts of each, words (up to 10), head and tail."""
+    return len(text), Counter(text), min(len(text.split()), 10), text[:_EDGE], text[-_EDGE:]
+
+
+def _joined(one: tuple, two: tuple) -> tuple:
+    n, counts, words, head, tail = one
+    m, more, others, first, last = two
+    if not n or not m:
+        return two if not n else one
+    counts = counts + more
+    touching = not tail[-1].isspace() and not first[0].isspace()
+    if n + m > 1 << 300:  # chains of doublings: only the shares count any more
+        counts = Counter({s: max(1, c >> 100) for s, c in counts.items()})
+    return (sum(counts.values()), counts, min(words + others - touching, 10),
+            head if n >= _EDGE else (head + first)[:_EDGE], last if m >= _EDGE else (tail + last)[-_EDGE:])
+
+
+def value_score(value: Value) -> float:
+    """``literal_score`` of the joined literals, from sums: a constant is summed once, however often it is used."""
+    open_ = [value]
+    while open_:
+        top = open_[-1]
+        waiting = [p for p in top.parts if isinstance(p, Value) and p.sums is None] if top.sums is None else []
+        if waiting:
+            open_ += waiting
+            continue
+        open_.pop()
+        if top.sums is None:
+            total = _sums("")
+            for p in top.parts:
+                total = _joined(total, p.sums if isinstance(p, Value) else _sums(p[2]))
+            top.sums = total
+    n, counts, words, head, tail = value.sums
+    if n <= _EDGE:
+        return literal_score(head)
+    short = head + tail if n >= 2 * _EDGE else head + tail[2 * _EDGE - n:]
+    placeholder = _PLACEHOLDER.match(short)
+    same = len({s.lower() for s in counts}) == 1
+    if placeholder and (placeholder[1] is None or same):
+        return 0.0
+    if words > 4 and " " in counts:
+        return 0.0
+    return _strength(n, counts)
+
+
+def pairs(text: str) -> list[tuple[str, Value]]:
+    """Name-value pairs in order: each assignment's target and the literals and constants that its value comes from.
 
     Reads ``name = "x"``, ``name: x``, ``"name": "x"``, ``name => x``, ``cfg["name"] = x`` and typed ``name: T = x``;
     the value is literals and names of earlier constants, joined by + or '..'. A bare value must hold a digit.
     """
     tokens = [(m.lastgroup, m.start(), m.end()) for m in _LEX.finditer(text)]
-    known: dict[str, list[tuple[int, int, str]]] = {}
+    known: dict[str, Value] = {}
     out, i, n = [], 0, len(tokens)
 
     def inner(at: int) -> str:
@@ -94,13 +190,14 @@ def pairs(text: str) -> list[tuple[str, list[tuple[int, int, str]]]]:
             target = text[tokens[before][1]: tokens[before][2]]
         elif tokens[before][0] == "string":
             target = inner(before)
-        at, parts, more = i + 1, [], True
+        value = Value()
+        at, parts, more = i + 1, value.parts, True
         while at < n and more:
             what, a, b = tokens[at]
             if what == "string":
                 parts.append((a + 1, b - 1, text[a + 1: b - 1]))
             elif what == "name" and text[a:b] in known:
-                parts += known[text[a:b]]
+                parts.append(known[text[a:b]])
             elif what in ("name", "bare"):
                 stop = at  # a bare value runs on to white space
                 while stop + 1 < n and tokens[stop + 1][1] == tokens[stop][2] and tokens[stop + 1][0] in ("name", "bare", "join"):
@@ -114,24 +211,29 @@ def pairs(text: str) -> list[tuple[str, list[tuple[int, int, str]]]]:
             more = at + 1 < n and tokens[at + 1][0] == "join"
             at += 1 + more
         if target and parts:
-            if len(parts) <= 16:  # longer chains of parts are no constant
-                known[target] = parts
-            out.append((target, parts))
+            known[target] = value
+            out.append((target, value))
+        elif target:
+            known.pop(target, None)  # no longer what it was
         i += 1
     return out
 
 
 def literals(text: str) -> list[tuple[int, int]]:
     """Spans of literals that reach a sensitive target, by start."""
-    if not _STEM.search(text) or not re.search("[:=]", text):
+    if not may_hold(text):
         return []
-    found = set()
-    for target, parts in pairs(text):
+    found, seen = set(), set()
+    for target, value in pairs(text):
         named = name_score(target)
-        if named >= 0.5:
-            value = "".join(p[2] for p in parts)
-            if named + literal_score(value) >= THRESHOLD:
-                found.update((a, b) for a, b, _ in parts if b > a)
+        if named >= 0.5 and named + value_score(value) >= THRESHOLD:
+            open_ = [value]
+            while open_:  # each constant once in the whole text
+                top = open_.pop()
+                if id(top) not in seen:
+                    seen.add(id(top))
+                    open_ += [p for p in top.parts if isinstance(p, Value)]
+                    found.update(p[:2] for p in top.parts if not isinstance(p, Value) and p[1] > p[0])
     return sorted(found)
 
 

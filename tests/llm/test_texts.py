@@ -122,6 +122,43 @@ def test_literals_reach_sensitive_names(text, literals):
     assert [text[a:b] for a, b in secrets.literals(text)] == literals
 
 
+@pytest.mark.parametrize(("text", "literals"), [
+    ('api_access = "A1b2C3d4E5f6G7"', ["A1b2C3d4E5f6G7"]), ("encryptionAccess: Zx81kkAA99pLq7", ["Zx81kkAA99pLq7"]),
+    ('{"api access": "A1b2C3d4E5f6G7"}', ["A1b2C3d4E5f6G7"]), ('cfg["pass_word"] = "A1b2C3d4E5f6G7"', ["A1b2C3d4E5f6G7"]),
+    ('blob = "q8Zx81KK"\nblob = ' + " + ".join(f'"a{i:02}Z"' for i in range(40)) + "\npassword = blob", [f"a{i:02}Z" for i in range(40)]),
+    ('a = "q8Zx81KK"\n' + "".join(f'a = a + "x{i:02}"\n' for i in range(3000)) + "password = a", ["q8Zx81KK", *[f"x{i:02}" for i in range(3000)]]),
+    ('a = "q8Zx"\n' + "a = a + a\n" * 3000 + "password = a", ["q8Zx"]),
+    ('a = "x"\n' + "a = a + a\n" * 3000 + "password = a", []),
+])
+def test_prefilter_and_long_constants_lose_no_literal(text, literals):
+    assert [text[a:b] for a, b in secrets.literals(text)] == literals
+
+
+def test_prefilter_lets_every_sensitive_target_through():
+    draw = random.Random(11)
+    words = [*secrets.SENSITIVE, "Api", "ACCESS", "pass", "word", "x9", "_", "-", ".", " ", "é", "count", "'", '"', "]", "=", ":", "\n", "\t"]
+    for _ in range(20_000):
+        text = "".join(draw.choice(words) for _ in range(draw.randint(1, 9))) + draw.choice(["=", " = ", ": ", '": ', "'] ="]) + "'A1b2C3d4E5f6G7'"
+        if any(secrets.name_score(target) >= 0.5 for target, _ in secrets.pairs(text)):
+            assert secrets.may_hold(text), text
+
+
+def test_value_scores_equal_those_of_the_joined_text():
+    draw = random.Random(12)
+    pieces = ["x", "abc", "Zx81", "aaaa", "<", ">", "your_", " two words ", "%(", "${", "}", "9", "é", "A1b2C3d4E5f6G7", "{{", "}}", "AAAA"]
+    for _ in range(3000):
+        parts = [draw.choice(pieces) for _ in range(draw.randint(1, 12))]
+        text, at, value = "".join(parts), 0, secrets.Value()
+        for i, x in enumerate(parts):
+            value.parts.append((at, at + len(x), x))
+            at += len(x)
+            if i % 3 == 2:
+                outer = secrets.Value()
+                outer.parts.append(value)
+                value = outer
+        assert secrets.value_score(value) == pytest.approx(secrets.literal_score(text))
+
+
 def base_of(text):
     found = []
     for kind, pattern, least, group in (
