@@ -50,20 +50,22 @@ WORDS_FOR = {
 }
 WORDS_AGAINST = r"(?i)(\b(version|ver|release|build|order|invoice|isbn|issn|doi|section|part|sku|serial|ticket|case)\b|[#v])\W*$"
 CONTEXT = 40
+#: Code points of the pieces that a text is rebuilt from.
+PIECE = 1000
 #: Labelers in the order of a vote code's digits; 0 abstains, 1 is for, 2 is against.
 LABELERS = ("regex", "gazetteer", "context", "edges", "variety")
 
 
-def running_sums(numbers: Column) -> Column:
-    """Sums of all entries before each place, one more than entries. In blocks of about the root of their number, as
-    an array that grows by one entry is copied."""
+def running_sums(numbers: Column, join: Callable[[Column, Column], Column] = lambda a, x: a + x) -> Column:
+    """Sums of all entries before each place, one more than entries; or what another ``join`` with the unit 0 gives. In
+    blocks of about the root of their number, as an array that grows by one entry is copied."""
     zero = F.array(F.lit(0).cast("long"))
-    grow = lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))
+    grow = lambda acc, x: F.concat(acc, F.array(join(F.element_at(acc, -1), x)))
     n = F.size(numbers)
     width = F.greatest(F.ceil(F.sqrt(n)).cast("int"), F.lit(1))
     parts = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(n / width).cast("int") - 1, F.lit(0))),
                         lambda b: F.slice(numbers, b * width + 1, width))
-    sums = F.transform(parts, lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda a, x: a + x))
+    sums = F.transform(parts, lambda p: F.aggregate(p, F.lit(0).cast("long"), join))
     starts = F.aggregate(sums, zero, grow)
     inside = F.transform(parts, lambda p, i: F.slice(F.aggregate(p, F.array(F.get(starts, i)), grow), 1, F.size(p)))
     return F.concat(F.flatten(inside), F.array(F.element_at(starts, -1)))
@@ -251,15 +253,9 @@ def _span(shape: Shape, model: Model) -> Callable[[Column, Column], Column]:
     return span
 
 
-def find_personal_data(docs: DataFrame, model: Model) -> DataFrame:
-    """Personal data in every whole ``text`` (null: empty), one row for each input row, in one narrow stage.
-
-    Base spans are the matches of the base shapes that pass their checks; the model adds candidates that it accepts.
-    Columns: doc_id (null stays null), n_email, n_ip, n_card, n_phone (base), base_sha256 (of kind:start:end in code
-    points, by kind, then start, comma-joined), spans (all of them likewise, empty if none). Repeated rows give repeated
-    rows; columns of ``docs`` other than doc_id and text are not read.
-    """
-    found = with_candidates(docs.select("doc_id", "text"))
+def _spans(docs: DataFrame, model: Model) -> tuple[DataFrame, Column]:
+    """``docs`` with hidden columns, and the array of the spans that are taken, base and accepted."""
+    found = with_candidates(docs)
     lengths = {}
     for s in SHAPES:
         lengths[f"_from_{s.name}"] = running_sums(F.zip_with(
@@ -269,8 +265,19 @@ def find_personal_data(docs: DataFrame, model: Model) -> DataFrame:
     spans = {}
     for s in SHAPES:
         spans[f"_spans_{s.name}"] = F.transform(f"_votes_{s.name}", _span(s, model))
-    found = found.withColumns(spans)
     every = F.filter(F.concat(*[f"_spans_{s.name}" for s in SHAPES]), lambda x: x["taken"])
+    return found.withColumns(spans), every
+
+
+def find_personal_data(docs: DataFrame, model: Model) -> DataFrame:
+    """Personal data in every whole ``text`` (null: empty), one row for each input row, in one narrow stage.
+
+    Base spans are the matches of the base shapes that pass their checks; the model adds candidates that it accepts.
+    Columns: doc_id (null stays null), n_email, n_ip, n_card, n_phone (base), base_sha256 (of kind:start:end in code
+    points, by kind, then start, comma-joined), spans (all of them likewise, empty if none). Repeated rows give repeated
+    rows; columns of ``docs`` other than doc_id and text are not read.
+    """
+    found, every = _spans(docs.select("doc_id", "text"), model)
     text_of = lambda x: F.concat_ws(":", F.get(F.array(*map(F.lit, KINDS)), x["kind"]), x["start"], x["stop"])
     base = F.filter("_every", lambda x: x["base"])
     kept = found.select("doc_id", F.array_sort(F.transform(every, lambda x: F.struct(
@@ -283,30 +290,33 @@ def find_personal_data(docs: DataFrame, model: Model) -> DataFrame:
         F.array_join(F.transform(F.col("_every"), text_of), ",").alias("spans"))
 
 
-def _tagged(shape: Shape, model: Model) -> Callable[[Column, Column], Column]:
-    judge = _judge(shape, "_gaps")
-
-    def tagged(found: Column, i: Column) -> Column:
-        taken = _taken(shape, judge(found, i), model)
-        return F.concat(F.get("_gaps", i), F.when(taken, F.lit(f"<{shape.kind}>")).otherwise(found))
-
-    return tagged
-
-
 def redact(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with each span in ``text`` replaced by its kind in angle brackets; null stays null.
+    """``docs`` with each span of ``find_personal_data`` in ``text`` replaced by its kind in angle brackets; null stays null.
 
-    Shapes are replaced one after the other, so what one has replaced the next does not see. One narrow stage.
+    Spans that overlap are replaced as one, from the first start to the last end, by the kind of the first, longest one.
+    The text is rebuilt once, from what is between. One narrow stage.
     """
     names, schema = docs.columns, docs.schema
-    text = docs.withColumn("_text", F.col("text"))
-    for s in SHAPES:
-        own = F.coalesce("_text", F.lit(""))
-        has = own.rlike(s.hint)
-        text = text.withColumns({
-            "_gaps": F.when(has, F.split(own, s.pattern, -1)).otherwise(F.array(own)),
-            "_found": F.when(has, F.regexp_extract_all(own, F.lit(s.pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))})
-
-        whole = F.concat(F.array_join(F.transform("_found", _tagged(s, model)), ""), F.element_at("_gaps", -1))
-        text = text.withColumn("_text", F.when(F.col("text").isNotNull(), F.when(F.size("_found") > 0, whole).otherwise(own)))
-    return text.select(*[F.col("_text").alias("text") if c == "text" else F.col(c) for c in names]).to(schema)
+    found, every = _spans(docs, model)
+    ordered = F.array_sort(F.transform(every, lambda x: F.struct(
+        x["start"].alias("start"), (-x["stop"]).alias("back"), x["kind"].alias("kind"))))
+    text = found.select(*names, ordered.alias("_every"))
+    text = text.withColumn("_reach", running_sums(F.transform("_every", lambda x: -x["back"]), lambda a, x: F.greatest(a, x)))
+    # what is between spans is cut from pieces, as a cut counts code points from the start of its string
+    text = text.withColumn("_pieces", F.when(F.size("_every") > 0, F.regexp_extract_all(
+        "text", F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))))
+
+    def between(start: Column, stop: Column) -> Column:
+        first = F.floor(start / PIECE).cast("int")
+        some = F.slice("_pieces", first + 1, F.floor(stop / PIECE).cast("int") - first + 1)
+        return F.substring(F.array_join(some, ""), (start - first * PIECE + 1).cast("int"), (stop - start).cast("int"))
+
+    def part(span: Column, i: Column) -> Column:
+        before = F.get("_reach", i)
+        tag = F.concat(F.lit("<"), F.get(F.array(*map(F.lit, KINDS)), span["kind"]), F.lit(">"))
+        return F.when(span["start"] >= before, F.concat(between(before, span["start"]), tag)).otherwise("")
+
+    rest = between(F.element_at("_reach", -1), F.length("text").cast("long"))
+    whole = F.concat(F.array_join(F.transform("_every", part), ""), rest)
+    clean = F.when(F.size("_every") > 0, whole).otherwise(F.col("text"))
+    return text.select(*[clean.alias("text") if c == "text" else F.col(c) for c in names]).to(schema)

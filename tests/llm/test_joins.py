@@ -263,6 +263,26 @@ def test_personal_data_is_native_and_redacts(spark, messy, empty):
     assert pii.find_personal_data(empty, pii.fit(empty)).count() == 0 and pii.redact(messy, pii.fit(messy)).count() == 11
 
 
+def test_redaction_covers_every_span_of_the_scan(spark):
+    draw = random.Random(4)
+    parts = ["+33.1.42.68.53.00", "a@b.c", "4111 1111 1111 1111", "1.2.3.4", "+49 30 1234567", "é", "\U0001F600", " ", ".", "x", "\n", "5"]
+    rows = [(i, "".join(draw.choice(parts) for _ in range(draw.randint(0, 25)))) for i in range(300)]
+    rows += [(-1, "call +33.1.42.68.53.00 now"), (-2, None), (-3, "\U0001F600 to a@b.co 1.2.3.4\n" * 500), (-4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pii.fit(docs)
+    found = {r.doc_id: r.spans for r in pii.find_personal_data(docs, model).collect()}
+    clean = {r.doc_id: r.text for r in pii.redact(docs, model).collect()}
+    for i, text in rows:
+        spans = sorted((int(a), -int(b), pii.KINDS.index(k)) for k, a, b in (x.split(":") for x in found[i].split(",") if x))
+        out, at = "", 0
+        for a, b, k in spans:
+            if a >= at:
+                out += text[at:a] + f"<{pii.KINDS[k]}>"
+            at = max(at, -b)
+        assert clean[i] == (None if text is None else out + text[at:])
+    assert clean[-1] == "call <phone> now"
+
+
 def test_unreliable_labelers_lose_weight():
     digits = lambda *v: sum(x * 3 ** (4 - i) for i, x in enumerate(v))
     counts = {digits(1, 1, 1, 1, 1): 300, digits(1, 1, 0, 1, 1): 200, digits(2, 2, 0, 1, 1): 300, digits(2, 2, 2, 1, 1): 100}
