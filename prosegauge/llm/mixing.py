@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosegauge.llm.common import saved
+from prosegauge.llm.graph import components
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Most patterns that the driver routes; more raise an error (one row each: source sets, not documents).
+#: Up to so many patterns the tables with a row for each are broadcast; more are joined by shuffle, with the same result.
 MAX_PATTERNS = 20_000
 BUCKETS = 4096
 #: Rounds of choosing documents that fit into what the rounds before left of a quota.
@@ -90,7 +93,61 @@ def route(patterns: list[tuple[tuple[str | None, ...], int]], quotas: dict[str |
     }
 
 
-def _fill(slim: DataFrame) -> DataFrame:
+def _goals(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """``targets`` of a table of any length: source, source_size, place (in order), target."""
+    rows = saved(sizes.orderBy(F.col("source").isNull(), "source").select(
+        "source", "source_size", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "mix-sources")
+    before, offsets = 0, []
+    for r in rows.groupBy("part").count().orderBy("part").collect():  # a row for each partition
+        offsets.append((r["part"], before))
+        before += r["count"]
+    offset = sizes.sparkSession.createDataFrame(offsets, "part int, before long")
+    place = F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights)).cast("int") + 1)
+    rows = saved(rows.join(F.broadcast(offset), "part").withColumn("place", place).select(
+        "source", "source_size", "place", weight.alias("weight")), "mix-sources")
+    cap = most * F.col("source_size")
+    scale, closed = 0.0, -1
+    while True:  # a source at its cap stays there, as the level only rises
+        full = F.lit(scale) * F.col("weight") > cap
+        got = rows.agg(F.sum("source_size").alias("total"), F.count_if(full).alias("closed"),
+                       F.sum(F.when(full, cap)).alias("capped"), F.sum(F.when(~full, F.col("weight"))).alias("open")).first()
+        if got["closed"] == closed or not got["open"]:
+            break
+        scale, closed = (got["total"] - float(got["capped"] or 0)) / got["open"], got["closed"]
+    return rows.select("source", "source_size", "place", F.when(full, cap.cast("double")).otherwise(
+        F.lit(scale) * F.col("weight")).alias("target"))
+
+
+def _given(patterns: DataFrame, goals: DataFrame, most: int) -> DataFrame:
+    """Words that each pattern gives: pattern, given.
+
+    A source that no other shares takes what its only pattern has. Patterns of sources that overlap go to the flow, each
+    connected group of sources in a task of its own.
+    """
+    member = patterns.select("pattern", "size", F.size("sources").alias("n"), F.explode("sources").alias("source"))
+    member = member.join(goals, member["source"].eqNullSafe(goals["source"])).select(
+        "pattern", "size", "n", "place", F.rint("target").cast("long").alias("quota"))
+    alone = member.where("n = 1").select("pattern", "place", F.least("quota", most * F.col("size")).alias("given"))
+    shared = saved(member.where("n > 1"), "mix-shared")
+    if shared.isEmpty():
+        return alone.select("pattern", "given")
+    lead = shared.groupBy("pattern").agg(F.min("place").alias("a"))
+    links = saved(shared.join(lead, "pattern").where("a != place").select("a", F.col("place").alias("b")).distinct(), "mix-links")
+    groups = saved(components(links), "mix-groups")
+    flows = member.join(groups, member["place"] == groups["node"]).select("root", "pattern", "size", "place", "quota")
+
+    def flow(rows: pd.DataFrame) -> pd.DataFrame:
+        found = sorted((sorted(part["place"].tolist()), int(part["size"].iloc[0]), number) for number, part in rows.groupby("pattern"))
+        got = route([(tuple(members), size) for members, size, _ in found],
+                    dict(zip(rows["place"].tolist(), rows["quota"].tolist(), strict=True)), most)
+        return pd.DataFrame({"pattern": [number for _, _, number in found], "given": [sum(got[i].values()) for i in range(len(found))]})
+
+    free = alone.join(groups, alone["place"] == groups["node"], "left_anti").select("pattern", "given")
+    return free.unionByName(flows.groupBy("root").applyInPandas(flow, "pattern long, given long"))
+
+
+def _fill(slim: DataFrame, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Choose, in seeded order, the documents of each pattern that fit into what is left, up to the first that is over.
 
     Sums of the parts of the order find the part where the room ends; only that part's rows are ranked.
@@ -100,16 +157,16 @@ def _fill(slim: DataFrame) -> DataFrame:
     upto = F.sum("words").over(Window.partitionBy("sources").orderBy("bucket"))
     cut = parts.withColumn("upto", upto).where("upto > left AND upto - words <= left").select(
         "sources", F.col("bucket").alias("cut"), (F.col("left") - (F.col("upto") - F.col("words"))).alias("room"))
-    some = fits.join(F.broadcast(cut), "sources").where("bucket = cut")  # cut: a row for each pattern at most
+    some = fits.join(small(cut), "sources").where("bucket = cut")  # cut: a row for each pattern at most
     ranked = some.groupBy("sources", "room", "order").agg(F.sum("size").alias("words")).withColumn(
         "upto", F.sum("words").over(Window.partitionBy("sources").orderBy("order")))
     last = ranked.where("upto <= room").groupBy("sources").agg(F.max("order").alias("last"))
-    slim = slim.join(F.broadcast(cut), "sources", "left").join(F.broadcast(last), "sources", "left")
+    slim = slim.join(small(cut), "sources", "left").join(small(last), "sources", "left")
     below = F.col("cut").isNull() | (F.col("bucket") < F.col("cut")) | (
         F.col("bucket") == F.col("cut")) & F.coalesce(F.col("order") <= F.col("last"), F.lit(False))
     slim = slim.withColumn("new", ~F.col("chosen") & (F.col("size") > 0) & (F.col("size") <= F.col("left")) & below)
     used = slim.where("new").groupBy("sources").agg(F.sum("size").alias("used"))
-    return slim.join(F.broadcast(used), "sources", "left").select(
+    return slim.join(small(used), "sources", "left").select(
         *[c for c in slim.columns if c not in ("chosen", "left", "new", "cut", "room", "last")],
         (F.col("chosen") | F.col("new")).alias("chosen"), (F.col("left") - F.coalesce("used", F.lit(0))).alias("left"))
 
@@ -119,7 +176,7 @@ def mix_sources(docs: DataFrame, members: Column, *, weights: tuple[int, ...] =
     """How many words of each document a mix takes so that each source comes to its target.
 
     ``members``: array of the sources that a document belongs to; null or empty counts as one null source. Documents
-    are summed by membership pattern; the flow over patterns and quotas runs on those sums. Inside a pattern all
+    are summed by membership pattern; quotas and, where sources overlap, the flow run on those sums, any number of them. Inside a pattern all
     documents are used equally often, and some once more: those first in a seeded order, in ``ROUNDS`` rounds of what
     still fits, and one as many times more as fits the rest best. Only one of ``BUCKETS`` parts of the order is ranked.
 
@@ -132,41 +189,34 @@ def mix_sources(docs: DataFrame, members: Column, *, weights: tuple[int, ...] =
 
 def _mixed(docs: DataFrame, members: Column, weights: tuple[int, ...], most: int, seed: int) -> DataFrame:
     """``mix_sources`` with the seeded order number of each row."""
-    spark = docs.sparkSession
     own = F.coalesce(members, F.array(F.lit(None).cast("string")))
     own = F.array_sort(F.array_distinct(F.when(F.size(own) == 0, F.array(F.lit(None).cast("string"))).otherwise(own)))
     slim = saved(docs.select(
         "doc_id", own.alias("sources"), word_count(F.col("text")).alias("size"),
         F.xxhash64(F.lit(seed), "doc_id", "text").alias("order")), "mix")
-    found = [(tuple(r["sources"]), r["size"]) for r in
-             slim.groupBy("sources").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()]
-    if len(found) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    found.sort(key=lambda p: [(s is None, s or "") for s in p[0]])
-    sizes: dict[str | None, int] = {}
-    for pattern, size in found:
-        for s in pattern:
-            sizes[s] = sizes.get(s, 0) + size
-    goal = targets(sizes, weights, most)
-    flow = route(found, {s: round(x) for s, x in goal.items()}, most)
-    rows = []
-    for i, (pattern, size) in enumerate(found):
-        given = sum(flow[i].values())
-        every, rest = divmod(given, size) if size else (0, 0)
-        rows.append((list(pattern), sizes[pattern[0]], goal[pattern[0]], every, rest))
-    plan = F.broadcast(spark.createDataFrame(  # at most MAX_PATTERNS rows
-        rows, "sources array<string>, source_size long, target double, every long, rest long"))
+    patterns = saved(slim.groupBy("sources").agg(F.sum("size").alias("size")).withColumn(
+        "pattern", F.monotonically_increasing_id()), "mix-patterns")
+    small = F.broadcast if patterns.count() <= MAX_PATTERNS else lambda df: df
+    goals = saved(_goals(patterns.select(F.explode("sources").alias("source"), "size").groupBy("source").agg(
+        F.sum("size").alias("source_size")), weights, most), "mix-goals")
+    first = patterns.withColumn("first", F.get("sources", F.lit(0)))
+    given = F.when(F.col("size") > 0, F.col("given")).otherwise(0)
+    own = F.when(F.col("size") > 0, F.col("size")).otherwise(1)
+    plan = small(saved(first.join(goals, first["first"].eqNullSafe(goals["source"])).join(
+        _given(patterns, goals, most), "pattern").select(
+            "sources", "source_size", "target", ((given - given % own) / own).cast("long").alias("every"),
+            (given % own).alias("rest")), "mix-plan"))
     slim = slim.join(plan, "sources").withColumn("bucket", F.shiftrightunsigned("order", 52).cast("int")).withColumns(
         {"chosen": F.lit(False), "left": F.col("rest")})
     for _ in range(ROUNDS):
-        slim = saved(_fill(slim), "mix-round")
+        slim = saved(_fill(slim, small), "mix-round")
     used = F.col("every") + F.col("chosen").cast("long")
     times = F.least(F.lit(most) - used, F.round(F.col("left") / F.col("size")).cast("long"))
     fit = slim.where("size > 0 AND left > 0").withColumn("times", times).where("times > 0").groupBy("sources").agg(
         F.min(F.struct(F.abs(F.col("left") - F.col("times") * F.col("size")).alias("off"), "order", "times")).alias("best"),
         F.max("left").alias("still")).where("best.off < still").select(
         "sources", F.col("best.order").alias("fit"), F.col("best.times").alias("times"))
-    out = slim.join(F.broadcast(fit), "sources", "left")  # at most a row for each pattern
+    out = slim.join(small(fit), "sources", "left")  # at most a row for each pattern
     more = F.when(F.col("order") == F.col("fit"), F.col("times")).otherwise(F.lit(0))
     repeats = F.when(F.col("size") > 0, used + more).otherwise(F.lit(0))
     return out.select("doc_id", "size", "sources", "source_size", "target", repeats.alias("repeats"),

@@ -216,6 +216,34 @@ def test_mix_frames(messy, empty):
     assert mixed.columns == messy.columns and 0 < mixed.count() <= 33
 
 
+def test_mix_of_more_patterns_than_are_broadcast(spark, monkeypatch):
+    draw = random.Random(9)
+    rows = [(i, "w " * draw.randint(0, 40), [f"s{i % 150}"] if i % 5 else draw.sample(["é", "a", "b", "c", None, "s7"], draw.randint(1, 3)))
+            for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, own array<string>")
+    before = sorted(map(str, mixing.mix_sources(docs, F.col("own")).collect()))
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", 20)
+    got = mixing.mix_sources(docs, F.col("own")).collect()
+    assert sorted(map(str, got)) == before and len(got) == 900
+    sizes, patterns, taken = collections.Counter(), collections.Counter(), collections.Counter()
+    for r in got:
+        patterns[tuple(r.sources)] += r.size
+        taken[tuple(r.sources)] += r.taken
+        for s in r.sources:
+            sizes[s] += r.size
+    goal = mixing.targets(sizes)
+    assert all(r.target == goal[r.sources[0]] and r.source_size == sizes[r.sources[0]] for r in got)
+    found = sorted(patterns.items(), key=lambda p: [(s is None, s or "") for s in p[0]])
+    flow = mixing.route(found, {s: round(x) for s, x in goal.items()})
+    alone = {s for s in sizes if not any(s in p and len(p) > 1 for p in patterns)}
+    assert len(alone) > 100
+    for i, (p, _) in enumerate(found):
+        if p[0] in alone:
+            assert abs(taken[p] - sum(flow[i].values())) <= 20
+    both = [sum(f.values()) for f in flow.values()]
+    assert abs(sum(taken.values()) - sum(both)) <= 0.02 * sum(both)
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
             "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
