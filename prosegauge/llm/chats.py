@@ -78,11 +78,17 @@ class Model:
 
 
 def turns_of(model: Model, transcript: str) -> list[tuple[str, str]]:
-    """Roles and texts of a transcript's turns; blank lines belong to the turn before, markers go."""
-    lines = [x for x in transcript.split("\n") if x.strip()]
+    """Roles and texts of a transcript's turns; blank lines belong to the turn before, markers go. Blank lines before the
+    first turn belong to none."""
+    lines = transcript.split("\n")
+    states = iter(model.roles([x for x in lines if x.strip()]))
     out: list[tuple[str, list[str]]] = []
-    for line, state in zip(lines, model.roles(lines), strict=True):
-        role, kind = STATES[state]
+    for line in lines:
+        if not line.strip():
+            if out:
+                out[-1][1].append(line)
+            continue
+        role, kind = STATES[next(states)]
         if kind == "open" or not out:
             out.append((role, [without_marker(line, role)]))
         else:
@@ -149,9 +155,10 @@ def parse(chats: DataFrame, model: Model) -> DataFrame:
             out: list[tuple] = []
             for turns in batch.column("turns").to_pylist():
                 truth = [STATES[s][0] for _, s in _labelled(turns)]
-                lines = [x for t in turns for x in (t["line"] or "").split("\n") if x.strip()]
+                whole = "\n".join(t["line"] for t in turns if t["line"])
+                lines = [x for x in whole.split("\n") if x.strip()]
                 found = model.roles(lines)
-                chat = turns_of(model, "\n".join(lines))
+                chat = turns_of(model, whole)
                 text = render(chat)
                 right = sum(STATES[s][0] == r for s, r in zip(found, truth, strict=True))
                 out.append((len(lines), len(chat), ",".join(r for r, _ in chat), right, text, hashlib.sha256(text.encode()).hexdigest()))

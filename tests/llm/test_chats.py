@@ -39,3 +39,12 @@ def test_odd_rows(spark):
     assert set(got) == {1, 2} and got[1][0] == 3
     none = chats.transcripts(data.limit(0))
     assert chats.parse(none, chats.fit(none)).count() == 0
+
+
+def test_blank_lines_stay_with_the_turn_before(spark):
+    code = "def f():\n\n    return 1\n \nThat is all.\n"
+    rows = [(1, 0, "user", "Hello there?"), (1, 1, "assistant", code), (1, 2, "user", None), (1, 3, "user", "thanks.")]
+    found = chats.transcripts(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    row = chats.parse(found, chats.fit(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").transform(chats.transcripts))).first()
+    assert code in row.rendered and row.n_lines in (5, 6)
+    assert chats.turns_of(chats.Model({}), "\n\nUser: a\n\nb") and "\n\n" in chats.render(chats.turns_of(chats.Model({}), "User: a\n\nb"))
