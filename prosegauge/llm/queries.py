@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosegauge.llm import bpe, chats, jaccard, mixing, neighbours, pii, quality, repetition, secrets, suffixes
+from prosegauge.llm import bpe, chats, jaccard, mixing, neighbours, pii, quality, repetition, secrets, spelling, suffixes
 from prosegauge.llm.common import saved, table
 
 
@@ -59,9 +59,13 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_suffix_dedup, op2_source_mix, op3_repetition_rules, op4_transcript_turns,
                             op5_personal_data, op6_bpe_roundtrip, op7_jaccard_join,
-                            op8_quality_classifier, op9_multiprobe_search, op10_secret_scan)
+                            op8_quality_classifier, op9_multiprobe_search, op10_secret_scan, op11_spelling_groups)
 }
 ORACLES: dict[str, str] = {}
