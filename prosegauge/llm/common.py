@@ -120,12 +120,13 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(9, 14)]] = True
 
 
-def words_of(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and text number of every word ``[^\\x20\\x09-\\x0D]+`` of the texts in ``data``."""
+def words_of(data: np.ndarray, starts: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text number of every word of the texts in ``data``. ``apart``: the bytes that are in no word, by
+    default those outside ``[^\\x20\\x09-\\x0D]``."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none
-    inside = ~_SPACE[data]
+    inside = ~apart[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     first = starts[:-1][starts[:-1] < starts[1:]]

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosegauge.llm import bpe, chats, jaccard, mixing, neighbours, pii, quality, repetition, secrets, spelling, suffixes
+from prosegauge.llm import (
+    bpe, chats, jaccard, mixing, neighbours, phrases, pii, quality, repetition, secrets, spelling, suffixes)
 from prosegauge.llm.common import saved, table
 
 
@@ -63,9 +64,40 @@ def op11_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_groups(table(spark, sf_dir, "documents"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_suffix_dedup, op2_source_mix, op3_repetition_rules, op4_transcript_turns,
                             op5_personal_data, op6_bpe_roundtrip, op7_jaccard_join,
-                            op8_quality_classifier, op9_multiprobe_search, op10_secret_scan, op11_spelling_groups)
+                            op8_quality_classifier, op9_multiprobe_search, op10_secret_scan, op11_spelling_groups, op13_phrase_collocations)
+}
+ORACLES: dict[str, str] = {
+    "op13_phrase_collocations": r"""
+WITH words AS (
+  SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+          translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+size AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM words GROUP BY lang),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+grams AS (SELECT lang, w[i:i + s - 1] AS p FROM starts, range(1, 6) AS sizes(s) WHERE i + s - 1 <= len(w)),
+counts AS (SELECT lang, p, count(*)::HUGEINT AS f FROM grams GROUP BY lang, p HAVING count(*) >= 100),
+candidates AS (SELECT lang, p, f AS a FROM counts WHERE len(p) > 1),
+parts AS (SELECT lang, a, p[i:i + s - 1] AS p FROM (
+  SELECT lang, a, p, unnest(range(1, len(p))) AS i FROM candidates), range(2, 5) AS sizes(s)
+  WHERE i + s - 1 <= len(p) AND s < len(p)),
+covered AS (SELECT lang, p, max(a) AS most FROM parts GROUP BY lang, p),
+kept AS (SELECT c.* FROM candidates c LEFT JOIN covered v ON c.lang = v.lang AND c.p = v.p
+         WHERE v.most IS NULL OR 100 * v.most < 100 * c.a),
+cuts AS (SELECT lang, p, a, unnest(range(1, len(p))) AS k FROM kept),
+scored AS (
+  SELECT c.lang, c.p, c.a, c.k, l.f AS l, r.f AS r, size.n, 1000 * c.a * size.n // (l.f * r.f) AS score
+  FROM cuts c JOIN counts l ON l.lang = c.lang AND l.p = c.p[1:c.k]
+  JOIN counts r ON r.lang = c.lang AND r.p = c.p[c.k + 1:] JOIN size ON size.lang = c.lang),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+ranked AS (SELECT *, array_to_string(p, ' ') AS phrase FROM lowest)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase,
+  a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked QUALIFY rank <= 2000""",
 }
-ORACLES: dict[str, str] = {}
