@@ -29,15 +29,20 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first)
 
 
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each key; buckets are ranges of keys."""
+    return (((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
 def packed(keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
     """One row for each bucket that the keys meet: its keys, in order, and their counts."""
     keys, counts = summed(keys, counts)
-    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    bucket = bucket_of(keys, buckets)
     first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(keys) else np.zeros(0, np.int64)
     cut = np.append(first, len(keys)).tolist()
     part = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
     return pa.RecordBatch.from_arrays(
-        [pa.array(bucket[first].astype(np.int64)), part(keys), part(counts.astype(np.int64))], ["bucket", "keys", "counts"])
+        [pa.array(bucket[first]), part(keys), part(counts.astype(np.int64))], ["bucket", "keys", "counts"])
 
 
 def tallied(found: Iterator[tuple[np.ndarray, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:

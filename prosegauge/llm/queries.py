@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosegauge.llm import (
-    bpe, chats, jaccard, mixing, neighbours, phrases, pii, quality, repetition, secrets, spelling, suffixes)
+    bpe, chats, jaccard, mixing, neighbours, phrases, pii, quality, repetition, scoring, secrets, spelling,
+    suffixes)
 from prosegauge.llm.common import saved, table
 
 
@@ -64,6 +65,10 @@ def op11_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_groups(table(spark, sf_dir, "documents"))
 
 
+def op12_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
@@ -71,7 +76,8 @@ def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_suffix_dedup, op2_source_mix, op3_repetition_rules, op4_transcript_turns,
                             op5_personal_data, op6_bpe_roundtrip, op7_jaccard_join,
-                            op8_quality_classifier, op9_multiprobe_search, op10_secret_scan, op11_spelling_groups, op13_phrase_collocations)
+                            op8_quality_classifier, op9_multiprobe_search, op10_secret_scan, op11_spelling_groups, op12_language_model,
+                            op13_phrase_collocations)
 }
 ORACLES: dict[str, str] = {
     "op13_phrase_collocations": r"""
