@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from prosegauge.functions import numeric as nu
 from prosegauge.functions.numeric import ratio, unit
-from prosegauge.session import checkpointed, drop_checkpoint
+from prosegauge.operators import neighbours
 
 c = F.col
-#: Most labelled rows of the part of a bank that tasks hold at a time.
-BANK_ROWS = 100_000
+#: Most labelled rows of a block of the bank, on average.
+BANK_ROWS = neighbours.BLOCK_ROWS
 
 
 # --- reports ------------------------------------------------------------------------
@@ -189,16 +185,29 @@ def repair_counts(df: DataFrame) -> DataFrame:
 
 # --- centroids and neighbours ------------------------------------------------------------
 
-def label_means(samples: DataFrame, label: str = "label", vec: str = "embedding") -> DataFrame:
-    """Count and component sums per label, of vectors of any one length; unequal lengths in a label are an error.
+def label_means(samples: DataFrame, label: str = "label", vec: str = "embedding", features: str | None = None) -> DataFrame:
+    """Count and component sums per label, ``vec_sum`` and with ``features`` also ``feature_sum``, of vectors of any one
+    length; unequal lengths in a label are an error.
 
-    Components are summed map-side, so a label of any size leaves a task as one row per component.
+    Both columns' components are summed in one aggregate, map-side, so a label of any size leaves a task as one row per
+    component. A sample counts if it has a vector; its NULL features are an error, as its closeness would be undefined.
     """
-    parts = samples.select(label, F.posexplode(F.col(vec).cast("array<double>")).alias("_at", "_x")).groupBy(
-        label, "_at").agg(F.sum("_x").alias("_s"), F.count(F.lit(1)).alias("_n"))
-    sums = F.transform(F.array_sort(F.collect_list(F.struct("_at", "_s"))), lambda e: e["_s"])
-    same = F.when(F.min("_n") != F.max("_n"), F.raise_error(F.lit("vectors of unequal length"))).otherwise(sums)
-    return parts.groupBy(label).agg(F.max("_n").alias("n"), same.alias("vec_sum"))
+    def entries(name: str, kind: int) -> Column:
+        return F.transform(c(name).cast("array<double>"), lambda x, i: F.struct(
+            F.lit(kind).alias("_kind"), i.alias("_at"), x.alias("_x")))
+
+    both = [entries(vec, 0)] + ([F.when(c(features).isNull(), F.raise_error(F.lit("a sample without features"))).otherwise(
+        entries(features, 1))] if features else [])
+    rows = samples.filter(c(vec).isNotNull()).select(label, F.explode(F.concat(*both)).alias("_e"))
+    parts = rows.groupBy(label, "_e._kind", "_e._at").agg(F.sum("_e._x").alias("_s"), F.count(F.lit(1)).alias("_n"))
+
+    def sums(kind: int) -> Column:
+        own = F.array_sort(F.collect_list(F.when(c("_kind") == kind, F.struct("_at", "_s"))))
+        return F.transform(own, lambda e: e["_s"])
+
+    even = F.when(F.min("_n") != F.max("_n"), F.raise_error(F.lit("vectors of unequal length"))).otherwise(sums(0))
+    return parts.groupBy(label).agg(F.max("_n").alias("n"), even.alias("vec_sum"), *(
+        [sums(1).alias("feature_sum")] if features else []))
 
 
 def _unit_vector(v: Column) -> Column:
@@ -207,11 +216,19 @@ def _unit_vector(v: Column) -> Column:
 
 
 def label_centroids(samples: DataFrame, label: str = "label", vec: str = "embedding",
-                    unit_length: bool = True) -> DataFrame:
-    means = label_means(samples, label, vec)
+                    unit_length: bool = True, features: str | None = None) -> DataFrame:
+    """``label``, ``n``, ``centroid`` (of unit length unless told otherwise) and, with ``features``, ``feature_centroid``,
+    the plain mean of a label's feature vectors."""
+    means = label_means(samples, label, vec, features)
     mean = F.transform("vec_sum", lambda x: x / c("n"))
-    plain = means.select(label, "n", mean.alias("centroid"))
-    return plain.withColumn("centroid", _unit_vector(c("centroid"))) if unit_length else plain
+    extra = [F.transform("feature_sum", lambda x: x / c("n")).alias("feature_centroid")] if features else []
+    return means.select(label, "n", (_unit_vector(mean) if unit_length else mean).alias("centroid"), *extra)
+
+
+def closeness(a: Column, b: Column) -> Column:
+    """1 - the mean absolute difference of two feature vectors, within 0 and 1."""
+    diffs = F.zip_with(a, b, lambda x, y: F.abs(x - y))
+    return unit(1.0 - F.aggregate(diffs, F.lit(0.0), lambda s, x: s + x) / F.size(diffs))
 
 
 def centroid_scores(queries: DataFrame, centroids: DataFrame, key: str = "id", label: str = "label",
@@ -227,112 +244,16 @@ def centroid_scores(queries: DataFrame, centroids: DataFrame, key: str = "id", l
         sim = F.aggregate(F.zip_with(c(vec), e["centroid"], lambda a, b: a.cast("double") * b), F.lit(0.0),
                           lambda s, x: s + x)
         out = 0.35 * unit((sim + 1.0) / 2.0)
-        if features:
-            diffs = F.zip_with(c(features), e["feature_centroid"], lambda a, b: F.abs(a - b))
-            dist = F.aggregate(diffs, F.lit(0.0), lambda s, x: s + x) / F.size(diffs)
-            out = out + 0.25 * unit(1.0 - dist)
-        return out
+        return out + 0.25 * closeness(c(features), e["feature_centroid"]) if features else out
 
     scored = F.transform("_packed", lambda e: F.struct(e[label].alias(label), score(e).alias("score")))
     return queries.withColumn("_packed", packed).select(key, F.inline(scored))
 
 
-def _bank_parts(samples: DataFrame, key: str, label: str, vec: str) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
-    """Ids, labels and vectors of all samples by id, at most ``BANK_ROWS`` rows at a time. Rows travel as Arrow batches."""
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = pa.BufferOutputStream()
-            with pa.ipc.new_stream(out, batch.schema) as stream:
-                stream.write_batch(batch)
-            yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], ["rows"])
-
-    def part(rows: pa.Table) -> tuple[pa.Array, pa.Array, np.ndarray]:
-        ids, labels, vectors = (pa.concat_arrays(rows.column(n).chunks) for n in (key, label, vec))
-        return ids, labels, vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-
-    ordered = samples.filter(c(vec).isNotNull()).select(key, label, c(vec).cast("array<double>").alias(vec)).orderBy(key, label)
-    waiting: list[pa.Table] = []
-    for row in ordered.mapInArrow(pack, "rows binary").toLocalIterator():
-        waiting.append(pa.ipc.open_stream(row[0]).read_all())
-        while sum(t.num_rows for t in waiting) >= BANK_ROWS:
-            rows = pa.concat_tables(waiting)
-            yield part(rows.slice(0, BANK_ROWS))
-            waiting = [rows.slice(BANK_ROWS)]
-    if sum(t.num_rows for t in waiting):
-        yield part(pa.concat_tables(waiting))
-
-
 def nearest(queries: DataFrame, samples: DataFrame, k: int, key: str = "id", label: str = "label",
             vec: str = "embedding", leave_one_out: bool = False, digits: int = 9) -> DataFrame:
-    """Exact ``k`` nearest samples of every query by dot product: (key, rank, sample_id, label, sim).
-
-    Any number of samples: the bank comes in parts by id of at most ``BANK_ROWS`` rows. Tasks hold one part and score
-    their queries in batches; a query carries its best so far from part to part, so the work is the queries' rows times
-    the bank and the driver holds a part at a time. Ties go to the smaller sample id; a pair without a finite similarity
-    is no neighbour. NULL vectors take no part.
-    """
-    spark = queries.sparkSession
-    kept = [T.StructField(key, queries.schema[key].dataType), T.StructField(vec, T.ArrayType(T.DoubleType()))]
-    best = [T.StructField("_ids", T.ArrayType(samples.schema[key].dataType)),
-            T.StructField("_labels", T.ArrayType(samples.schema[label].dataType)),
-            T.StructField("_sims", T.ArrayType(T.DoubleType()))]
-
-    def step(state: DataFrame, held: Broadcast, last: bool) -> DataFrame:
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, labels, vectors = held.value
-            n, first = min(k, len(ids)), None
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                mine = batch.column(vec).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                if leave_one_out:
-                    if first is None:  # ids are in order: a number for each different one
-                        first = pc.index_in(ids, value_set=ids).to_numpy()
-                    own = pc.index_in(batch.column(key).cast(ids.type), value_set=ids).fill_null(-1).to_numpy()
-                before = [batch.column(f.name) for f in best]
-                starts = np.append(0, np.cumsum(before[2].value_lengths().to_numpy()))
-                flat = [x.flatten() for x in before]
-                sims_before = flat[2].to_numpy(zero_copy_only=False)
-                taken, found = [], []
-                for at in range(0, batch.num_rows, 256):
-                    sims = np.round(mine[at: at + 256] @ vectors.T, digits)
-                    sims[~np.isfinite(sims)] = -np.inf
-                    if leave_one_out:
-                        sims[own[at: at + 256, None] == first[None, :]] = -np.inf
-                    for i, row in enumerate(sims, at):
-                        top = np.flatnonzero(row >= np.partition(row, len(ids) - n)[len(ids) - n])
-                        top = top[np.isfinite(row[top])]
-                        both = np.append(sims_before[starts[i]: starts[i + 1]], row[top])
-                        order = np.argsort(-both, kind="stable")[:k]  # earlier parts hold smaller ids
-                        taken.append(np.append(np.arange(starts[i], starts[i + 1]), starts[-1] + top)[order])
-                        found.append(both[order])
-                ends = pa.array(np.append(0, np.cumsum([len(x) for x in taken])), pa.int32())
-                where = pa.array(np.concatenate(taken).astype(np.int64))
-                lists = [pa.ListArray.from_arrays(ends, pa.concat_arrays([old, new.cast(old.type)]).take(where))
-                         for old, new in zip(flat, (ids, labels))]
-                lists.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found))))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(f.name) for f in kept[: 1 if last else 2]] + lists, [f.name for f in fields])
-
-        fields = kept[: 1 if last else 2] + best
-        return state.mapInArrow(score, T.StructType(fields))
-
-    state = queries.filter(c(vec).isNotNull()).select(key, c(vec).cast("array<double>").alias(vec), *[
-        F.array().cast(f.dataType).alias(f.name) for f in best])
-    waiting, written = None, None
-    for part in _bank_parts(samples, key, label, vec):
-        if waiting is not None:
-            state, old = checkpointed(step(state, waiting, False)), written
-            waiting.destroy()
-            written = state
-            if old is not None:
-                drop_checkpoint(old)
-        waiting = spark.sparkContext.broadcast(part)
-    if waiting is not None:
-        state = step(state, waiting, True)
-    each = state.select(key, F.posexplode(F.arrays_zip("_ids", "_labels", "_sims")).alias("_at", "_best"))
-    return each.select(key, (c("_at") + 1).alias("rank"), c("_best._ids").alias("sample_id"),
-                       c("_best._labels").alias(label), c("_best._sims").alias("sim"))
+    """Exact ``k`` nearest samples of every query by dot product (``neighbours.nearest``), in blocks of ``BANK_ROWS``."""
+    return neighbours.nearest(queries, samples, k, key, label, vec, leave_one_out, digits, BANK_ROWS)
 
 
 def knn_label_votes(queries: DataFrame, samples: DataFrame, k: int = 16, key: str = "id", label: str = "label",
@@ -342,32 +263,43 @@ def knn_label_votes(queries: DataFrame, samples: DataFrame, k: int = 16, key: st
     return near.groupBy(key, label).agg(F.sum(F.pow(F.greatest(F.lit(0.0), c("sim")), F.lit(2.0))).alias("votes"))
 
 
+def label_probabilities(centred: DataFrame, votes: DataFrame, key: str = "id", label: str = "label") -> DataFrame:
+    """Neighbour votes and centroid scores of each (key, label), added up and divided by their sum; and the best label."""
+    raw = centred.unionByName(votes.withColumnRenamed("votes", "score")).groupBy(key, label).agg(F.sum("score").alias("raw"))
+    mass = raw.groupBy(key).agg(F.sum("raw").alias("mass"), F.min_by(label, F.struct(-c("raw"), c(label))).alias("predicted"))
+    return raw.join(mass, key).select(key, label, nu.rounded(c("raw") / c("mass"), 4).alias("probability"), "predicted")
+
+
 def loo_label_scores(samples: DataFrame, k: int = 16, key: str = "id", label: str = "label",
-                     vec: str = "embedding") -> DataFrame:
-    """Label probabilities of every sample without itself: neighbour votes + centroid scores.
+                     vec: str = "embedding", features: str | None = None) -> DataFrame:
+    """Label probabilities of every sample without itself: neighbour votes + centroid scores (+ feature closeness).
 
-    The centroid of a sample's own label is (sum - x) / (n - 1): label sums are
-    made once instead of n times.
+    The centroids of a sample's own label are (sum - x) / (n - 1): label sums are made once instead of n times.
     """
-    packed = label_means(samples, label, vec).agg(
-        F.array_sort(F.collect_list(F.struct(label, "n", "vec_sum"))).alias("all")).scalar()
+    columns = [label, "n", "vec_sum"] + (["feature_sum"] if features else [])
+    packed = label_means(samples, label, vec, features).agg(
+        F.array_sort(F.collect_list(F.struct(*columns))).alias("all")).scalar()
+
+    def without(total: Column, x: Column, own: Column) -> Column:
+        return F.when(own, F.zip_with(total, x, lambda a, b: a - b.cast("double"))).otherwise(total)
 
     def sim(e: Column) -> Column:
         own = e[label] == c(label)
-        rest = F.when(own, F.zip_with(e["vec_sum"], c(vec), lambda a, b: a - b.cast("double"))).otherwise(e["vec_sum"])
-        pairs = F.zip_with(rest, c(vec), lambda a, b: F.struct((a * a).alias("aa"), (a * b.cast("double")).alias("ab")))
+        pairs = F.zip_with(without(e["vec_sum"], c(vec), own), c(vec), lambda a, b: F.struct(
+            (a * a).alias("aa"), (a * b.cast("double")).alias("ab")))
         sums = F.aggregate(pairs, F.struct(F.lit(0.0).alias("aa"), F.lit(0.0).alias("ab")),
                            lambda s, x: F.struct((s["aa"] + x["aa"]).alias("aa"), (s["ab"] + x["ab"]).alias("ab")),
                            lambda s: F.when(s["aa"] > 0, s["ab"] / F.sqrt(s["aa"])).otherwise(0.0))
         left = e["n"] - F.when(own, 1).otherwise(0)
-        return F.when(left > 0, 0.35 * unit((sums + 1.0) / 2.0)).otherwise(0.0)
+        out = 0.35 * unit((sums + 1.0) / 2.0)
+        if features:
+            mean = F.transform(without(e["feature_sum"], c(features), own), lambda x: x / left)
+            out = out + 0.25 * closeness(c(features), mean)
+        return F.when(left > 0, out).otherwise(0.0)
 
-    centred = samples.withColumn("_packed", packed).select(key, F.inline(F.transform(
+    centred = samples.filter(c(vec).isNotNull()).withColumn("_packed", packed).select(key, F.inline(F.transform(
         "_packed", lambda e: F.struct(e[label].alias(label), sim(e).alias("score")))))
-    votes = knn_label_votes(samples, samples, k, key, label, vec, leave_one_out=True).withColumnRenamed("votes", "score")
-    raw = centred.unionByName(votes).groupBy(key, label).agg(F.sum("score").alias("raw"))
-    mass = raw.groupBy(key).agg(F.sum("raw").alias("mass"), F.max_by(label, F.struct("raw", -c(label))).alias("predicted"))
-    return raw.join(mass, key).select(key, label, nu.rounded(c("raw") / c("mass"), 4).alias("probability"), "predicted")
+    return label_probabilities(centred, knn_label_votes(samples, samples, k, key, label, vec, leave_one_out=True), key, label)
 
 
 def accuracy_by_label(df: DataFrame, predicted: str, expected: str) -> DataFrame:

@@ -158,15 +158,17 @@ def quota_decisions(requests: DataFrame, limit: int, user: str = "user_id", ts:
 # --- running averages and profiles ---------------------------------------------------------
 
 def running_average(scores: DataFrame, cols: Sequence[str], user: str = "user_id", ts: str = "ts",
-                    key: str = "id") -> DataFrame:
-    """Add ``n`` and ``avg_<col>`` after every submission.
+                    key: str = "id", weight: Column | int = 1) -> DataFrame:
+    """Add ``n`` and ``avg_<col>`` after every submission. A row of another ``weight`` stands for so many, whose average
+    it holds; it must come before all others of its user.
 
     A NULL score leaves the average but still counts as a submission, so a later
     score x at place n gives avg * (n-1)/n + x/n. That is an affine map; maps
     are composed inside (user, chunk), and the few chunk maps across a user.
     """
     counts = {f"_k_{s}": c(s).isNotNull().cast("int") for s in cols}
-    base = running(chunked(scores, [user], [ts, key]), [user], [ts, key], sums={"n": F.lit(1), **counts})
+    base = running(chunked(scores, [user], [ts, key]), [user], [ts, key], sums={
+        "n": weight if isinstance(weight, Column) else F.lit(weight), **counts})
     here = W.partitionBy(user, "_chunk").orderBy(ts, key).rowsBetween(W.unboundedPreceding, 0)
     logs, adds = {}, {}
     for s in cols:
@@ -224,6 +226,40 @@ def writer_profiles(scores: DataFrame, user: str = "user_id", ts: str = "ts", ke
     )
 
 
+def profile_state(scores: DataFrame, before: DataFrame | None = None, user: str = "user_id", ts: str = "ts",
+                  key: str = "id", style: str = "stance_label", styles: Sequence[str] = WRITING_STYLES) -> DataFrame:
+    """Profiles after ``scores``, from the profiles ``before`` them, without the rows these were made of.
+
+    The columns of ``writer_profiles``, and with ``last_key`` all that the next call needs: a user's history goes on as
+    one row that holds count and average, from which the new rows' affine maps are composed, and the greatest reputation
+    so far. New rows must be later, by time and key, than the user's last one; an earlier one is an error. Users without
+    new rows keep their row as it is, and it is not looked into.
+    """
+    cols = [x for x in ("eqs_score", "bqs_score") if x in scores.columns]
+    named = c(style) if style in scores.columns else F.lit(None).cast("string")
+    rows = scores.select(user, ts, key, named.alias("_style"), *cols, F.lit(1).cast("long").alias("_times"), F.lit(None).cast("long").alias("_most"))
+    idle = None
+    if before is not None:
+        users = scores.select(user).distinct()
+        idle = before.join(users, before[user].eqNullSafe(users[user]), "left_anti")
+        kept = before.join(users, before[user].eqNullSafe(users[user]), "left_semi").select(
+            user, c("last_scored_at").alias(ts), c("last_key").alias(key), c("writing_style").alias("_style"), *[c(f"avg_{x}").alias(x) for x in cols],
+            c("total_submissions").cast("long").alias("_times"), c("reputation_points").alias("_most"))
+        rows = rows.unionByName(kept)
+    averaged = running_average(rows, cols, user, ts, key, c("_times"))
+    order = F.struct(ts, key)
+    points = F.floor(F.coalesce(c("avg_eqs_score"), F.lit(0.0)) * c("n") / 10.0 + 1e-9)
+    known = F.when(c("_style").isin(*styles), c("_style"))
+    early = c("_most").isNotNull() & (c("n") != c("_times"))
+    count = F.when(F.max(early), F.raise_error(F.lit("a new row is earlier than its user's profile"))).otherwise(F.max("n"))
+    out = averaged.groupBy(user).agg(
+        count.alias("total_submissions"), *[F.max_by(f"avg_{x}", order).alias(f"avg_{x}") for x in cols],
+        F.max_by(known, F.when(known.isNotNull(), order)).alias("writing_style"),
+        F.max(F.greatest(points, "_most")).alias("reputation_points"), F.max(ts).alias("last_scored_at"),
+        F.max_by(key, order).alias("last_key"))
+    return out if idle is None else out.unionByName(idle.select(*out.columns))
+
+
 def topic_affinity(submissions: DataFrame, communities: DataFrame, user: str = "user_id", ts: str = "ts",
                    key: str = "id", keep: int = 5) -> DataFrame:
     """First ``keep`` topics per user in order of first appearance in their communities."""

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from prosegauge.functions import numeric as nu, text as tx
 from prosegauge.lexicons import LEXICON, STANCES
 from prosegauge.operators import (
+    benchmark as bm,
     claims as cl, clean, corpus, evaluate as ev, facts as fa, fusion as fu, paragraphs as pa, quality as qu, scoring as sc,
     signals as si, social as so, stance as st, submissions as su, writer as wr,
 )
@@ -312,6 +313,12 @@ def paragraph_stance(s, d):
                       "sarcasm_gate_reason", F.array_join("style_tags", ",").alias("tags"))
 
 
+@query
+def tone_metrics(s, d):
+    """The five tone metrics of every paragraph."""
+    return rounded(st.paragraph_stance(paras(s, d), D).select("doc_id", "para_ix", *st.METRICS), 3)
+
+
 @query
 def conversation_stance(s, d):
     lines = dm.turns(s, d).select("conv_id", "turn", "text")
@@ -479,6 +486,18 @@ def writer_profiles(s, d):
     return rounded(out)
 
 
+@query
+def profiles_by_day(s, d):
+    """``writer_profiles`` in three steps, each from the profiles of the one before and the rows of its own time."""
+    rows = dm.submissions(s, d)
+    low, high = rows.agg(F.expr("percentile_approx(unix_timestamp(cast(ts AS timestamp)), array(0.3, 0.7))")).first()[0]
+    at = F.unix_timestamp(c("ts").cast("timestamp"))
+    state = None
+    for part in (at <= low, (at > low) & (at <= high), at > high):
+        state = checkpointed(su.profile_state(rows.filter(part), state))
+    return rounded(state.drop("last_scored_at", "last_key"))
+
+
 @query
 def topic_affinity(s, d):
     out = su.topic_affinity(dm.submissions(s, d), dm.communities(s, d))
@@ -660,14 +679,31 @@ def writer_distribution(s, d):
 
 @query
 def label_centroids(s, d):
-    out = ev.label_centroids(dm.vectors(s, d))
-    return out.select("label", "n", F.posexplode("centroid").alias("dim", "x")).withColumn("x", r6(c("x")))
+    out = ev.label_centroids(bm.with_features(dm.bank(s, d), D), features="features")
+    both = [out.select("label", "n", F.lit(kind).alias("kind"), F.posexplode(name).alias("dim", "x"))
+            for kind, name in (("embedding", "centroid"), ("features", "feature_centroid"))]
+    return both[0].unionByName(both[1]).withColumn("x", r6(c("x")))
 
 
 @query
 def centroid_scores(s, d):
-    v = dm.vectors(s, d)
-    return rounded(ev.centroid_scores(v, ev.label_centroids(v)), 5)
+    v = bm.with_features(dm.bank(s, d), D)
+    return rounded(ev.centroid_scores(v, ev.label_centroids(v, features="features"), features="features"), 5)
+
+
+@query
+def benchmark_probabilities(s, d):
+    """Label probabilities of the documents left out of the bank, and of some without a vector."""
+    queries = dm.documents(s, d).select(c("doc_id").alias("id"), "text").join(dm.vectors(s, d).select("id", "embedding"), "id", "left")
+    return rounded(bm.probabilities(queries.filter("id % 5 = 0"), bm.fit(dm.stance_bank(s, d), D)), 3)
+
+
+@query
+def benchmark_stance(s, d):
+    """Stance of all paragraphs, with the benchmark half of every mix filled from a labelled bank."""
+    lines = paras(s, d).join(dm.vectors(s, d).select(c("id").alias("doc_id"), "embedding"), "doc_id", "left")
+    out = st.paragraph_stance(bm.with_benchmark(lines, bm.fit(dm.stance_bank(s, d), D)), D)
+    return out.select("doc_id", "para_ix", st.named("stance_ix", STANCES).alias("stance_label"), *[nu.rounded(c(st.prob(x)), 2).alias(st.prob(x)) for x in STANCES])
 
 
 @query
@@ -678,7 +714,7 @@ def knn_votes(s, d):
 
 @query
 def loo_scores(s, d):
-    return rounded(ev.loo_label_scores(dm.vectors(s, d)).drop("predicted"), 3)
+    return rounded(ev.loo_label_scores(bm.with_features(dm.bank(s, d), D), features="features").drop("predicted"), 3)
 
 
 @query

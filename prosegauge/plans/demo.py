@@ -158,6 +158,19 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(c("vec_id").alias("id"), "embedding", "label")
 
 
+def bank(spark: SparkSession, d: str) -> DataFrame:
+    """``vectors`` with the text of the document of the same number, if there is one."""
+    return vectors(spark, d).join(table(spark, d, "documents").select(c("doc_id").alias("id"), "text"), "id", "left")
+
+
+def stance_bank(spark: SparkSession, d: str) -> DataFrame:
+    """``bank`` labelled by stance; numbers that are multiples of five are kept out, to be scored."""
+    from prosegauge.lexicons import STANCES
+
+    names = F.array(*map(F.lit, STANCES))
+    return bank(spark, d).filter("id % 5 != 0").withColumn("label", F.get(names, c("label") % len(STANCES)))
+
+
 def scored_rows(spark: SparkSession, d: str) -> DataFrame:
     """Events as documents in the middle of scoring: every input of the rule chain and the fusion, by arithmetic."""
     from prosegauge.lexicons import COMPONENT_MAX, STANCES, WRITER_TYPES

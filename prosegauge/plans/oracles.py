@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from prosegauge.functions.text import SPACES, WS
+from prosegauge.functions.text import NOT_WS, SPACES, WS
 from prosegauge.lexicons import (
     ARCHETYPES, CALIBRATION_BANDS, COMPONENT_MAX, FLOOR_QUALITY_WEIGHTS, FUSION_BANDS, LABEL_BANDS, LEXICON,
     NON_BOWLER_WICKETS, REBALANCE_VARIANTS, STANCE_ANCHORS, STANCE_STRENGTH_BASE, STANCES, UPLIFT_WEIGHTS,
     WRITER_FLOORS, WRITER_PROFILES, WRITER_TYPES,
 )
 from prosegauge.operators.clean import TOPIC_GROUPS
+from prosegauge.operators.stance import prob
 from prosegauge.plans.demo import ABUSE, DEMO, WORDS
 
 L, D = LEXICON, DEMO
@@ -424,7 +425,13 @@ _verbs = f"regexp_matches({ASCII.format(x='low')}, '\\b(is|are|has|have|keeps|cl
 PR = ["supportive_defense", "direct_criticism", "sarcastic_attack", "neutral_commentary", "mixed_or_ambiguous"]
 
 
-def stance_ctes(src: str, keys: str) -> str:
+TONE = {**{m: m for m in ("sarcasm_score", "contradiction_score", "exaggeration_score", "context_mismatch_score")},
+        "ridicule_score": unit("0.4*sarcasm_score + 0.3*exaggeration_score + 0.3*mocking_praise_score"), "directness_score": "directness",
+        "certainty_score": score("low", D["certainty"], 2.0), "hostility_score": unit("0.65*att + 0.35*cmp"), "neutrality_score": "n_"}
+
+
+def stance_ctes(src: str, keys: str, bench: bool = False) -> str:
+    b = [f"0.65*bench[{i + 1}]" if bench else "0.08125" for i in range(8)]
     labels = [s.lower() for s in STANCES]
     mixsum = "(" + "+".join(f"m{i}" for i in range(8)) + ")"
     psum = "(" + "+".join(f"r{i}" for i in range(5)) + ")"
@@ -449,8 +456,8 @@ CASE WHEN gate THEN greatest(w_sar, 0.55 + 0.35*sarcasm_score) ELSE w_sar END AS
 0.25*(fairness_defense_score >= 0.4 OR reputation_defense_score >= 0.4)::INT + 0.25*(causal_defense_score >= 0.35)::INT + 0.2*(cred >= 0.35)::INT
 + 0.15*(evaluation_redirection_score >= 0.35 AND cred >= 0.35)::INT + 0.2*forced::INT AS boost FROM t6),
 t8 AS (SELECT *, CASE WHEN boost > 0 THEN least(1.0, y_sup + boost) ELSE y_sup END AS z_sup FROM t7),
-t9 AS (SELECT *, 0.35*z_sup + 0.08125 AS b0, 0.35*w_con + 0.08125 AS b1, 0.35*w_neu + 0.08125 AS b2, 0.35*w_deb + 0.08125 AS b3, 0.35*w_cmp + 0.08125 AS b4, 0.35*z_att + 0.08125 AS b5,
-0.35*z_sar + 0.08125 AS b6, 0.35*w_mix + 0.08125 AS b7, CASE WHEN gate THEN 1 WHEN endo THEN 2 WHEN att >= 0.85 THEN 3 WHEN rej AND causal_defense_score >= 0.3 THEN 4 ELSE 0 END AS rung FROM t8),
+t9 AS (SELECT *, 0.35*z_sup + {b[0]} AS b0, 0.35*w_con + {b[1]} AS b1, 0.35*w_neu + {b[2]} AS b2, 0.35*w_deb + {b[3]} AS b3, 0.35*w_cmp + {b[4]} AS b4, 0.35*z_att + {b[5]} AS b5,
+0.35*z_sar + {b[6]} AS b6, 0.35*w_mix + {b[7]} AS b7, CASE WHEN gate THEN 1 WHEN endo THEN 2 WHEN att >= 0.85 THEN 3 WHEN rej AND causal_defense_score >= 0.3 THEN 4 ELSE 0 END AS rung FROM t8),
 u1 AS (SELECT *, CASE rung WHEN 1 THEN 6 WHEN 2 THEN 5 WHEN 3 THEN 5 WHEN 4 THEN 0 ELSE {top} END AS label0, CASE WHEN rung=4 THEN greatest(b0, 0.8) ELSE b0 END AS m0, b1 AS m1, b2 AS m2, b3 AS m3, b4 AS m4,
 CASE rung WHEN 2 THEN greatest(b5, 0.9) WHEN 3 THEN greatest(b5, 0.85) ELSE b5 END AS m5, CASE WHEN rung=1 THEN greatest(b6, 0.78) ELSE b6 END AS m6, b7 AS m7 FROM t9),
 u2 AS (SELECT *, {', '.join(f'round(m{i}/{mixsum}, 4) AS p_{s}' for i, s in enumerate(labels))},
@@ -468,6 +475,7 @@ WHEN s_ >= 0.45 AND k_ >= 0.45 AND abs(s_-k_) <= 0.15 THEN 7 WHEN s_ >= 0.35 AND
 WHEN n_ >= 0.45 AND s_ < 0.35 AND k_ < 0.35 AND x_ < 0.35 THEN 9 ELSE 0 END AS why FROM u4),
 st AS (SELECT {keys}, greatest(1, n_words) * greatest(0.05, depth) AS w, CASE WHEN blank THEN 2 ELSE ix END AS ix, CASE WHEN blank THEN 3 ELSE [{ptop}, 2, 4, 1, 0, 0, 1, 4, 4, 3, 1, 4][why + 1] END AS pix, why,
 CASE WHEN blank THEN 3 WHEN gate THEN 2 WHEN sarcasm_score >= 0.35 THEN 1 ELSE 0 END AS gate_ix,
+{', '.join(f"CASE WHEN blank THEN {1.0 if m == 'neutrality_score' else 0.0} ELSE round({e}, 4) END AS m_{m}" for m, e in TONE.items())},
 {', '.join(f"CASE WHEN blank THEN {1.0 if s == 'neutral_analysis' else 0.0} ELSE p_{s} END AS p_{s}" for s in labels)},
 {', '.join(f"CASE WHEN blank THEN {1.0 if p == 'neutral_commentary' else 0.0} ELSE pp_{p} END AS pp_{p}" for p in PR)},
 CASE WHEN blank THEN [] ELSE list_filter([CASE WHEN directness >= 0.45 OR (NOT contains(low,'?') AND {_verbs}) THEN 'DIRECT' END,
@@ -489,6 +497,8 @@ WHYS = sql_list([
 ORACLES["paragraph_stance"] = f"""WITH {PARAS}, {stance_ctes('paras', 'doc_id, para_ix')}
 SELECT doc_id, para_ix, {_sl}[ix + 1] AS stance_label, {_pl}[pix + 1] AS primary_stance_label, {WHYS}[why + 1] AS primary_reason,
 {GATES}[gate_ix + 1] AS sarcasm_gate_reason, array_to_string(tags, ',') AS tags FROM st"""
+ORACLES["tone_metrics"] = f"""WITH {PARAS}, {stance_ctes('paras', 'doc_id, para_ix')}
+SELECT doc_id, para_ix, {', '.join(f'round(m_{m}, 3)::DOUBLE AS {m}' for m in TONE)} FROM st"""
 _labels = [s.lower() for s in STANCES]
 _rs = "(" + "+".join(f"a_{s}" for s in _labels) + ")"
 _rp = "(" + "+".join(f"a_{p}" for p in ["p" + x for x in PR]) + ")"
@@ -606,6 +616,7 @@ ORACLES["running_reputation"] = f"""WITH {FOLD} SELECT id, n, max(floor(coalesce
 ORACLES["writer_profiles"] = f"""WITH {FOLD} SELECT user_id, count(*) AS total_submissions, round(arg_max(avg_eqs_score, n), 6) AS avg_eqs_score,
 arg_max(stance_label, n) FILTER (stance_label IN ('analytical','balanced','emotional','dismissive','attack_based','unknown')) AS writing_style,
 max(floor(coalesce(avg_eqs_score, 0)*n/10.0 + 1e-9))::BIGINT AS reputation_points FROM av GROUP BY user_id"""
+ORACLES["profiles_by_day"] = ORACLES["writer_profiles"]
 ORACLES["topic_affinity"] = f"""WITH {SUBS}, {COMM}, x AS (SELECT user_id, ts, subs.id, unnest([t1, t2, t3]) AS topic, unnest([1, 2, 3]) AS pos FROM subs JOIN comm ON comm.id = community_id),
 f AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY user_id, topic ORDER BY ts, id, pos) = 1), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, id, pos) AS k FROM f)
 SELECT user_id, string_agg(topic, ',' ORDER BY k) AS topics FROM r WHERE k <= 5 GROUP BY user_id"""
@@ -683,21 +694,64 @@ ORACLES["tune_threshold"] = f"WITH {GRID} SELECT round(threshold, 6) AS threshol
 ORACLES["threshold_summary"] = f"""WITH {PRED}, m AS (SELECT avg((predicted = expected)::INT)*100 >= 85 AS a, avg((tox < 0.9)::INT)*100 >= 95 AS b, avg(dv) <= 10 AS c, max(dv) <= 15 AS d FROM pe)
 SELECT a AS constructiveness_accuracy_pass, b AS toxicity_accuracy_pass, c AS average_deviation_pass, d AS max_deviation_pass, a AND b AND c AND d AS overall_pass FROM m"""
 ORACLES["compare_runs"] = f"WITH {PRED} SELECT count(*) AS n_compared, count(*) FILTER (dv > 15 AND abs(dv - 3) < dv) AS n_repaired FROM pe"
-CENT = """e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings), x AS (SELECT label, id, unnest(v) AS x, unnest(range(64)) AS dim FROM e),
+_parts = f"len(regexp_extract_all(text, {q(NOT_WS.replace(']', '.!?]') + '[^.!?]*')}))"
+
+
+def featured(rows: str) -> str:
+    """Rows with a text, and their ten rule features."""
+    return f"""(WITH fs AS (SELECT *, lower(text) AS low FROM ({rows})), {defence('fs')}
+SELECT *, [criticism_reference_score, context_change_score, evaluation_redirection_score, credibility_restoration_score, contrast_structure_score,
+{score('low', D['suggestion'], 3.0)}, {score('low', D['complaint'], 2.0)}, {score('low', D['attack'], 2.0)},
+{unit(f'0.7*{score("low", D["stance_reasoning"], 4.0)} + 0.3*least(1.0, greatest(1, {_parts})/4.0)')}, {score('low', D['contrast'] + D['discourse_extra'], 4.0)}] AS f FROM d3)"""
+
+
+FEATURES = f"""e AS {featured("SELECT vec_id AS id, embedding::DOUBLE[] AS v, label, coalesce(text, '') AS text FROM embeddings LEFT JOIN documents ON doc_id = vec_id")}"""
+
+
+def cent(src: str) -> str:
+    return f"""x AS (SELECT label, id, unnest(v) AS x, unnest(range(64)) AS dim FROM {src}),
 mn AS (SELECT label, dim, avg(x) AS x, count(*) AS n FROM x GROUP BY label, dim), cn AS (SELECT label, dim, n, x/sqrt(sum(x*x) OVER (PARTITION BY label)) AS x FROM mn),
-cl AS (SELECT label, list(x ORDER BY dim) AS c FROM cn GROUP BY label)"""
-ORACLES["label_centroids"] = f"WITH {CENT} SELECT label, n, dim::INT AS dim, round(x, 6) AS x FROM cn"
-ORACLES["centroid_scores"] = f"WITH {CENT} SELECT id, cl.label, round(0.35*greatest(0.0, least(1.0, (list_dot_product(v, c) + 1)/2)), 5)::DOUBLE AS score FROM e CROSS JOIN cl"
+y AS (SELECT label, unnest(f) AS x, unnest(range(10)) AS dim FROM {src}), fm AS (SELECT label, dim, count(*) AS n, avg(x) AS x FROM y GROUP BY label, dim),
+cl AS (SELECT a.label, c, fc FROM (SELECT label, list(x ORDER BY dim) AS c FROM cn GROUP BY label) a JOIN (SELECT label, list(x ORDER BY dim) AS fc FROM fm GROUP BY label) b ON a.label = b.label)"""
+
+
+def near(a: str, b: str) -> str:
+    return f"greatest(0.0, least(1.0, 1 - list_avg(list_transform(list_zip({a}, {b}), lambda z: abs(z[1] - z[2])))))"
+
+
+CENT = f"{FEATURES}, {cent('e')}"
+SIMILAR = f"0.35*greatest(0.0, least(1.0, (list_dot_product(v, c) + 1)/2)) + 0.25*{near('f', 'fc')}"
+ORACLES["label_centroids"] = f"""WITH {CENT} SELECT label, n, 'embedding' AS kind, dim::INT AS dim, round(x, 6) AS x FROM cn
+UNION ALL SELECT label, n, 'features', dim::INT, round(x, 6) FROM fm"""
+ORACLES["centroid_scores"] = f"WITH {CENT} SELECT id, cl.label, round({SIMILAR}, 5)::DOUBLE AS score FROM e CROSS JOIN cl"
+_votes = """p AS (SELECT a.id, b.label, b.id AS sid, round_even(list_dot_product(a.v, b.v), 9) AS s FROM qs a CROSS JOIN bank b),
+t AS (SELECT id, label, sum(greatest(0.0, s)^2) AS s FROM (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, sid) <= 16) GROUP BY id, label)"""
+BENCH = f"""{FEATURES}, bank AS (SELECT id, v, f, {sql_list(STANCES)}[label % 8 + 1] AS label FROM e WHERE id % 5 <> 0), {cent('bank')},
+names AS (SELECT unnest({sql_list(STANCES)}) AS label, unnest(range(8)) AS place)"""
+_probs = f"""sc AS (SELECT id, label, sum(s) AS raw FROM (SELECT * FROM t UNION ALL SELECT id, cl.label, {SIMILAR} FROM qs CROSS JOIN cl) GROUP BY id, label),
+pr AS (SELECT id, label, round(raw/sum(raw) OVER (PARTITION BY id), 4) AS probability FROM sc)"""
+ORACLES["benchmark_probabilities"] = f"""WITH {BENCH}, qs AS (SELECT id, v, f FROM e WHERE id % 5 = 0), {_votes}, {_probs}
+SELECT doc_id AS id, names.label, round(CASE WHEN e.id IS NULL THEN 0.125 ELSE coalesce(probability, 0) END, 3)::DOUBLE AS probability
+FROM documents CROSS JOIN names LEFT JOIN e ON e.id = doc_id LEFT JOIN pr ON pr.id = doc_id AND pr.label = names.label WHERE doc_id % 5 = 0"""
+# each paragraph takes its document's vector, and features of its own
+_own = featured("SELECT doc_id, para_ix, text, doc_id*1000000 + para_ix AS id, embedding::DOUBLE[] AS v FROM paras LEFT JOIN embeddings ON vec_id = doc_id")
+ORACLES["benchmark_stance"] = f"""WITH {PARAS}, {BENCH}, qp AS MATERIALIZED {_own}, qs AS (SELECT id, v, f FROM qp WHERE v IS NOT NULL), {_votes}, {_probs},
+bl AS (SELECT id, list(coalesce(probability, 0) ORDER BY place) AS bench FROM qs CROSS JOIN names LEFT JOIN pr USING (id, label) GROUP BY id),
+bp AS MATERIALIZED (SELECT doc_id, para_ix, text, coalesce(bench, [0.125 FOR i IN range(8)]) AS bench FROM qp LEFT JOIN bl USING (id)), {stance_ctes('bp', 'doc_id, para_ix', True)}
+SELECT doc_id, para_ix, {_sl}[ix + 1] AS stance_label, {', '.join(f'round(p_{x}, 2) AS {prob(s)}' for x, s in zip(_labels, STANCES, strict=True))} FROM st"""
 ORACLES["knn_votes"] = """WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings),
 p AS (SELECT a.id, b.label, b.id AS sid, round_even(list_dot_product(a.v, b.v), 9) AS s FROM e a CROSS JOIN e b),
 t AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, sid) <= 16)
 SELECT id, label, round(sum(greatest(0.0, s)^2), 5) AS votes FROM t GROUP BY id, label"""
-ORACLES["loo_scores"] = """WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings),
+ORACLES["loo_scores"] = f"""WITH {FEATURES},
 p AS (SELECT a.id, b.label, b.id AS sid, round_even(list_dot_product(a.v, b.v), 9) AS s FROM e a JOIN e b ON a.id <> b.id),
 t AS (SELECT id, label, sum(greatest(0.0, s)^2) AS s FROM (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, sid) <= 16) GROUP BY id, label),
 x AS (SELECT label, unnest(v) AS x, unnest(range(64)) AS d FROM e), sm AS (SELECT label, list(s ORDER BY d) AS sv FROM (SELECT label, d, sum(x) AS s FROM x GROUP BY label, d) GROUP BY label),
-r AS (SELECT e.id, sm.label, v, CASE WHEN sm.label = e.label THEN list_transform(list_zip(sv, v), lambda z: z[1] - z[2]) ELSE sv END AS rv FROM e CROSS JOIN sm),
-c AS (SELECT id, label, 0.35*greatest(0.0, least(1.0, (list_dot_product(rv, v)/sqrt(list_dot_product(rv, rv)) + 1)/2)) AS s FROM r),
+y AS (SELECT label, unnest(f) AS x, unnest(range(10)) AS d FROM e), fm AS (SELECT label, list(s ORDER BY d) AS fv, max(n) AS n FROM (SELECT label, d, sum(x) AS s, count(*) AS n FROM y GROUP BY label, d) GROUP BY label),
+r AS (SELECT e.id, sm.label, v, f, CASE WHEN sm.label = e.label THEN list_transform(list_zip(sv, v), lambda z: z[1] - z[2]) ELSE sv END AS rv,
+CASE WHEN sm.label = e.label THEN list_transform(list_zip(fv, f), lambda z: (z[1] - z[2]) / (n - 1)) ELSE list_transform(fv, lambda z: z / n) END AS rf
+FROM e CROSS JOIN sm JOIN fm ON fm.label = sm.label),
+c AS (SELECT id, label, 0.35*greatest(0.0, least(1.0, (list_dot_product(rv, v)/sqrt(list_dot_product(rv, rv)) + 1)/2)) + 0.25*{near('f', 'rf')} AS s FROM r),
 u AS (SELECT id, label, sum(s) AS raw FROM (SELECT * FROM t UNION ALL SELECT * FROM c) GROUP BY id, label)
 SELECT id, label, round(round(raw/sum(raw) OVER (PARTITION BY id), 4), 3) AS probability FROM u"""
 ORACLES["coherence_adjacent"] = """WITH e AS (SELECT (vec_id/25.0)::DOUBLE AS q, floor(vec_id/25)::BIGINT AS doc_id, vec_id, embedding::DOUBLE[] AS v FROM embeddings),

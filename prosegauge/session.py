@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +40,11 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Python workers find this package where the driver has it, unless the cluster ships it (--py-files)."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of an iterative job in reliable shared storage.
 
