@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from prosegauge.operators.scale import first_rows, join_null_safe, running, top_per_group
 from prosegauge.session import checkpointed
@@ -28,6 +28,31 @@ def list_communities(df: DataFrame, topic: str | None = None, visibility: str |
     return df if limit is None else df.orderBy(c("created_at").desc(), "id").offset(offset).limit(limit)
 
 
+def community_page(df: DataFrame, limit: int = 20, after: tuple[object, object] | None = None, topic: str | None = None,
+                   visibility: str | None = None, search: str | None = None) -> DataFrame:
+    """A directory page behind a cursor, newest first, with ``total`` and the next page's cursor in every row.
+
+    ``after`` is the (created_at, id) of the last row seen: rows before it are filtered out at the scan instead of being
+    sorted and skipped, so the last page costs what the first one does. ``total`` counts all matches, whatever the page.
+    ``next_created_at`` and ``next_id`` are NULL on the last page. NULL times come last, by id.
+    """
+    found = list_communities(df, topic, visibility, search, limit=None)
+    total = found.agg(F.count(F.lit(1)).alias("n")).scalar()
+    if after is not None:
+        time, last = after
+        known = c("created_at").isNotNull()
+        behind = (~known & (c("id") > last)) if time is None else (
+            ~known | (c("created_at") < F.lit(time)) | ((c("created_at") == F.lit(time)) & (c("id") > last)))
+        found = found.filter(behind)
+    # one row more than the page tells whether there is another page; the window holds only these
+    some = found.orderBy(c("created_at").desc_nulls_last(), "id").limit(limit + 1).withColumn(
+        "_at", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(c("created_at").desc_nulls_last(), "id")))
+    every = W.partitionBy(F.lit(0))
+    more = F.max("_at").over(every) > limit
+    cursor = {f"next_{n}": F.when(more, F.max_by(n, F.when(c("_at") == limit, 1)).over(every)) for n in ("created_at", "id")}
+    return some.withColumns(cursor).filter(c("_at") <= limit).drop("_at").withColumn("total", total)
+
+
 def community_members(members: DataFrame, users: DataFrame) -> DataFrame:
     """Members with user attributes; a member without a user is dropped."""
     return members.join(users.select(c("id").alias("user_id"), "username", "avatar_url"), "user_id").select(

@@ -17,6 +17,7 @@ from prosegauge.plans import demo as dm
 from prosegauge.plans.corpus_build import build_corpus
 from prosegauge.plans.score_documents import score_documents
 from prosegauge.session import checkpointed
+from prosegauge.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -213,6 +214,16 @@ def split_manifest(s, d):
     return corpus.class_split_counts(split, "lang")
 
 
+@query
+def split_manifest_report(s, d):
+    """The manifest of a split: totals, and the classes of both parts."""
+    split = corpus.stratified_split(dm.table(s, d, "documents").select("doc_id", "lang"), "lang", "doc_id", 0.7, 7)
+    named = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(
+        e["key"], F.lit(":"), e["value"].cast("string"))), ",").alias(m)
+    return corpus.split_manifest(split, "lang", seed=7).select(
+        "total_rows", "train_rows", "test_rows", "random_seed_used", named("class_distribution_train"), named("class_distribution_test"))
+
+
 @query
 def rebalance(s, d):
     docs = dm.table(s, d, "documents").select("doc_id", "lang", "text")
@@ -433,6 +444,16 @@ def verify_documents(s, d):
                               "stat_score_adjustment", "n_stat_mentions"), 4)
 
 
+@query
+def verify_by_writer(s, d):
+    """Verdicts whose adjustment depends on the writer type, each type in turn."""
+    from prosegauge.lexicons import WRITER_TYPES
+
+    facts = checkpointed(fa.player_match(dm.ball_log(s, d)))
+    docs = dm.claim_texts(s, d).withColumn("writer", F.get(F.array(*map(F.lit, WRITER_TYPES)), (c("doc_id") % len(WRITER_TYPES)).cast("int")))
+    return cl.verify_documents(docs, facts, writer="writer").select("doc_id", "stats_found", "stat_score_adjustment")
+
+
 # --- submissions, quotas, profiles --------------------------------------------------------------
 
 @query
@@ -543,6 +564,15 @@ def list_communities(s, d):
     return so.list_communities(dm.communities(s, d), "click", "public", "nation_1", 5, 1).select("id", "name")
 
 
+@query
+def community_page(s, d):
+    """Second page of a directory: total, page and the cursor of the third."""
+    all_ = dm.communities(s, d)
+    first = so.community_page(all_, 4, visibility="public").select("next_created_at", "next_id").first()
+    out = so.community_page(all_, 4, tuple(first) if first else None, visibility="public")
+    return out.select("id", "name", "total", c("next_id").alias("next_id"))
+
+
 @query
 def like_minded_writers(s, d):
     out = so.like_minded_writers(dm.writers(s, d), dm.users(s, d), style="analytical", k=5)
@@ -677,6 +707,23 @@ def writer_distribution(s, d):
     return ev.writer_distribution(wr.writer_type(dm.documents(s, d), D))
 
 
+@query
+def predicted_flags(s, d):
+    out = ev.repair_pass(ev.predicted_flags(dm.calibration_rows(s, d)), False)
+    return out.select("id", "predicted_constructive", "predicted_toxic", "repair", nu.rounded(c("final_score"), 4).alias("final_score"))
+
+
+@query
+def repaired_scores(s, d):
+    out = ev.repair_pass(ev.predicted_flags(dm.calibration_rows(s, d)), True)
+    return out.select("id", "predicted_constructive", "predicted_toxic", "repair", nu.rounded(c("final_score"), 4).alias("final_score"))
+
+
+@query
+def repair_counts(s, d):
+    return ev.repair_counts(ev.repair_pass(ev.predicted_flags(dm.calibration_rows(s, d)), True))
+
+
 @query
 def label_centroids(s, d):
     out = ev.label_centroids(bm.with_features(dm.bank(s, d), D), features="features")
@@ -723,6 +770,33 @@ def coherence_adjacent(s, d):
     return rounded(qu.coherence(v, ["doc_id"]), 5)
 
 
+# --- bounded streams ----------------------------------------------------------------------------------------
+
+@query
+def stream_quota_use(s, d):
+    live = jobs.stream_quota(dm.submission_rows(dm.live(s, d, "events")))
+    out = jobs.run_to_end(live, "update", ["user_id", "model", "period_start"])
+    return out.withColumn("period_start", F.date_format("period_start", "yyyy-MM-dd"))
+
+
+@query
+def stream_quota_decisions(s, d):
+    out = jobs.run_to_end(jobs.stream_quota_decisions(dm.submission_rows(dm.live(s, d, "events")), 20))
+    return out.select("id", c("user_id").cast("long").alias("user_id"), "used_before", "allowed")
+
+
+@query
+def stream_profiles(s, d):
+    out = jobs.run_to_end(jobs.stream_profiles(dm.submission_rows(dm.live(s, d, "events"))), "update", ["user_id"])
+    return rounded(out.withColumn("user_id", c("user_id").cast("long")))
+
+
+@query
+def stream_quick_scores(s, d):
+    out = jobs.run_to_end(su.quick_score(dm.turn_rows(dm.live(s, d, "conversations")), D).select("doc_id", "score", "confidence", "components"))
+    return out.select("doc_id", "score", "confidence", c("components.writing_quality_score").alias("quality"))
+
+
 # --- whole scoring ------------------------------------------------------------------------------------------
 
 @query

@@ -34,7 +34,11 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
 
 def turns(spark: SparkSession, d: str) -> DataFrame:
     """Conversation turns as short texts with a row id."""
-    return table(spark, d, "conversations").select(
+    return turn_rows(table(spark, d, "conversations"))
+
+
+def turn_rows(rows: DataFrame) -> DataFrame:
+    return rows.select(
         (c("conv_id") * 1000 + c("turn")).alias("doc_id"), "conv_id", "turn", "role", "text")
 
 
@@ -96,7 +100,15 @@ def claim_texts(spark: SparkSession, d: str) -> DataFrame:
 
 def submissions(spark: SparkSession, d: str) -> DataFrame:
     """Events as scored submissions and quota requests."""
-    e = table(spark, d, "events")
+    return submission_rows(table(spark, d, "events"))
+
+
+def live(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A given table, one file or a folder of files, as a stream; a stream reads a single file only by a pattern."""
+    return spark.readStream.schema(table(spark, d, name).schema).parquet(f"{d}/{name}.parque[t]")
+
+
+def submission_rows(e: DataFrame) -> DataFrame:
     score = F.when(c("event_type") != "error", F.least(F.lit(95.0), c("value")))
     style = F.element_at(F.array(*[F.lit(x) for x in ("analytical", "balanced", "other", "emotional", "unknown")]),
                          (c("event_id") % 5 + 1).cast("int"))
@@ -171,6 +183,21 @@ def stance_bank(spark: SparkSession, d: str) -> DataFrame:
     return bank(spark, d).filter("id % 5 != 0").withColumn("label", F.get(names, c("label") % len(STANCES)))
 
 
+def calibration_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Events as calibration samples: signals of the first paragraph, means, scores and an expected category, by arithmetic."""
+    i = c("event_id")
+    part = lambda mod, of: (i % mod) / F.lit(float(of))
+    names = ["Constructive Storyteller", "Constructive Debater", "Constructive Passionate Fan", "Non-constructive complaint",
+             "Toxic attack", "Neutral"]
+    return table(spark, d, "events").select(
+        i.alias("id"), F.element_at(F.array(*map(F.lit, names)), (i % 6 + 1).cast("int")).alias("category"),
+        part(11, 10).alias("p1_constructive"), part(13, 12).alias("p1_detector"), (part(41, 1)).alias("constructiveness"),
+        part(7, 6).alias("p1_reasoning"), part(5, 4).alias("p1_suggestion"), part(3, 2).alias("p1_depth"), part(17, 16).alias("p1_discourse"),
+        part(97, 1).alias("final_score"), (-part(23, 2)).alias("toxicity_penalty"), part(19, 90).alias("abuse_mean"),
+        part(29, 140).alias("toxicity_mean"), part(31, 60).alias("mean_discourse"), part(37, 70).alias("mean_depth"),
+        part(16, 1).alias("fan_sincerity"), part(43, 80).alias("mean_suggestion"))
+
+
 def scored_rows(spark: SparkSession, d: str) -> DataFrame:
     """Events as documents in the middle of scoring: every input of the rule chain and the fusion, by arithmetic."""
     from prosegauge.lexicons import COMPONENT_MAX, STANCES, WRITER_TYPES

@@ -256,6 +256,9 @@ THEN 'train' ELSE 'test' END AS split FROM s)"""
 ORACLES["stratified_split"] = f"WITH {split_sql(0.8, 42)} SELECT doc_id, lang, split FROM sp"
 ORACLES["split_manifest"] = f"""WITH {split_sql(0.7, 7)} SELECT lang, count(*) FILTER (split='train') AS n_train,
 count(*) FILTER (split='test') AS n_test FROM sp GROUP BY lang"""
+ORACLES["split_manifest_report"] = f"""WITH {split_sql(0.7, 7)}, k AS (SELECT lang, count(*) FILTER (split='train') AS a, count(*) FILTER (split='test') AS b FROM sp GROUP BY lang)
+SELECT sum(a + b)::BIGINT AS total_rows, sum(a)::BIGINT AS train_rows, sum(b)::BIGINT AS test_rows, 7 AS random_seed_used,
+string_agg(lang || ':' || a, ',' ORDER BY lang) FILTER (a > 0) AS class_distribution_train, string_agg(lang || ':' || b, ',' ORDER BY lang) FILTER (b > 0) AS class_distribution_test FROM k"""
 _v = REBALANCE_VARIANTS
 ORACLES["rebalance"] = f"""WITH r AS (SELECT doc_id, lang, text, row_number() OVER (PARTITION BY lang
 ORDER BY md5('42|' || doc_id::VARCHAR) || doc_id::VARCHAR) - 1 AS r, count(*) OVER (PARTITION BY lang) AS n FROM documents),
@@ -591,12 +594,17 @@ ORACLES["verify_documents"] = f"""WITH {JUDGED}, g AS (SELECT doc_id, avg(acc) F
 SELECT s_suppkey AS doc_id, a IS NOT NULL AS stats_found, coalesce(allok, FALSE) AS stats_verified, coalesce(round(a, 4), 0.0) AS stat_accuracy_score, CASE WHEN a IS NULL THEN 'low' WHEN hi THEN 'high' ELSE 'medium' END AS stat_confidence,
 coalesce(round((a - 0.5)*2.0, 2), 0.0) AS stat_score_adjustment, coalesce(n, 0) AS n_stat_mentions FROM supplier LEFT JOIN g ON doc_id = s_suppkey"""
 
+ORACLES["verify_by_writer"] = f"""WITH {JUDGED}, g AS (SELECT doc_id, avg(acc) FILTER (v IS NOT NULL) AS a, bool_or(claimed_value IS NOT NULL) AS num FROM j3 GROUP BY doc_id)
+SELECT s_suppkey AS doc_id, a IS NOT NULL AS stats_found, coalesce(round((a - 0.5)*2.0*CASE s_suppkey % 5 WHEN 0 THEN CASE WHEN num THEN 1.5 ELSE 0.25 END WHEN 1 THEN 4.0 WHEN 2 THEN 0.75 WHEN 3 THEN 2.5 ELSE 1.0 END, 2), 0.0)::DOUBLE AS stat_score_adjustment
+FROM supplier LEFT JOIN g ON doc_id = s_suppkey"""
+
 # --- submissions, quotas, profiles ------------------------------------------------------------------
 
 ORACLES["validate_submissions"] = f"""WITH {TURNS} SELECT doc_id, CASE WHEN length(text) < 10 THEN 'text_too_short' WHEN length(text) > 5000 THEN 'text_too_long' WHEN turn = 5 THEN 'unknown_model' END AS reject_reason FROM turns"""
 QUICK = (f"greatest(20.0, least(95.0, 50.0 + 12.0*{anyof('lower(text)', D['quick_positive'])}::INT - 12.0*{anyof('lower(text)', D['quick_negative'])}::INT"
                           f" + 4.0*{anyof('lower(text)', D['quick_topic'])}::INT - 10.0*{anyof('lower(text)', D['quick_abuse'])}::INT))::DOUBLE")
 ORACLES["quick_score"] = f"WITH {TURNS} SELECT doc_id, {QUICK} AS score, 0.72::DOUBLE AS confidence, least(100.0, {QUICK} + 3)::DOUBLE AS quality FROM turns"
+ORACLES["stream_quick_scores"] = ORACLES["quick_score"]
 ORACLES["route_scores"] = f"""WITH {TURNS}, a AS (SELECT doc_id AS id, turn, {QUICK} AS s, CASE WHEN turn % 3 = 0 THEN (length(text) % 100)::DOUBLE END AS rs FROM turns)
 SELECT id, CASE WHEN turn = 1 THEN 'bqs' ELSE 'eqs' END AS model, CASE WHEN turn = 1 THEN 'EQS-local' WHEN rs IS NOT NULL THEN 'EQS-remote-v1' ELSE 'EQS-local-fallback' END AS model_version,
 CASE WHEN turn <> 1 AND rs IS NOT NULL THEN greatest(20.0, least(95.0, rs)) ELSE s END::DOUBLE AS eqs_score, CASE WHEN turn <> 1 AND rs IS NOT NULL THEN 0.9 ELSE 0.72 END::DOUBLE AS confidence,
@@ -607,6 +615,8 @@ SELECT user_id, model, strftime(m, '%Y-%m-%d') AS period_start, strftime(m + INT
 55 - n AS requests_remaining, CASE WHEN n >= 55 THEN 'blocked' WHEN n/55.0*100 >= 80 THEN 'warning' ELSE 'active' END AS status FROM a"""
 ORACLES["quota_decisions"] = f"""WITH {SUBS}, a AS (SELECT *, coalesce(sum((success AND model <> 'bqs')::INT) OVER (PARTITION BY user_id, date_trunc('month', ts) ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS used_before FROM subs)
 SELECT id, user_id, used_before, model = 'bqs' OR used_before < 20 AS allowed FROM a"""
+ORACLES["stream_quota_decisions"] = ORACLES["quota_decisions"]
+ORACLES["stream_quota_use"] = f"""WITH {SUBS} SELECT user_id, model, strftime(date_trunc('month', ts), '%Y-%m-%d') AS period_start, count(*) FILTER (success) AS request_count FROM subs GROUP BY ALL"""
 FOLD = f"""{SUBS}, nn AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, id) AS n FROM subs),
 hist AS (SELECT user_id, list(struct_pack(n := n, x := eqs_score) ORDER BY n) FILTER (eqs_score IS NOT NULL) AS h FROM nn GROUP BY user_id),
 av AS (SELECT nn.*, CASE WHEN len(list_filter(h, lambda e: e.n <= nn.n)) > 0 THEN
@@ -617,6 +627,7 @@ ORACLES["writer_profiles"] = f"""WITH {FOLD} SELECT user_id, count(*) AS total_s
 arg_max(stance_label, n) FILTER (stance_label IN ('analytical','balanced','emotional','dismissive','attack_based','unknown')) AS writing_style,
 max(floor(coalesce(avg_eqs_score, 0)*n/10.0 + 1e-9))::BIGINT AS reputation_points FROM av GROUP BY user_id"""
 ORACLES["profiles_by_day"] = ORACLES["writer_profiles"]
+ORACLES["stream_profiles"] = ORACLES["writer_profiles"]
 ORACLES["topic_affinity"] = f"""WITH {SUBS}, {COMM}, x AS (SELECT user_id, ts, subs.id, unnest([t1, t2, t3]) AS topic, unnest([1, 2, 3]) AS pos FROM subs JOIN comm ON comm.id = community_id),
 f AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY user_id, topic ORDER BY ts, id, pos) = 1), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, id, pos) AS k FROM f)
 SELECT user_id, string_agg(topic, ',' ORDER BY k) AS topics FROM r WHERE k <= 5 GROUP BY user_id"""
@@ -636,6 +647,9 @@ WHEN v/400 >= 0.6 THEN 'High repetition lowers writing originality.' ELSE 'No ma
 
 ORACLES["list_communities"] = f"""WITH {COMM} SELECT id, name FROM comm WHERE (t1 = 'click' OR t2 = 'click' OR t3 = 'click') AND visibility = 'public' AND (name ILIKE '%nation_1%' OR 'Group ' || name ILIKE '%nation_1%')
 ORDER BY created_at DESC, id LIMIT 5 OFFSET 1"""
+ORACLES["community_page"] = f"""WITH {COMM}, o AS (SELECT id, name, row_number() OVER (ORDER BY created_at DESC, id) AS k, count(*) OVER () AS total FROM comm WHERE visibility = 'public'),
+nx AS (SELECT id AS next_id FROM o WHERE k = 8 AND total > 8)
+SELECT id, name, total, (SELECT next_id FROM nx) AS next_id FROM o WHERE k BETWEEN 5 AND 8"""
 WRITERS = """wr AS (SELECT user_id, list_sort(coalesce(list(DISTINCT event_type) FILTER (value > 150 + user_id % 3 * 50), [])) AS topics, count(*) AS subs, floor(max(value))::BIGINT AS rep,
 CASE WHEN user_id % 3 = 0 THEN 'analytical' ELSE 'balanced' END AS style FROM events GROUP BY user_id),
 ok AS (SELECT * FROM wr WHERE user_id % 11 <> 0 AND user_id % 13 <> 0)"""
@@ -932,3 +946,17 @@ def half_up(sql: str) -> str:
 
 
 ORACLES.update({n: half_up(sql) for n, sql in ORACLES.items()})
+
+# --- predicted flags and the repair pass ---------------------------------------------------------------------
+
+CAL = """cal AS (SELECT event_id AS id, ['Constructive Storyteller', 'Constructive Debater', 'Constructive Passionate Fan', 'Non-constructive complaint', 'Toxic attack', 'Neutral'][event_id % 6 + 1] AS category,
+event_id % 97 / 1.0 AS fs, -(event_id % 23) / 2.0 AS tp, event_id % 19 / 90.0 AS ab, event_id % 29 / 140.0 AS tm, event_id % 31 / 60.0 AS md, event_id % 37 / 70.0 AS dp, event_id % 16 / 15.0 AS si, event_id % 43 / 80.0 AS ms,
+0.35*(event_id % 11 / 10.0) + 0.25*(event_id % 13 / 12.0) + 0.2*(event_id % 41 / 40.0) + 0.1*(event_id % 7 / 6.0) + 0.06*(event_id % 5 / 4.0) + 0.03*(event_id % 3 / 2.0) + 0.01*(event_id % 17 / 16.0) AS bl FROM events),
+pf AS (SELECT *, bl >= 0.42 OR (fs >= 65 AND tp > -6) AS pc, tp <= -8 OR ab >= 0.12 AS pt FROM cal),
+rp AS (SELECT *, CASE WHEN category IN ('Constructive Storyteller', 'Constructive Debater') AND fs < 70 AND tm < 0.12 AND md >= 0.18 AND dp >= 0.25 AND si >= 0.28 THEN 'story_rescue'
+WHEN category = 'Constructive Passionate Fan' AND fs < 68 AND tm < 0.12 AND ms >= 0.25 AND si >= 0.2 THEN 'fan_floor'
+WHEN category = 'Non-constructive complaint' AND (fs > 60 OR pc) THEN 'complaint' END AS repair FROM pf)"""
+ORACLES["predicted_flags"] = f"WITH {CAL} SELECT id, pc AS predicted_constructive, pt AS predicted_toxic, NULL::VARCHAR AS repair, round(fs, 4)::DOUBLE AS final_score FROM pf"
+ORACLES["repaired_scores"] = f"""WITH {CAL} SELECT id, CASE WHEN repair IN ('story_rescue', 'fan_floor') THEN TRUE WHEN repair = 'complaint' THEN FALSE ELSE pc END AS predicted_constructive,
+pt AS predicted_toxic, repair, round(CASE repair WHEN 'story_rescue' THEN greatest(fs, 74) WHEN 'fan_floor' THEN greatest(fs, 68) WHEN 'complaint' THEN least(fs, 56) ELSE fs END, 4)::DOUBLE AS final_score FROM rp"""
+ORACLES["repair_counts"] = f"WITH {CAL} SELECT count(*) FILTER (repair = 'story_rescue') AS storyteller_rescues, count(*) FILTER (repair = 'complaint') AS complaint_suppressions FROM rp"

@@ -45,18 +45,21 @@ def let_workers_import(spark: SparkSession) -> None:
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iterative job in reliable shared storage.
-
-    The folder comes from ``spark.checkpoint.dir``. Only a local-mode session
-    that has none (tests) gets a temporary one.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share, from ``spark.checkpoint.dir``. Only a local-mode session that
+    has none (tests) gets a temporary one."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         if configured is None and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="prosegauge-ckpt-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage of an iterative job in reliable shared storage (``shared_folder``)."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

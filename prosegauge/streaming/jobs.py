@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from prosegauge.lexicons import WRITING_STYLES
 from prosegauge.operators.submissions import month_of, quick_score
+from prosegauge.session import shared_folder
 
 c = F.col
 
@@ -123,3 +125,24 @@ def append_history(scored: DataFrame, path: str, checkpoint: str) -> DataStreamW
     """Append scored submissions of a stream to the history table; a repeated epoch replaces its own rows."""
     return scored.writeStream.foreachBatch(
         lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")).option("checkpointLocation", checkpoint)
+
+
+def run_to_end(stream: DataFrame, mode: str = "append", keys: Sequence[str] = ()) -> DataFrame:
+    """Run a stream over all that is there (``availableNow``) and return its rows as a table.
+
+    Every micro-batch is written below the shared folder under its number, so a repeated one replaces its own rows. With
+    ``keys`` (update mode) the last row of each key counts.
+    """
+    folder = f"{shared_folder(stream.sparkSession)}/streams-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/epoch={epoch}")
+
+    stream.writeStream.outputMode(mode).trigger(availableNow=True).option(
+        "checkpointLocation", f"{folder}/state").foreachBatch(write).start().awaitTermination()
+    rows = stream.sparkSession.read.schema(T.StructType([*stream.schema.fields, T.StructField("epoch", T.IntegerType())])).parquet(
+        f"{folder}/rows")
+    if not keys:
+        return rows.drop("epoch")
+    rest = [n for n in stream.columns if n not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("_last")).select(*keys, "_last.*")
