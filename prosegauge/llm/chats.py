@@ -33,7 +33,12 @@ def features(line: str) -> tuple[int, int, int]:
 
 
 def without_marker(line: str, role: str) -> str:
-    return _MARKED[role].sub("", line, count=1)
+    """A turn's first line without its marker: that of its role or, if the line is marked for another, that one."""
+    for one in (role, *ROLES):
+        bare = _MARKED[one].sub("", line, count=1)
+        if bare != line:
+            return bare
+    return line
 
 
 class Model:
@@ -97,7 +102,10 @@ def turns_of(model: Model, transcript: str) -> list[tuple[str, str]]:
 
 
 def render(turns: list[tuple[str, str]]) -> str:
-    return "".join(f"<|{role}|>\n{text}\n<|end|>\n" for role, text in turns)
+    """Canonical text. A text's own ``<|`` is written ``<\\|``, and ``<\\`` is written ``<\\\\``, so that no text can open or
+    end a turn and each can be read back."""
+    safe = lambda text: text.replace("<\\", "<\\\\").replace("<|", "<\\|")
+    return "".join(f"<|{role}|>\n{safe(text)}\n<|end|>\n" for role, text in turns)
 
 
 def _labelled(turns: list[dict]) -> Iterator[tuple[str, int]]:
@@ -110,7 +118,8 @@ def _labelled(turns: list[dict]) -> Iterator[tuple[str, int]]:
 
 def transcripts(conversations: DataFrame) -> DataFrame:
     """A transcript for each conversation: turns in order, most with a speaker marker in one of several styles, one in
-    eight without any, as pasted chats have them. Also the labelled turns."""
+    eight without any, as pasted chats have them. Also the labelled turns. A row without conv_id is a conversation of its
+    own, as nothing says what it belongs to."""
     role = F.coalesce("role", F.lit("user"))
     code = F.pmod(F.xxhash64("conv_id"), F.lit(4))
     upper = F.initcap(role)
@@ -118,7 +127,9 @@ def transcripts(conversations: DataFrame) -> DataFrame:
         code == 1, F.concat(F.lit("["), role, F.lit("] "))).when(code == 2, F.concat(F.lit("**"), upper, F.lit("** - "))).otherwise(
         F.concat(F.lit("### "), upper, F.lit(": ")))
     turn = F.struct("turn", role.alias("role"), F.concat(mark, F.coalesce("text", F.lit(""))).alias("line"))
-    return conversations.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    return conversations.select("conv_id", "turn", "role", "text", alone.alias("_alone")).groupBy("conv_id", "_alone").agg(
+        F.array_sort(F.collect_list(turn)).alias("turns")).drop("_alone")
 
 
 def fit(chats: DataFrame) -> Model:
@@ -145,7 +156,7 @@ def fit(chats: DataFrame) -> Model:
 def parse(chats: DataFrame, model: Model) -> DataFrame:
     """Canonical turns of each conversation's transcript.
 
-    One row for each conv_id (rows without one give none): n_lines, n_turns, roles (comma-joined), right_lines (lines
+    One row for each conv_id, and for each row without one, with a null conv_id: n_lines, n_turns, roles (comma-joined), right_lines (lines
     whose recovered role is the labelled one), rendered (canonical text) and rendered_sha256. Null or empty texts add no
     lines; unknown or null roles count as user; repeated rows are repeated turns. An empty table gives no rows.
     """
