@@ -37,7 +37,7 @@ THRESHOLD = 1.5
 
 _LEX = re.compile(r"""
     (?P<comment>/\*|\*/)
-  | (?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)
+  | (?P<quote>["'`])
   | (?P<op>:=|=>|==|!=|<=|>=|[=:])
   | (?P<join>\+|\.\.)
   | (?P<name>[^\W\d][\w$-]*(?:\.[^\W\d][\w$-]*)*)
@@ -45,8 +45,13 @@ _LEX = re.compile(r"""
   | (?P<end>[,;\n])
   | (?P<other>[^\s])
 """, re.VERBOSE)
+_STRINGS = {q: re.compile(rf"{q}(?:[^{q}\\\n]|\\.)*{q}") for q in "\"'"} | {"`": re.compile(r"`[^`\n]*`")}
+#: Words before a name that make what follows its colon a statement, not a type.
+_STATEMENTS = frozenset("if elif else while for with in and or not is case when except return lambda default do match".split())
+#: Most tokens of a type.
+_TYPE = 24
 #: What may be a target: a run of a name's signs, or the end of a string, before an assignment's sign.
-_TARGET = re.compile(r"""(?:(?<![\w$.-])(?P<run>[\w$.-]++)|["'`])[^\S\n]*+\]?+[^\S\n]*+[:=]""")
+_TARGET = re.compile(r"""(?:(?<![\w$.-])(?P<run>[\w$.-]++)\??+|["'`])[^\S\n]*+\]?+[^\S\n]*+[:=]""")
 _LETTERS = bytes(range(65, 91)) + bytes(range(97, 123))
 _OTHERS = bytes(set(range(256)) - set(_LETTERS))
 
@@ -164,13 +169,48 @@ def value_score(value: Value) -> float:
     return _strength(n, counts)
 
 
+def tokens_of(text: str) -> list[tuple[str, int, int]]:
+    """Kind, start and end of each token. A quote that its line does not close is a sign of its own; once one is found,
+    no later quote of its kind on that line is tried, as it would end at the same place."""
+    out: list[tuple[str, int, int]] = []
+    at, open_until = 0, dict.fromkeys(_STRINGS, -1)
+    while m := _LEX.search(text, at):
+        kind, start, at = m.lastgroup, m.start(), m.end()
+        if kind == "quote":
+            kind = "other"
+            if start >= open_until[text[start]]:
+                if whole := _STRINGS[text[start]].match(text, start):
+                    kind, at = "string", whole.end()
+                else:
+                    line = text.find("\n", start)
+                    open_until[text[start]] = len(text) if line < 0 else line
+        out.append((kind, start, at))
+    return out
+
+
+def _annotated(text: str, tokens: list[tuple[str, int, int]], i: int) -> str:
+    """The name in ``name: T =`` or ``name?: T =``, whose ``=`` is token i; empty if there is none."""
+    at = i - 1
+    while at > 0 and i - at < _TYPE and tokens[at][0] in ("name", "bare", "other", "join"):
+        at -= 1
+    if at < 1 or at == i - 1 or text[tokens[at][1]: tokens[at][2]] != ":" or "\n" in text[tokens[at][1]: tokens[i][1]]:
+        return ""
+    at -= 1
+    if at > 0 and text[tokens[at][1]: tokens[at][2]] == "?":
+        at -= 1
+    kind, start, end = tokens[at]
+    if kind != "name" or (at > 0 and tokens[at - 1][0] == "name" and text[tokens[at - 1][1]: tokens[at - 1][2]] in _STATEMENTS):
+        return ""
+    return text[start:end]
+
+
 def pairs(text: str) -> list[tuple[str, Value]]:
     """Name-value pairs in order: each assignment's target and the literals and constants that its value comes from.
 
     Reads ``name = "x"``, ``name: x``, ``"name": "x"``, ``name => x``, ``cfg["name"] = x`` and typed ``name: T = x``;
     the value is literals and names of earlier constants, joined by + or '..'. A bare value must hold a digit.
     """
-    tokens = [(m.lastgroup, m.start(), m.end()) for m in _LEX.finditer(text)]
+    tokens = tokens_of(text)
     known: dict[str, Value] = {}
     out, i, n = [], 0, len(tokens)
 
@@ -190,6 +230,8 @@ def pairs(text: str) -> list[tuple[str, Value]]:
             target = text[tokens[before][1]: tokens[before][2]]
         elif tokens[before][0] == "string":
             target = inner(before)
+        if text[start:end] == "=":
+            target = _annotated(text, tokens, i) or target
         value = Value()
         at, parts, more = i + 1, value.parts, True
         while at < n and more:

@@ -244,3 +244,28 @@ def test_fit_reads_whole_texts(spark, monkeypatch):
     monkeypatch.setattr(quality, "FIT_PASSAGES", 550)
     quality.fit(docs, labels)
     assert set(bags[1][0].tolist()) == {100} and len(bags[1][0]) in (9, 10) and 0 < sum(bags[1][1]) < len(bags[1][1])
+
+
+@pytest.mark.parametrize("line", [
+    'password: str = "{}"', 'const secretKey: string = "{}"', 'db_password?: string = "{}"', 'let api_token: Option<String> = "{}"',
+    'private static readonly authToken: string | null = "{}"', 'password: Optional[str]= "{}"'])
+def test_typed_assignments_reach_their_names(line):
+    text = "x = 1\n" + line.format("Xk9$2mQp7LzR!") + "\n"
+    at = text.index("Xk9$")
+    assert (at, at + 13) in secrets.literals(text)
+
+
+def test_statements_are_no_types():
+    assert secrets.literals('if password: label = "Xk9$2mQp7LzR!"') == []
+    assert secrets.literals('colour: str = "Xk9$2mQp7LzR!"') == []
+
+
+def test_broken_quotes_take_linear_time():
+    import time
+
+    started = time.perf_counter()
+    text = 'token = "' + '\\"' * 500_000
+    secrets.scan(text)
+    assert time.perf_counter() - started < 10
+    # a closed string behind an open quote of the other kind is still read
+    assert secrets.literals("it's password = \"Xk9$2mQp7LzR!\"")
