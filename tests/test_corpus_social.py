@@ -233,3 +233,21 @@ def test_neighbours_of_a_bank_of_many_parts(frame, monkeypatch):
             sims = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in vectors if j != i or not alone)
             wanted += [(i, n, j, -s) for n, (s, j) in enumerate(sims[:6], 1)]
         assert sorted((a, n, b, s) for a, n, b, _, s in whole) == sorted(wanted)
+
+
+def test_pages_by_cursor_cover_the_directory(frame):
+    rnd = random.Random(4)
+    rows = [(i, f"n{i}", "", "batting", None, "public" if i % 4 else "private", None if i % 9 == 0 else rnd.randint(0, 5)) for i in range(40)]
+    df = frame(rows, "id bigint, name string, description string, primary_topic string, secondary_topics array<string>, "
+                     "visibility string, created_at bigint").withColumn("created_at", F.col("created_at").cast("timestamp"))
+    whole = [r.id for r in df.filter("visibility = 'public'").orderBy(F.col("created_at").desc_nulls_last(), "id").collect()]
+    seen, after = [], None
+    for _ in range(20):
+        page = so.community_page(df, 7, after, visibility="public").collect()
+        assert {r.total for r in page} <= {len(whole)}
+        seen += sorted((r.id for r in page), key=whole.index)
+        if not page or page[0].next_id is None:
+            break
+        after = (page[0].next_created_at, page[0].next_id)
+    assert seen == whole
+    assert so.community_page(df, 7, after=None, search="nothing like it").count() == 0

@@ -117,3 +117,12 @@ def test_submission_flow_and_corpus(frame):
                  "doc_id bigint, text string")
     out = build_corpus(docs).collect()
     assert len(out) == 10 and sum(r.split == "train" for r in out) == 8
+
+
+def test_streams_run_to_end_equal_batch(stream):
+    batch, live = stream
+    use = jobs.run_to_end(jobs.stream_quota(live), "update", ["user_id", "model", "period_start"])
+    want = su.quota_status(batch, 5).select("user_id", "model", "period_start", "request_count")
+    assert sorted(map(tuple, use.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    decided = jobs.run_to_end(jobs.stream_quota_decisions(live, 3))
+    assert decided.count() == batch.count()
