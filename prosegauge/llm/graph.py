@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosegauge.llm.common import saved
+from prosegauge.llm.common import dropped, saved
 
 
 def _mark(edges: DataFrame) -> tuple[int, ...]:
@@ -30,9 +30,12 @@ def components(links: DataFrame) -> DataFrame:
         near = large.join(least, "a")
         small = near.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             near.select("a", F.col("m").alias("b"))).where("a != b").distinct()
-        edges = saved(small, "links")
+        last, edges = edges, saved(small, "links")
+        dropped(last)
         before, now = now, _mark(edges)
         if now == before:  # the same edges again: every component is a star
             break
     roots = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
-    return roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    named = saved(roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), "roots")
+    dropped(edges)
+    return named

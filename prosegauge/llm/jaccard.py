@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,10 +22,15 @@ BAND = 1.25
 PASSES = 3
 #: Most tokens and sets of a block of a family, on average.
 BLOCK_TOKENS, BLOCK_SETS = 1_000_000, 2048
-#: Fewest tokens a segment has, on average, where one may be left out: fewer would often leave nothing.
-DELETED_SHARE = 6
-#: Cost of a chance meeting in a segment, in index rows; and share of sets that may have more empty segments than spared.
-MEETING, SPARED = 50.0, 1e-3
+#: Cost of a chance meeting, in index rows. It is a meeting of two sets that share a fifth of their tokens: per token of
+#: theirs in a segment they differ in so many.
+MEETING, APART = 30.0, 4 / 3
+#: Partitions that are tried for sets with more empty segments than spared, before empty segments are indexed.
+TRIES = 12
+#: Most members of a key that are compared with each other before their tokens are read.
+MEMBERS = 2048
+#: Members of keys that a task compares, on average at most.
+MEMBER_ROWS = 30_000
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
@@ -38,46 +44,52 @@ def edges(limit: int = 1 << 40) -> np.ndarray:
     return np.array(out)
 
 
+def _choices(limit: int) -> list[int]:
+    """0 to 16, then numbers in steps of a fifth, up to a limit."""
+    steps = [round(16 * 1.2**i) for i in range(200)]
+    return [i for i in [*range(16), *steps] if i < limit] + [limit]
+
+
 @functools.cache
 def allocation(band: int, percent: int) -> tuple[int, int, int]:
-    """Segments of a band: how many are matched as they are, how many also with one token left out, and the most empty
-    segments a set may have without indexing them.
+    """Segments of a band: how many are matched as they are, how many also with one token left out, and the spare weight.
 
     Two sets that link and whose larger one is in the band differ in at most k tokens. A segment matched as it is
-    accounts for one difference, one matched but for a token for two: if all segments failed, there would be more than
-    k differences once these counts come to k + 1. ``spare`` more make that as many segments agree besides, so sets
-    with no more empty segments than that need not meet in them. Among the allocations the cheapest is taken: index
-    rows, and chance meetings, which fall with the tokens of a segment.
+    accounts for one difference, one matched but for a token for two; this is its weight. If all segments failed, there
+    would be more than k differences once the weights come to k + 1; with ``spare`` more, segments of a weight above
+    ``spare`` agree. A segment is weak if it is empty, or matched but for a token and has only one: its key would tell
+    nothing. So sets whose weak segments weigh no more than ``spare`` need not meet in them; others are dealt to segments
+    anew. Among the allocations the cheapest is taken: index rows, of all tries, and chance meetings.
     """
     low = max(1, math.floor(int(edges()[band]) * percent / 100))
     high = int(edges()[band + 1]) - 1
     k = 2 * high * (100 - percent) // (100 + percent)
+    usual = (low + high) / 2
     best: tuple[float, tuple[int, int, int]] | None = None
-    for deleted in range(0, min(k + 1, 6) + 1):
-        for spare in range(0, k + 8):
+    for deleted in _choices((k + 1) // 2):
+        for spare in _choices(k + 8):
             plain = max(0, k + 1 + spare - 2 * deleted)
             segments = plain + deleted
-            if not segments:
-                continue
-            share = low / segments
-            if deleted and share < DELETED_SHARE:
-                continue
-            empties = segments * math.exp(-share)
-            # the tail of a Poisson count of empty segments
-            tail, term = 1.0, math.exp(-empties)
-            for i in range(spare + 1):
-                tail -= term
-                term *= empties / (i + 1)
-            if tail > SPARED and spare < k + 7:
-                continue
-            cost = plain + deleted * (1 + share) + MEETING * segments * math.exp(-share)
+            share = usual / segments
+            none = math.exp(-share)
+            mean, spread = (plain * none + w * deleted * (1 + share) * none for w in (2, 4))
+            over = math.erfc((spare + 0.5 - mean) / math.sqrt(2 * spread + 1e-9)) / 2
+            rows = (plain + deleted * (1 + share)) * (1 - over**TRIES) / (1 - min(over, 0.999999))
+            far = APART * share
+            chance = plain * math.exp(-far) + deleted * (1 + far) * math.exp(-far)
+            # what the last try leaves meets all its kind by chance
+            cost = rows + MEETING * chance + 1e6 * over**TRIES
             if best is None or cost < best[0]:
                 best = cost, (plain, deleted, spare)
-            break
     assert best is not None
     return best[1]
 
 
+def reach(percent: int) -> int:
+    """How many bands up the larger of two sets that link may be."""
+    return math.ceil(math.log(100 / percent) / math.log(BAND) + 1e-9)
+
+
 def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Different shingles of each whole text, and the text of each, in order. ASCII letters are lower-cased; a text with
     fewer words is one shingle; without words it has none."""
@@ -114,41 +126,52 @@ def set_ids(token: np.ndarray, text: np.ndarray, texts: int) -> tuple[np.ndarray
 
 
 def signatures(token: np.ndarray, text: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index keys of every text's set, and the text of each key: in its band and, if a larger partner may be there,
-    in the next."""
+    """Index keys of every text's set, and the text of each key: in its band and in those above in which a larger partner
+    may be.
+
+    A set whose weak segments weigh more than its band spares is dealt to segments again, by another hash, together with
+    all others of this kind: of two such sets one may have fewer there. What is left after ``TRIES`` partitions has its
+    weak segments indexed too.
+    """
     keys, owners = [], []
     bounds = edges()
     band = np.searchsorted(bounds, size, "right") - 1
-    for up in (0, 1):
-        goes = (size > 0) & ((up == 0) | (100 * size >= percent * bounds[band + 1]))
+    for up in range(reach(percent) + 1):
+        goes = (size > 0) & (100 * size >= percent * bounds[band + up] if up else True)
         for b in np.unique(band[goes]).tolist():
             plain, deleted, spare = allocation(b + up, percent)
             segments = plain + deleted
             mine = goes & (band == b)
-            own = mine[text]
-            t, x = text[own], token[own]
-            number = np.cumsum(mine) - 1
-            code = mix(x + np.uint64((b + up + 1) * 0x9E3779B97F4A7C15 % 2**64))
-            segment = ((code >> np.uint64(20)) % np.uint64(segments)).astype(np.int64)
-            slot = number[t] * segments + segment
-            order = np.argsort(slot, kind="stable")
-            slot, code = slot[order], mix(code[order])
-            first = np.flatnonzero(np.append(True, slot[1:] != slot[:-1])) if len(slot) else np.zeros(0, np.int64)
-            sums = np.zeros(int(mine.sum()) * segments, np.uint64)
-            sums[slot[first]] = np.add.reduceat(code, first)
-            filled = np.zeros(len(sums), bool)
-            filled[slot] = True
-            row, column = np.divmod(np.arange(len(sums)), segments)
-            empty = segments - np.bincount(row[filled], minlength=int(mine.sum()))
-            use = filled | (empty > spare)[row]
-            base = np.uint64((b + up + 1) << 32)
-            who = np.flatnonzero(mine)
-            keys.append(mix(sums[use] + mix(base + column[use].astype(np.uint64))))
-            owners.append(who[row[use]])
-            out = slot % segments >= plain  # tokens of segments that are matched but for one token
-            if out.any():
-                keys.append(mix(sums[slot[out]] - code[out] + mix(base + (slot[out] % segments).astype(np.uint64))))
-                owners.append(who[slot[out] // segments])
+            for turn in range(TRIES):
+                own = mine[text]
+                t, x = text[own], token[own]
+                number = np.cumsum(mine) - 1
+                seed = np.uint64(((b + up + 1) * TRIES + turn) * 0x9E3779B97F4A7C15 % 2**64)
+                code = mix(x + seed)
+                segment = ((code >> np.uint64(20)) % np.uint64(segments)).astype(np.int64)
+                slot = number[t] * segments + segment
+                order = np.argsort(slot, kind="stable")
+                slot, code = slot[order], mix(code[order])
+                first = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
+                sums = np.zeros(int(mine.sum()) * segments, np.uint64)
+                sums[slot[first]] = np.add.reduceat(code, first)
+                held = np.bincount(slot, minlength=len(sums))
+                row, column = np.divmod(np.arange(len(sums)), segments)
+                near = column >= plain  # matched but for a token
+                weak = np.where(near, 2 * (held < 2), held < 1)
+                over = np.bincount(row, weights=weak, minlength=int(mine.sum())) > spare
+                every = over[row] & (turn == TRIES - 1)
+                use = (held > 0) | every
+                who = np.flatnonzero(mine)
+                keys.append(mix(sums[use] + mix(seed + column[use].astype(np.uint64))))
+                owners.append(who[row[use]])
+                out = (near & ((held > 1) | every))[slot]
+                keys.append(mix(sums[slot[out]] - code[out] + mix(seed + column[slot[out]].astype(np.uint64))))
+                owners.append(who[row[slot[out]]])
+                mine = np.zeros(len(mine), bool)
+                mine[who[over]] = True
+                if not len(who[over]):
+                    break
     if not keys:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(keys).view(np.int64), np.concatenate(owners)
@@ -217,6 +240,69 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def sketches(token: np.ndarray, text: np.ndarray, size: np.ndarray) -> pa.Array:
+    """How many tokens of each text fall into each cell, a byte each (255: or more). Cells are ranges of hashes, a power
+    of two of them, about one for four tokens, 16 at least."""
+    cells = 1 << np.maximum(np.frexp(np.maximum(size, 1))[1] - 2, 4).astype(np.int64)
+    at = np.append(0, np.cumsum(cells))
+    shift = (64 - np.frexp(cells)[1] + 1).astype(np.uint64)
+    cell = (mix(token + np.uint64(0x6C62272E07BB0142)) >> shift[text]).astype(np.int64)
+    counts = np.minimum(np.bincount(at[text] + cell, minlength=at[-1]), 255).astype(np.uint8)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(counts)])
+
+
+def close_sets(rows: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """Links of a spanning forest of all members of a key that may link, over the keys of ``rows`` (key, set, n, sketch).
+
+    Two sets share at most the sum of their cells' smaller counts. Sets that are joined already are not compared.
+    """
+    rows = rows.sort_values("key", kind="stable")
+    ids, who = np.unique(rows["set"].to_numpy(), return_inverse=True)
+    root = np.arange(len(ids))
+    size = rows["n"].to_numpy()
+    key = rows["key"].to_numpy()
+    cells = rows["sketch"].str.len().to_numpy()
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    common = np.repeat(np.minimum.reduceat(cells, first), np.diff(np.append(first, len(key))))
+    out: list[tuple[int, int]] = []
+    for width in np.unique(common).tolist():
+        mine = np.flatnonzero(common == width)
+        counts, full = np.zeros((len(mine), width), np.uint16), np.zeros(len(mine), bool)
+        for c in np.unique(cells[mine]).tolist():
+            some = np.flatnonzero(cells[mine] == c)
+            raw = np.frombuffer(b"".join(rows["sketch"].iloc[mine[some]]), np.uint8).reshape(len(some), width, c // width)
+            counts[some] = raw.sum(2)
+            full[some] = (raw == 255).any((1, 2))
+        k, n, w = key[mine], size[mine], who[mine]
+        left = np.arange(len(mine) - 1)
+        lag = 1
+        while len(left):
+            left = left[left + lag < len(mine)]
+            left = left[k[left] == k[left + lag]]
+            apart = left[root[w[left]] != root[w[left + lag]]]
+            a, b = n[apart], n[apart + lag]
+            apart = apart[100 * np.minimum(a, b) >= percent * np.maximum(a, b)]
+            for at in range(0, len(apart), max(1, (1 << 22) // width)):
+                i = apart[at: at + max(1, (1 << 22) // width)]
+                j = i + lag
+                both = np.minimum(counts[i], counts[j]).sum(1, dtype=np.int64)
+                both = np.where(full[i] | full[j], np.minimum(n[i], n[j]), both)
+                fine = 100 * both >= percent * (n[i] + n[j] - both)
+                if fine.any():
+                    for x, y in zip(w[i[fine]].tolist(), w[j[fine]].tolist(), strict=True):
+                        while root[x] != x:
+                            x = root[x]
+                        while root[y] != y:
+                            y = root[y]
+                        if x != y:
+                            root[max(x, y)] = min(x, y)
+                            out.append((ids[x], ids[y]))
+                    while (deeper := root[root]).tolist() != root.tolist():
+                        root = deeper
+            lag += 1
+    return out
+
+
 def _linked(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
     both = shared_counts(left, right)
     sizes = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])[None, :]
@@ -287,13 +373,34 @@ def _second_plan(families: DataFrame) -> DataFrame:
     return side("i", 0).unionByName(side("j", 1).where("i != j"))
 
 
+def _candidates(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``a``, ``b`` that join all sets that share a key of the index and may link by their sketches."""
+    shared = saved(index.groupBy("key").agg(F.min("set").alias("head"), F.max("set").alias("tail"), F.count("*").alias("m")).where(
+        "head != tail").drop("tail"), "shared")
+    members = saved(index.join(shared, "key"), "members")
+    # a key with very many members joins them all: their tokens are compared in blocks
+    large = members.where(f"m > {MEMBERS} AND set != head").select(F.col("head").alias("a"), F.col("set").alias("b")).distinct()
+    small = members.where(f"m <= {MEMBERS}").select("key", "set").distinct()
+    tasks = max(1, math.ceil((shared.where(f"m <= {MEMBERS}").agg(F.sum("m")).first()[0] or 0) / MEMBER_ROWS))
+
+    def near(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(close_sets(rows, percent), columns=["a", "b"], dtype=np.int64)
+
+    near_sets = small.join(sets, "set").groupBy(F.pmod(F.xxhash64("key"), F.lit(tasks))).applyInPandas(near, "a long, b long")
+    found = saved(near_sets.unionByName(large), "pairs")
+    dropped(shared)
+    dropped(members)
+    return found
+
+
 def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Documents whose sets of ``words``-word shingles have a Jaccard similarity of ``percent`` or more are linked.
 
-    Equal sets are one node from the start. Sets that link share an index key (see ``allocation``); sets joined by keys
-    are a family. Inside families all sets are compared exactly, as matrices of blocks: a family of one block at once, a
-    larger one block by block, and then only blocks of different components with each other. Links leave a task as a
-    spanning forest, so no pairs are listed.
+    Equal sets are one node from the start. Sets that link share an index key (see ``allocation``). Members of a key that
+    may link by their sketches are joined; what is joined over all keys is a family, so it holds little but sets that
+    link. Inside families all sets are compared exactly, as matrices of blocks: a family of one block at once, a larger one
+    block by block, and then only blocks of different components with each other. Links leave a task as a spanning
+    forest, so no pairs are listed.
 
     One row for each input row: doc_id, n_shingles, component_id (smallest doc_id reachable by links). Null or empty
     texts and texts without words have n_shingles 0 and are linked with nothing; rows without doc_id get a null
@@ -302,7 +409,8 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def ids(part: pa.RecordBatch, token: np.ndarray, text: np.ndarray, size: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size), pa.array(own)], ["doc_id", "n", "set"])
+        return pa.RecordBatch.from_arrays(
+            [part.column("doc_id"), pa.array(size), pa.array(own), sketches(token, text, size)], ["doc_id", "n", "set", "sketch"])
 
     def keys(turn: int) -> Callable[..., pa.RecordBatch]:
         def make(part: pa.RecordBatch, token: np.ndarray, text: np.ndarray, size: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
@@ -319,31 +427,34 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
         chosen = pa.array(own == part.column("wanted").to_numpy())
         return pa.RecordBatch.from_arrays([pa.array(own), lists], ["set", "tokens"]).filter(chosen)
 
-    every = saved(_each_set(docs, words, "doc_id long, n long, set long", ids), "sets")
-    pairs = None
+    every = saved(_each_set(docs, words, "doc_id long, n long, set long, sketch binary", ids), "sets")
+    one = every.where("doc_id IS NOT NULL").groupBy("set").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"))
+    parts = []
     for turn in range(PASSES):  # each over a part of all keys, so that only a part of the index is on disk
         index = saved(_each_set(docs, words, "key long, set long", keys(turn)), "index")
-        shared = index.groupBy("key").agg(F.min("set").alias("head"), F.max("set").alias("tail")).where("head != tail").drop("tail")
-        # written first, so that the join has plain shuffles on both sides and a hot key can be split
-        shared = saved(shared, "shared")
-        found = saved(index.join(shared, "key").where("set != head").select(
-            F.col("head").alias("a"), F.col("set").alias("b")).distinct(), "pairs")
+        parts.append(_candidates(index, one, percent))
         dropped(index)
-        pairs = found if pairs is None else pairs.unionByName(found)
+    pairs = reduce(DataFrame.unionByName, parts)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
     # one document stands for each set; repeated rows of it give the set again, which the verification drops
     chosen = every.where("doc_id IS NOT NULL").join(wanted, "set").groupBy("set").agg(F.min("doc_id").alias("doc_id"))
     some = docs.join(chosen.select("doc_id", F.col("set").alias("wanted")), "doc_id")
     sets = saved(_each_set(some, words, "set long, tokens array<long>", tokens), "tokens")
     sizes = every.groupBy("set").agg(F.max("n").alias("n"))
-    families = saved(components(pairs).select(F.col("node").alias("set"), F.col("root").alias("family")).join(sizes, "set"), "families")
+    joined = components(pairs)
+    families = saved(joined.select(F.col("node").alias("set"), F.col("root").alias("family")).join(sizes, "set"), "families")
+    for used in (joined, *parts):
+        dropped(used)
     links = saved(_verified(_first_plan(families), sets, percent), "links")
-    roots = saved(components(links), "roots")
+    roots = components(links)
     apart = families.join(roots, families["set"] == roots["node"], "left").select(
         "set", "family", "n", F.coalesce("root", "set").alias("root"))
     late = saved(_verified(_second_plan(apart), sets, percent), "links")
     if not late.isEmpty():
-        roots = saved(components(links.unionByName(late)), "roots")
+        dropped(roots)
+        roots = components(links.unionByName(late))
+    for used in (sets, families, links, late):
+        dropped(used)
     named = every.join(roots, every["set"] == roots["node"], "left").select(
         "doc_id", "n", F.coalesce("root", "set").alias("root"))
     least = named.where("n > 0 AND doc_id IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))

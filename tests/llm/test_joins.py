@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,9 +91,11 @@ def grouped(rows, words, percent):
     return {d: (len(sets[i]), least[find(i)]) for i, (d, _) in enumerate(rows)}
 
 
-@pytest.mark.parametrize(("words", "percent", "block"), [(3, 90, 2048), (5, 80, 40), (2, 50, 60)])
-def test_jaccard_join_equals_brute_force(spark, monkeypatch, words, percent, block):
+@pytest.mark.parametrize(("words", "percent", "block", "members"), [
+    (3, 90, 2048, 2048), (5, 80, 40, 2048), (5, 80, 40, 6), (2, 50, 60, 2048), (1, 60, 2048, 4), (1, 35, 2048, 2048)])
+def test_jaccard_join_equals_brute_force(spark, monkeypatch, words, percent, block, members):
     monkeypatch.setattr(jaccard, "BLOCK_SETS", block)
+    monkeypatch.setattr(jaccard, "MEMBERS", members)
     draw = random.Random(5)
     vocabulary, rows = [f"w{i}" for i in range(60)], []
     for i in range(500):
@@ -104,6 +107,10 @@ def test_jaccard_join_equals_brute_force(spark, monkeypatch, words, percent, blo
         else:
             text = [draw.choice(vocabulary) for _ in range(int(draw.expovariate(1 / 40)))]
         rows.append((i * 7 % 501, " ".join(text)))
+    for i in range(40):  # a set and a part of it just large enough, or just too small, to link
+        whole = [f"u{i}x{j}" for j in range(draw.randint(5, 300))]
+        part = max(1, len(whole) * percent // 100 + draw.randint(0, 1))
+        rows += [(1000 + 2 * i, " ".join(whole)), (1001 + 2 * i, " ".join(whole[:part]))]
     docs = spark.createDataFrame([*rows, (None, rows[0][1]), (None, None)], "doc_id long, text string")
     found = jaccard.similar_documents(docs, words, percent).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found if r.doc_id is not None} == grouped(rows, words, percent)
@@ -117,7 +124,28 @@ def test_jaccard_join_frame(messy, empty):
     assert jaccard.similar_documents(empty).count() == 0
 
 
-@pytest.mark.parametrize("percent", [80, 90])
+def test_sketches_bound_every_overlap():
+    draw = np.random.default_rng(3)
+    token = np.unique(draw.integers(0, 2**63, 4000).astype(np.uint64))
+    for a, b, shared in ((300, 280, 270), (40, 40, 39), (3000, 2700, 2650), (9, 9, 9), (64, 52, 52)):
+        first = token[:a]
+        second = np.concatenate([token[:shared], token[-(b - shared):]]) if b > shared else token[:shared]
+        text = np.repeat([0, 1], [a, b])
+        size = np.array([a, b])
+        cells = jaccard.sketches(np.concatenate([first, second]), text, size).to_pylist()
+        rows = pd.DataFrame({"key": [7, 7], "set": [1, 2], "n": size, "sketch": cells})
+        for percent in (50, 80, 90, 99):
+            if 100 * shared >= percent * (a + b - shared):
+                assert jaccard.close_sets(rows, percent) == [(1, 2)]
+    # sets with nothing in common are told apart
+    cells = jaccard.sketches(np.concatenate([token[:300], token[-300:]]), np.repeat([0, 1], 300), np.array([300, 300])).to_pylist()
+    assert jaccard.close_sets(pd.DataFrame({"key": [7, 7], "set": [1, 2], "n": [300, 300], "sketch": cells}), 80) == []
+    # a cell that counts no further bounds nothing
+    full = [bytes([255] * 16), bytes([255] * 16)]
+    assert jaccard.close_sets(pd.DataFrame({"key": [7, 7], "set": [1, 2], "n": [60000, 60000], "sketch": full}), 80) == [(1, 2)]
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90])
 def test_allocation_accounts_for_every_difference(percent):
     for band in range(40):
         plain, deleted, spare = jaccard.allocation(band, percent)
