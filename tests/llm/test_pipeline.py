@@ -34,3 +34,23 @@ def test_stages_of_an_empty_table(spark):
         docs = saved(stage(spark, docs, FOLDER), name.split()[0])
         assert docs.count() == 0
     assert quality.THRESHOLD == 0.7
+
+
+def test_copies_go_by_row_not_by_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (8, c), (8, c), (None, c + " end"), (None, "q r s"), (None, "q r s"), (9, ""), (9, ""), (10, None)]
+    docs = spark.createDataFrame([(*r, "s", i, "x") for i, r in enumerate(rows)], "doc_id long, text string, source string, _row int, score string")
+    got = corpus_pipeline.join_copies(spark, docs.drop("_row"), FOLDER)
+    assert sorted(map(str, got.select("doc_id", "text").collect())) == sorted(
+        map(str, spark.createDataFrame([(3, a), (5, b), (8, c), (None, "q r s"), (9, ""), (10, None)], "doc_id long, text string").collect()))
+
+
+def test_stages_of_odd_rows_and_clashing_columns(messy, spark):
+    docs = messy
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = saved(stage(spark, docs, FOLDER), name.split()[0])
+        assert kept.columns == docs.columns and "n_chars" not in kept.columns
+        before = {(r.doc_id, r.score, r.spans, r["order"]) for r in docs.collect()}
+        assert {(r.doc_id, r.score, r.spans, r["order"]) for r in kept.collect()} <= before
+        docs = kept
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).count() == docs.count()
