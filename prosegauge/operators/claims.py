@@ -159,31 +159,45 @@ def claims_with_players(claims: DataFrame, clause_mentions: DataFrame, doc_menti
 
 # --- dimension resolution (J8) ------------------------------------------------------------
 
+def _grams(text: Column, n: int) -> Column:
+    """Different runs of ``n`` characters of a text."""
+    places = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(places, lambda i: F.substr(text, i, F.lit(n))))
+
+
+def contained_pairs(inner: DataFrame, outer: DataFrame, size: int = 3) -> DataFrame:
+    """``_i`` and ``_o`` for every value ``_i`` that occurs inside a value ``_o``.
+
+    An index of the outer values' runs of up to ``size`` characters; an inner value is looked up by the run of its own
+    that fewest outer values have, and what is found there is checked. Rows grow with the values' lengths, not their
+    squares. Empty values are in none.
+    """
+    index = outer.select("_o", F.explode(F.concat(*[_grams(F.col("_o"), n) for n in range(1, size + 1)])).alias("_g"))
+    often = index.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    own = F.when(F.length("_i") >= size, _grams(F.col("_i"), size)).otherwise(F.array("_i"))
+    found = inner.select("_i", F.explode(own).alias("_g")).join(often, "_g", "left")
+    rarest = found.groupBy("_i").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_g")).alias("_r")).filter("_r.n > 0")
+    return rarest.select("_i", F.col("_r._g").alias("_g")).join(index, "_g").filter(F.col("_o").contains(F.col("_i"))).select("_i", "_o")
+
+
 def resolve_dimension(df: DataFrame, col: str, dim: DataFrame, dim_col: str) -> DataFrame:
     """Exact case-insensitive value, else the first value that contains or is contained, else unchanged.
 
-    Only distinct values are matched. Containment is an equi-join too: all
-    substrings of one side (names are short) against the whole other side.
+    Only distinct values are matched, by an index of their characters (``contained_pairs``).
     """
     values = df.select(F.col(col).alias("_v")).filter("_v is not null and _v != ''").distinct()
     values = values.withColumn("_low", F.lower(tx.normalize_team(F.col("_v"))))
     dims = dim.select(F.col(dim_col).alias("_d")).filter("_d is not null and _d != ''").distinct()
     dims = dims.withColumn("_dlow", F.lower("_d"))
-
-    def substrings(c: Column) -> Column:
-        n = F.length(c)
-        grid = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n)), lambda i: F.transform(
-            F.sequence(F.lit(1), F.greatest(F.lit(1), n - i + 1)), lambda k: F.substr(c, i, k)))
-        return F.array_distinct(F.flatten(grid))
-
-    inside_value = values.select("_v", "_low", F.explode(substrings(F.col("_low"))).alias("_dlow")).join(dims, "_dlow")
-    inside_dim = (dims.select("_d", "_dlow", F.explode(substrings(F.col("_dlow"))).alias("_low"))
-                  .join(values, "_low"))
-    pairs = inside_value.select("_v", "_low", "_d", "_dlow").unionByName(
-        inside_dim.select("_v", "_low", "_d", "_dlow"))
+    lows, dlows = values.select("_low").distinct(), dims.select("_dlow").distinct()
+    inside_value = contained_pairs(dlows.select(F.col("_dlow").alias("_i")), lows.select(F.col("_low").alias("_o"))).select(
+        F.col("_o").alias("_low"), F.col("_i").alias("_dlow"))
+    inside_dim = contained_pairs(lows.select(F.col("_low").alias("_i")), dlows.select(F.col("_dlow").alias("_o"))).select(
+        F.col("_i").alias("_low"), F.col("_o").alias("_dlow"))
     same = F.col("_low") == F.col("_dlow")
-    found = pairs.groupBy("_v").agg(F.coalesce(
+    best = inside_value.unionByName(inside_dim).join(dims, "_dlow").groupBy("_low").agg(F.coalesce(
         F.max(F.when(same, F.col("_d"))), F.min("_d")).alias("_to"))
+    found = values.join(best, "_low").select("_v", "_to")
     joined = df.join(found, df[col] == found["_v"], "left")
     return joined.withColumn(col, F.coalesce(
         F.col("_to"), F.when(F.col(col).isNotNull(), tx.normalize_team(F.col(col))))).drop("_v", "_to")

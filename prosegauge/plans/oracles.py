@@ -647,6 +647,12 @@ WHEN v/400 >= 0.6 THEN 'High repetition lowers writing originality.' ELSE 'No ma
 
 ORACLES["list_communities"] = f"""WITH {COMM} SELECT id, name FROM comm WHERE (t1 = 'click' OR t2 = 'click' OR t3 = 'click') AND visibility = 'public' AND (name ILIKE '%nation_1%' OR 'Group ' || name ILIKE '%nation_1%')
 ORDER BY created_at DESC, id LIMIT 5 OFFSET 1"""
+# commands one after the other, over lists of the values that are taken
+ORACLES["apply_creations"] = f"""WITH {SUBS}, {COMM}, cm AS (SELECT id AS cmd_id, ts, 'nation_' || (id % 300) AS slug, 'N' || (id % 300 * 7 % 290) AS name FROM subs),
+l AS (SELECT list({{'s': [slug], 'n': [name], 'i': [cmd_id]}} ORDER BY ts, cmd_id) AS cs FROM cm), e AS (SELECT {{'s': list(slug), 'n': list(name), 'i': []::BIGINT[]}} AS st FROM comm),
+r AS (SELECT list_reduce(list_concat([st], cs), lambda a, b: CASE WHEN list_has_any(a.s, b.s) OR list_has_any(a.n, b.n) THEN a
+ELSE {{'s': list_concat(a.s, b.s), 'n': list_concat(a.n, b.n), 'i': list_concat(a.i, b.i)}} END) AS f FROM l, e)
+SELECT cmd_id, slug, name FROM cm WHERE cmd_id IN (SELECT unnest(f.i) FROM r)"""
 ORACLES["community_page"] = f"""WITH {COMM}, o AS (SELECT id, name, row_number() OVER (ORDER BY created_at DESC, id) AS k, count(*) OVER () AS total FROM comm WHERE visibility = 'public'),
 nx AS (SELECT id AS next_id FROM o WHERE k = 8 AND total > 8)
 SELECT id, name, total, (SELECT next_id FROM nx) AS next_id FROM o WHERE k BETWEEN 5 AND 8"""

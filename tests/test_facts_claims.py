@@ -118,3 +118,21 @@ def test_resolve_dimension(frame):
     df = frame([("india",), ("the India A side",), ("Indies",), ("Mars",), (None,)], "v string")
     got = sorted(str(r.v) for r in cl.resolve_dimension(df, "v", dim, "team").collect())
     assert got == sorted(["India", "India", "West Indies", "Mars", "None"])
+
+
+def test_contained_pairs_equal_brute_force(frame):
+    import random
+
+    draw = random.Random(6)
+    words = {"".join(draw.choice("ab é") for _ in range(draw.randint(0, 9))) for _ in range(150)} | {"x" * 2000 + "ab", "x" * 1999, "b"}
+    df = frame([(w,) for w in words], "w string")
+    got = cl.contained_pairs(df.select(F.col("w").alias("_i")), df.select(F.col("w").alias("_o"))).collect()
+    assert sorted(map(tuple, got)) == sorted((a, b) for a in words for b in words if a and a in b)
+
+
+def test_long_values_resolve(frame):
+    long = "park " * 400
+    dims = frame([(long + "end",), ("Oval",)], "d string")
+    asked = frame([(1, long + "END of it"), (2, "oval"), (3, "rk park"), (4, "nowhere"), (5, None)], "id int, v string")
+    got = {r.id: r.v for r in cl.resolve_dimension(asked, "v", dims, "d").collect()}
+    assert got == {1: long + "end", 2: "Oval", 3: long + "end", 4: "nowhere", 5: None}
