@@ -815,6 +815,18 @@ def score_documents_job(s, d):
     return score_documents(dm.documents(s, d), lex=D, sep=dm.SEP)
 
 
+@query
+def score_with_claims(s, d):
+    """Whole scoring of texts with claims, against a fact table and with model scores: the verdicts that enter the score."""
+    facts = checkpointed(fa.player_match(dm.ball_log(s, d)))
+    docs = dm.claim_texts(s, d)
+    part = lambda mod: (c("doc_id") % mod) / F.lit(float(mod))
+    scores = docs.select("doc_id", F.lit(1).alias("para_ix"), part(10).alias("toxic"), part(7).alias("anger"), part(3).alias("joy"),
+                         part(5).alias("negative"), part(4).alias("positive"))
+    out = score_documents(docs.select("doc_id", "text"), facts, scores, lex=D, sep=dm.SEP)
+    return out.select("doc_id", "stats_found", "stats_verified", nu.rounded(c("stat_accuracy_score"), 4).alias("stat_accuracy_score"))
+
+
 @query
 def corpus_build(s, d):
     out = build_corpus(dm.documents(s, d), lex=D, topic=dm.WORDS[:4], sep=dm.SEP)

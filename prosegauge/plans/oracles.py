@@ -594,6 +594,7 @@ ORACLES["verify_documents"] = f"""WITH {JUDGED}, g AS (SELECT doc_id, avg(acc) F
 SELECT s_suppkey AS doc_id, a IS NOT NULL AS stats_found, coalesce(allok, FALSE) AS stats_verified, coalesce(round(a, 4), 0.0) AS stat_accuracy_score, CASE WHEN a IS NULL THEN 'low' WHEN hi THEN 'high' ELSE 'medium' END AS stat_confidence,
 coalesce(round((a - 0.5)*2.0, 2), 0.0) AS stat_score_adjustment, coalesce(n, 0) AS n_stat_mentions FROM supplier LEFT JOIN g ON doc_id = s_suppkey"""
 
+ORACLES["score_with_claims"] = f"""SELECT doc_id, stats_found, stats_verified, stat_accuracy_score::DOUBLE AS stat_accuracy_score FROM ({ORACLES['verify_documents']})"""
 ORACLES["verify_by_writer"] = f"""WITH {JUDGED}, g AS (SELECT doc_id, avg(acc) FILTER (v IS NOT NULL) AS a, bool_or(claimed_value IS NOT NULL) AS num FROM j3 GROUP BY doc_id)
 SELECT s_suppkey AS doc_id, a IS NOT NULL AS stats_found, coalesce(round((a - 0.5)*2.0*CASE s_suppkey % 5 WHEN 0 THEN CASE WHEN num THEN 1.5 ELSE 0.25 END WHEN 1 THEN 4.0 WHEN 2 THEN 0.75 WHEN 3 THEN 2.5 ELSE 1.0 END, 2), 0.0)::DOUBLE AS stat_score_adjustment
 FROM supplier LEFT JOIN g ON doc_id = s_suppkey"""
