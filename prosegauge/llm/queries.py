@@ -80,6 +80,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
                             op13_phrase_collocations)
 }
 ORACLES: dict[str, str] = {
+    "op11_spelling_groups": r"""
+WITH RECURSIVE steps AS (  -- the table of crc32, a byte at a time
+  SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) AS t(i))),
+runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[A-Za-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 7 GROUP BY doc_id, run),
+codes AS (SELECT *, hex(encode(doc_id::VARCHAR || ':' || run)) AS h FROM runs),
+hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(1, length(h), 2),
+    lambda i: (strpos('0123456789ABCDEF', h[i]) - 1) * 16 + strpos('0123456789ABCDEF', h[i + 1]) - 1)),
+    lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1]))) AS c FROM codes, steps),
+slipped AS (SELECT n, CASE WHEN c % 31 = 0 THEN substr(run, 1, (c % length(run))::INT) || substr(run, (c % length(run))::INT + 2)
+  ELSE run END AS word FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM slipped WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cuts AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut
+  FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other FROM cuts a JOIN cuts b ON a.i = b.i AND a.cut = b.cut AND a.word <> b.word
+  UNION SELECT c.word, w.word FROM cuts c JOIN words w ON w.word = c.cut
+  UNION SELECT w.word, c.word FROM cuts c JOIN words w ON w.word = c.cut),
+rated AS (SELECT near.word, near.other, w.n, o.n AS m, row_number() OVER (PARTITION BY near.word ORDER BY o.n DESC, near.other) AS k,
+  count(*) OVER (PARTITION BY near.word) AS n_near FROM near JOIN words w ON w.word = near.word JOIN words o ON o.word = near.other),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * w.n THEN other END AS form,
+  CASE WHEN m >= 10 * w.n THEN m END AS form_n FROM words w LEFT JOIN rated r ON r.word = w.word AND r.k = 1),
+ways(word, last) AS (SELECT word, word FROM forms UNION ALL SELECT w.word, f.form FROM ways w JOIN forms f ON f.word = w.last WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, w.last AS root, f.n, f.n_near, f.form_n FROM forms f JOIN ways w ON w.word = f.word
+JOIN forms e ON e.word = w.last WHERE e.form IS NULL""",
     "op13_phrase_collocations": r"""
 WITH words AS (
   SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS w
