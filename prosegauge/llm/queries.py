@@ -80,6 +80,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
                             op13_phrase_collocations)
 }
 ORACLES: dict[str, str] = {
+    "op1_suffix_dedup": r"""
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n_bytes FROM documents),
+windows AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS w FROM (SELECT doc_id, h, unnest(range(0, n_bytes - 199)) AS i FROM docs)),
+again AS (SELECT w FROM windows GROUP BY w HAVING count(*) > 1),
+marked AS (SELECT doc_id, i, i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 AS gap FROM windows SEMI JOIN again USING (w)),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM (
+  SELECT doc_id, i, sum(coalesce(gap, FALSE)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM marked) GROUP BY doc_id, k),
+gaps AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM spans
+  UNION ALL SELECT d.doc_id, coalesce(max(s.b), 0), any_value(n_bytes) FROM docs d LEFT JOIN spans s ON s.doc_id = d.doc_id GROUP BY d.doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, (2 * a + 1)::INT, (2 * (b - a))::INT), '' ORDER BY a) AS h FROM gaps JOIN docs USING (doc_id) GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT doc_id, n_bytes::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(kept.h)) AS kept_sha256 FROM docs JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)""",
+    "op7_jaccard_join": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w
+  FROM documents),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s FROM (
+  SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 90 * (p.n + q.n - c)),
+ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, w.y FROM reach r JOIN ways w ON w.x = r.y)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(y) AS component_id FROM (
+  SELECT x AS doc_id, y FROM reach) LEFT JOIN sizes USING (doc_id) GROUP BY doc_id, n""",
     "op11_spelling_groups": r"""
 WITH RECURSIVE steps AS (  -- the table of crc32, a byte at a time
   SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
