@@ -29,15 +29,16 @@ def shared_folder(spark: SparkSession) -> str:
     return conf.rstrip("/")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: later steps read it and survive lost executors."""
+def saved(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """``df`` as a table in the shared folder, in files by the columns ``by``: later steps read it and survive lost
+    executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/prosegauge-{uuid.uuid4().hex}/{name}"
     # the table replaces the shuffle files that it was made from
     before = spark.conf.get(_CLEAN)
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)

@@ -18,9 +18,12 @@ from prosegauge.llm.common import blocks, dropped, mix, saved, span_hashes, text
 #: Bytes of text of a block; a longer text is a block of its own.
 BLOCK = 4_000_000
 #: Most bytes of the filter that are broadcast at a time; a larger filter is broadcast in parts, one after the other.
-BROADCAST = 32 << 20
-#: Ratio of the counts of neighbouring levels; bits of the filter for each level of each pair, and probes of a level.
-RATIO, BITS, PROBES = 1.5, 12, 8
+BROADCAST = 24 << 20
+#: Ratio of the counts of neighbouring levels; bits of the filter for each level of each pair, and probes of a level, which
+#: all fall into one pair of 64-bit words, half of them into each.
+RATIO, BITS, PROBES = 1.5, 16, 8
+#: Parts in which blocks meet their words' counts and are dealt, one after the other, to hold less on disk.
+TURNS = 3
 #: Every how many documents, by crc32 of the id, are held out, and at which remainder.
 FOLDS, FOLD = 7, 2
 _LOWS = np.unique([math.ceil(RATIO**i) for i in range(100)])
@@ -38,9 +41,19 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == FOLD
 
 
+def _planes(places: np.ndarray) -> bytes:
+    """Small numbers byte by byte: first the low bytes of all, then the next. Frequent words have small places, so high
+    bytes are mostly zeros, which files and shuffles compress."""
+    return places.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _places_of(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
 def tokenised(docs: DataFrame) -> DataFrame:
-    """Whole texts in blocks: documents (id, held, size), hashes of the block's different words in order, and each token's
-    place among them. Each document ends with the end token."""
+    """Whole texts in blocks: documents (id, held, size), hashes of the block's different words, frequent ones first, and
+    each token's place among them. Each document ends with the end token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -55,44 +68,48 @@ def tokenised(docs: DataFrame) -> DataFrame:
                 inner = np.ones(len(token), bool)
                 inner[last] = False
                 token[inner] = span_hashes(data, begin, end)
-                words, place = np.unique(token, return_inverse=True)
+                words, place, times = np.unique(token, return_inverse=True, return_counts=True)
+                order = np.argsort(-times, kind="stable")
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
                 row = pa.StructArray.from_arrays(
                     [part.column("doc_id"), part.column("held"), pa.array(size.astype(np.int32))], ["id", "held", "size"])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.ListArray.from_arrays(pa.array([0, len(row)], pa.int32()), row), pa.array([words.tobytes()], pa.binary()),
-                     pa.array([place.astype(np.int32).tobytes()], pa.binary())], ["docs", "words", "tokens"])
+                    [pa.ListArray.from_arrays(pa.array([0, len(row)], pa.int32()), row), pa.array([words[order].tobytes()], pa.binary()),
+                     pa.array([_planes(rank[place])], pa.binary())], ["docs", "words", "tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held"), "text")
     return rows.mapInArrow(run, _BLOCKS).withColumn("block", F.monotonically_increasing_id())
 
 
 class Block:
-    """A row of ``tokenised``."""
+    """A row of ``tokenised``; the words' counts too, once they are known."""
 
-    def __init__(self, row: dict) -> None:
-        self.number = row["block"]
-        docs = pa.array(row["docs"], pa.struct([("id", pa.int64()), ("held", pa.bool_()), ("size", pa.int32())]))
+    def __init__(self, row: pa.RecordBatch) -> None:
+        self.number = row.column("block")[0].as_py()
+        docs = row.column("docs").flatten()
         self.id, self.held = docs.field("id"), docs.field("held")
         self.size = docs.field("size").to_numpy()
-        self.words = np.frombuffer(row["words"], np.uint64)
-        self.tokens = np.frombuffer(row["tokens"], np.int32)
+        self.words = np.frombuffer(row.column("words")[0].as_buffer(), np.uint64)
+        self.tokens = _places_of(row.column("tokens")[0].as_buffer())
+        if "counts" in row.schema.names:
+            self.counts = np.frombuffer(row.column("counts")[0].as_buffer(), np.int64)
         self.doc = np.repeat(np.arange(len(self.size)), self.size)
         # a null is no false: such a row trains nothing
-        trains = self.held.fill_null(True).to_numpy(zero_copy_only=False) == False  # noqa: E712
-        self.trains = trains[self.doc]
+        self.trains = ~self.held.fill_null(True).to_numpy(zero_copy_only=False).astype(bool)[self.doc]
 
-    def pairs(self, counts: np.ndarray, begins: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def pairs(self, begins: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The block's words with the start token last, their counts, and the places of each token's context and word."""
-        context = np.append(len(self.words), self.tokens[:-1]).astype(np.int32)
+        context = np.append(len(self.words), self.tokens[:-1])
         context[np.cumsum(self.size)[:-1]] = len(self.words)
-        return np.append(self.words, _START), np.append(counts, begins), context, self.tokens
+        return np.append(self.words, _START), np.append(self.counts, begins), context, self.tokens
 
 
-def _each(table: DataFrame, schema: str, make: Callable[[dict], Iterator[pa.RecordBatch]]) -> DataFrame:
+def _each(table: DataFrame, schema: str, make: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                yield from make({name: batch.column(name)[i].as_py() for name in batch.schema.names})
+                yield from make(batch.slice(i, 1))
 
     return table.mapInArrow(run, schema)
 
@@ -100,7 +117,7 @@ def _each(table: DataFrame, schema: str, make: Callable[[dict], Iterator[pa.Reco
 def uses(table: DataFrame) -> DataFrame:
     """``block``, ``at`` (the word's place), ``word``, and ``n``: its occurrences in the block's training documents."""
 
-    def make(row: dict) -> Iterator[pa.RecordBatch]:
+    def make(row: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         block = Block(row)
         n = np.bincount(block.tokens[block.trains], minlength=len(block.words))
         yield pa.RecordBatch.from_arrays(
@@ -112,30 +129,38 @@ def uses(table: DataFrame) -> DataFrame:
 
 def pair_keys(words: np.ndarray, counts: np.ndarray, context: np.ndarray, word: np.ndarray) -> np.ndarray:
     """A key of each pair; its last bits tell how often its context occurs."""
-    key = mix(mix(words[context]) * np.uint64(3) + words[word])
-    level = np.frexp(np.maximum(counts, 1))[1][context] - 1
-    return (key & ~np.uint64(_CONTEXTS - 1)) | level.astype(np.uint64)
+    level = (np.frexp(np.maximum(counts, 1))[1] - 1).astype(np.uint64)
+    key = mix((mix(words) * np.uint64(3))[context] + words[word])
+    return (key & ~np.uint64(_CONTEXTS - 1)) | level[context]
 
 
-def _places(keys: np.ndarray, level: int, bits: np.ndarray | int) -> Iterator[np.ndarray]:
-    """Places of the probes for a level of some keys in a filter of so many bits."""
+def _probes(keys: np.ndarray, level: int, pairs: np.ndarray | np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pair of words that a level of each key belongs to, of so many, and the bits to probe in either."""
     code = mix(keys ^ np.uint64(level * 0x9E3779B97F4A7C15 % 2**64))
-    step = (code & np.uint64(0xFFFFFFFF)) | np.uint64(1)
-    code >>= np.uint64(32)
-    for _ in range(PROBES):
-        yield (code % np.asarray(bits, np.uint64)).astype(np.int64)
-        code = code + step
+    place = (((code >> np.uint64(32)) * pairs) >> np.uint64(32)).astype(np.int64)
+    code = mix(code)
+    masks = []
+    for half in range(2):
+        mask = np.zeros(len(keys), np.uint64)
+        for probe in range(PROBES // 2):
+            mask |= np.uint64(1) << ((code >> np.uint64(6 * (half * PROBES // 2 + probe))) & np.uint64(63))
+        masks.append(mask)
+    return place, masks[0], masks[1]
 
 
 def filter_of(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """A Bloom filter that holds each key at every level from 1 to that of its count."""
     levels = np.searchsorted(_LOWS, counts, "right")
-    size = max(64, math.ceil(int(levels.sum()) * BITS / 8) * 8)
-    bits = np.zeros(size, np.uint8)
+    pairs = max(1, math.ceil(int(levels.sum()) * BITS / 128))
+    words = np.zeros((pairs, 2), np.uint64)
     for level in range(1, int(levels.max(initial=0)) + 1):
-        for place in _places(keys[levels >= level], level, size):
-            bits[place] = 1
-    return np.packbits(bits, bitorder="little").tobytes()
+        place, low, high = _probes(keys[levels >= level], level, np.uint64(pairs))
+        order = np.argsort(place, kind="stable")
+        place = place[order]
+        first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+        for half, mask in enumerate((low, high)):
+            words[place[first], half] |= np.bitwise_or.reduceat(mask[order], first)
+    return words.tobytes()
 
 
 class Filter:
@@ -143,22 +168,21 @@ class Filter:
 
     def __init__(self, first: int, slices: list[bytes]) -> None:
         self.first = first
-        self.size = np.array([8 * len(x) for x in slices], np.uint64)
-        self.base = np.append(0, np.cumsum(self.size.astype(np.int64)))
-        self.bits = np.frombuffer(b"".join(slices), np.uint8)
+        self.pairs = np.array([len(x) // 16 for x in slices], np.uint64)
+        self.base = np.append(0, np.cumsum(self.pairs.astype(np.int64)))
+        self.words = np.frombuffer(b"".join(slices), np.uint64).reshape(-1, 2)
 
     def counts(self, keys: np.ndarray, slices: np.ndarray) -> np.ndarray:
         """The mean of the counts of the highest level up to which all levels of a key are in the filter; 0: none is."""
-        levels = np.zeros(len(keys), np.int64)
-        left = np.arange(len(keys))
-        while len(left):
-            level = int(levels[left[0]]) + 1
-            slot = slices[left] - self.first
-            base, fine = self.base[slot], np.ones(len(left), bool)
-            for place in _places(keys[left], level, self.size[slot]):
-                place = place + base
-                fine &= (self.bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-            left = left[fine] if level < len(_LOWS) else left[:0]
+        levels = np.zeros(len(keys), np.int8)
+        left, level = np.arange(len(keys)), 0
+        slot = slices - self.first
+        while len(left) and level < len(_LOWS):
+            level += 1
+            place, low, high = _probes(keys[left], level, self.pairs[slot])
+            words = self.words[place + self.base[slot]]
+            fine = ((words[:, 0] & low) == low) & ((words[:, 1] & high) == high)
+            left, slot = left[fine], slot[fine]
             levels[left] = level
         return _MEANS[levels]
 
@@ -171,17 +195,14 @@ def _slices(table: DataFrame, begins: int, buckets: int) -> DataFrame:
         def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for batch in batches:
                 for i in range(len(batch)):
-                    row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
-                    block = Block(row)
-                    words, counts, context, word = block.pairs(np.frombuffer(row["counts"], np.int64), begins)
-                    own = block.trains
-                    keys = pair_keys(words, counts, context[own], word[own])
-                    yield grams.summed(keys, np.ones(len(keys), np.int64))
+                    block = Block(batch.slice(i, 1))
+                    words, counts, context, word = block.pairs(begins)
+                    yield pair_keys(words, counts, context[block.trains], word[block.trains]),
 
         yield from grams.tallied(found(), buckets)
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = grams.merged(rows)
+        keys, counts, _ = grams.merged(rows)
         context = (keys & np.uint64(_CONTEXTS - 1)).astype(np.int64)
         once = np.bincount(context[counts == 1], minlength=_CONTEXTS)
         every = np.bincount(context, weights=counts, minlength=_CONTEXTS).astype(np.int64)
@@ -197,24 +218,25 @@ def _dealt(table: DataFrame, begins: int, buckets: int, per: int) -> DataFrame:
     of the part, their counts, and the places of each token's context and word."""
     docs = "docs array<struct<at:int,id:bigint,held:boolean,size:int>>"
 
-    def make(row: dict) -> Iterator[pa.RecordBatch]:
+    def make(row: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         block = Block(row)
-        words, counts, context, word = block.pairs(np.frombuffer(row["counts"], np.int64), begins)
+        words, counts, context, word = block.pairs(begins)
         part = grams.bucket_of(pair_keys(words, counts, context, word), buckets) // per
         for p in np.unique(part).tolist():
             mine = part == p
             size = np.bincount(block.doc[mine], minlength=len(block.size))
             at = np.flatnonzero(size)
-            some, place = np.unique(np.concatenate([context[mine], word[mine]]), return_inverse=True)
-            places = place.astype(np.int32)
+            used = np.zeros(len(words), bool)
+            used[context[mine]] = used[word[mine]] = True
+            place = np.cumsum(used) - 1
             rows = pa.StructArray.from_arrays(
                 [pa.array(at.astype(np.int32)), block.id.take(pa.array(at)), block.held.take(pa.array(at)),
                  pa.array(size[at].astype(np.int32))], ["at", "id", "held", "size"])
             yield pa.RecordBatch.from_arrays(
                 [pa.array([p], pa.int64()), pa.array([block.number], pa.int64()),
                  pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows),
-                 *(pa.array([x.tobytes()], pa.binary()) for x in (
-                     words[some], counts[some], places[: int(mine.sum())], places[int(mine.sum()):]))],
+                 *(pa.array([x], pa.binary()) for x in (
+                     words[used].tobytes(), counts[used].tobytes(), _planes(place[context[mine]]), _planes(place[word[mine]])))],
                 ["part", "block", "docs", "words", "counts", "context", "word"])
 
     return _each(table, f"part long, block long, {docs}, words binary, counts binary, context binary, word binary", make)
@@ -225,33 +247,33 @@ _SUMS = "block long, at int, doc_id long, held_out boolean, n_tokens long, n_kno
 
 def _summed(table: DataFrame, slices: DataFrame, part: int, buckets: int, weights: list[float], total: int, kinds: int) -> DataFrame:
     """Sums over each document's tokens of one part, whose slices of the filter are broadcast."""
-    rows = slices.select("slice", "bits").collect()
-    held = dict(rows)
+    held = {number: bytes(bits) for number, bits in slices.select("slice", "bits").toLocalIterator()}
     first = min(held, default=0)
-    empty = bytes(8)
+    empty = bytes(16)
     sent = slices.sparkSession.sparkContext.broadcast(Filter(first, [held.get(i, empty) for i in range(first, max(held, default=0) + 1)]))
 
-    def make(row: dict) -> Iterator[pa.RecordBatch]:
-        words, counts = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["counts"], np.int64)
-        context, word = np.frombuffer(row["context"], np.int32), np.frombuffer(row["word"], np.int32)
+    def make(row: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        words, counts = (np.frombuffer(row.column(c)[0].as_buffer(), t) for c, t in (("words", np.uint64), ("counts", np.int64)))
+        context, word = (_places_of(row.column(c)[0].as_buffer()) for c in ("context", "word"))
         base = (counts[word] + 1) / (total + kinds + 1)
         before = counts[context]
         keys = pair_keys(words, counts, context, word)
         slots = grams.bucket_of(keys, buckets)
         # a pair is as frequent as its parts at most, and those with slices that are not here hold nothing
-        may = (before > 0) & (counts[word] > 0) & (slots >= first) & (slots < first + len(sent.value.size))
+        may = (before > 0) & (counts[word] > 0) & (slots >= first) & (slots < first + len(sent.value.pairs))
         seen = np.zeros(len(keys))
-        seen[may] = sent.value.counts(keys[may], slots[may])
+        some, which = np.unique(keys[may], return_inverse=True)  # pairs recur within a block
+        seen[may] = sent.value.counts(some, grams.bucket_of(some, buckets))[which]
         seen = np.minimum(seen, np.minimum(before, counts[word]))
         weight = np.array(weights)[np.frexp(np.maximum(before, 1))[1] - 1] * (before > 0)
         chance = weight * seen / np.maximum(before, 1) + (1 - weight) * base
-        docs = pa.array(row["docs"], pa.struct([("at", pa.int32()), ("id", pa.int64()), ("held", pa.bool_()), ("size", pa.int32())]))
+        docs = row.column("docs").flatten()
         size = docs.field("size").to_numpy()
         starts = np.cumsum(size) - size
         sums = [pa.array(np.add.reduceat(x, starts)) for x in (
             (counts[word] > 0).astype(np.int64), np.log10(base), np.log10(chance))]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(docs), row["block"])), docs.field("at"), docs.field("id"), docs.field("held"),
+            [pa.array(np.full(len(docs), row.column("block")[0].as_py())), docs.field("at"), docs.field("id"), docs.field("held"),
              pa.array(size.astype(np.int64)), *sums],
             ["block", "at", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
@@ -283,39 +305,38 @@ def score_documents(docs: DataFrame, limit: int = BROADCAST) -> DataFrame:
     ends = counts.where(F.col("word") == int(_END.view(np.int64))).first()
     begins = ends["c"] if ends else 0  # each training document has one end, and one start
 
-    def known(row: dict) -> Iterator[pa.RecordBatch]:
-        block = Block(row)
-        c = np.zeros(len(block.words), np.int64)
-        if row["found"]:
-            at, n = zip(*((x["at"], x["c"]) for x in row["found"]), strict=True)
-            c[list(at)] = n
+    def known(row: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        found = row.column("found").flatten()
+        c = np.zeros(len(row.column("words")[0].as_buffer()) // 8, np.int64)
+        c[found.field("at").to_numpy()] = found.field("c").to_numpy()
         yield pa.RecordBatch.from_arrays(
-            [pa.array([row["block"]], pa.int64()), pa.array([row["docs"]], pa.list_(pa.struct([
-                ("id", pa.int64()), ("held", pa.bool_()), ("size", pa.int32())]))),
-             *(pa.array([x], pa.binary()) for x in (row["words"], row["tokens"], c.tobytes()))],
+            [*(row.column(c) for c in ("block", "docs", "words", "tokens")), pa.array([c.tobytes()], pa.binary())],
             ["block", "docs", "words", "tokens", "counts"])
 
-    found = uses(table).join(counts, "word").groupBy("block").agg(F.collect_list(F.struct("at", "c")).alias("found"))
-    whole = saved(_each(table.join(found, "block", "left"), f"block long, {_BLOCKS}, counts binary", known), "known")
-    dropped(table)
-    dropped(counts)
+    found = saved(uses(table).join(counts, "word").groupBy("block").agg(F.collect_list(F.struct("at", "c")).alias("found")), "found")
+    schema = f"block long, {_BLOCKS}, counts binary"
+    own = lambda turn: F.pmod(F.xxhash64("block"), F.lit(TURNS)) == turn
+    whole = [saved(_each(table.where(own(turn)).join(found.where(own(turn)), "block", "left"), schema, known), "known")
+             for turn in range(TURNS)]
+    for used in (table, counts, found):
+        dropped(used)
     buckets = grams.buckets_for(total)
-    slices = saved(_slices(whole, begins, buckets), "slices")
+    slices = saved(_slices(reduce(DataFrame.unionByName, whole), begins, buckets), "slices")
     once, every = (np.array([r[0] for r in slices.select(F.posexplode(name).alias("k", "v")).groupBy("k").agg(
         F.sum("v").alias("v")).orderBy("k").select("v").collect()] or [0] * _CONTEXTS) for name in ("once", "every"))
-    weights = (1 - once / np.maximum(every, 1)) * (every > 0)
+    weights = (every - once) / (every + 1)
     widest = slices.agg(F.max(F.length("bits"))).first()[0] or 1
     per = max(1, limit // widest)
     parts = math.ceil(buckets / per)
-    dealt = _dealt(whole, begins, buckets, per)
-    if parts > 1:  # a pass reads the files of its part
-        dealt = dealt.repartitionByRange("part", "block")
-    dealt = saved(dealt, "dealt")
-    dropped(whole)
-    sums = [_summed(dealt, slices.where(F.floor(F.col("slice") / per) == part), part, buckets, weights.tolist(), total, kinds)
+    dealt = []
+    for part in whole:  # in files by part of the filter: a pass reads those of its own
+        dealt.append(saved(_dealt(part, begins, buckets, per), "dealt", "part"))
+        dropped(part)
+    tokens = reduce(DataFrame.unionByName, dealt)
+    sums = [_summed(tokens, slices.where(F.floor(F.col("slice") / per) == part), part, buckets, weights.tolist(), total, kinds)
             for part in range(parts)]
-    dropped(dealt)
-    dropped(slices)
+    for used in (*dealt, slices):
+        dropped(used)
     every_token = reduce(DataFrame.unionByName, sums).groupBy("block", "at", "doc_id", "held_out")
     return every_token.agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score"))).select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

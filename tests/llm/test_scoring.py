@@ -46,7 +46,7 @@ def plain(rows):
             p = (c[w] + 1) / (total + kinds + 1)
             base += math.log10(p)
             if n := context[v]:
-                weight = 1 - once[n.bit_length()] / every[n.bit_length()]
+                weight = (every[n.bit_length()] - once[n.bit_length()]) / (every[n.bit_length()] + 1)
                 seen = min(quantised(pairs[v, w]), n, c[w]) if pairs[v, w] else 0
                 p = weight * seen / n + (1 - weight) * p
             score += math.log10(p)
