@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosegauge.llm import grams
@@ -104,6 +105,10 @@ def dictionary(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "lang string, own int, chunk string").groupBy("lang", "own", "chunk").agg(F.count("*").alias("n"))
 
 
+def _opened(sets: dict[int, bytes]) -> dict[int, np.ndarray]:
+    return {k: np.frombuffer(zlib.decompress(v), np.uint8) for k, v in sets.items()}
+
+
 def _holds(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     cell = (keys >> np.uint64(64 - (8 * len(bits)).bit_length() + 1)).astype(np.int64)
     return (bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
@@ -144,8 +149,9 @@ class _Part:
         return self.key(size)[at], at
 
 
-def _set_of(keys: DataFrame) -> np.ndarray:
-    """A bit for each frequent key, made slice by slice: ``BITS`` bits come to the driver, however many keys there are."""
+def _set_of(keys: Column, rows: DataFrame) -> bytes:
+    """A bit for each frequent key, made slice by slice: ``BITS`` bits come to the driver, however many keys there are.
+    Packed, as few are set where keys are few."""
     size = SLICE
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
@@ -153,16 +159,17 @@ def _set_of(keys: DataFrame) -> np.ndarray:
         bits[rows["cell"].to_numpy() % size] = 1
         return pd.DataFrame({"slice": [rows["cell"].iloc[0] // size], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
-    cells = keys.select(F.shiftrightunsigned("key", 64 - BITS.bit_length() + 1).alias("cell")).distinct()
+    cells = rows.select(F.shiftrightunsigned(keys, 64 - BITS.bit_length() + 1).alias("cell")).distinct()
     found = cells.groupBy(F.floor(F.col("cell") / size)).applyInPandas(one, "slice long, bits binary")
     out = np.zeros(BITS // 8, np.uint8)
     for row in found.collect():
         out[row["slice"] * size // 8: (row["slice"] + 1) * size // 8] = np.frombuffer(row["bits"], np.uint8)
-    return out
+    return zlib.compress(out.tobytes(), 1)
 
 
-def frequent(entries: DataFrame, sizes: list[int], known: dict[int, np.ndarray], total: int, times: int) -> DataFrame:
-    """Keys of the phrases of some sizes that occur ``times`` times or more, and ``f``, how often.
+def frequent(entries: DataFrame, sizes: list[int], known: dict[int, bytes], total: int, times: int) -> DataFrame:
+    """Keys of the phrases of some sizes that occur ``times`` times or more, ``f``, how often, and the ``number`` of the
+    first entry that holds them.
 
     Phrases are counted inside different chunks, weighted by how often the parse holds the chunk, each where it starts.
     """
@@ -170,49 +177,61 @@ def frequent(entries: DataFrame, sizes: list[int], known: dict[int, np.ndarray],
     buckets = grams.buckets_for(total * len(sizes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        known = _opened(sets.value)
+
+        def found() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
             for batch in batches:
                 for a, b in blocks(batch, "chunk"):
                     rows = batch.slice(a, b - a)
                     part = _Part(rows)
-                    weight = rows.column("n").to_numpy()
+                    weight, number = rows.column("n").to_numpy(), rows.column("number").to_numpy()
                     for size in sizes:
-                        keys, at = part.keys(size, sets.value)
-                        yield keys, weight[part.row[at]]
+                        keys, at = part.keys(size, known)
+                        yield keys, weight[part.row[at]], number[part.row[at]]
 
         yield from grams.tallied(found(), buckets)
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        keys, f = grams.merged(rows)
-        return pd.DataFrame({"key": keys[f >= times].view(np.int64), "f": f[f >= times]})
+        keys, f, number = grams.merged(rows)
+        return pd.DataFrame({"key": keys[f >= times].view(np.int64), "f": f[f >= times], "number": number[f >= times]})
+
+    counts = entries.mapInArrow(run, grams.PACKED).groupBy("bucket").applyInPandas(merge, "key long, f long, number long")
+    out = saved(counts, "frequent")
+    sets.destroy()
+    return out
 
-    counts = entries.mapInArrow(run, grams.PACKED).groupBy("bucket").applyInPandas(merge, "key long, f long")
-    return saved(counts, "frequent")
 
+def _named(entries: DataFrame, keys: DataFrame, known: dict[int, bytes]) -> DataFrame:
+    """``lang``, ``phrase`` and ``f`` of all frequent keys.
 
-def _named(entries: DataFrame, known: dict[int, np.ndarray]) -> DataFrame:
-    """``key``, ``lang`` and ``phrase`` of all phrases whose keys are in the sets, once a task or more often."""
-    sets = entries.sparkSession.sparkContext.broadcast(known)
+    A phrase is read where it occurs first. Entries that hold no first occurrence are passed over, by a set of the hashes
+    of the numbers of those that do.
+    """
+    sets = entries.sparkSession.sparkContext.broadcast(known | {0: _set_of(F.xxhash64("number"), keys)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, np.uint64)
+        known = _opened(sets.value)
+        firsts = known.pop(0)
         for batch in batches:
+            batch = batch.filter(pa.array(_holds(firsts, batch.column("hash").to_numpy().view(np.uint64))))
             for a, b in blocks(batch, "chunk"):
                 rows = batch.slice(a, b - a)
                 part = _Part(rows)
                 for size in range(1, LONGEST + 1):
-                    keys, at = part.keys(size, sets.value)
-                    fine = _holds(sets.value[min(size, 3)], keys)
-                    keys, which = np.unique(keys[fine], return_index=True)
-                    new = ~np.isin(keys, seen, assume_unique=True)
-                    keys, at = keys[new], at[fine][which[new]]
-                    seen = np.concatenate([seen, keys])
+                    keys, at = part.keys(size, known)
+                    fine = _holds(known[min(size, 3)], keys)
+                    keys, at = keys[fine], at[fine]
                     chars, offsets = _gathered(part.data, part.begin[at], part.end[at + size - 1] - part.begin[at])
                     phrase = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(chars))
-                    lang = rows.column("lang").take(pa.array(part.row[at]))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), lang, phrase], ["key", "lang", "phrase"])
-
-    return entries.mapInArrow(run, "key long, lang string, phrase string")
+                    row = pa.array(part.row[at])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys.view(np.int64)), rows.column("number").take(row), rows.column("lang").take(row), phrase],
+                        ["key", "number", "lang", "phrase"])
+
+    found = entries.withColumn("hash", F.xxhash64("number")).mapInArrow(run, "key long, number long, lang string, phrase string")
+    out = saved(found.distinct().join(keys, ["key", "number"]).select("lang", "phrase", "f"), "phrases")
+    sets.destroy()
+    return out
 
 
 def phrase_counts(docs: DataFrame, times: int = TIMES) -> tuple[DataFrame, DataFrame]:
@@ -222,17 +241,16 @@ def phrase_counts(docs: DataFrame, times: int = TIMES) -> tuple[DataFrame, DataF
     Words first, then pairs of frequent words, then longer phrases of frequent pairs: a phrase is at most as frequent as
     its parts. Phrases are counted by 64-bit keys and named in the end.
     """
-    entries = saved(dictionary(docs), "dictionary")
+    entries = saved(dictionary(docs).withColumn("number", F.monotonically_increasing_id()), "dictionary")
     words = saved(entries.groupBy("lang").agg(F.sum(F.col("own") * F.col("n")).alias("words")), "words")
     total = entries.agg(F.sum("own")).first()[0] or 0
-    known: dict[int, np.ndarray] = {}
+    known: dict[int, bytes] = {}
     tables = []
     for sizes in ([1], [2], list(range(3, LONGEST + 1))):
         tables.append(frequent(entries, sizes, known, total, times))
-        known[sizes[0]] = _set_of(tables[-1])
+        known[sizes[0]] = _set_of(F.col("key"), tables[-1])
     keys = tables[0].unionByName(tables[1]).unionByName(tables[2])
-    named = _named(entries, known).groupBy("key").agg(F.min(F.struct("lang", "phrase")).alias("it"))
-    counts = saved(named.join(keys, "key").select("it.lang", "it.phrase", "f"), "phrases")
+    counts = _named(entries, keys, known)
     for used in (entries, *tables):
         dropped(used)
     return counts, words
