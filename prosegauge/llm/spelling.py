@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -14,6 +15,8 @@ from prosegauge.llm.common import dropped, saved
 RUN, END = "[A-Za-zÀ-ÿ]+", "$"
 #: Fewest code points and occurrences of a word, and how much more often its form must occur.
 LENGTH, TIMES, RATIO = 7, 2, 10
+#: Parts in which the rotations are sorted, one after the other.
+PASSES = 4
 #: A run loses a letter where its checksum is a multiple of this.
 SLIPS = 31
 
@@ -39,35 +42,36 @@ def words(docs: DataFrame) -> DataFrame:
     return found.where(F.length("word") >= LENGTH).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= TIMES)
 
 
-def rotations(found: DataFrame) -> DataFrame:
+def rotations(found: DataFrame, turn: int) -> DataFrame:
     """The rotations of ``word + END`` as prefixes that words near each other share: ``key``, ``skipped``, ``n``.
 
     A rotation starts behind a place in the word and ends before it: what stands behind, ``END``, what stands before.
     With the whole rotation as key nothing is skipped; without its last letter, that letter is. Two words that share a
     key and both skip a letter differ by a replacement; one that skips a letter is the one that skips none and a letter
-    more.
+    more. Only keys whose length has the remainder ``turn``: keys of two lengths never meet.
     """
-    place = found.select("word", "n", F.explode(F.sequence(F.lit(0), F.length("word"))).alias("_at"))
-    before, behind = F.substring(F.col("word"), F.lit(1), F.col("_at")), F.substring(F.col("word"), F.col("_at") + 1, F.length("word"))
-    turned = place.select("n", behind.alias("_b"), before.alias("_a"))
-    whole = F.struct(F.concat("_b", F.lit(END), "_a").alias("key"), F.lit("").alias("skipped"))
-    cut = F.struct(F.concat("_b", F.lit(END), F.expr("left(_a, length(_a) - 1)")).alias("key"), F.expr("right(_a, 1)").alias("skipped"))
-    both = turned.select("n", F.explode(F.when(F.length("_a") > 0, F.array(whole, cut)).otherwise(F.array(whole))).alias("_r"))
-    return both.select("_r.key", "_r.skipped", "n")
+    length = F.length("word")
+    before, behind = F.substring(F.col("word"), F.lit(1), F.col("_at")), F.substring(F.col("word"), F.col("_at") + 1, length)
+    turned = lambda first, turn: found.where((length + 1 - first) % PASSES == turn).select(
+        "word", "n", F.explode(F.sequence(F.lit(first), length)).alias("_at")).select("n", behind.alias("_b"), before.alias("_a"))
+    whole = turned(0, turn).select(F.concat("_b", F.lit(END), "_a").alias("key"), F.lit("").alias("skipped"), "n")
+    cut = turned(1, turn).select(
+        F.concat("_b", F.lit(END), F.expr("left(_a, length(_a) - 1)")).alias("key"), F.expr("right(_a, 1)").alias("skipped"), "n")
+    return whole.unionByName(cut)
 
 
-def neighbours(found: DataFrame) -> DataFrame:
-    """For each word with a near one: ``word``, ``n_near`` (how many) and ``best`` (its near word of largest n, ties to
-    the smallest).
+def _scanned(found: DataFrame, turn: int) -> DataFrame:
+    """``word``, ``near`` (words near it) and ``best`` of them under each key of a turn.
 
     Rotations are sorted and each key's group is scanned once. A group holds one row a letter of the alphabet and one
-    without, so it is bounded whatever the input; each of its rows leaves with the number of its partners and the best
-    of them, so pairs are never listed. A replacement is found under one key. An indel is found under a key for each of
-    the equal letters that the edited one stands with, and counts under the one that skips the first of them.
+    without, so it is bounded whatever the input; each of its rows leaves with the number of its partners and the best of
+    them (largest n, ties to the smallest), so pairs are never listed. A replacement is found under one key. An indel is
+    found under a key for each of the equal letters that the edited one stands with, and counts under the one that skips
+    the first of them.
     """
     rank = F.struct((-F.col("n")).alias("minus"), F.col("word").alias("word"))
     word = F.concat(F.substring_index("key", END, -1), F.col("skipped"), F.substring_index("key", END, 1))
-    rows = rotations(found).select(
+    rows = rotations(found, turn).select(
         "key", "n", word.alias("word"), (F.col("skipped") == "").alias("whole"),
         ((F.col("skipped") != "") & (F.right(F.substring_index("key", END, -1), F.lit(1)) != F.col("skipped"))).alias("first"))
     group = W.partitionBy("key").orderBy("whole", F.desc("n"), "word").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
@@ -82,7 +86,14 @@ def neighbours(found: DataFrame) -> DataFrame:
     met = seen.select(
         "word", F.when(whole, F.col("firsts")).otherwise(F.col("cuts") - 1 + F.when(first, F.col("wholes")).otherwise(0)).alias("near"),
         F.when(whole, F.col("top_first")).otherwise(F.least(other, F.when(first, F.col("base")))).alias("best"))
-    return met.where("near > 0").groupBy("word").agg(F.sum("near").alias("n_near"), F.min("best").alias("best"))
+    return met.where("near > 0")
+
+
+def neighbours(found: DataFrame) -> DataFrame:
+    """For each word with a near one: ``word``, ``n_near`` (how many) and ``best`` (its near word of largest n, ties to
+    the smallest; minus its n first)."""
+    met = reduce(DataFrame.unionByName, [saved(_scanned(found, turn), "near") for turn in range(PASSES)])
+    return met.groupBy("word").agg(F.sum("near").alias("n_near"), F.min("best").alias("best"))
 
 
 def _roots(forms: DataFrame) -> DataFrame:
