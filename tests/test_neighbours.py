@@ -123,3 +123,13 @@ def test_benchmark_probabilities_enter_the_stance(frame):
     # an empty bank: all labels alike
     nothing = bm.fit(frame([], "id bigint, label string, text string, embedding array<double>"))
     assert {r.probability for r in bm.probabilities(asked, nothing).collect()} == {0.125}
+
+
+def test_bank_in_parts_equals_brute_force(frame):
+    draw = random.Random(4)
+    rows = [(i, [float(draw.randint(-3, 3)) for _ in range(5)], i % 4) for i in range(180)] + [(i, [1.0] * 5, 1) for i in range(180, 260)]
+    df = frame(rows, SCHEMA).repartition(3)
+    for alone in (True, False):
+        found = got(ne.nearest(df, df, 7, leave_one_out=alone, part_rows=70, block_rows=20))
+        want = plain(rows, 7, alone)
+        assert [r[:3] for r in found] == [r[:3] for r in want] and np.allclose([r[4] for r in found], [r[4] for r in want])
