@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from prosegauge.functions import numeric as nu
 from prosegauge.lexicons import LEXICON, STANCES
 from prosegauge.operators import evaluate as ev, stance
-from prosegauge.session import checkpointed
+from prosegauge.session import checkpointed, stored
 
 c = F.col
 #: Neighbours whose votes count.
@@ -43,6 +43,33 @@ def fit(samples: DataFrame, lex: stance.Lex = LEXICON, labels: Sequence[str] = S
     return Bank(known.select("id", "label", "embedding"), centroids, labels, lex)
 
 
+def _with_chances(rows: DataFrame, bank: Bank, k: int) -> DataFrame:
+    """``rows`` (text, embedding) and ``_chance``, the probability of each of the bank's labels, in their order.
+
+    Rows of the same vector have the same neighbours: these are looked for once a vector, and their votes join as one
+    array. Centroids are compared in place, so a row stays one row. Rows without a vector are spread over the join.
+    """
+    labels = list(bank.labels)
+
+    def in_order(pairs: Column, value: str) -> Column:
+        by_label = F.map_from_entries(F.transform(pairs, lambda e: F.struct(e["label"], e[value])))
+        return F.array(*[F.coalesce(F.try_element_at(by_label, F.lit(x)), F.lit(0.0)) for x in labels])
+
+    vectors = stored(rows.filter(c("embedding").isNotNull()).select("embedding").distinct().withColumn(
+        "id", F.monotonically_increasing_id()))
+    votes = ev.knn_label_votes(vectors, bank.samples, k).groupBy("id").agg(F.collect_list(F.struct("label", "votes")).alias("_all"))
+    voted = vectors.join(votes, "id", "left").select(c("embedding").alias("_vec"), F.lit(0).cast("bigint").alias("_at"), in_order(
+        F.coalesce("_all", F.array().cast("array<struct<label:string,votes:double>>")), "votes").alias("_votes"))
+    spread = rows.withColumn("_spread", F.when(c("embedding").isNull(), F.monotonically_increasing_id()).otherwise(0))
+    met = spread.join(voted, (c("_spread") == c("_at")) & (c("embedding") == c("_vec")), "left").drop("_spread", "_at", "_vec")
+    scored = ev.with_centroid_scores(with_features(met, bank.lex), bank.centroids, "_centred", features="features").drop("features")
+    raw = F.zip_with("_votes", in_order(c("_centred"), "score"), lambda a, b: F.greatest(a + b, F.lit(0.0)))
+    mass = F.aggregate("_raw", F.lit(0.0), lambda s, x: s + x)
+    even = F.array(*[F.lit(1.0 / len(labels))] * len(labels))
+    return scored.withColumn("_raw", raw).withColumn("_chance", F.when(mass > 0, F.transform(
+        "_raw", lambda x: nu.rounded(x / mass, 4))).otherwise(even)).drop("_raw", "_votes", "_centred")
+
+
 def probabilities(queries: DataFrame, bank: Bank, k: int = NEIGHBOURS) -> DataFrame:
     """``id``, ``label`` and ``probability`` for every label of the bank and every row of ``queries`` (id, text, embedding).
 
@@ -50,22 +77,13 @@ def probabilities(queries: DataFrame, bank: Bank, k: int = NEIGHBOURS) -> DataFr
     0.25 of that to its feature centroid, divided by their sum and rounded to four digits. Without a vector, or with an
     empty bank, all labels are equally likely. Ids are unique.
     """
-    known = with_features(queries.filter(c("embedding").isNotNull()), bank.lex)
-    votes = ev.knn_label_votes(known.select("id", "embedding"), bank.samples, k)
-    centred = ev.centroid_scores(known, bank.centroids, features="features")
-    raw = centred.unionByName(votes.withColumnRenamed("votes", "score")).groupBy("id").pivot("label", list(bank.labels)).agg(F.sum("score"))
-    values = F.array(*[F.greatest(F.coalesce(c(f"`{x}`"), F.lit(0.0)), F.lit(0.0)).alias(x) for x in bank.labels])
-    mass = F.aggregate("_raw", F.lit(0.0), lambda s, x: s + x)
-    found = queries.select("id").join(raw.select("id", values.alias("_raw")), "id", "left")
-    even = F.array(*[F.lit(1.0 / len(bank.labels))] * len(bank.labels))
-    chance = F.when(mass > 0, F.transform("_raw", lambda x: nu.rounded(x / mass, 4))).otherwise(even)
+    found = _with_chances(queries.select("id", "text", "embedding"), bank, k)
     names = F.array(*map(F.lit, bank.labels))
-    return found.withColumn("_all", F.arrays_zip(names.alias("label"), chance.alias("probability"))).select("id", F.inline("_all"))
+    return found.select("id", F.arrays_zip(names.alias("label"), c("_chance").alias("probability")).alias("_all")).select(
+        "id", F.inline("_all"))
 
 
 def with_benchmark(paras: DataFrame, bank: Bank, k: int = NEIGHBOURS) -> DataFrame:
     """``paras`` (with text and embedding) and the columns ``bench_<label>`` that ``stance.paragraph_stance`` reads."""
-    rows = checkpointed(paras.withColumn("_row", F.monotonically_increasing_id()))
-    found = probabilities(rows.select(c("_row").alias("id"), "text", "embedding"), bank, k)
-    wide = found.groupBy(c("id").alias("_row")).pivot("label", list(bank.labels)).agg(F.first("probability"))
-    return rows.join(wide.select("_row", *[c(f"`{x}`").alias(f"bench_{x.lower()}") for x in bank.labels]), "_row").drop("_row")
+    found = _with_chances(paras, bank, k)
+    return found.select(*paras.columns, *[F.get("_chance", F.lit(i)).alias(f"bench_{x.lower()}") for i, x in enumerate(bank.labels)])

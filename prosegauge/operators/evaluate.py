@@ -231,12 +231,9 @@ def closeness(a: Column, b: Column) -> Column:
     return unit(1.0 - F.aggregate(diffs, F.lit(0.0), lambda s, x: s + x) / F.size(diffs))
 
 
-def centroid_scores(queries: DataFrame, centroids: DataFrame, key: str = "id", label: str = "label",
-                    vec: str = "embedding", features: str | None = None) -> DataFrame:
-    """.35 x mapped cosine to each label centroid, + .25 x feature closeness where features exist.
-
-    Labels are few: their centroids travel as one constant array per plan, so no join is needed.
-    """
+def with_centroid_scores(queries: DataFrame, centroids: DataFrame, name: str, label: str = "label", vec: str = "embedding",
+                         features: str | None = None) -> DataFrame:
+    """``queries`` and the array ``name`` of (label, score) of all centroids, as in ``centroid_scores``."""
     columns = [label, "centroid"] + (["feature_centroid"] if features else [])
     packed = centroids.agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("all")).scalar()
 
@@ -247,7 +244,16 @@ def centroid_scores(queries: DataFrame, centroids: DataFrame, key: str = "id", l
         return out + 0.25 * closeness(c(features), e["feature_centroid"]) if features else out
 
     scored = F.transform("_packed", lambda e: F.struct(e[label].alias(label), score(e).alias("score")))
-    return queries.withColumn("_packed", packed).select(key, F.inline(scored))
+    return queries.withColumn("_packed", packed).withColumn(name, scored).drop("_packed")
+
+
+def centroid_scores(queries: DataFrame, centroids: DataFrame, key: str = "id", label: str = "label",
+                    vec: str = "embedding", features: str | None = None) -> DataFrame:
+    """.35 x mapped cosine to each label centroid, + .25 x feature closeness where features exist.
+
+    Labels are few: their centroids travel as one constant array per plan, so no join is needed.
+    """
+    return with_centroid_scores(queries, centroids, "_scored", label, vec, features).select(key, F.inline("_scored"))
 
 
 def nearest(queries: DataFrame, samples: DataFrame, k: int, key: str = "id", label: str = "label",

@@ -133,3 +133,16 @@ def test_bank_in_parts_equals_brute_force(frame):
         found = got(ne.nearest(df, df, 7, leave_one_out=alone, part_rows=70, block_rows=20))
         want = plain(rows, 7, alone)
         assert [r[:3] for r in found] == [r[:3] for r in want] and np.allclose([r[4] for r in found], [r[4] for r in want])
+
+
+def test_rows_of_one_vector_share_their_neighbours(frame, monkeypatch):
+    rows = [(i, STANCES[i % 3], "one two", [1.0, 0.1 * i]) for i in range(9)]
+    bank = bm.fit(frame(rows, "id bigint, label string, text string, embedding array<double>"))
+    asked = []
+    votes = ev.knn_label_votes
+    monkeypatch.setattr(ev, "knn_label_votes", lambda queries, *rest: asked.append(queries.count()) or votes(queries, *rest))
+    lines = frame([(1, i, f"text {i}", [1.0, 0.0]) for i in range(40)] + [(2, i, "x", None) for i in range(40)],
+                  "doc_id bigint, para_ix int, text string, embedding array<double>")
+    found = bm.with_benchmark(lines, bank).collect()
+    assert asked == [1] and len(found) == 80
+    assert {r[f"bench_{STANCES[0].lower()}"] for r in found if r.doc_id == 2} == {0.125}
