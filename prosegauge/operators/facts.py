@@ -138,6 +138,13 @@ def player_match(log: DataFrame, plural_spelling: bool = False) -> DataFrame:
         *MEASURES, F.concat("match_id", F.lit(".csv")).alias("source_file"))
 
 
+def players(log: DataFrame, plural_spelling: bool = False) -> DataFrame:
+    """The different players of ``player_match``, without its sums: strikers, bowlers and squad members with a team."""
+    balls = log.filter(F.col("c0") == "ball").select(F.explode(F.array(_text("c4"), _text("c6"))).alias("player"))
+    named = squads(log, plural_spelling).filter(F.col("team").isNotNull() & F.col("row_order").isNotNull())
+    return balls.unionByName(named.select("player")).distinct()
+
+
 # --- statistics -----------------------------------------------------------------------
 
 def measure_sums() -> list[Column]:

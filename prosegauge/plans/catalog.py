@@ -16,7 +16,7 @@ from prosegauge.operators import (
 from prosegauge.plans import demo as dm
 from prosegauge.plans.corpus_build import build_corpus
 from prosegauge.plans.score_documents import score_documents
-from prosegauge.session import checkpointed
+from prosegauge.session import checkpointed, stored
 from prosegauge.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -400,7 +400,7 @@ def claims_extract(s, d):
 
 @query
 def extract_mentions(s, d):
-    names = fa.player_match(dm.ball_log(s, d)).select("player").distinct()
+    names = stored(fa.players(dm.ball_log(s, d)))
     return cl.extract_mentions(dm.claim_texts(s, d), names).select("doc_id", "player")
 
 

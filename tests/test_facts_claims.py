@@ -136,3 +136,19 @@ def test_long_values_resolve(frame):
     asked = frame([(1, long + "END of it"), (2, "oval"), (3, "rk park"), (4, "nowhere"), (5, None)], "id int, v string")
     got = {r.id: r.v for r in cl.resolve_dimension(asked, "v", dims, "d").collect()}
     assert got == {1: long + "end", 2: "Oval", 3: long + "end", 4: "nowhere", 5: None}
+
+
+def test_players_are_those_of_the_fact_table(frame):
+    def line(match, order, **cells):
+        return (match, *[cells.get(f"c{i}") for i in range(16)], order)
+
+    rows = [line("m", 1, c0="ball", c4="A", c6="B", c7="1", c14="bowled", c15="Only Out"), line("m", 2, c0="ball", c4="A", c6=None, c7="x"),
+            line("m", 3, c0="info", c1="player", c2=None, c3="No Team"), line("n", None, c0="info", c1="player", c2="T", c3="No Order"),
+            line("n", 4, c0="info", c1="players", c2="T", c3="Plural"), line(None, 5, c0="info", c1="player", c2="T", c3="No Match")]
+    log = frame(rows, "match_id string, " + ", ".join(f"c{i} string" for i in range(16)) + ", row_order bigint")
+    for plural in (False, True):
+        want = {r.player for r in fa.player_match(log, plural).select("player").distinct().collect()}
+        found = [r.player for r in fa.players(log, plural).collect()]
+        assert set(found) == want and len(found) == len(want) and ("Plural" in want) == plural
+    # no sums and no matches are made to name them
+    assert "sum" not in fa.players(log)._jdf.queryExecution().optimizedPlan().toString().lower()
