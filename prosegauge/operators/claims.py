@@ -10,7 +10,7 @@ from prosegauge.functions import numeric as nu, text as tx
 from prosegauge.lexicons import WRITER_TYPES
 from prosegauge.operators.facts import MEASURES, chosen_statistic, measure_sums
 from prosegauge.operators.scale import join_null_safe, top_by_own_limit
-from prosegauge.session import checkpointed
+from prosegauge.session import checkpointed, stored
 
 FILTERS = ["window_size", "season", "year_lo", "year_hi", "opposition", "venue"]
 ATTRIBUTES = ["stat_type", "window_type", *FILTERS, "claimed_value"]
@@ -305,7 +305,8 @@ def stat_mentions(docs: DataFrame, facts: DataFrame, key: str = "doc_id", text:
     """One row per (claim, player) with the verdict: every claim keeps its row, found or not."""
     # claims are a small share of the text; cut here, so that the text is split once
     claims = checkpointed(extract_claims(docs, key, text))
-    players = facts.select("player").distinct()
+    # named once: the name patterns would be pushed below the distinct, and run on every fact for both searches
+    players = stored(facts.select("player").distinct())
     speaking = docs.select(key, text).join(claims.select(key).distinct(), key, "left_semi")
     doc_mentions = extract_mentions(speaking, players, [key], text, materialize=True)
     clause_mentions = extract_mentions(claims, players, [key, "claim_ix"], "sentence", materialize=True)

@@ -429,7 +429,7 @@ def claim_verdict(s, d):
 
 @query
 def stat_mentions(s, d):
-    facts = checkpointed(fa.player_match(dm.ball_log(s, d)))
+    facts = stored(fa.player_match(dm.ball_log(s, d)))
     out = cl.stat_mentions(dm.claim_texts(s, d), facts)
     return rounded(out.select("doc_id", "player", "stat_type", c("window_size").cast("double").alias("window_size"), "season", "opposition", "claimed_value",
                               "computed_value", "stats_found", "stats_verified", "stat_accuracy_score",
@@ -438,7 +438,7 @@ def stat_mentions(s, d):
 
 @query
 def verify_documents(s, d):
-    facts = checkpointed(fa.player_match(dm.ball_log(s, d)))
+    facts = stored(fa.player_match(dm.ball_log(s, d)))
     out = cl.verify_documents(dm.claim_texts(s, d), facts)
     return rounded(out.select("doc_id", "stats_found", "stats_verified", "stat_accuracy_score", "stat_confidence",
                               "stat_score_adjustment", "n_stat_mentions"), 4)
@@ -449,7 +449,7 @@ def verify_by_writer(s, d):
     """Verdicts whose adjustment depends on the writer type, each type in turn."""
     from prosegauge.lexicons import WRITER_TYPES
 
-    facts = checkpointed(fa.player_match(dm.ball_log(s, d)))
+    facts = stored(fa.player_match(dm.ball_log(s, d)))
     docs = dm.claim_texts(s, d).withColumn("writer", F.get(F.array(*map(F.lit, WRITER_TYPES)), (c("doc_id") % len(WRITER_TYPES)).cast("int")))
     return cl.verify_documents(docs, facts, writer="writer").select("doc_id", "stats_found", "stat_score_adjustment")
 
@@ -818,7 +818,7 @@ def score_documents_job(s, d):
 @query
 def score_with_claims(s, d):
     """Whole scoring of texts with claims, against a fact table and with model scores: the verdicts that enter the score."""
-    facts = checkpointed(fa.player_match(dm.ball_log(s, d)))
+    facts = stored(fa.player_match(dm.ball_log(s, d)))
     docs = dm.claim_texts(s, d)
     part = lambda mod: (c("doc_id") % mod) / F.lit(float(mod))
     scores = docs.select("doc_id", F.lit(1).alias("para_ix"), part(10).alias("toxic"), part(7).alias("anger"), part(3).alias("joy"),

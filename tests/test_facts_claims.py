@@ -152,3 +152,16 @@ def test_players_are_those_of_the_fact_table(frame):
         assert set(found) == want and len(found) == len(want) and ("Plural" in want) == plural
     # no sums and no matches are made to name them
     assert "sum" not in fa.players(log)._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_names_are_not_searched_in_every_fact(frame, monkeypatch):
+    seen, search = [], cl.extract_mentions
+    monkeypatch.setattr(cl, "extract_mentions", lambda texts, players, *more, **named: (
+        seen.append(players), search(texts, players, *more, **named))[1])
+    rows = facts(frame)
+    cl.stat_mentions(frame([(1, "V Kohli has runs of 180.")], "doc_id int, text string"), rows.unionAll(rows))
+    # both searches read one list of different names, so no name pattern is pushed down to the facts
+    assert len(seen) == 2 and seen[0] is seen[1]
+    plan = cl.mention_keys(seen[0])._jdf.queryExecution().optimizedPlan().toString()
+    assert "LocalRelation" not in plan and "LogicalRDD" not in plan and "runs" not in plan and "parquet" in plan
+    assert sorted(r.player for r in seen[0].collect()) == ["R Sharma", "V Kohli"]
