@@ -173,7 +173,11 @@ class Filter:
         self.words = np.frombuffer(b"".join(slices), np.uint64).reshape(-1, 2)
 
     def counts(self, keys: np.ndarray, slices: np.ndarray) -> np.ndarray:
-        """The mean of the counts of the highest level up to which all levels of a key are in the filter; 0: none is."""
+        """The mean of the counts of each key's level; 0: it has none."""
+        return _MEANS[self.levels(keys, slices)]
+
+    def levels(self, keys: np.ndarray, slices: np.ndarray) -> np.ndarray:
+        """The highest level up to which all levels of a key are in the filter; 0: none is."""
         levels = np.zeros(len(keys), np.int8)
         left, level = np.arange(len(keys)), 0
         slot = slices - self.first
@@ -184,7 +188,7 @@ class Filter:
             fine = ((words[:, 0] & low) == low) & ((words[:, 1] & high) == high)
             left, slot = left[fine], slot[fine]
             levels[left] = level
-        return _MEANS[levels]
+        return levels
 
 
 def _slices(table: DataFrame, begins: int, buckets: int) -> DataFrame:
@@ -213,73 +217,75 @@ def _slices(table: DataFrame, begins: int, buckets: int) -> DataFrame:
         build, "slice long, bits binary, once array<long>, every array<long>")
 
 
+def _asked(words: np.ndarray, counts: np.ndarray, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens whose pair the filter may hold, as its parts occur, and their pairs' keys."""
+    may = np.flatnonzero((counts[context] > 0) & (counts[word] > 0))
+    return may, pair_keys(words, counts, context[may], word[may])
+
+
 def _dealt(table: DataFrame, begins: int, buckets: int, per: int) -> DataFrame:
-    """Each block's tokens by the part of the filter that their pairs are in: documents (at, id, held, size), the words
-    of the part, their counts, and the places of each token's context and word."""
-    docs = "docs array<struct<at:int,id:bigint,held:boolean,size:int>>"
+    """Each block's different pairs, in order, by the part of the filter that they are in: ``part``, ``block``, ``keys``."""
 
     def make(row: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         block = Block(row)
-        words, counts, context, word = block.pairs(begins)
-        part = grams.bucket_of(pair_keys(words, counts, context, word), buckets) // per
-        for p in np.unique(part).tolist():
-            mine = part == p
-            size = np.bincount(block.doc[mine], minlength=len(block.size))
-            at = np.flatnonzero(size)
-            used = np.zeros(len(words), bool)
-            used[context[mine]] = used[word[mine]] = True
-            place = np.cumsum(used) - 1
-            rows = pa.StructArray.from_arrays(
-                [pa.array(at.astype(np.int32)), block.id.take(pa.array(at)), block.held.take(pa.array(at)),
-                 pa.array(size[at].astype(np.int32))], ["at", "id", "held", "size"])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([p], pa.int64()), pa.array([block.number], pa.int64()),
-                 pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows),
-                 *(pa.array([x], pa.binary()) for x in (
-                     words[used].tobytes(), counts[used].tobytes(), _planes(place[context[mine]]), _planes(place[word[mine]])))],
-                ["part", "block", "docs", "words", "counts", "context", "word"])
-
-    return _each(table, f"part long, block long, {docs}, words binary, counts binary, context binary, word binary", make)
-
-
-_SUMS = "block long, at int, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-
-
-def _summed(table: DataFrame, slices: DataFrame, part: int, buckets: int, weights: list[float], total: int, kinds: int) -> DataFrame:
-    """Sums over each document's tokens of one part, whose slices of the filter are broadcast."""
+        keys = np.unique(_asked(*block.pairs(begins))[1])
+        part = grams.bucket_of(keys, buckets) // per
+        first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+        cut = np.append(first, len(keys)).tolist()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(part[first]), pa.array(np.full(len(first), block.number)),
+             pa.array([keys[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["part", "block", "keys"])
+
+    return _each(table, "part long, block long, keys binary", make)
+
+
+def _looked_up(table: DataFrame, slices: DataFrame, part: int, buckets: int) -> DataFrame:
+    """The level of each pair of one part, whose slices of the filter are broadcast: a byte a pair, in the order of the keys."""
     held = {number: bytes(bits) for number, bits in slices.select("slice", "bits").toLocalIterator()}
     first = min(held, default=0)
     empty = bytes(16)
     sent = slices.sparkSession.sparkContext.broadcast(Filter(first, [held.get(i, empty) for i in range(first, max(held, default=0) + 1)]))
 
     def make(row: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        words, counts = (np.frombuffer(row.column(c)[0].as_buffer(), t) for c, t in (("words", np.uint64), ("counts", np.int64)))
-        context, word = (_places_of(row.column(c)[0].as_buffer()) for c in ("context", "word"))
+        keys = np.frombuffer(row.column("keys")[0].as_buffer(), np.uint64)
+        slots = grams.bucket_of(keys, buckets)
+        # slices that are not here hold nothing
+        here = (slots >= first) & (slots < first + len(sent.value.pairs))
+        levels = np.zeros(len(keys), np.int8)
+        levels[here] = sent.value.levels(keys[here], slots[here])
+        yield pa.RecordBatch.from_arrays(
+            [row.column("block"), pa.array([part], pa.int64()), pa.array([levels.tobytes()], pa.binary())], ["block", "part", "levels"])
+
+    found = saved(_each(table.where(F.col("part") == part), "block long, part long, levels binary", make), "levels")
+    sent.destroy()
+    return found
+
+
+def _scored(table: DataFrame, begins: int, weights: list[float], total: int, kinds: int) -> DataFrame:
+    """Sums over each document's tokens, of blocks with the levels of their pairs (``found``)."""
+
+    def make(row: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        block = Block(row)
+        words, counts, context, word = block.pairs(begins)
         base = (counts[word] + 1) / (total + kinds + 1)
         before = counts[context]
-        keys = pair_keys(words, counts, context, word)
-        slots = grams.bucket_of(keys, buckets)
-        # a pair is as frequent as its parts at most, and those with slices that are not here hold nothing
-        may = (before > 0) & (counts[word] > 0) & (slots >= first) & (slots < first + len(sent.value.pairs))
-        seen = np.zeros(len(keys))
-        some, which = np.unique(keys[may], return_inverse=True)  # pairs recur within a block
-        seen[may] = sent.value.counts(some, grams.bucket_of(some, buckets))[which]
+        may, keys = _asked(words, counts, context, word)
+        found = sorted(row.column("found")[0].as_py() or [], key=lambda f: f["part"])
+        levels = np.frombuffer(b"".join(f["levels"] for f in found), np.int8)
+        seen = np.zeros(len(word))
+        seen[may] = _MEANS[levels][np.unique(keys, return_inverse=True)[1]]
+        # a pair is as frequent as its parts at most
         seen = np.minimum(seen, np.minimum(before, counts[word]))
         weight = np.array(weights)[np.frexp(np.maximum(before, 1))[1] - 1] * (before > 0)
         chance = weight * seen / np.maximum(before, 1) + (1 - weight) * base
-        docs = row.column("docs").flatten()
-        size = docs.field("size").to_numpy()
-        starts = np.cumsum(size) - size
+        starts = np.cumsum(block.size) - block.size
         sums = [pa.array(np.add.reduceat(x, starts)) for x in (
             (counts[word] > 0).astype(np.int64), np.log10(base), np.log10(chance))]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(docs), row.column("block")[0].as_py())), docs.field("at"), docs.field("id"), docs.field("held"),
-             pa.array(size.astype(np.int64)), *sums],
-            ["block", "at", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+            [block.id, block.held, pa.array(block.size.astype(np.int64)), *sums],
+            ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    found = saved(_each(table.where(F.col("part") == part), _SUMS, make), "sums")
-    sent.destroy()
-    return found
+    return _each(table, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double", make)
 
 
 def score_documents(docs: DataFrame, limit: int = BROADCAST) -> DataFrame:
@@ -293,7 +299,8 @@ def score_documents(docs: DataFrame, limit: int = BROADCAST) -> DataFrame:
     often as this one. So a text's score is near or above its base_score.
 
     The filter grows with the pairs. It is made in slices, each by a task; slices of at most ``limit`` bytes in all are
-    broadcast at a time, and only tokens whose pairs are in them are read then, so the work stays in proportion.
+    broadcast at a time, and only blocks' pairs that are in them are read then and answered with a byte each, so the work
+    stays in proportion. Documents are summed once, when their block has the levels of all its pairs.
 
     One row for each input row, repeated rows too. Null and empty texts have their end only. Rows without doc_id are
     scored, train nothing and have held_out null. An empty table gives no rows; where nothing trains, scores are 0. Other
@@ -328,15 +335,19 @@ def score_documents(docs: DataFrame, limit: int = BROADCAST) -> DataFrame:
     widest = slices.agg(F.max(F.length("bits"))).first()[0] or 1
     per = max(1, limit // widest)
     parts = math.ceil(buckets / per)
-    dealt = []
-    for part in whole:  # in files by part of the filter: a pass reads those of its own
-        dealt.append(saved(_dealt(part, begins, buckets, per), "dealt", "part"))
-        dropped(part)
-    tokens = reduce(DataFrame.unionByName, dealt)
-    sums = [_summed(tokens, slices.where(F.floor(F.col("slice") / per) == part), part, buckets, weights.tolist(), total, kinds)
-            for part in range(parts)]
+    # in files by part of the filter: a pass reads those of its own
+    dealt = [saved(_dealt(part, begins, buckets, per), "dealt", "part") for part in whole]
+    pairs = reduce(DataFrame.unionByName, dealt)
+    levels = [_looked_up(pairs, slices.where(F.floor(F.col("slice") / per) == part), part, buckets) for part in range(parts)]
     for used in (*dealt, slices):
         dropped(used)
-    every_token = reduce(DataFrame.unionByName, sums).groupBy("block", "at", "doc_id", "held_out")
-    return every_token.agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score"))).select(
+    # a block's levels come back to it, so rows are its documents' however many parts there are
+    answers = reduce(DataFrame.unionByName, levels).groupBy("block").agg(F.collect_list(F.struct("part", "levels")).alias("found"))
+    scores = []
+    for turn, part in enumerate(whole):
+        scores.append(saved(_scored(part.join(answers.where(own(turn)), "block", "left"), begins, weights.tolist(), total, kinds), "scores"))
+        dropped(part)
+    for used in levels:
+        dropped(used)
+    return reduce(DataFrame.unionByName, scores).select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -111,3 +111,18 @@ def test_nothing_trains(spark):
     late = next(i for i in range(100) if held(i))
     rows = scoring.score_documents(spark.createDataFrame([(late, "a b"), (None, "a")], "doc_id long, text string")).collect()
     assert sorted((r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in rows) == [(2, 0, 0, 0, 0), (3, 0, 0, 0, 0)]
+
+
+@pytest.mark.parametrize("limit", [scoring.BROADCAST, 700])
+def test_rows_do_not_grow_with_the_parts_of_the_filter(spark, monkeypatch, limit):
+    monkeypatch.setattr(scoring.grams, "BUCKET", 500)
+    tables, save = [], scoring.saved
+    monkeypatch.setattr(scoring, "saved", lambda df, name, *by: (tables.append((name, r := save(df, name, *by), r.count())), r)[1])
+    docs = spark.createDataFrame(some_rows(400), "doc_id long, text string").repartition(6)
+    assert scoring.score_documents(docs, limit).count() == 400
+    blocks = sum(n for name, _, n in tables if name == "known")
+    parts = sum(name in ("levels", "sums") for name, _, _ in tables)
+    assert (parts > 10) == (limit == 700)
+    # a part of the filter has a row a block, not a row a document
+    assert all(n <= blocks for name, _, n in tables if name in ("levels", "sums"))
+    assert sum(n for name, _, n in tables if name in ("scores", "sums")) <= 400
