@@ -17,7 +17,9 @@ from pyspark.sql import types as T
 from prosegauge.llm.common import blocks, mix, span_hashes, text_bytes
 
 #: Pieces up to so many bytes are remembered by a Python worker, up to so many pieces; then it starts anew.
-CACHED_BYTES, CACHED_PIECES = 48, 400_000
+CACHED_BYTES, CACHED_PIECES = 48, 200_000
+#: Bytes of text that are encoded at a time: a step holds about a hundred bytes of memory for each of them.
+STEP_BYTES = 250_000
 _WIDTH = 8  # bits of a rank that pick the bit within a word of the bitmap
 _PACK = 24  # bits of an id in the key of a pair
 _LETTER, _DIGIT, _SPACE, _OTHER = 0, 1, 2, 3
@@ -235,6 +237,12 @@ class Encoder:
         ids = flat[np.arange(stop[-1]) - np.repeat(stop - count - base[which], count)]
         return ids, np.append(0, stop)[np.searchsorted(begin, offsets)]
 
+    def steps(self, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+        """Rows of a batch, some at a time, their ids and where each row's ids start."""
+        for a, b in blocks(batch, size=STEP_BYTES):
+            part = batch.slice(a, b - a)
+            yield part, *self.encode(part.column("text"))
+
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.token.__getitem__, ids.tolist()))
 
@@ -260,9 +268,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, with_ids: bool = False) -
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(ranks_path)
         for batch in batches:
-            for a, b in blocks(batch):
-                part = batch.slice(a, b - a)
-                ids, bounds = own.encode(part.column("text"))
+            for part, ids, bounds in own.steps(batch):
                 each = [ids[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
                 columns = [
                     part.column("doc_id"), pa.array(np.diff(bounds)),

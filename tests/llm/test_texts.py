@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -50,6 +51,20 @@ def test_bpe_long_pieces_and_empty_texts(plain):
     same_ids(plain, ["a" * 50_000, "ab" * 20_000, None, "", " " * 3000, "x"])
 
 
+def test_bpe_memory_does_not_grow_with_the_batch(plain):
+    draw = random.Random(3)
+    texts = ["".join(draw.choice("abcdefgh ") for _ in range(2000)) for _ in range(600)]
+    own = bpe.Encoder(RANKS)
+    tracemalloc.start()
+    got = []
+    for _, ids, _ in own.steps(pa.record_batch({"text": pa.array(texts)})):
+        got.append(ids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.concatenate(got).tolist() == [x for t in texts for x in plain.encode_ordinary(t)]
+    assert peak < 80_000_000
+
+
 def test_rank_queue_gives_lowest_rank_and_leftmost_place():
     queue = bpe.RankQueue()
     for rank in (70_000, 3, 256, 255):
