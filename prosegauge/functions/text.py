@@ -195,8 +195,14 @@ def repetition(toks: Column) -> Column:
     def repeated(grams: Column, count: Column) -> Column:
         return (count - F.size(F.array_distinct(grams))) / F.greatest(F.lit(1), count)
 
-    share = (0.35 * repeated(toks, n) + 0.4 * repeated(ngrams(toks, 2), n - 1)
-             + 0.25 * repeated(ngrams(toks, 3), n - 2))
+    def shares(pairs: Column) -> Column:
+        # pairs are made once, and triples from them
+        length = F.greatest(F.lit(0), n - 2)
+        triples = F.zip_with(F.slice(pairs, F.lit(1), length), F.slice(toks, F.lit(3), length),
+                             lambda a, b: F.concat(a, F.lit(" "), b))
+        return 0.35 * repeated(toks, n) + 0.4 * repeated(pairs, n - 1) + 0.25 * repeated(triples, n - 2)
+
+    share = F.get(F.transform(F.array(ngrams(toks, 2)), shares), F.lit(0))
     return F.when(n < 6, 0.0).otherwise(unit(share * 2.0))
 
 
@@ -226,11 +232,19 @@ def sentence_variety(sents: Column, sent_toks: Column, clause_words: Sequence[st
 
 
 def evidence_score(c: Column, lowered: Column, keywords: Sequence[str]) -> Column:
-    numbers = F.regexp_count(lowered, F.lit(r"(?U)\b\d+(?:\.\d+)?%?\b"))
-    years = F.regexp_count(lowered, F.lit(r"(?U)\b(?:19|20)\d{2}\b"))
-    comparisons = F.regexp_count(lowered, F.lit(r"(?U)\b(better than|worse than|compared to|compared with)\b"))
-    windows = F.regexp_count(lowered, F.lit(
-        r"(?U)\b(last\s+\d+\s+(?:matches?|innings?)|this\s+season|between\s+20\d{2}\s+and\s+20\d{2})\b"))
+    has = lowered.contains
+
+    def counted(pattern: str, needed: Column) -> Column:
+        # few texts have what a match needs; only these are searched at every word boundary
+        return F.when(~needed, 0).otherwise(F.regexp_count(lowered, F.lit(pattern)))
+
+    numbers = counted(r"(?U)\b\d+(?:\.\d+)?%?\b", lowered.rlike(r"\p{Nd}"))
+    years = counted(r"(?U)\b(?:19|20)\d{2}\b", has("19") | has("20"))
+    comparisons = counted(r"(?U)\b(better than|worse than|compared to|compared with)\b",
+                          has("better than") | has("worse than") | has("compared to") | has("compared with"))
+    windows = counted(
+        r"(?U)\b(last\s+\d+\s+(?:matches?|innings?)|this\s+season|between\s+20\d{2}\s+and\s+20\d{2})\b",
+        has("last") & (has("match") | has("inning")) | has("this") & has("season") | has("between") & has("20"))
     names = F.size(F.filter(
         F.regexp_extract_all(c, F.lit(r"(?U)\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,2}\b"), F.lit(0)),
         lambda m: m.rlike(WS)))
@@ -243,7 +257,8 @@ def completeness(sents: Column, lowered: Column, intro: Sequence[str], argument:
                  conclusion: Sequence[str]) -> Column:
     first = F.lower(F.get(sents, F.lit(0)))
     last = F.lower(F.get(sents, F.size(sents) - 1))
-    found = ((contains_any(first, intro) | (space_word_count(first) >= 6)).cast("int")
+    six_words = first.rlike(f"^{WS}*+(?:{NOT_WS}++{WS}++){{5}}{NOT_WS}")
+    found = ((contains_any(first, intro) | six_words).cast("int")
              + contains_any(lowered, argument).cast("int")
              + contains_any(last, conclusion).cast("int"))
     return F.when(F.size(sents) > 0, found / 3.0).otherwise(0.0)

@@ -62,6 +62,19 @@ def test_quality_signals(frame):
     assert values(frame, ["Virat Kohli made 50 runs in 2019"], ev)[0] == pytest.approx(5 / 8)
 
 
+def test_signals_where_few_texts_have_what_a_match_needs(spark):
+    texts = ["last 5 matches, better than 1999", "between 2001 and 2010 this season", "last laugh 20", "a b c d e f", "a b c d e",
+             "the the the the the the"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, c string")
+    c = F.col("c")
+    rows = df.orderBy("i").select(
+        (tx.evidence_score(c, c, []) * 8).alias("evidence"), tx.repetition(tx.tokens(c)).alias("repetition"),
+        (tx.completeness(tx.sentences(c), c, [], [], []) * 3).cast("int").alias("six_words")).collect()
+    assert [r.evidence for r in rows] == [5, 6, 1, 0, 0, 0]
+    assert [r.six_words for r in rows] == [1, 1, 0, 1, 0, 1]
+    assert rows[3].repetition == 0 and rows[5].repetition == 1
+
+
 def test_numeric_helpers(frame):
     df = frame([("7.9",), ("x",), (None,), ("",)], "text string")
     got = df.select(nu.to_int0(c), nu.to_float0(c), nu.clamp(c, 20.0, 95.0, 50.0)).collect()
