@@ -380,16 +380,26 @@ def _candidates(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     members = saved(index.join(shared, "key"), "members")
     # a key with very many members joins them all: their tokens are compared in blocks
     large = members.where(f"m > {MEMBERS} AND set != head").select(F.col("head").alias("a"), F.col("set").alias("b")).distinct()
-    small = members.where(f"m <= {MEMBERS}").select("key", "set").distinct()
-    tasks = max(1, math.ceil((shared.where(f"m <= {MEMBERS}").agg(F.sum("m")).first()[0] or 0) / MEMBER_ROWS))
+    small = members.where(f"m <= {MEMBERS}")
+    # of keys with the same members one is enough, and keys with the same first member meet in one task, as far as it
+    # holds them: so the sets of a family are joined in few tasks, and not once in every task that holds a key of theirs
+    code = F.col("set")
+    lists = small.groupBy("key", "head", "m").agg(
+        F.sum(F.shiftright(code, 32)).alias("high"), F.sum(code.bitwiseAND(0xFFFFFFFF)).alias("low"))
+    lists = saved(lists.groupBy("head", "m", "high", "low").agg(F.min("key").alias("key")).select("key", "head", "m"), "lists")
+    tasks = max(1, math.ceil((lists.agg(F.sum("m")).first()[0] or 0) / MEMBER_ROWS))
+    parts = lists.groupBy("head").agg(F.ceil(F.sum("m") / MEMBER_ROWS).alias("parts"))
+    task = F.pmod(F.xxhash64("head", F.pmod(F.xxhash64("key"), "parts")), F.lit(tasks))
+    dealt = lists.join(parts, "head").select("key", task.alias("task"))
+    chosen = small.join(dealt, "key").select("task", "key", "set").distinct()
 
     def near(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(close_sets(rows, percent), columns=["a", "b"], dtype=np.int64)
 
-    near_sets = small.join(sets, "set").groupBy(F.pmod(F.xxhash64("key"), F.lit(tasks))).applyInPandas(near, "a long, b long")
+    near_sets = chosen.join(sets, "set").groupBy("task").applyInPandas(near, "a long, b long")
     found = saved(near_sets.unionByName(large), "pairs")
-    dropped(shared)
-    dropped(members)
+    for used in (shared, members, lists):
+        dropped(used)
     return found
 
 

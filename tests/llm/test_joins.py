@@ -145,6 +145,25 @@ def test_sketches_bound_every_overlap():
     assert jaccard.close_sets(pd.DataFrame({"key": [7, 7], "set": [1, 2], "n": [60000, 60000], "sketch": full}), 80) == [(1, 2)]
 
 
+def test_sets_that_share_many_keys_are_joined_once(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "MEMBER_ROWS", 100)
+    family = [(s, s // 2) for s in range(400)] + [(s, 200 + s // 10) for s in range(400, 700)]
+    keys = collections.defaultdict(list)
+    for s, f in family:
+        for k in range(40):  # pairs share all keys, in larger families each key lacks one set
+            if f < 200 or s % 10 != k % 10:
+                keys[f].append((f * 1000 + k, s))
+    index = spark.createDataFrame([row for rows in keys.values() for row in rows], "key long, set long")
+    sets = spark.createDataFrame([(s, 16, bytearray([1] * 16)) for s, _ in family], "set long, n long, sketch binary")
+    found = jaccard._candidates(index, sets, 80)
+    assert found.count() <= 200 + 30 * 2 * 9  # a larger family has at most two first members
+    joined = {r.node: r.root for r in components(found).collect()}
+    least = {}
+    for s, f in family:
+        least.setdefault(f, s)
+    assert joined == {s: least[f] for s, f in family}
+
+
 @pytest.mark.parametrize("percent", [50, 80, 90])
 def test_allocation_accounts_for_every_difference(percent):
     for band in range(40):
