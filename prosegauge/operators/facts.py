@@ -59,26 +59,26 @@ def dismissals(balls: DataFrame) -> DataFrame:
 def match_info(log: DataFrame) -> DataFrame:
     """One row per match: the two teams in file order, date, year, season, venue. Later rows win."""
     info = log.filter((F.col("c0") == "info") & F.col("c1").isin("team", "date", "season", "venue"))
-    # only team rows need an order among themselves; a match has two of them
-    teams = top_per_group(info.filter(F.col("c1") == "team"), ["match_id"], [F.col("row_order")], 2)
-    sides = teams.groupBy("match_id").agg(*[
-        F.max(F.when(F.col("_rank") == i, normalize_team(F.col("c2")))).alias(n)
-        for i, n in ((1, "team_a"), (2, "team_b"))])
+    # team rows come first, in file order; the window's sort by match serves the aggregate as well
+    info = info.withColumn("_rank", F.row_number().over(W.partitionBy("match_id").orderBy(F.col("c1") != "team", "row_order")))
 
     def latest(key: str) -> Column:
         return F.max_by(F.when(F.col("c1") == key, F.coalesce(F.col("c2"), F.lit(""))),
                         F.when(F.col("c1") == key, F.col("row_order")))
 
-    attrs = info.groupBy("match_id").agg(
-        latest("date").alias("date_text"), latest("season").alias("season_text"), latest("venue").alias("venue_text"))
+    def team(rank: int) -> Column:
+        return normalize_team(F.max(F.when((F.col("c1") == "team") & (F.col("_rank") == rank), F.col("c2"))))
+
+    matches = info.groupBy("match_id").agg(
+        latest("date").alias("date_text"), latest("season").alias("season_text"), latest("venue").alias("venue_text"),
+        team(1).alias("team_a"), team(2).alias("team_b"))
     year = F.nullif(F.regexp_extract(F.col("date_text"), r"(20\d{2})", 1), F.lit("")).cast("int")
-    return attrs.join(sides, "match_id", "left").select(
+    return matches.select(
         "match_id",
         F.try_to_timestamp(F.col("date_text"), F.lit("yyyy/MM/dd")).alias("match_date"),
         year.alias("year"),
         F.coalesce(F.nullif(F.col("season_text"), F.lit("")), year.cast("string")).alias("season"),
-        normalize_team(F.col("venue_text")).alias("venue"),
-        F.coalesce("team_a", F.lit("")).alias("team_a"), F.coalesce("team_b", F.lit("")).alias("team_b"),
+        normalize_team(F.col("venue_text")).alias("venue"), "team_a", "team_b",
     )
 
 
@@ -86,16 +86,16 @@ def contributions(balls: DataFrame) -> DataFrame:
     """What each delivery adds to its striker, its bowler and the player out: one stream, one shuffle."""
     zero = F.lit(0).cast("bigint")
 
-    def part(player: str, listed: bool, **values: str) -> Column:
-        return F.struct(F.col(player).alias("player"), F.lit(listed).alias("listed"),
+    def part(player: str, listed: bool, used: Column, **values: str) -> Column:
+        return F.struct(F.col(player).alias("player"), F.lit(listed).alias("listed"), used.alias("_used"),
                         *[(F.col(values[m]).cast("bigint") if m in values else zero).alias(m) for m in MEASURES])
 
-    out = F.when(F.col("is_out") == 1, part("player_out", False, dismissals="is_out"))
+    # three parts of every delivery, of which the last may be unused: a plain array is compiled, a filtered one is not
     parts = F.array(
-        part("striker", True, runs="bat_runs", balls_faced="legal"),
-        part("bowler", True, runs_conceded="conceded", balls_bowled="legal", wickets="bowler_wicket"),
-        out)
-    return balls.select("match_id", F.inline(F.array_compact(parts)))
+        part("striker", True, F.lit(True), runs="bat_runs", balls_faced="legal"),
+        part("bowler", True, F.lit(True), runs_conceded="conceded", balls_bowled="legal", wickets="bowler_wicket"),
+        part("player_out", False, F.coalesce(F.col("is_out") == 1, F.lit(False)), dismissals="is_out"))
+    return balls.select("match_id", F.inline(parts)).filter("_used").drop("_used")
 
 
 def player_facts(balls: DataFrame, squads: DataFrame | None = None) -> DataFrame:
@@ -110,7 +110,8 @@ def player_facts(balls: DataFrame, squads: DataFrame | None = None) -> DataFrame
         F.max("listed").alias("_listed"), *[F.sum(m).cast("double").alias(m) for m in MEASURES])
     if squads is None:
         return sums.filter("_listed").drop("_listed").withColumn("team", F.lit(None).cast("string"))
-    teams = squads.groupBy(*keys).agg(F.max_by("team", "row_order").alias("team"))
+    # a squad names a player once, so nothing folds before the shuffle: sorted once, after it
+    teams = squads.repartition(*keys).groupBy(*keys).agg(F.max_by("team", "row_order").alias("team"))
     known = sums.join(teams, keys, "full")
     return known.filter(F.coalesce("_listed", F.lit(False)) | F.col("team").isNotNull()).select(
         *keys, "team", *[F.coalesce(m, F.lit(0.0)).alias(m) for m in MEASURES])

@@ -44,6 +44,14 @@ def test_player_match(log):
     assert both["m2", "A Batter"].season == "2025" and both["m2", "A Batter"].runs == 0.0
 
 
+def test_facts_shuffle_a_match_once_and_compile_their_parts(log):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(fa.match_info(log)).count("Exchange hashpartitioning") == 1
+    assert "lambda" not in plan(fa.contributions(fa.ball_events(log)))
+    parts = fa.contributions(fa.ball_events(log))
+    assert sorted(r.player for r in parts.filter("NOT listed").collect()) == ["A Batter", "C Other"]
+
+
 def facts(frame):
     rows = [("m1", "2024-01-01", 2024, "2024", "Park", "V Kohli", "T1", "T2", 50.0, 40.0, 1.0),
             ("m2", "2024-02-01", 2024, "2024", "Park", "V Kohli", "T1", "T3", 30.0, 20.0, 0.0),
