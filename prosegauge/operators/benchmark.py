@@ -29,8 +29,10 @@ class Bank:
 
 def with_features(df: DataFrame, lex: stance.Lex = LEXICON, text: str = "text", name: str = "features") -> DataFrame:
     """``df`` with the ten rule features of its text; a NULL text has those of an empty one."""
+    # a column of its own: inside the features each marker would lower the text anew
     whole = F.coalesce(c(text), F.lit(""))
-    return df.withColumn(name, stance.feature_vector(F.lower(whole), whole, lex))
+    low = df.withColumn("_lowered", F.lower(whole))
+    return low.withColumn(name, stance.feature_vector(c("_lowered"), whole, lex)).drop("_lowered")
 
 
 def fit(samples: DataFrame, lex: stance.Lex = LEXICON, labels: Sequence[str] = STANCES) -> Bank:
@@ -51,23 +53,26 @@ def _with_chances(rows: DataFrame, bank: Bank, k: int) -> DataFrame:
     """
     labels = list(bank.labels)
 
-    def in_order(pairs: Column, value: str) -> Column:
-        by_label = F.map_from_entries(F.transform(pairs, lambda e: F.struct(e["label"], e[value])))
-        return F.array(*[F.coalesce(F.try_element_at(by_label, F.lit(x)), F.lit(0.0)) for x in labels])
+    def in_order(by_label: str) -> Column:
+        return F.array(*[F.coalesce(F.try_element_at(c(by_label), F.lit(x)), F.lit(0.0)) for x in labels])
 
     vectors = stored(rows.filter(c("embedding").isNotNull()).select("embedding").distinct().withColumn(
         "id", F.monotonically_increasing_id()))
-    votes = ev.knn_label_votes(vectors, bank.samples, k).groupBy("id").agg(F.collect_list(F.struct("label", "votes")).alias("_all"))
-    voted = vectors.join(votes, "id", "left").select(c("embedding").alias("_vec"), F.lit(0).cast("bigint").alias("_at"), in_order(
-        F.coalesce("_all", F.array().cast("array<struct<label:string,votes:double>>")), "votes").alias("_votes"))
+    votes = ev.knn_label_votes(vectors, bank.samples, k).groupBy("id").agg(
+        F.map_from_entries(F.collect_list(F.struct("label", "votes"))).alias("_all"))
+    voted = vectors.join(votes, "id", "left").select(c("embedding").alias("_vec"), F.lit(0).cast("bigint").alias("_at"),
+                                                     in_order("_all").alias("_votes"))
     spread = rows.withColumn("_spread", F.when(c("embedding").isNull(), F.monotonically_increasing_id()).otherwise(0))
     met = spread.join(voted, (c("_spread") == c("_at")) & (c("embedding") == c("_vec")), "left").drop("_spread", "_at", "_vec")
-    scored = ev.with_centroid_scores(with_features(met, bank.lex), bank.centroids, "_centred", features="features").drop("features")
-    raw = F.zip_with("_votes", in_order(c("_centred"), "score"), lambda a, b: F.greatest(a + b, F.lit(0.0)))
-    mass = F.aggregate("_raw", F.lit(0.0), lambda s, x: s + x)
+    # rows without a vector have no votes and need no features; what is used several times is a column, so that it is made once
+    own = with_features(met.withColumn("_own", F.when(c("embedding").isNotNull(), c("text"))), bank.lex, "_own")
+    scored = ev.with_centroid_scores(own, bank.centroids, "_centred", features="features").drop("_own", "features")
+    raw = F.zip_with("_votes", in_order("_scores"), lambda a, b: F.greatest(a + b, F.lit(0.0)))
     even = F.array(*[F.lit(1.0 / len(labels))] * len(labels))
-    return scored.withColumn("_raw", raw).withColumn("_chance", F.when(mass > 0, F.transform(
-        "_raw", lambda x: nu.rounded(x / mass, 4))).otherwise(even)).drop("_raw", "_votes", "_centred")
+    made = scored.withColumn("_scores", F.map_from_entries("_centred")).withColumn("_raw", raw).withColumn(
+        "_mass", F.aggregate("_raw", F.lit(0.0), lambda s, x: s + x))
+    return made.withColumn("_chance", F.when(c("_mass") > 0, F.transform(
+        "_raw", lambda x: nu.rounded(x / c("_mass"), 4))).otherwise(even)).drop("_scores", "_raw", "_mass", "_votes", "_centred")
 
 
 def probabilities(queries: DataFrame, bank: Bank, k: int = NEIGHBOURS) -> DataFrame:
@@ -78,9 +83,9 @@ def probabilities(queries: DataFrame, bank: Bank, k: int = NEIGHBOURS) -> DataFr
     empty bank, all labels are equally likely. Ids are unique.
     """
     found = _with_chances(queries.select("id", "text", "embedding"), bank, k)
-    names = F.array(*map(F.lit, bank.labels))
-    return found.select("id", F.arrays_zip(names.alias("label"), c("_chance").alias("probability")).alias("_all")).select(
-        "id", F.inline("_all"))
+    # unrolled where it is made, as in ``evaluate.centroid_scores``
+    return found.select("id", F.inline(F.array(*[
+        F.struct(F.lit(x).alias("label"), F.get("_chance", F.lit(i)).alias("probability")) for i, x in enumerate(bank.labels)])))
 
 
 def with_benchmark(paras: DataFrame, bank: Bank, k: int = NEIGHBOURS) -> DataFrame:

@@ -146,3 +146,15 @@ def test_rows_of_one_vector_share_their_neighbours(frame, monkeypatch):
     found = bm.with_benchmark(lines, bank).collect()
     assert asked == [1] and len(found) == 80
     assert {r[f"bench_{STANCES[0].lower()}"] for r in found if r.doc_id == 2} == {0.125}
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_probabilities_lower_a_text_once(frame):
+    """A filter on the size of an unrolled column made the features anew for each label and each use of it."""
+    rows = [(i, STANCES[i % 3], "one two", [1.0, 0.1 * i]) for i in range(9)]
+    bank = bm.fit(frame(rows, "id bigint, label string, text string, embedding array<double>"))
+    asked = frame([(1, "Some words", [1.0, 0.0])], "id bigint, text string, embedding array<double>")
+    assert plan(bm.probabilities(asked, bank)).count("lower(") == 1
