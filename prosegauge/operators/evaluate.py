@@ -228,12 +228,11 @@ def label_centroids(samples: DataFrame, label: str = "label", vec: str = "embedd
 def closeness(a: Column, b: Column) -> Column:
     """1 - the mean absolute difference of two feature vectors, within 0 and 1."""
     diffs = F.zip_with(a, b, lambda x, y: F.abs(x - y))
-    return unit(1.0 - F.aggregate(diffs, F.lit(0.0), lambda s, x: s + x) / F.size(diffs))
+    return unit(1.0 - F.aggregate(diffs, F.lit(0.0), lambda s, x: s + x) / F.size(a))
 
 
-def with_centroid_scores(queries: DataFrame, centroids: DataFrame, name: str, label: str = "label", vec: str = "embedding",
-                         features: str | None = None) -> DataFrame:
-    """``queries`` and the array ``name`` of (label, score) of all centroids, as in ``centroid_scores``."""
+def _scored(queries: DataFrame, centroids: DataFrame, label: str, vec: str, features: str | None) -> tuple[DataFrame, Column]:
+    """``queries`` with all centroids as the constant ``_packed``, and the array of (label, score) over them."""
     columns = [label, "centroid"] + (["feature_centroid"] if features else [])
     packed = centroids.agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("all")).scalar()
 
@@ -243,17 +242,27 @@ def with_centroid_scores(queries: DataFrame, centroids: DataFrame, name: str, la
         out = 0.35 * unit((sim + 1.0) / 2.0)
         return out + 0.25 * closeness(c(features), e["feature_centroid"]) if features else out
 
-    scored = F.transform("_packed", lambda e: F.struct(e[label].alias(label), score(e).alias("score")))
-    return queries.withColumn("_packed", packed).withColumn(name, scored).drop("_packed")
+    return queries.withColumn("_packed", packed), F.transform(
+        "_packed", lambda e: F.struct(e[label].alias(label), score(e).alias("score")))
+
+
+def with_centroid_scores(queries: DataFrame, centroids: DataFrame, name: str, label: str = "label", vec: str = "embedding",
+                         features: str | None = None) -> DataFrame:
+    """``queries`` and the array ``name`` of (label, score) of all centroids, as in ``centroid_scores``."""
+    rows, scored = _scored(queries, centroids, label, vec, features)
+    return rows.withColumn(name, scored).drop("_packed")
 
 
 def centroid_scores(queries: DataFrame, centroids: DataFrame, key: str = "id", label: str = "label",
                     vec: str = "embedding", features: str | None = None) -> DataFrame:
     """.35 x mapped cosine to each label centroid, + .25 x feature closeness where features exist.
 
-    Labels are few: their centroids travel as one constant array per plan, so no join is needed.
+    Labels are few: their centroids travel as one constant array per plan, so no join is needed. The array is unrolled
+    where it is made: for a column of its own Spark would add a filter on its size, which makes the array once more, with
+    whatever the columns of ``queries`` are made of again for each label.
     """
-    return with_centroid_scores(queries, centroids, "_scored", label, vec, features).select(key, F.inline("_scored"))
+    rows, scored = _scored(queries, centroids, label, vec, features)
+    return rows.select(key, F.inline(scored))
 
 
 def nearest(queries: DataFrame, samples: DataFrame, k: int, key: str = "id", label: str = "label",

@@ -734,7 +734,8 @@ def label_centroids(s, d):
 
 @query
 def centroid_scores(s, d):
-    v = bm.with_features(dm.bank(s, d), D)
+    # read for the centroids and for the scores
+    v = stored(bm.with_features(dm.bank(s, d), D).select("id", "label", "embedding", "features"))
     return rounded(ev.centroid_scores(v, ev.label_centroids(v, features="features"), features="features"), 5)
 
 

@@ -158,3 +158,10 @@ def test_probabilities_lower_a_text_once(frame):
     bank = bm.fit(frame(rows, "id bigint, label string, text string, embedding array<double>"))
     asked = frame([(1, "Some words", [1.0, 0.0])], "id bigint, text string, embedding array<double>")
     assert plan(bm.probabilities(asked, bank)).count("lower(") == 1
+
+
+def test_centroid_scores_make_the_features_once(frame):
+    rows = [(i, i % 3, "Some words", [1.0, 0.1 * i]) for i in range(9)]
+    v = bm.with_features(frame(rows, "id bigint, label int, text string, embedding array<double>"))
+    given = frame([(1, 9, [1.0, 0.0], [0.1] * 10)], "label int, n bigint, centroid array<double>, feature_centroid array<double>")
+    assert plan(ev.centroid_scores(v, given, features="features")).count("lower(") == 1
