@@ -60,9 +60,11 @@ def _with_chances(rows: DataFrame, bank: Bank, k: int) -> DataFrame:
         "id", F.monotonically_increasing_id()))
     votes = ev.knn_label_votes(vectors, bank.samples, k).groupBy("id").agg(
         F.map_from_entries(F.collect_list(F.struct("label", "votes"))).alias("_all"))
-    voted = vectors.join(votes, "id", "left").select(c("embedding").alias("_vec"), F.lit(0).cast("bigint").alias("_at"),
+    voted = vectors.join(votes, "id", "left").select(c("embedding").alias("_vec"), F.xxhash64("embedding").alias("_at"),
                                                      in_order("_all").alias("_votes"))
-    spread = rows.withColumn("_spread", F.when(c("embedding").isNull(), F.monotonically_increasing_id()).otherwise(0))
+    # no constant in place of the hash: it would leave the join's keys, and all rows without a vector would meet in one task
+    spread = rows.withColumn("_spread", F.when(c("embedding").isNull(), F.monotonically_increasing_id()).otherwise(
+        F.xxhash64("embedding")))
     met = spread.join(voted, (c("_spread") == c("_at")) & (c("embedding") == c("_vec")), "left").drop("_spread", "_at", "_vec")
     # rows without a vector have no votes and need no features; what is used several times is a column, so that it is made once
     own = with_features(met.withColumn("_own", F.when(c("embedding").isNotNull(), c("text"))), bank.lex, "_own")

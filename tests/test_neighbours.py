@@ -165,3 +165,23 @@ def test_centroid_scores_make_the_features_once(frame):
     v = bm.with_features(frame(rows, "id bigint, label int, text string, embedding array<double>"))
     given = frame([(1, 9, [1.0, 0.0], [0.1] * 10)], "label int, n bigint, centroid array<double>, feature_centroid array<double>")
     assert plan(ev.centroid_scores(v, given, features="features")).count("lower(") == 1
+
+
+def test_rows_without_a_vector_are_spread(frame, spark):
+    rows = [(i, STANCES[i % 3], "one two", [1.0, 0.1 * i]) for i in range(9)]
+    bank = bm.fit(frame(rows, "id bigint, label string, text string, embedding array<double>"))
+    lines = frame([(i, 1, "x", None) for i in range(800)] + [(900, 1, "y", [1.0, 0.0]), (901, 1, "y", [1.0, -0.0])],
+                  "doc_id bigint, para_ix int, text string, embedding array<double>").repartition(4)
+    plain = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    was = {name: spark.conf.get(name) for name in plain}
+    try:
+        for name, value in plain.items():
+            spark.conf.set(name, value)
+        found = bm.with_benchmark(lines, bank).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for name, value in was.items():
+            spark.conf.set(name, value)
+    most = max(sum(r.task == t for r in found) for t in {r.task for r in found})
+    assert len(found) == 802 and most < 300
+    zero, minus = ([r[f"bench_{x.lower()}"] for x in STANCES] for r in found if r.doc_id >= 900)
+    assert zero == minus and len(set(zero)) > 1
