@@ -113,6 +113,11 @@ def regex_any(c: Column, patterns: Sequence[str]) -> Column:
     return any_of([c.rlike(p) for p in patterns])
 
 
+def regex_any_with(c: Column, patterns: Sequence[str], needed: Sequence[str]) -> Column:
+    """``regex_any`` of patterns whose every match holds one of the ``needed`` substrings: other texts are not searched."""
+    return contains_any(c, needed) & regex_any(c, patterns)
+
+
 # --- splitting --------------------------------------------------------------------
 
 def _pieces(c: Column, pattern: str) -> Column:

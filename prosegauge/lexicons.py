@@ -379,6 +379,12 @@ PATTERNS: dict[str, list[str]] = {
         r"(?U)\b(is|are|has|have|keeps|clearly|should|must|handled|adapted|played|repeated|working)\b"
     ],
 }
+# substrings of which every match of the patterns holds one
+NEEDED: dict[str, list[str]] = {
+    "praise_mismatch": ["not performing", "ignored", "mistake", "slow", "dropped"],
+    "praise_contradiction": ["not performing", "ignored", "mistake", "slow"],
+    "mocking_tail": ["really"],
+}
 
 # Score anchors, bands and weights. Three band tables exist on purpose.
 COMPONENT_MAX = {

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from prosegauge.functions import text as tx
 from prosegauge.functions.numeric import argmax_label, normalize_probs, r4, total, unit
-from prosegauge.lexicons import LEXICON, PATTERNS, PRIMARY_STANCES, SARCASM_THRESHOLD, STANCES, STYLE_TAGS
+from prosegauge.lexicons import LEXICON, NEEDED, PATTERNS, PRIMARY_STANCES, SARCASM_THRESHOLD, STANCES, STYLE_TAGS
 from prosegauge.operators.paragraphs import SPLIT, with_split
 
 Lex = Mapping[str, list[str]]
@@ -64,7 +64,7 @@ def with_sarcasm(df: DataFrame, lex: Lex = LEXICON, lowered: str = "_lower") ->
         "_delayed": tx.contains_any(low, lex["sarcasm_delayed"]),
         "_apparently": low.contains("apparently"),
     })
-    cues = cues.withColumn("_praise_fails", tx.regex_any(low, PATTERNS["praise_mismatch"]))
+    cues = cues.withColumn("_praise_fails", tx.regex_any_with(low, PATTERNS["praise_mismatch"], NEEDED["praise_mismatch"]))
 
     def count(*conds: Column) -> Column:
         return total([x.cast("int") for x in conds])
@@ -73,8 +73,8 @@ def with_sarcasm(df: DataFrame, lex: Lex = LEXICON, lowered: str = "_lower") ->
         "exaggeration_score": F.least(F.lit(1.0), count(
             c("_metaphor"), c("_absurd"), tx.contains_any(low, lex["sarcasm_grief"])) / 2.0),
         "contradiction_score": F.least(F.lit(1.0), count(
-            c("_praise_fails"), tx.regex_any(low, PATTERNS["praise_contradiction"]),
-            tx.regex_any(low, PATTERNS["mocking_tail"]), c("_praise") & low.contains("?"),
+            c("_praise_fails"), tx.regex_any_with(low, PATTERNS["praise_contradiction"], NEEDED["praise_contradiction"]),
+            tx.regex_any_with(low, PATTERNS["mocking_tail"], NEEDED["mocking_tail"]), c("_praise") & low.contains("?"),
             c("_praise") & c("_apparently"), c("_praise") & c("_mismatch")) / 2.0),
         "context_mismatch_score": (c("_praise") & (c("_mismatch") | c("_metaphor") | c("_absurd")
                                                    | c("_apparently"))).cast("double"),

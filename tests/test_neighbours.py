@@ -148,7 +148,7 @@ def test_rows_of_one_vector_share_their_neighbours(frame, monkeypatch):
     assert {r[f"bench_{STANCES[0].lower()}"] for r in found if r.doc_id == 2} == {0.125}
 
 
-def plan(df):
+def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
@@ -157,14 +157,14 @@ def test_probabilities_lower_a_text_once(frame):
     rows = [(i, STANCES[i % 3], "one two", [1.0, 0.1 * i]) for i in range(9)]
     bank = bm.fit(frame(rows, "id bigint, label string, text string, embedding array<double>"))
     asked = frame([(1, "Some words", [1.0, 0.0])], "id bigint, text string, embedding array<double>")
-    assert plan(bm.probabilities(asked, bank)).count("lower(") == 1
+    assert optimized(bm.probabilities(asked, bank)).count("lower(") == 1
 
 
 def test_centroid_scores_make_the_features_once(frame):
     rows = [(i, i % 3, "Some words", [1.0, 0.1 * i]) for i in range(9)]
     v = bm.with_features(frame(rows, "id bigint, label int, text string, embedding array<double>"))
     given = frame([(1, 9, [1.0, 0.0], [0.1] * 10)], "label int, n bigint, centroid array<double>, feature_centroid array<double>")
-    assert plan(ev.centroid_scores(v, given, features="features")).count("lower(") == 1
+    assert optimized(ev.centroid_scores(v, given, features="features")).count("lower(") == 1
 
 
 def test_rows_without_a_vector_are_spread(frame, spark):
@@ -185,3 +185,25 @@ def test_rows_without_a_vector_are_spread(frame, spark):
     assert len(found) == 802 and most < 300
     zero, minus = ([r[f"bench_{x.lower()}"] for x in STANCES] for r in found if r.doc_id >= 900)
     assert zero == minus and len(set(zero)) > 1
+
+
+def test_near_ties_are_told_apart_by_doubles(frame):
+    draw = np.random.default_rng(8)
+    one = draw.normal(size=16)
+    # differences far below single precision, ties, and a bank of mixed lengths
+    rows = [(i, (one + draw.integers(-3, 4) * 1e-8 * (np.arange(16) == i % 16)).tolist(), i % 3) for i in range(150)]
+    rows += [(i, (draw.normal(size=16) * 10.0 ** draw.integers(-3, 3)).tolist(), i % 3) for i in range(150, 200)]
+    df = frame(rows, SCHEMA)
+    found = got(ne.nearest(df, df, 7, part_rows=60))
+    want = plain(rows, 7, False)
+    assert np.allclose([r[4] for r in found], [r[4] for r in want], rtol=1e-13, atol=2e-9)
+    exact = {i: np.array(v) for i, v, _ in rows}
+    for i, _, j, _, sim in found:
+        assert abs(float(exact[i] @ exact[j]) - sim) < 1e-9 + 1e-12 * abs(sim)
+
+
+def test_few_true_cells_are_found():
+    draw = np.random.default_rng(2)
+    for shape in ((0, 5), (5, 0), (1, 1), (3, 5), (16, 8), (33, 17)):
+        mask = draw.random(shape) < 0.2
+        assert [x.tolist() for x in ne._where(mask)] == [x.tolist() for x in np.nonzero(mask)]

@@ -104,3 +104,15 @@ def test_score_documents_invariants(frame):
     assert got[1].final_score > got[4].final_score
     again = {r.doc_id: r for r in score_documents(docs.repartition(5)).collect()}
     assert again == got
+
+
+def test_searched_texts_are_those_that_can_match(frame):
+    from prosegauge.functions import text as tx
+    from prosegauge.lexicons import NEEDED, PATTERNS
+
+    found = ["not performing", "ignored", "mistake", "slow", "dropped"]
+    texts = [f"{a} {b} {x}" for a in ("masterclass", "legendary", "visionary", "plain") for b in ("but", "and") for x in [*found, "really", "kept"]]
+    low = F.col("t")
+    checked = [F.struct(tx.regex_any(low, PATTERNS[n]), tx.regex_any_with(low, PATTERNS[n], NEEDED[n])) for n in NEEDED]
+    rows = frame([(t,) for t in [*texts, None, ""]], "t string").select(*checked).collect()
+    assert all(a == b for row in rows for a, b in row) and all(any(row[i][0] for row in rows) for i in range(len(NEEDED)))
